@@ -85,18 +85,22 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-def season_phase(day: str) -> Column:
+def season_phase(day: Column, preseason: Column, start: Column, end: Column, playoffs_end: Column) -> Column:
+    """Phase of a date by the season's own dates; outside or without them, by the month."""
     month = F.month(day)
+    by_month = (
+        F.when((month >= 10) | (month <= 3), "regular").when(month.between(4, 6), "playoffs").otherwise("offseason")
+    )
     return (
-        F.when((month >= 10) | (month <= 3), "regular")
-        .when(month <= 6, "playoffs")
-        .when(month == 9, "preseason")
-        .otherwise("offseason")
+        F.when(day.between(start, end), "regular")
+        .when((day > end) & (day <= playoffs_end), "playoffs")
+        .when((day >= preseason) & (day < start), "preseason")
+        .otherwise(by_month)
     )
 
 
-def season_start(day: str) -> Column:
-    return F.when(F.month(day) >= 9, F.year(day)).otherwise(F.year(day) - 1)
+def season_start(day: Column) -> Column:
+    return F.when(F.month(day) >= 10, F.year(day)).otherwise(F.year(day) - 1)
 
 
 def is_fresh(stamp: str, as_of: str, days: int) -> Column:

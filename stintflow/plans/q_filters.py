@@ -178,15 +178,18 @@ def f11(t):
 
 @query(
     "f12_date_window_class",
-    """SELECT o_orderkey, CASE WHEN month(o_orderdate) >= 10 OR month(o_orderdate) <= 3 THEN 'regular' WHEN month(o_orderdate) BETWEEN 4 AND 6 THEN 'playoffs'
-  WHEN month(o_orderdate) = 9 THEN 'preseason' ELSE 'offseason' END AS phase,
-  CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END::BIGINT AS season_start FROM orders""",
+    """SELECT o_orderkey, CASE WHEN d BETWEEN DATE '1998-10-07' AND DATE '1999-04-15' THEN 'regular'
+  WHEN d > DATE '1999-04-15' AND d <= DATE '1999-06-21' THEN 'playoffs' WHEN d >= DATE '1998-09-12' AND d < DATE '1998-10-07' THEN 'preseason'
+  WHEN month(d) >= 10 OR month(d) <= 3 THEN 'regular' WHEN month(d) BETWEEN 4 AND 6 THEN 'playoffs' ELSE 'offseason' END AS phase,
+  CASE WHEN month(d) >= 10 THEN year(d) ELSE year(d) - 1 END::BIGINT AS season_start FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""",
 )
 def f12(t):
+    day = F.to_date("o_orderdate")
+    dates = [F.lit(d).cast("date") for d in ("1998-09-12", "1998-10-07", "1999-04-15", "1999-06-21")]
     return t.orders.select(
         "o_orderkey",
-        classify.season_phase("o_orderdate").alias("phase"),
-        classify.season_start("o_orderdate").cast("bigint").alias("season_start"),
+        classify.season_phase(day, *dates).alias("phase"),
+        classify.season_start(day).cast("bigint").alias("season_start"),
     )
 
 

@@ -16,6 +16,12 @@ DECLINE_AGE = {"D": 33, "other": 30}
 FREE_AGENT_AGE = 27
 
 
+def money(value: Column | str) -> Column:
+    """Two decimals, rounded as a decimal number so that a tie does not hang on binary noise."""
+    exact = (F.col(value) if isinstance(value, str) else value).cast("decimal(20,6)")
+    return F.round(exact, 2).cast("double")
+
+
 def contract_type(cap: str, age: str) -> Column:
     c, a = F.col(cap), F.col(age)
     young = lambda limit: a.isNull() | (a <= limit)
@@ -31,7 +37,7 @@ def projected(value: Column, position: Column, age: Column, years: Column) -> Co
     """Value after ``years``, losing 8 % for each year spent at or past the position's decline age."""
     onset = F.when(position == "D", DECLINE_AGE["D"]).otherwise(DECLINE_AGE["other"])
     declining = F.greatest(F.lit(0), F.least(years, age + years - onset + 1))
-    return F.round(value * F.pow(F.lit(DECLINE), declining), 2)
+    return money(value * F.pow(F.lit(DECLINE), declining))
 
 
 def offense_share(position: Column, ixg_60: Column, best: Column) -> Column:
@@ -48,12 +54,12 @@ def value_table(contracts: DataFrame) -> DataFrame:
     """
     best = contracts.agg(F.max("ixg_60").alias("m")).scalar()
     gar, cap, age, pos = F.col("gar"), F.col("cap_hit"), F.col("age"), F.col("position")
-    per_money = lambda v: F.when(cap > 0, F.round(v / cap, 2))
+    per_money = lambda v: F.when(cap > 0, money(v / cap))
     multiplier = F.when(pos == "G", GOALIE_VALUE).otherwise(MARKET_VALUE)
     rows = contracts.withColumn("_best", best).withColumn(
-        "off_gar", F.round(gar * offense_share(pos, F.col("ixg_60"), F.col("_best")), 2)
+        "off_gar", money(gar * offense_share(pos, F.col("ixg_60"), F.col("_best")))
     )
-    rows = rows.withColumn("def_gar", F.round(gar - gar * offense_share(pos, F.col("ixg_60"), F.col("_best")), 2))
+    rows = rows.withColumn("def_gar", money(gar - gar * offense_share(pos, F.col("ixg_60"), F.col("_best"))))
     age_flag = F.when(age < 25, "pre_peak").when(age <= 29, "peak").when(age >= 30, "post_peak")
     outlook = F.when(pos != "G", projected(gar, pos, age, F.lit(3)))
     return (
@@ -62,12 +68,12 @@ def value_table(contracts: DataFrame) -> DataFrame:
         .withColumn("gar_per_million", per_money(gar))
         .withColumn("off_gar_per_million", per_money(F.col("off_gar")))
         .withColumn("def_gar_per_million", per_money(F.col("def_gar")))
-        .withColumn("sustainability_score", F.round(gar - F.col("xgar"), 2))
-        .withColumn("expected_market_value", F.round(gar * multiplier, 2))
-        .withColumn("surplus_value", F.round(gar * multiplier - cap, 2))
+        .withColumn("sustainability_score", money(gar - F.col("xgar")))
+        .withColumn("expected_market_value", money(gar * multiplier))
+        .withColumn("surplus_value", money(gar * multiplier - cap))
         .withColumn("age_flag", age_flag)
         .withColumn("projected_gar_y3", outlook)
-        .withColumn("projected_surplus_y3", F.when(cap > 0, F.round(F.col("projected_gar_y3") * MARKET_VALUE - cap, 2)))
+        .withColumn("projected_surplus_y3", F.when(cap > 0, money(F.col("projected_gar_y3") * MARKET_VALUE - cap)))
     )
 
 
@@ -114,10 +120,10 @@ def team_rollup(table: DataFrame) -> DataFrame:
     return g.select(
         "team",
         "players_counted",
-        F.round("cap", 2).alias("total_cap"),
-        F.round("gar", 2).alias("total_gar"),
-        F.round("surplus", 2).alias("total_surplus"),
-        F.when(F.col("cap") > 0, F.round(F.col("gar") / F.col("cap"), 2)).otherwise(0.0).alias("avg_gar_per_dollar"),
+        money("cap").alias("total_cap"),
+        money("gar").alias("total_gar"),
+        money("surplus").alias("total_surplus"),
+        F.when(F.col("cap") > 0, money(F.col("gar") / F.col("cap"))).otherwise(0.0).alias("avg_gar_per_dollar"),
     )
 
 
@@ -126,7 +132,7 @@ def expiry_watch(table: DataFrame, season_end: int) -> DataFrame:
     years = F.greatest(F.lit(0), F.col("expiry_year") - season_end)
     at_expiry = F.coalesce("age", F.lit(0)) + years
     value = projected(F.col("gar"), F.col("position"), F.col("age"), years)
-    market = F.round(value * MARKET_VALUE, 2)
+    market = money(value * MARKET_VALUE)
     return table.where("contract_type = 'ELC'").select(
         "player_id",
         "gar",

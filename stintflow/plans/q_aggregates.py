@@ -304,10 +304,12 @@ def a22(t):
     ).withColumn("auc", F.round(auc, 6))
 
 
+DECILE_EDGES = ", ".join(f"quantile_cont(p, 0.{i})" for i in range(1, 10))
+
+
 @query(
     "a23_calibration_deciles",
-    f"""WITH s AS ({SCORED}), e AS (SELECT list_distinct([quantile_cont(p, i / 10e0)]) AS x FROM s, range(1, 10) t(i) GROUP BY i),
-  """.replace("e AS (SELECT list_distinct([quantile_cont(p, i / 10e0)]) AS x FROM s, range(1, 10) t(i) GROUP BY i),", "e AS (SELECT DISTINCT unnest([" + ", ".join(f"quantile_cont(p, 0.{i})" for i in range(1, 10)) + "]) AS x FROM s)")
+    f"WITH s AS ({SCORED}), e AS (SELECT DISTINCT unnest([{DECILE_EDGES}]) AS x FROM s)"
     + """ SELECT CAST((SELECT count(*) FROM e WHERE x < p) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS actual FROM s GROUP BY 1""",
 )
 def a23(t):

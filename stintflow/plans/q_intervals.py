@@ -202,21 +202,14 @@ def j10(t):
   arg_max(i.player_id, i.dur * 1000000000 - i.player_id) FILTER (i.team_id = against_team AND is_goalie) AS goalie_against,
   count(*) FILTER (i.team_id = for_team AND is_goalie) = 0 AS empty_net_for,
   count(*) FILTER (i.team_id = against_team AND is_goalie) = 0 AS empty_net_against,
-  EXISTS (SELECT 1 FROM shifts s WHERE s.game_id = any_value(p.game_id)
-    AND (s.abs_start = any_value(p.abs_secs) OR s.abs_end = any_value(p.abs_secs))) AS flag_boundary,
+  any_value((p.game_id, p.abs_secs) IN (SELECT (game_id, abs_start) FROM shifts UNION
+    SELECT (game_id, abs_end) FROM shifts)) AS flag_boundary,
   count(*) FILTER (i.team_id = for_team) = 0 AS flag_none_for,
   count(*) FILTER (i.team_id = against_team) = 0 AS flag_none_against,
   count(DISTINCT i.player_id) FILTER (i.team_id = against_team AND is_goalie) > 1 AS flag_two_goalies,
   count(*) FILTER (i.team_id = for_team AND i.player_id = p.shooter_id) = 0 AS flag_shooter_absent
 FROM base p LEFT JOIN shifts_flagged i ON i.game_id = p.game_id AND i.abs_start < p.abs_secs AND p.abs_secs <= i.abs_end
-GROUP BY p.shot_id, p.for_team, p.against_team""".replace(
-        """  EXISTS (SELECT 1 FROM shifts s WHERE s.game_id = any_value(p.game_id)
-    AND (s.abs_start = any_value(p.abs_secs) OR s.abs_end = any_value(p.abs_secs))) AS flag_boundary,
-""",
-        """  any_value((p.game_id, p.abs_secs) IN (SELECT (game_id, abs_start) FROM shifts UNION
-    SELECT (game_id, abs_end) FROM shifts)) AS flag_boundary,
-""",
-    ),
+GROUP BY p.shot_id, p.for_team, p.against_team""",
 )
 def k1(t):
     rows = segments.onset_at(t.shots, t.shifts_flagged)

@@ -151,7 +151,7 @@ def w17(t):
 
 @query(
     "w18_latest_non_null",
-    """SELECT o_custkey, arg_max(o_orderpriority, (epoch(o_orderdate)::BIGINT, o_orderkey)) FILTER (o_orderstatus <> 'P') AS latest FROM orders GROUP BY 1""".replace("(epoch(o_orderdate)::BIGINT, o_orderkey)", "epoch(o_orderdate)::BIGINT * 1000000000 + o_orderkey"),
+    """SELECT o_custkey, arg_max(o_orderpriority, epoch(o_orderdate)::BIGINT * 1000000000 + o_orderkey) FILTER (o_orderstatus <> 'P') AS latest FROM orders GROUP BY 1""",
 )
 def w18(t):
     value = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))

@@ -96,12 +96,12 @@ def value_ranks(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_o", order.cast("double"))
+        .withColumn("_o", order)
     )
     cuts = [i / buckets for i in range(1, buckets)]
-    edges = counts.agg(F.percentile_approx("_o", cuts, 1000).alias("e")).scalar()
+    edges = counts.agg(F.percentile_approx(F.col("_o").cast("double"), cuts, 1000).alias("e")).scalar()
     placed = counts.withColumn("_edges", edges).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col("_o")))
+        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col("_o").cast("double")))
     )
     ranked = running(placed, keys, F.col("_bucket"), ["_o"], {"before": Running("sum", F.col("n"))})
     ranked = ranked.select(*keys, value, "n", F.coalesce("before", F.lit(0)).alias("before"))

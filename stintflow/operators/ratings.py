@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stintflow.functions.classify import clip
 from stintflow.operators.tables import pool_zscore
-from stintflow.scale import quantiles, top_k, with_ordinal, with_rank
+from stintflow.scale import quantiles, top_k, with_group_stats, with_ordinal, with_rank
+from stintflow.session import cut_lineage
 
 # Slot minutes by depth, unit weights and limits of the team model.
 FORWARD_MINUTES = [22, 22, 22, 18, 18, 18, 14, 14, 14, 10, 10, 10]
@@ -56,7 +57,8 @@ def composite(df: DataFrame, params: CompositeParams = CompositeParams()) -> Dat
     back as single rows or per position group.
     """
     is_d = F.col("position") == "D"
-    rows = df.withColumn("grp", F.when(is_d, "D").otherwise("F"))
+    # three rounds of pool statistics follow; each would otherwise repeat the aggregation behind df
+    rows = cut_lineage(df).withColumn("grp", F.when(is_d, "D").otherwise("F"))
     pool = F.col("toi_minutes") >= params.min_ev_minutes
     pp, pk = F.col("pp_qualified") & pool, F.col("pk_qualified") & pool
     blends = {
@@ -97,8 +99,6 @@ def composite(df: DataFrame, params: CompositeParams = CompositeParams()) -> Dat
 
 def _many_z(df: DataFrame, specs: dict[str, tuple[str, Column]], keys: list[str], suffix: str) -> DataFrame:
     """Several pool z-scores from one aggregate."""
-    from stintflow.scale import with_group_stats
-
     aggs = []
     for name, (value, mask) in specs.items():
         member = F.when(mask, F.col(value))
@@ -113,6 +113,7 @@ def _many_z(df: DataFrame, specs: dict[str, tuple[str, Column]], keys: list[str]
 
 def replacement_rescale(df: DataFrame, value: str, in_pool: Column, out: str, params=CompositeParams()) -> DataFrame:
     """``(value - replacement) / sd * unit`` where replacement is a low quantile of the pool."""
+    df = cut_lineage(df)
     pool = df.where(in_pool).withColumn("_r", F.round(value, 9))
     level = quantiles(pool, [], "_r", {"q": params.replacement_quantile}).scalar()
     sd = pool.agg(F.stddev_pop(value).alias("sd")).scalar()

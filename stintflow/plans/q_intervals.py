@@ -10,6 +10,7 @@ from stintflow.plans.bindings import cte
 from stintflow.plans.registry import query
 from stintflow.plans.shape import big, div, joined, r
 from stintflow.scale import Running, running
+from stintflow.session import cut_lineage
 
 SEG_KEYS = ["game_id", "period"]
 
@@ -57,6 +58,11 @@ def stints(t):
     return segments.constant_set_segments(t.shifts_flagged, SEG_KEYS)
 
 
+def stint_table(t):
+    """The segments materialised once: what follows reads them several times."""
+    return cut_lineage(stints(t))
+
+
 def attempt_sums():
     home = F.col("team_id") == F.col("home_team_id")
     one = F.lit(1).cast("bigint")
@@ -89,7 +95,7 @@ FROM stints s LEFT JOIN (
 
 
 def stint_stats(t):
-    return segments.attach_point_stats(stints(t), t.shots, SEG_KEYS, attempt_sums())
+    return segments.attach_point_stats(stint_table(t), t.shots, SEG_KEYS, attempt_sums())
 
 
 @query(
@@ -289,7 +295,7 @@ FROM stints s LEFT JOIN shots p ON p.game_id = s.game_id AND p.is_goal = 1 AND p
 GROUP BY 1, 2, 3""",
 )
 def w10(t):
-    rows = segments.score_diff_at_start(stints(t), goal_deltas(t), ["game_id"])
+    rows = segments.score_diff_at_start(stint_table(t), goal_deltas(t), ["game_id"])
     return rows.select("game_id", "period", "start_secs", "score_diff")
 
 

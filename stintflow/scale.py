@@ -99,8 +99,11 @@ def value_ranks(
         .withColumn("_o", order)
     )
     cuts = [i / buckets for i in range(1, buckets)]
-    edges = counts.agg(F.percentile_approx(F.col("_o").cast("double"), cuts, 1000).alias("e")).scalar()
-    placed = counts.withColumn("_edges", edges).withColumn(
+    # naming n here keeps this aggregate's shuffle identical to the main one, so it is reused
+    edges = counts.agg(
+        F.struct(F.percentile_approx(F.col("_o").cast("double"), cuts, 1000).alias("e"), F.max("n").alias("n")).alias("s")
+    ).scalar()
+    placed = counts.withColumn("_edges", edges["e"]).withColumn(
         "_bucket", F.size(F.filter("_edges", lambda e: e < F.col("_o").cast("double")))
     )
     ranked = running(placed, keys, F.col("_bucket"), ["_o"], {"before": Running("sum", F.col("n"))})

@@ -225,7 +225,7 @@ class Tables:
                 F.col("c_name").alias("name"),
                 F.col("c_nationkey").cast("bigint").alias("team"),
                 pos.alias("position"),
-                F.round((cents("c_acctbal") + 150000) / 100000.0, 4).alias("cap_hit"),
+                (F.floor((cents("c_acctbal") + 150000) / 10) / 10000.0).alias("cap_hit"),
                 (2026 + F.col("c_custkey") % 6).cast("bigint").alias("expiry_year"),
                 F.when(F.col("c_custkey") % 11 != 0, 18 + F.col("c_custkey") % 22).cast("bigint").alias("age"),
                 F.round(F.col("spend_c") / 50000000.0, 2).alias("gar"),
@@ -349,7 +349,7 @@ SELECT *, CASE WHEN gf > ga THEN 'W' WHEN last_period = 'OT' THEN 'OTL' ELSE 'L'
     "contracts": """
 SELECT c_custkey AS player_id, c_name AS name, CAST(c_nationkey AS BIGINT) AS team,
   CASE WHEN c_custkey % 10 = 0 THEN 'G' WHEN c_custkey % 3 = 0 THEN 'D' ELSE 'C' END AS position,
-  round((CAST(round(c_acctbal * 100) AS BIGINT) + 150000) / 100000.0::DOUBLE, 4) AS cap_hit,
+  floor((CAST(round(c_acctbal * 100) AS BIGINT) + 150000) / 10) / 10000.0::DOUBLE AS cap_hit,
   CAST(2026 + c_custkey % 6 AS BIGINT) AS expiry_year,
   CASE WHEN c_custkey % 11 <> 0 THEN 18 + c_custkey % 22 END AS age,
   round(spend_c / 50000000.0::DOUBLE, 2) AS gar, round(spend_c / 60000000.0::DOUBLE, 2) AS xgar,

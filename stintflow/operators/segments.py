@@ -13,11 +13,18 @@ from stintflow.operators.intervals import (
 )
 from stintflow.scale import Running, running
 
-GOALIE_SIDES = ("home", "away")
 
+def _coded(side: Column, goalie: Column) -> Column:
+    """Distinct members of a side in one set, the goalie flag as the lowest bit of the code."""
+    return F.collect_set(F.when(side, F.col("player_id") * 2 + goalie.cast("bigint")))
 
-def _members(side: Column, goalie: Column) -> Column:
-    return F.array_sort(F.collect_set(F.when(side & ~goalie, F.col("player_id"))))
+
+def _skaters(coded: str) -> Column:
+    return F.array_sort(F.transform(F.filter(coded, lambda c: c % 2 == 0), lambda c: F.shiftright(c, 1)))
+
+
+def _n_goalies(coded: str) -> Column:
+    return F.size(F.filter(coded, lambda c: c % 2 != 0))
 
 
 def _goalie(side: Column, goalie: Column) -> Column:
@@ -42,14 +49,22 @@ def present_on_segments(shifts: DataFrame, keys: list[str], width: int) -> DataF
     home = F.col("team_id") == F.col("home_team_id")
     away = F.col("team_id") != F.col("home_team_id")
     g = F.col("is_goalie")
-    n_goalies = lambda side: F.size(F.collect_set(F.when(side & g, F.col("player_id"))))
-    return rows.groupBy(*keys, "t0", "t1").agg(
-        _members(home, g).alias("home_ids"),
-        _members(away, g).alias("away_ids"),
+    sides = rows.groupBy(*keys, "t0", "t1").agg(
+        _coded(home, g).alias("_home"),
+        _coded(away, g).alias("_away"),
         _goalie(home, g).alias("home_goalie"),
         _goalie(away, g).alias("away_goalie"),
-        ((n_goalies(home) > 1) | (n_goalies(away) > 1)).alias("two_goalies"),
-        (F.count("player_id") == 0).alias("empty_side"),
+    )
+    return sides.select(
+        *keys,
+        "t0",
+        "t1",
+        _skaters("_home").alias("home_ids"),
+        _skaters("_away").alias("away_ids"),
+        "home_goalie",
+        "away_goalie",
+        ((_n_goalies("_home") > 1) | (_n_goalies("_away") > 1)).alias("two_goalies"),
+        ((F.size("_home") == 0) & (F.size("_away") == 0)).alias("empty_side"),
     )
 
 
@@ -189,16 +204,23 @@ def onset_at(points: DataFrame, shifts: DataFrame, width: int = 3600) -> DataFra
     mine = F.col("team_id") == F.col("for_team")
     theirs = F.col("team_id") == F.col("against_team")
     g = F.col("is_goalie")
-    ids = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("player_id"))))
-    agg = hits.groupBy(*base.columns).agg(
-        ids(mine & ~g).alias("on_for"),
-        ids(theirs & ~g).alias("on_against"),
+    sides = hits.groupBy(*base.columns).agg(
+        _coded(mine, g).alias("_for"),
+        _coded(theirs, g).alias("_against"),
         _goalie(mine, g).alias("goalie_for"),
         _goalie(theirs, g).alias("goalie_against"),
-        F.size(ids(theirs & g)).alias("_n_goalies"),
-        F.count(F.when(mine, 1)).alias("_n_for"),
-        F.count(F.when(theirs, 1)).alias("_n_against"),
-        F.count(F.when(mine & (F.col("player_id") == F.col("shooter_id")), 1)).alias("_n_shooter"),
+    )
+    shooter = F.col("shooter_id") * 2
+    agg = sides.select(
+        *base.columns,
+        _skaters("_for").alias("on_for"),
+        _skaters("_against").alias("on_against"),
+        "goalie_for",
+        "goalie_against",
+        _n_goalies("_against").alias("_n_goalies"),
+        F.size("_for").alias("_n_for"),
+        F.size("_against").alias("_n_against"),
+        (F.array_contains("_for", shooter) | F.array_contains("_for", shooter + 1)).cast("int").alias("_n_shooter"),
     )
     known = F.col("for_team").isNotNull()
     when_known = lambda cond: F.when(known, cond).otherwise(F.lit(False))

@@ -34,7 +34,7 @@ def apply_aliases(df: DataFrame, key: str, aliases: dict[str, str]) -> DataFrame
 def flip_name(value: Column) -> Column:
     """``Last, First`` to ``First Last``; other names only trimmed."""
     parts = F.split(value, ",", 2)
-    return F.when(F.contains(value, F.lit(",")), F.concat_ws(" ", F.trim(parts[1]), F.trim(parts[0]))).otherwise(
+    return F.when(F.contains(value, F.lit(",")), F.concat_ws(" ", F.trim(F.get(parts, F.lit(1))), F.trim(parts[0]))).otherwise(
         F.trim(value)
     )
 

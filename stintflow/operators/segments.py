@@ -196,7 +196,7 @@ def onset_at(points: DataFrame, shifts: DataFrame, width: int = 3600) -> DataFra
         .join(team_of, ["game_id", "shooter_id"], "left")
         .join(game_teams, "game_id", "left")
         .join(edges, ["game_id", "abs_secs"], "left")
-        .withColumn("against_team", F.expr("filter(_teams, x -> x != for_team)")[0])
+        .withColumn("against_team", F.get(F.expr("filter(_teams, x -> x != for_team)"), F.lit(0)))
         .withColumn("_has_game", F.col("_teams").isNotNull())
         .drop("_teams")
     )

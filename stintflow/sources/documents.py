@@ -73,7 +73,7 @@ def read_contract_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 def decode_contract_row(row: Column, name: int, team: int, position: int, cap: int, expiry: int, age: int) -> list[Column]:
     """A positional text array as contract columns: money is tenths of $M, the expiry year has two digits."""
-    at = lambda i: row[i]
+    at = lambda i: F.get(row, F.lit(i))
     cap_hit = F.round(at(cap).try_cast("double") / 10.0, 4)
     return [
         flip_name(at(name)).alias("name"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -85,6 +87,9 @@ def land_incrementally(stream: DataFrame, target: str, key: str, check: str) ->
     stream.writeStream.foreachBatch(land).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
 
 
+# task code travels with the plan, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FEATURE_SCHEMA = (
     "game_id bigint, event_id bigint, is_rush bigint, is_rebound bigint, time_since_last_shot bigint, score_state bigint, is_goal bigint"
 )

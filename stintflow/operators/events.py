@@ -26,7 +26,7 @@ def opposing_net_empty(code: Column, is_home: Column) -> Column:
     return F.coalesce((F.length(code) == 4) & (goalie == "0"), F.lit(False))
 
 
-def sequential_shot_features(plays: DataFrame, order: list[str], chunk_secs: int = 1200) -> DataFrame:
+def sequential_shot_features(plays: DataFrame, order: list[str], chunk_secs: int = 300) -> DataFrame:
     """Rush, rebound, time since the last shot, score state and geometry of every counted shot.
 
     ``plays`` has ``game_id, abs_secs, period, type, team_id, home_team_id, zone, situation_code, x, y,

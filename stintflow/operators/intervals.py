@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from stintflow.scale import Running, running
 
+CHUNK = 300  # seconds of one running-window chunk: a key is cut into that many pieces of its clock
+
 _LOW = {"right": 1, "left": 0, "both": 0}
 _HIGH = {"right": 0, "left": -1, "both": 0}
 
@@ -89,14 +91,14 @@ def _with_reach(intervals: DataFrame, keys: list[str], start: str, end: str, tie
     )
 
 
-def union_time(intervals: DataFrame, keys: list[str], start: str, end: str, width: int = 3600) -> DataFrame:
+def union_time(intervals: DataFrame, keys: list[str], start: str, end: str, width: int = CHUNK) -> DataFrame:
     """Length of the union of each key's intervals."""
     rows = _with_reach(intervals, keys, start, end, [end], width)
     fresh = F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(start), F.coalesce("_reach", F.col(start))))
     return rows.groupBy(*keys).agg(F.sum(fresh).alias("union_secs"))
 
 
-def drop_contained(intervals: DataFrame, keys: list[str], start: str, end: str, width: int = 3600) -> DataFrame:
+def drop_contained(intervals: DataFrame, keys: list[str], start: str, end: str, width: int = CHUNK) -> DataFrame:
     """Remove intervals that lie inside another of the same key.
 
     Coverage and the longest covering interval of every instant stay as they are, while one key keeps
@@ -108,7 +110,7 @@ def drop_contained(intervals: DataFrame, keys: list[str], start: str, end: str,
 
 
 def self_overlap_rows(
-    intervals: DataFrame, keys: list[str], start: str, end: str, row_id: str, width: int = 3600
+    intervals: DataFrame, keys: list[str], start: str, end: str, row_id: str, width: int = CHUNK
 ) -> DataFrame:
     """Rows that overlap another row of the same key: an earlier one reaches in, or the next starts inside."""
     live = intervals.where(F.col(end) > F.col(start))
@@ -122,7 +124,7 @@ def self_overlap_rows(
     return both.where(hit).select(*intervals.columns)
 
 
-def presence_steps(intervals: DataFrame, keys: list[str], start: str, end: str, width: int) -> DataFrame:
+def presence_steps(intervals: DataFrame, keys: list[str], start: str, end: str, width: int = CHUNK) -> DataFrame:
     """Step function per key: ``(lo, hi, cnt)`` pieces with the number of open intervals, gaps left out."""
     delta = (
         intervals.select(
@@ -153,7 +155,7 @@ def overlap_pair_seconds(
     A member's intervals become one step function first, so many rows of one member count once with a
     weight; the pieces are then clipped to time bins and met inside them.
     """
-    steps = presence_steps(intervals, [*keys, member, side], start, end, width)
+    steps = presence_steps(intervals, [*keys, member, side], start, end)
     clipped = (
         spread_over_bins(steps, "lo", "hi", width, "left")
         .withColumn("lo", F.greatest("lo", F.col("_bin") * width))
@@ -205,7 +207,7 @@ def overlap_weighted_quality(
     a rating count on neither side of the fraction.
     """
     segments = elementary_segments(intervals, keys, start, end)
-    steps = presence_steps(intervals, [*keys, member, side], start, end, width)
+    steps = presence_steps(intervals, [*keys, member, side], start, end)
     present = points_in_intervals(segments, steps, keys, "t0", "lo", "hi", "left", width)
     rated = present.join(ratings.select(member, "rating"), member, "left").select(
         *keys,

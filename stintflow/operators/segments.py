@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintflow.operators.intervals import (
+    CHUNK,
     bin_of,
     drop_contained,
     elementary_segments,
@@ -40,7 +41,6 @@ def present_on_segments(shifts: DataFrame, keys: list[str], width: int) -> DataF
         [*keys, "player_id", "team_id", "home_team_id", "is_goalie"],
         "abs_start",
         "abs_end",
-        width,
     )
     segments = elementary_segments(shifts, keys, "abs_start", "abs_end")
     spans = lean.withColumnRenamed("abs_start", "ivl_start").withColumnRenamed("abs_end", "ivl_end")
@@ -138,7 +138,7 @@ def segment_of_point(
 
 
 def score_diff_at_start(
-    segments: DataFrame, goals: DataFrame, keys: list[str], t: str = "abs_secs", width: int = 3600
+    segments: DataFrame, goals: DataFrame, keys: list[str], t: str = "abs_secs", width: int = CHUNK
 ) -> DataFrame:
     """Home lead when each segment starts; a goal in the starting second has already counted.
 
@@ -175,7 +175,6 @@ def onset_at(points: DataFrame, shifts: DataFrame, width: int = 3600) -> DataFra
         ["game_id", "player_id", "team_id", "is_goalie"],
         "abs_start",
         "abs_end",
-        width,
     ).select(
         "game_id",
         "player_id",

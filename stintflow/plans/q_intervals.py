@@ -328,7 +328,7 @@ GROUP BY game_id, event_type, island""",
 )
 def w14(t):
     order = ["abs_secs", "event_id"]
-    chunk = intervals.bin_of(F.col("abs_secs"), 3600)
+    chunk = intervals.bin_of(F.col("abs_secs"), 300)
     rows = t.plays.select("game_id", "event_id", "abs_secs", "event_type")
     seen = running(rows, ["game_id"], chunk, order, {"prev": Running("last", F.col("event_type"))})
     fresh = F.when(F.col("prev") == F.col("event_type"), 0).otherwise(1)
@@ -357,7 +357,7 @@ def w16(t):
     rows = running(
         t.shifts,
         ["game_id", "player_id"],
-        intervals.bin_of(F.col("abs_start"), 7200),
+        intervals.bin_of(F.col("abs_start"), 300),
         ["abs_start", "shift_id"],
         {"prev_max_end": Running("max", F.col("abs_end"))},
     )

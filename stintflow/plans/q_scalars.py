@@ -289,19 +289,21 @@ def m9(t):
 
 @query(
     "ar1_array_functions",
-    """SELECT o_custkey, len(l)::BIGINT AS n, array_to_string(list_sort(list_distinct(l)), ',') AS days, list_contains(l, 1) AS has_first, array_to_string(list_sort(list_filter(list_distinct(l), lambda x: x <> 1 AND x <> 2)), ',') AS rest
-FROM (SELECT o_custkey, list(day(o_orderdate)::BIGINT) AS l FROM orders GROUP BY 1)""",
+    """SELECT vec_id, len(l)::BIGINT AS n, array_to_string(list_sort(list_distinct(l)), ',') AS steps, list_contains(l, 1) AS has_one, array_to_string(list_sort(list_filter(list_distinct(l), lambda x: x <> 1 AND x <> 2)), ',') AS rest,
+  round((list_sum(l) - l[1]) / (len(l) - 1)::DOUBLE, 6) AS mean_less_first FROM (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 10)::BIGINT) AS l FROM embeddings)""",
 )
 def ar1(t):
-    days = t.orders.groupBy("o_custkey").agg(F.collect_list(F.dayofmonth("o_orderdate")).alias("l"))
-    rows = days.select(
-        "o_custkey",
+    steps = t.embeddings.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 10)).alias("l"))
+    whole = F.aggregate("l", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    rows = steps.select(
+        "vec_id",
         F.size("l").cast("bigint").alias("n"),
-        F.array_sort(F.array_distinct("l")).alias("days"),
-        F.array_contains("l", 1).alias("has_first"),
-        F.array_sort(F.array_except("l", F.array(F.lit(1), F.lit(2)))).alias("rest"),
+        F.array_sort(F.array_distinct("l")).alias("steps"),
+        F.array_contains("l", F.lit(1).cast("bigint")).alias("has_one"),
+        F.array_sort(F.array_except("l", F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))).alias("rest"),
+        r((whole - F.get("l", F.lit(0))) / (F.size("l") - 1), 6, "mean_less_first"),
     )
-    return rows.select("o_custkey", "n", joined("days"), "has_first", joined("rest"))
+    return rows.select("vec_id", "n", joined("steps"), "has_one", joined("rest"), "mean_less_first")
 
 
 @query(
@@ -344,12 +346,9 @@ def js1(t):
     """SELECT l_orderkey AS game, l_linenumber::BIGINT AS period, l_partkey AS goal, l_suppkey AS scorer FROM lineitem""",
 )
 def js2(t):
-    periods = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
-        F.collect_list(F.struct(F.col("l_partkey").alias("goal"), F.col("l_suppkey").alias("scorer"))).alias("goals")
-    )
-    games = periods.groupBy("l_orderkey").agg(
-        F.to_json(F.collect_list(F.struct(F.col("l_linenumber").alias("period"), "goals"))).alias("doc")
-    )
+    goals = F.array(F.struct(F.col("l_partkey").alias("goal"), F.col("l_suppkey").alias("scorer")))
+    periods = F.array(F.struct(F.col("l_linenumber").alias("period"), goals.alias("goals")))
+    games = t.lineitem.select("l_orderkey", F.to_json(periods).alias("doc"))
     schema = "array<struct<period: bigint, goals: array<struct<goal: bigint, scorer: bigint>>>>"
     return jsonx.flatten_nested(games, "doc", schema, "l_orderkey", "goals").select(
         F.col("l_orderkey").alias("game"), "period", "goal", "scorer"

@@ -29,9 +29,9 @@ def src2(t):
 
 
 def land_games(t) -> str:
-    """Play-by-play documents, one per game and hour."""
+    """Play-by-play documents, each holding at most fifty plays of one game."""
     path = scratch_path(t.spark, "games")
-    hour = F.expr("abs_secs div 3600")
+    piece = F.expr("event_id div 50")
     clock = F.format_string("%02d:%02d", F.expr("(abs_secs % 1200) div 60"), F.col("abs_secs") % 60)
     play = F.struct(
         F.col("event_id").alias("eventId"),
@@ -42,7 +42,7 @@ def land_games(t) -> str:
         F.struct(F.col("team_id").alias("eventOwnerTeamId"), F.col("player_id").alias("shootingPlayerId")).alias("details"),
     )
     spot = F.struct(F.col("team_id").alias("teamId"), F.col("player_id").alias("playerId"), F.lit("C").alias("positionCode"))
-    docs = t.plays.groupBy(F.col("game_id").alias("id"), "home_team_id", hour.alias("h")).agg(
+    docs = t.plays.groupBy(F.col("game_id").alias("id"), "home_team_id", piece.alias("piece")).agg(
         F.collect_list(play).alias("plays"), F.collect_set(spot).alias("rosterSpots")
     )
     docs.select(
@@ -74,7 +74,7 @@ def src3g(t):
 def src4(t):
     games = t.plays.select("game_id", "home_team_id").distinct()
     entry = F.struct(F.col("game_id").cast("string").alias("k"), F.col("home_team_id").alias("v"))
-    docs = games.groupBy(F.expr("game_id div 1000000000")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("doc"))
+    docs = games.groupBy(F.expr("game_id div 100")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("doc"))
     return documents.json_map_rows(docs, "doc", "bigint")
 
 

@@ -86,7 +86,7 @@ FROM plays WINDOW w AS (PARTITION BY game_id ORDER BY abs_secs, event_id)""",
 )
 def w7(t):
     prev = F.struct("event_type", "team_id", "abs_secs")
-    rows = running(t.plays, ["game_id"], bin_of(F.col("abs_secs"), 7200), ORDER, {"p": Running("last", prev)})
+    rows = running(t.plays, ["game_id"], bin_of(F.col("abs_secs"), 300), ORDER, {"p": Running("last", prev)})
     return rows.select(
         "event_id", F.col("p.event_type").alias("prev_type"), F.col("p.team_id").alias("prev_team"), (F.col("abs_secs") - F.col("p.abs_secs")).alias("gap")
     )
@@ -99,7 +99,7 @@ def w7(t):
 )
 def w8(t):
     seen = F.when(F.col("event_type").isin("click", "purchase"), F.col("abs_secs"))
-    rows = running(t.plays, ["game_id"], bin_of(F.col("abs_secs"), 7200), ORDER, {"s": Running("last", seen)})
+    rows = running(t.plays, ["game_id"], bin_of(F.col("abs_secs"), 300), ORDER, {"s": Running("last", seen)})
     gap = F.least(F.lit(600), F.coalesce(F.col("abs_secs") - F.col("s"), F.lit(9999)))
     return rows.select("event_id", gap.alias("since"))
 
@@ -113,7 +113,7 @@ def w8(t):
 def w9(t):
     home = F.col("team_id") == F.col("home_team_id")
     step = F.when(F.col("event_type") == "purchase", F.when(home, 1).otherwise(-1)).otherwise(0)
-    rows = running(t.plays, ["game_id"], bin_of(F.col("abs_secs"), 7200), ORDER, {"d": Running("sum", step)})
+    rows = running(t.plays, ["game_id"], bin_of(F.col("abs_secs"), 300), ORDER, {"d": Running("sum", step)})
     lead = F.coalesce("d", F.lit(0))
     state = F.greatest(F.lit(-3), F.least(F.lit(3), F.when(home, lead).otherwise(-lead)))
     return rows.select("event_id", state.cast("bigint").alias("score_state"))

@@ -7,13 +7,13 @@ every chunk to the chunks after it, so the largest task holds one chunk and not
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START = Window.unboundedPreceding
-RANK_BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -83,9 +83,21 @@ def running(
     )
 
 
-def value_ranks(
-    df: DataFrame, keys: list[str], value: str, descending: bool = False, buckets: int = RANK_BUCKETS
-) -> DataFrame:
+def _rank_fanout(df: DataFrame) -> int:
+    """Side of the square number of rank buckets: about two buckets per shuffle partition."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(64, max(8, math.ceil(math.sqrt(2 * partitions))))
+
+
+def _bucket_among(edges: str, value: Column, fanout: int) -> Column:
+    """How many of the ``fanout**2 - 1`` ascending edges lie below the value, found in two short steps."""
+    below = lambda arr: F.size(F.filter(arr, lambda e: e < value))
+    landmarks = F.array(*[F.get(edges, F.lit((i + 1) * fanout - 1)) for i in range(fanout - 1)])
+    block = below(landmarks) * fanout
+    return block + below(F.slice(edges, block + 1, fanout))
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str, descending: bool = False) -> DataFrame:
     """One row per ``(keys, value)``: ``n`` rows share it, ``before`` rows precede it, ``total`` in the group.
 
     Equal values are counted first, so ties never travel as rows; what is left is ordered in
@@ -98,13 +110,15 @@ def value_ranks(
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("_o", order)
     )
+    fanout = _rank_fanout(df)
+    buckets = fanout * fanout
     cuts = [i / buckets for i in range(1, buckets)]
     # naming n here keeps this aggregate's shuffle identical to the main one, so it is reused
     edges = counts.agg(
-        F.struct(F.percentile_approx(F.col("_o").cast("double"), cuts, 1000).alias("e"), F.max("n").alias("n")).alias("s")
+        F.struct(F.percentile_approx(F.col("_o").cast("double"), cuts, 10 * buckets).alias("e"), F.max("n").alias("n")).alias("s")
     ).scalar()
     placed = counts.withColumn("_edges", edges["e"]).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col("_o").cast("double")))
+        "_bucket", _bucket_among("_edges", F.col("_o").cast("double"), fanout)
     )
     ranked = running(placed, keys, F.col("_bucket"), ["_o"], {"before": Running("sum", F.col("n"))})
     ranked = ranked.select(*keys, value, "n", F.coalesce("before", F.lit(0)).alias("before"))

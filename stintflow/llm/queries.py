@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stintflow.llm.common import table
 from stintflow.llm.decontaminate import decontaminate
 from stintflow.llm.exact_dedup import exact_dedup
+from stintflow.llm.mixing import plan_mix
 from stintflow.llm.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -56,3 +57,29 @@ def op10(spark, sf_dir):
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
+
+
+@query(
+    "op6_mixing",
+    rf"""
+WITH t AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  md5(CAST(doc_id AS VARCHAR)) AS draw FROM documents),
+r AS (SELECT *, (slot % 3 + 1)::DOUBLE AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  row_number() OVER (ORDER BY source NULLS LAST) - 1 AS slot FROM t GROUP BY source)),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, slot
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY 3 * source_size / weight, slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM r),
+g AS (SELECT source, slot, source_size,
+  least((3 * source_size)::DOUBLE, weight * max(lev) OVER ()) AS target FROM v),
+p AS (SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS goal,
+  CAST(coalesce(sum(size) OVER (PARTITION BY slot ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b
+  FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(least(goal - b, size), 0)
+  + greatest(least(goal - b - source_size, size), 0) + greatest(least(goal - b - 2 * source_size, size), 0) AS BIGINT) AS taken
+FROM p""",
+)
+def op6(spark, sf_dir):
+    mix = plan_mix(table(spark, sf_dir, "documents"))
+    first = F.coalesce(F.get("copies", F.lit(0))["position"], F.lit(2.0))
+    ordered = mix.repartitionByRange(first, F.col("_row")).sortWithinPartitions(first, "_row")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken")

@@ -9,6 +9,7 @@ from stintflow.llm.decontaminate import decontaminate
 from stintflow.llm.exact_dedup import exact_dedup
 from stintflow.llm.mixing import plan_mix
 from stintflow.llm.registry import QUERIES, SQL, query
+from stintflow.llm.token_files import document_index, fetch, token_digests, write_token_files
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -83,3 +84,11 @@ def op6(spark, sf_dir):
     first = F.coalesce(F.get("copies", F.lit(0))["position"], F.lit(2.0))
     ordered = mix.repartitionByRange(first, F.col("_row")).sortWithinPartitions(first, "_row")
     return ordered.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_token_files")
+def op9(spark, sf_dir):
+    import public_tokenizers
+
+    folder = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digests(fetch(document_index(spark, folder), folder))

@@ -9,6 +9,7 @@ from stintflow.llm.decontaminate import decontaminate
 from stintflow.llm.exact_dedup import exact_dedup
 from stintflow.llm.mixing import plan_mix
 from stintflow.llm.registry import QUERIES, SQL, query
+from stintflow.llm.simhash import near_duplicates
 from stintflow.llm.token_files import document_index, fetch, token_digests, write_token_files
 
 __all__ = ["QUERIES", "SQL"]
@@ -92,3 +93,9 @@ def op9(spark, sf_dir):
 
     folder = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_digests(fetch(document_index(spark, folder), folder))
+
+
+@query("op4_simhash_near_dedup")
+def op4(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

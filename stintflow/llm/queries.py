@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stintflow.llm.chat import conversation_log, digests, fold_events, render
 from stintflow.llm.common import table
 from stintflow.llm.decontaminate import decontaminate
 from stintflow.llm.exact_dedup import exact_dedup
@@ -99,3 +100,32 @@ def op9(spark, sf_dir):
 def op4(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+ESCAPE_SQL = r"([<\[])(\\*)(s>|/s>|INST\]|/INST\]|<SYS>>|<:>>|</SYS>>)"
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op3_chat_format",
+    rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'),
+e AS (SELECT *, len(regexp_replace(text, '{ESCAPE_SQL}', '\1\\\2\3', 'g')) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7
+    ELSE 20 + len(regexp_replace(role, '{ESCAPE_SQL}', '\1\\\2\3', 'g')) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+)
+def op3(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL).alias("text"),
+    )
+    messages = fold_events(conversation_log(rows.unionByName(added)), ("turn", "tie", "copy", "step"))
+    return digests(render(messages, F.floor(F.col("place.turn") / 64)))

@@ -10,6 +10,7 @@ from stintflow.llm.decontaminate import decontaminate
 from stintflow.llm.exact_dedup import exact_dedup
 from stintflow.llm.mixing import plan_mix
 from stintflow.llm.registry import QUERIES, SQL, query
+from stintflow.llm.secrets import listed, scan_secrets
 from stintflow.llm.simhash import near_duplicates
 from stintflow.llm.token_files import document_index, fetch, token_digests, write_token_files
 
@@ -129,3 +130,19 @@ def op3(spark, sf_dir):
     )
     messages = fold_events(conversation_log(rows.unionByName(added)), ("turn", "tie", "copy", "step"))
     return digests(render(messages, F.floor(F.col("place.turn") / 64)))
+
+
+@query("op5_secret_scan")
+def op5(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter("spans", lambda s: s["kind"] != "named")
+    return found.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        of("named").alias("n_named"),
+    )

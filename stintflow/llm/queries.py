@@ -9,6 +9,7 @@ from stintflow.llm.common import table
 from stintflow.llm.decontaminate import decontaminate
 from stintflow.llm.exact_dedup import exact_dedup
 from stintflow.llm.mixing import plan_mix
+from stintflow.llm.quality import classify, held_out
 from stintflow.llm.registry import QUERIES, SQL, query
 from stintflow.llm.secrets import listed, scan_secrets
 from stintflow.llm.simhash import near_duplicates
@@ -146,3 +147,11 @@ def op5(spark, sf_dir):
         listed(F.col("spans")).alias("spans"),
         of("named").alias("n_named"),
     )
+
+
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    scored = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_good").cast("int").alias("predicted")
+    )

@@ -8,6 +8,7 @@ from stintflow.llm.chat import conversation_log, digests, fold_events, render
 from stintflow.llm.common import table
 from stintflow.llm.decontaminate import decontaminate
 from stintflow.llm.exact_dedup import exact_dedup
+from stintflow.llm.lm import score_documents
 from stintflow.llm.mixing import plan_mix
 from stintflow.llm.quality import classify, held_out
 from stintflow.llm.registry import QUERIES, SQL, query
@@ -155,3 +156,8 @@ def op2(spark, sf_dir):
     return scored.select(
         "doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_good").cast("int").alias("predicted")
     )
+
+
+@query("op1_lm_score")
+def op1(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))

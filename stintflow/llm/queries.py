@@ -8,6 +8,7 @@ from stintflow.llm.chat import conversation_log, digests, fold_events, render
 from stintflow.llm.common import table
 from stintflow.llm.decontaminate import decontaminate
 from stintflow.llm.exact_dedup import exact_dedup
+from stintflow.llm.line_dedup import line_dedup
 from stintflow.llm.lm import score_documents
 from stintflow.llm.mixing import plan_mix
 from stintflow.llm.quality import classify, held_out
@@ -161,3 +162,33 @@ def op2(spark, sf_dir):
 @query("op1_lm_score")
 def op1(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_line_dedup",
+    r"""
+WITH l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+d AS (SELECT line, min({'doc_id': doc_id, 'line_no': line_no}) AS first,
+    list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+')), 'DESC') AS w FROM l GROUP BY line),
+s AS (SELECT *, row_number() OVER () AS id, len(w) AS n FROM d WHERE len(w) > 0),
+p AS (SELECT id, n, unnest(w[1:n - (4 * n + 4) // 5 + 1]) AS word FROM s),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b USING (word)
+  WHERE a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+e AS (SELECT c.a, c.b FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b
+  WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)),
+f AS (SELECT s.line, least(s.first, coalesce(min(o.first), s.first)) AS earliest FROM s
+  LEFT JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) z ON z.a = s.id LEFT JOIN s o ON o.id = z.b
+  GROUP BY s.line, s.first)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (earliest < {'doc_id': doc_id, 'line_no': line_no}) AS n_removed,
+  coalesce(string_agg(line_no, ',' ORDER BY line_no) FILTER (earliest < {'doc_id': doc_id, 'line_no': line_no}), '') AS removed
+FROM l LEFT JOIN f USING (line) GROUP BY doc_id""",
+)
+def op8(spark, sf_dir):
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.size("removed").cast("bigint").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+    )

@@ -51,3 +51,15 @@ def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     first = np.cumsum(counts) - counts
     return np.arange(total) - np.repeat(first - starts, counts)
+
+
+KEY = "_llm_key"
+
+
+def key_of(id_column: Column, text_key: Column) -> Column:
+    """One string for a document's id (null too) and the hash of its text, to bring decisions back to rows."""
+    return F.concat_ws(":", F.coalesce(id_column.cast("string"), F.lit("null")), text_key.cast("string"))
+
+
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.withColumn(KEY, key_of(F.col(id_col), F.xxhash64(text_of(text_col))))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import text_of, with_row
+from stintflow.llm.common import KEY, key_of, text_of, with_key, with_row
 from stintflow.llm.wordscan import Words, chunks, mix
 from stintflow.session import cut_lineage
 
@@ -224,3 +224,10 @@ def decontaminate(
             F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
         )
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark, all columns as they are."""
+    found = decontaminate(docs, benchmark, id_col, text_col).where("contaminated")
+    bad = cut_lineage(found.select(key_of(F.col("doc_id"), F.col("text_key")).alias(KEY)).distinct())
+    return with_key(docs, id_col, text_col).join(bad, KEY, "left_anti").select(*docs.columns)

@@ -150,3 +150,11 @@ def training_order(mix: DataFrame) -> DataFrame:
     """The mix as documents in training order: one row per copy, range-sorted by its position."""
     rows = mix.select(*[c for c in mix.columns if c != "copies"], F.inline("copies"))
     return rows.repartitionByRange(F.col("position"), F.col("_row")).sortWithinPartitions("position", "_row")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Whole documents in training order, repeated as often as the mix takes them, all columns as they are."""
+    names = {c: f"_mixed_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    mix = plan_mix(renamed, names[id_col], names[text_col], names[source_col], keep=tuple(names.values()), cut=False)
+    return training_order(mix).select(*[F.col(n).alias(c) for c, n in names.items()])

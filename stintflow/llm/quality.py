@@ -243,3 +243,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit_quality(docs, labels.where(~held_out(id_col)), id_col, text_col)
     scored = docs.withColumn("_score", quality_score(model, F.col(text_col), docs.sparkSession))
     return scored.withColumn("_good", F.col("_score") >= threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at or above the threshold, all columns as they are."""
+    model = fit_quality(docs, labels.where(~held_out(id_col)), id_col, text_col)
+    return docs.where(quality_score(model, F.col(text_col), docs.sparkSession) >= threshold)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import slices, text_of, words
+from stintflow.llm.common import KEY, key_of, slices, text_of, with_key, words
 from stintflow.llm.components import components
 from stintflow.session import cut_lineage
 
@@ -174,12 +174,13 @@ def link(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row per document: ``doc_id, text_key, fp, component_id``.
+    """One row per document: ``doc_id, text_key, fp, component_id, root``.
 
     ``component_id`` is the smallest id that can be reached over links between fingerprints that differ in
     at most ``radius`` bits, the document's own included. Null and empty texts have fingerprint zero and
     link like any other. Null ids never are the smallest unless no other is there. Repeated rows each get
     a row; equal fingerprints are compared once. An empty table gives no rows. Other columns are not read.
+    ``root`` is the component's smallest fingerprint, which names the component also where no id does.
     """
     rows = cut_lineage(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -188,6 +189,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes.join(member, nodes["fp"] == member["node"]).select("fp", "least", "root")
     )
     named = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    shared = rooted.join(named, "root").select("fp", "component_id")
-    single = nodes.join(member, nodes["fp"] == member["node"], "left_anti").select("fp", F.col("least").alias("component_id"))
-    return rows.join(cut_lineage(shared.unionAll(single)), "fp").select("doc_id", "text_key", "fp", "component_id")
+    shared = rooted.join(named, "root").select("fp", "component_id", "root")
+    single = nodes.join(member, nodes["fp"] == member["node"], "left_anti").select(
+        "fp", F.col("least").alias("component_id"), F.col("fp").alias("root")
+    )
+    return rows.join(cut_lineage(shared.unionAll(single)), "fp").select("doc_id", "text_key", "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the one with the smallest id (then text hash), all columns as they are."""
+    found = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("h"))
+    keys = cut_lineage(heads.select(key_of(F.col("h.doc_id"), F.col("h.text_key")).alias(KEY)))
+    return with_key(docs, id_col, text_col).join(keys, KEY).dropDuplicates([KEY]).select(*docs.columns)

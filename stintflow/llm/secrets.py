@@ -123,9 +123,10 @@ def named_spans(text: str) -> list[tuple[int, int, float]]:
         weight = name_score(name)
         if not weight:
             continue
-        whole = literal_score("".join(text[start:end] for start, end in spans))  # a value put together from parts
-        for start, end in spans:
-            score = weight * max(literal_score(text[start:end]), whole if end - start > 2 else 0.0)
+        pieces = [INSERT.sub("", text[start:end]) for start, end in spans]  # a name put in counts by its own literal
+        whole = literal_score("".join(pieces))  # a value put together from parts
+        for (start, end), piece in zip(spans, pieces):
+            score = weight * max(literal_score(piece), whole if len(piece) > 2 else 0.0)
             if bare and bare.isalpha():
                 score *= 0.4  # a bare word is prose or a reference sooner than a secret
             if score >= LEAST_SCORE:

@@ -107,15 +107,14 @@ def is_real_move(title: str, link: str, kind: str) -> Column:
     return ~speculative(title, link) & move
 
 
-def editorial_feed(items: DataFrame, limit: int = 8, marquee: list[str] = ()) -> DataFrame:
+def editorial_feed(items: DataFrame, pulse: int = 8, moves: int = 10, marquee: list[str] = ()) -> DataFrame:
     """Three capped sections: highest scoring news, executed signings, executed trades.
 
-    One link appears once per section (first item wins); sections sort by score and recency.
+    Among the highest scoring news a link appears once (the first item wins); an item without a link stands
+    for itself. Signings and trades keep all items. Sections sort by score and recency.
     """
     rows = items.withColumn("kind", transaction_type("title"))
     rows = rows.withColumn("score", big_news_score("title", "link", "kind", marquee))
-    once = rows.groupBy("link").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "link"]), "item_id").alias("r"))
-    first = once.select("link", "r.*")
     real = is_real_move("title", "link", "kind")
     tags = F.array_compact(
         F.array(
@@ -124,10 +123,17 @@ def editorial_feed(items: DataFrame, limit: int = 8, marquee: list[str] = ()) ->
             F.when(real & (F.col("kind") == "TRADE"), "trades"),
         )
     )
-    tagged = first.withColumn("section", F.explode(tags))
+    in_pulse = F.col("section") == "pulse"
+    own = F.concat(F.lit("item "), F.col("item_id").cast("string"))
+    story = F.when(in_pulse, F.coalesce(F.nullif(F.col("link"), F.lit("")), own)).otherwise(own)
+    tagged = rows.withColumn("section", F.explode(tags)).withColumn("_story", story)
+    rest = [c for c in tagged.columns if c not in ("section", "_story")]
+    once = tagged.groupBy("section", "_story").agg(F.min_by(F.struct(*rest), "item_id").alias("r")).select("section", "r.*")
     order = [
-        F.when(F.col("section") == "pulse", F.col("score")).otherwise(0.0).desc(),
+        F.when(in_pulse, F.col("score")).otherwise(0.0).desc(),
         F.desc_nulls_last("pub_date"),
         F.asc("item_id"),
     ]
-    return top_k(tagged, ["section"], order, limit, "position")
+    return top_k(once, ["section"], order, max(pulse, moves), "position").where(
+        F.col("position") <= F.when(in_pulse, pulse).otherwise(moves)
+    )

@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accented Latin letters (lower case) and what they fold to.
-ACCENTED = "àáâãäåāăąçćčďđèéêëēėęěğìíîïīįıłľñńňòóôõöøōőŕřśšşťţùúûüūůűųýÿźžż"
-FOLDED = "aaaaaaaaacccddeeeeeeeegiiiiiiillnnnooooooooorrsssttuuuuuuuuyyzzz"
+
+
+def _decompositions() -> dict[str, str]:
+    """Every character beyond ASCII whose compatibility decomposition has ASCII in it, and that ASCII."""
+    out = {}
+    for code in range(0x80, 0x110000):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode() if not 0xD800 <= code < 0xE000 else ""
+        if plain:
+            out[chr(code)] = plain
+    return out
+
+
+@cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Single characters and what they become, and those that become several."""
+    all_of = _decompositions()
+    single = {c: p for c, p in all_of.items() if len(p) == 1}
+    return "".join(single), "".join(single.values()), {c: p for c, p in all_of.items() if len(p) > 1}
+
+
 # Characters that betray UTF-8 bytes once read as Latin-1.
 MOJIBAKE = "[ÃÂ�]"
 
 
 def fold(value: Column) -> Column:
-    """Lower case without diacritics; combining marks left by decomposed input go too."""
-    return F.regexp_replace(F.translate(F.lower(value), ACCENTED, FOLDED), "\\p{M}+", "")
+    """Lower-case ASCII of the compatibility decomposition; what has none is dropped."""
+    single, plain, several = _folding()
+    signs = F.lit("[" + "".join(several) + "]")
+    table = F.map_from_arrays(F.split(F.lit("\n".join(several)), "\n"), F.split(F.lit("\n".join(several.values())), "\n"))
+    spelled = F.array_join(F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    whole = F.when(F.rlike(value, signs), spelled).otherwise(value)
+    return F.lower(F.regexp_replace(F.translate(whole, single, plain), "[^\\x00-\\x7F]+", ""))
 
 
 def name_key(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stintflow.scale import positions
+
 # Fixed values of the contract model (money in $M).
 MARKET_VALUE = 1.85
 GOALIE_VALUE = 0.45
@@ -97,16 +99,22 @@ VIEW_SORTS = {
 }
 
 
-def view(table: DataFrame, name: str) -> DataFrame:
-    """One view: its row filter and default order, nulls last."""
-    rows = table
-    if name == "def":
-        rows = rows.where(F.coalesce("def_gar", F.lit(0.0)) >= 1.0)
-    if name == "aging":
-        rows = rows.where(F.col("age") >= 30)
-    column, ascending = VIEW_SORTS[name]
-    order = F.col(column).asc_nulls_last() if ascending else F.col(column).desc_nulls_last()
-    return rows.orderBy(order, "player_id")
+# Which rows a view holds; the others hold all.
+VIEW_ROWS = {"def": "coalesce(def_gar, 0.0) >= 1.0", "aging": "age >= 30"}
+
+
+def views(table: DataFrame) -> DataFrame:
+    """All rows of every view with their place in its default order, nulls last, from one pass over the table."""
+    tags = []
+    for name, (column, ascending) in VIEW_SORTS.items():
+        value = F.col(column).cast("double")
+        entry = F.struct(F.lit(name).alias("view"), value.alias("sort_value"), (value if ascending else -value).alias("_o"))
+        tags.append(F.when(F.expr(VIEW_ROWS.get(name, "true")), entry))
+    tagged = table.select("player_id", F.inline(F.array_compact(F.array(*tags))))
+    order = [F.asc("view"), F.asc_nulls_last("_o"), F.asc("player_id")]
+    placed = positions(tagged, order, "_all")
+    first = placed.groupBy("view").agg((F.min("_all") - 1).alias("_before"))
+    return placed.join(first, "view").select("view", "player_id", "sort_value", (F.col("_all") - F.col("_before")).alias("pos"))
 
 
 def team_rollup(table: DataFrame) -> DataFrame:

@@ -63,9 +63,14 @@ def points_in_intervals(
 
 
 def nearest_within(
-    points: DataFrame, others: DataFrame, keys: list[str], t: str, other_t: str, tolerance: int, point_id: str
+    points: DataFrame, others: DataFrame, keys: list[str], t: str, other_t: str, tolerance: int
 ) -> DataFrame:
-    """The closest other row within ``tolerance`` per point (then the earlier one); null when none."""
+    """The closest other row within ``tolerance`` per point (then the earlier one); null when none.
+
+    Equal points are matched once and all come back.
+    """
+    columns = points.columns
+    points = points.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
     reach = others.withColumn("_from", F.col(other_t) - tolerance).withColumn("_to", F.col(other_t) + tolerance)
     pairs = points_in_intervals(points, reach, keys, t, "_from", "_to", "both", max(4 * tolerance, 60), "left")
     other_cols = [c for c in others.columns if c not in keys]
@@ -73,7 +78,9 @@ def nearest_within(
         F.struct(*other_cols),
         F.when(F.col(other_t).isNotNull(), F.struct(F.abs(F.col(t) - F.col(other_t)), F.col(other_t))),
     )
-    return pairs.groupBy(*points.columns).agg(best.alias("_m")).select(*points.columns, "_m.*")
+    found = pairs.groupBy(*points.columns).agg(best.alias("_m"))
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))).alias("_copy")
+    return found.select(*columns, "_m", times).select(*columns, "_m.*")
 
 
 def long_presence_members(

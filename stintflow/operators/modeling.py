@@ -17,8 +17,8 @@ from stintflow.scale import quantiles, value_ranks, with_ordinal
 
 @dataclass(frozen=True)
 class BoostParams:
-    trees: int = 40
-    depth: int = 4
+    trees: int = 400
+    depth: int = 5
     step: float = 0.1
     seed: int = 42
 
@@ -74,7 +74,7 @@ def train_boosted(
 
 
 def score(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
-    scored = model.transform(df).withColumn(out, F.round(vector_to_array("probability")[1], 9))
+    scored = model.transform(df).withColumn(out, vector_to_array("probability")[1])
     return scored.select(*df.columns, out)
 
 
@@ -115,32 +115,40 @@ def what_if(model: PipelineModel, df: DataFrame, column: str, value, by: str) ->
     return score(model, changed, "p").groupBy(by).agg(F.avg("p").alias("mean_p"), F.count(F.lit(1)).alias("n"))
 
 
-def isotonic(df: DataFrame, p: str, y: str, digits: int = 6):
-    """Isotonic calibrator fitted on weighted score groups.
+def isotonic(df: DataFrame, p: str, y: str, digits: int | None = None):
+    """Isotonic calibrator fitted on weighted score groups, one per distinct score.
 
-    The fit gathers its input, so equal scores are pooled first: at ``digits`` decimals there are at most
-    ``10**digits`` groups whatever the number of rows.
+    Fit it on scores of rows that the model did not see. The fit gathers its groups; ``digits`` pools the
+    scores at that many decimals where there are too many distinct ones for that.
     """
-    pooled = df.groupBy(F.round(p, digits).alias("_p")).agg(
+    score = F.col(p) if digits is None else F.round(p, digits)
+    pooled = df.groupBy(score.alias("_p")).agg(
         F.avg(F.col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
     )
     model = IsotonicRegression(featuresCol="_p", labelCol="_y", weightCol="_w", predictionCol="_cal")
     return model.fit(pooled)
 
 
-def apply_isotonic(model, df: DataFrame, p: str, out: str, digits: int = 6) -> DataFrame:
-    scored = model.transform(df.withColumn("_p", F.round(p, digits)))
+def apply_isotonic(model, df: DataFrame, p: str, out: str, digits: int | None = None) -> DataFrame:
+    scored = model.transform(df.withColumn("_p", F.col(p) if digits is None else F.round(p, digits)))
     return scored.select(*df.columns, F.col("_cal").alias(out))
 
 
+# Cumulative Poisson(1) probabilities.
+POISSON_CDF = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675882]
+PRIME = 2147483647
+
+
 def poisson_weight(rep: Column, key: Column) -> Column:
-    """Poisson(1) draw from a hash of replicate and key, so a retried task draws the same number."""
-    u = F.pmod(F.xxhash64(rep, key), F.lit(1 << 52)) / float(1 << 52)
-    # fixed values: cumulative Poisson(1) probabilities
-    cdf = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675882]
-    weight = F.lit(len(cdf))
-    for i in range(len(cdf) - 1, -1, -1):
-        weight = F.when(u < cdf[i], i).otherwise(weight)
+    """Poisson(1) draw by whole-number arithmetic on replicate and key, so a retried task draws the same number.
+
+    ``key`` is a whole number. The cube modulo a prime keeps replicates from being shifts of each other.
+    """
+    x = (F.pmod(key, F.lit(PRIME)) * 48271 + rep.cast("bigint") * 69621) % PRIME
+    u = ((x * x % PRIME) * x % PRIME + 12345) % PRIME / float(PRIME)
+    weight = F.lit(len(POISSON_CDF))
+    for i in range(len(POISSON_CDF) - 1, -1, -1):
+        weight = F.when(u < POISSON_CDF[i], i).otherwise(weight)
     return weight
 
 

@@ -241,13 +241,10 @@ def lineup_shares(slots: DataFrame, share: str, hist_toi: str, war: str, baselin
 
 def percentile_in_group(df: DataFrame, group: str, value: str, qualified: Column, out: str) -> DataFrame:
     """Average-tie percentile within the group's qualified rows; others null."""
-    ranked = with_rank(
-        df.where(qualified).select(group, "player_id", value), [group], value, "_p", "pct"
-    ).select("player_id", (F.col("_p") * 100).alias(out))
-    return df.join(ranked, "player_id", "left")
+    ranked = with_rank(df.withColumn("_q", F.when(qualified, F.col(value))), [group], "_q", "_p", "pct")
+    return ranked.withColumn(out, F.col("_p") * 100).drop("_q", "_p")
 
 
 def rank_with_floor(df: DataFrame, value: str, eligible: Column, out: str) -> DataFrame:
     """Competition rank among eligible rows, best first; rows below the floor stay with null."""
-    ranked = with_rank(df.where(eligible).select("player_id", value), [], value, out, "min", descending=True)
-    return df.join(ranked.select("player_id", out), "player_id", "left")
+    return with_rank(df.withColumn("_q", F.when(eligible, F.col(value))), [], "_q", out, "min", descending=True).drop("_q")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintflow.scale import with_ordinal
-from stintflow.session import cut_lineage
+from stintflow.session import cut_lineage, forget
 
 MAX_DENSE = 4000
 COVARIATES = 6
@@ -34,6 +34,16 @@ def two_row_design(segments: DataFrame, index: DataFrame, n_members: int, home:
     ``segments`` has ``row_id, grp, home_ids, away_ids, secs, score_diff`` and the two values. The target
     is the value per hour, the weight is the duration.
     """
+    member = lambda ids, side: F.transform(ids, lambda m: F.struct(m.alias("member"), F.lit(side).alias("side")))
+    scalars = ["row_id", "grp", "secs", "score_diff", "_hv", "_av"]
+    spread = segments.withColumn("_hv", F.col(home)).withColumn("_av", F.col(away)).select(
+        *scalars, F.inline(F.concat(member("home_ids", 0), member("away_ids", 1)))
+    )
+    # the row's own values ride along as keys, so regrouping is the only shuffle of the rows
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("idx")))
+    indexed = spread.join(index.withColumnRenamed(index.columns[0], "member"), "member").groupBy(*scalars).agg(
+        of(0).alias("home"), of(1).alias("away")
+    )
     side = lambda name, off, dfn, value, diff, at_home: F.struct(
         F.concat(F.col("row_id").cast("string"), F.lit(name)).alias("row_id"),
         F.col(off).alias("off"),
@@ -43,13 +53,9 @@ def two_row_design(segments: DataFrame, index: DataFrame, n_members: int, home:
         F.lit(at_home).alias("at_home"),
     )
     lead = F.col("score_diff")
-    both = F.array(side("h", "home_ids", "away_ids", home, lead, 1), side("a", "away_ids", "home_ids", away, -lead, 0))
-    rows = segments.select("grp", "secs", F.explode(both).alias("s")).select("grp", "secs", "s.*")
-    block = lambda ids, base: rows.select("row_id", F.explode(ids).alias("member"), F.lit(base).alias("base"))
-    members = block("off", COVARIATES).unionByName(block("dfn", COVARIATES + n_members))
-    placed = members.join(index.withColumnRenamed(index.columns[0], "member"), "member").groupBy("row_id").agg(
-        F.collect_list(F.struct((F.col("base") + F.col("idx")).alias("col"), F.lit(1.0).alias("val"))).alias("m")
-    )
+    both = F.array(side("h", "home", "away", "_hv", lead, 1), side("a", "away", "home", "_av", -lead, 0))
+    rows = indexed.select("grp", "secs", F.explode(both).alias("s")).select("grp", "secs", "s.*")
+    block = lambda ids, base: F.transform(ids, lambda i: F.struct((i + base).cast("bigint").alias("col"), F.lit(1.0).alias("val")))
     bucket = F.when(F.col("diff") >= 2, 2).when(F.col("diff") == 1, 3).when(F.col("diff") == -1, 4).when(F.col("diff") <= -2, 5)
     term = lambda cond, col: F.when(cond, F.struct(col.cast("bigint").alias("col"), F.lit(1.0).alias("val")))
     fixed = F.array_compact(
@@ -57,12 +63,12 @@ def two_row_design(segments: DataFrame, index: DataFrame, n_members: int, home:
             term(F.lit(True), F.lit(0)), term(F.col("at_home") == 1, F.lit(1)), term(bucket.isNotNull(), bucket),
         )
     )
-    return rows.join(placed, "row_id").select(
+    return rows.select(
         "row_id",
         "grp",
         (F.col("value") / F.col("secs") * 3600.0).alias("y"),
         F.col("secs").cast("double").alias("w"),
-        F.concat(fixed, "m").alias("terms"),
+        F.concat(fixed, block("off", COVARIATES), block("dfn", COVARIATES + n_members)).alias("terms"),
     )
 
 
@@ -140,25 +146,33 @@ def ridge(m: Moments, lam: float, mask: np.ndarray, prior: np.ndarray | None = N
     return base + np.linalg.solve(system, m.b - m.a @ base)
 
 
-def cv_lambda(folds: dict, grid: list[float], mask: np.ndarray, prior: np.ndarray | None = None, widen: int = 3):
-    """Mean held-out error per penalty from fold moments alone; the grid widens while its edge wins."""
+def cv_lambda(folds: dict, grid: list[float], mask: np.ndarray, prior: np.ndarray | None = None, tol: float = 1e-9):
+    """Mean held-out error per penalty from fold moments alone.
+
+    While the best penalty is an edge of the grid, the grid goes on by its own ratio there, until the best
+    one lies inside or a further step changes the error by less than ``tol`` of itself.
+    """
     whole = total(folds.values())
     scores: dict[float, float] = {}
 
-    def fill(values):
-        for lam in values:
-            errs = [held.wmse(ridge(whole.minus(held), lam, mask, prior)) for held in folds.values()]
-            scores[lam] = float(np.mean(errs))
+    def error(lam):
+        errs = [held.wmse(ridge(whole.minus(held), lam, mask, prior)) for held in folds.values()]
+        scores[lam] = float(np.mean(errs))
+        return scores[lam]
 
-    fill(grid)
-    for _ in range(widen):
+    for lam in grid:
+        error(lam)
+    ratio = max(grid) / sorted(grid)[-2] if len(grid) > 1 else 2.0
+    while True:
         best = min(scores, key=scores.get)
         if best == max(scores):
-            fill([best * 2])
+            lam = best * ratio
         elif best == min(scores):
-            fill([best / 2])
+            lam = best / ratio
         else:
             break
+        if abs(error(lam) - scores[best]) <= tol * abs(scores[best]):
+            break
     return min(scores, key=scores.get), scores
 
 
@@ -177,45 +191,60 @@ def kappa_test(halves: dict, folds: dict, kappas: list[float], prior: np.ndarray
 
 
 def ridge_cg(
-    g: DataFrame, penalised: Column, lam: float, prior: DataFrame | None = None, steps: int = 200, tol: float = 1e-10
+    g: DataFrame, penalised: Column, lam: float, prior: DataFrame | None = None, steps: int = 1000, tol: float = 1e-10
 ) -> DataFrame:
     """Conjugate gradients on distributed Gram entries, for designs too wide for one machine.
 
     ``g`` is :func:`gram` output, ``penalised`` a condition on ``i``. Every step is one join and one
-    aggregation over the entries; vectors live in checkpointed tables so lineage stays short.
+    aggregation over the entries and writes one table of vectors, in place of the one before. Raises when
+    the residual is not below ``tol`` of its start after ``steps``.
     """
     upper = g.where("j >= 0")
     mirrored = upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-    plain = cut_lineage(upper.unionByName(mirrored))
-    ridge_v = F.when((F.col("i") == F.col("j")) & penalised, F.col("v") + lam).otherwise(F.col("v"))
-    entries = cut_lineage(plain.withColumn("v", ridge_v))
+    plain = cut_lineage(upper.unionByName(mirrored).repartition("j"))
+    entries = plain.withColumn("v", F.when((F.col("i") == F.col("j")) & penalised, F.col("v") + lam).otherwise(F.col("v")))
     rhs = g.where("j = -1").select("i", F.col("v").alias("b"))
     if prior is not None:
         shift = plain.join(prior.select(F.col("i").alias("j"), "prior"), "j").groupBy("i").agg(
             F.sum(F.col("v") * F.col("prior")).alias("s")
         )
         rhs = rhs.join(shift, "i", "left").select("i", (F.col("b") - F.coalesce("s", F.lit(0.0))).alias("b"))
-    state = cut_lineage(rhs.select("i", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("p")))
+    written = cut_lineage(rhs.select("i", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("p")))
+    state = written
     rr = state.agg(F.sum(F.col("r") * F.col("r")).alias("s")).first()["s"]
-    stop = tol * tol * rr
-    for _ in range(steps):
-        if rr <= stop:
-            break
+    stop, step = tol * tol * rr, 0
+    while rr > stop:
+        if step == steps:
+            raise ArithmeticError(f"no convergence: squared residual {rr:g} after {steps} steps, wanted {stop:g}")
         ap = entries.join(state.select(F.col("i").alias("j"), "p"), "j").groupBy("i").agg(
             F.sum(F.col("v") * F.col("p")).alias("ap")
         )
         moved = cut_lineage(state.join(ap, "i"))
+        forget(written)
+        written = moved
         alpha = rr / moved.agg(F.sum(F.col("p") * F.col("ap")).alias("s")).first()["s"]
         moved = moved.withColumn("x", F.col("x") + alpha * F.col("p")).withColumn("r", F.col("r") - alpha * F.col("ap"))
         fresh = moved.agg(F.sum(F.col("r") * F.col("r")).alias("s")).first()["s"]
-        state = cut_lineage(moved.select("i", "x", "r", (F.col("r") + (fresh / rr) * F.col("p")).alias("p")))
-        rr = fresh
+        state = moved.select("i", "x", "r", (F.col("r") + (fresh / rr) * F.col("p")).alias("p"))
+        rr, step = fresh, step + 1
     result = state.select("i", "x")
     if prior is None:
         return result
     return result.join(prior, "i", "left").select("i", (F.col("x") + F.coalesce("prior", F.lit(0.0))).alias("x"))
 
 
+def residuals(g: DataFrame, solution: DataFrame, penalised: Column, lam: float) -> DataFrame:
+    """``i, b, gap``: right side of the normal equations and what the solution ``i, x`` leaves of it."""
+    upper = g.where("j >= 0")
+    mirrored = upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    product = upper.unionByName(mirrored).join(solution.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(
+        F.sum(F.col("v") * F.col("x")).alias("ax")
+    )
+    own = solution.select("i", F.when(penalised, lam * F.col("x")).otherwise(0.0).alias("px"))
+    rhs = g.where("j = -1").select("i", F.col("v").alias("b"))
+    return rhs.join(product, "i").join(own, "i").select("i", "b", (F.col("ax") + F.col("px") - F.col("b")).alias("gap"))
+
+
 def coefficient_table(beta: np.ndarray, index: DataFrame, n_members: int, spark) -> DataFrame:
     """Member coefficients with the defence sign flipped so that positive is good on both sides."""
     rows = [

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintflow.operators.tables import leave_one_out, per_60, share_pct
-from stintflow.scale import Running, running, top_k
+from stintflow.scale import Running, running, top_k, with_ranks
 
 # Game-score weight per counted event.
 GAME_SCORE = {
@@ -238,8 +238,5 @@ def aligned_trajectory(rows: DataFrame, entity: str, season: str, value: str, la
 
 def rank_vs_benchmark(rows: DataFrame, key: str, ours: str, theirs: str) -> DataFrame:
     """Competition ranks by two ratings and their difference."""
-    from stintflow.scale import with_rank
-
-    a = with_rank(rows, [], ours, "our_rank", "min", descending=True)
-    b = with_rank(a, [], theirs, "their_rank", "min", descending=True)
-    return b.select(key, "our_rank", "their_rank", (F.col("their_rank") - F.col("our_rank")).alias("delta"))
+    ranked = with_ranks(rows, [], {"our_rank": ours, "their_rank": theirs}, "min", descending=True)
+    return ranked.select(key, "our_rank", "their_rank", (F.col("their_rank") - F.col("our_rank")).alias("delta"))

@@ -246,10 +246,13 @@ class Tables:
         return self.table("orders").select(
             F.col("o_orderkey").alias("item_id"),
             title.alias("title"),
-            F.concat(
-                F.lit("https://news.example/"),
-                F.when(F.col("o_orderkey") % 17 == 0, "video/").otherwise(""),
-                F.col("o_custkey").cast("string"),
+            F.when(F.col("o_orderkey") % 29 == 0, "").when(
+                F.col("o_orderkey") % 23 != 0,
+                F.concat(
+                    F.lit("https://news.example/"),
+                    F.when(F.col("o_orderkey") % 17 == 0, "video/").otherwise(""),
+                    F.col("o_custkey").cast("string"),
+                ),
             ).alias("link"),
             F.to_date("o_orderdate").alias("pub_date"),
             F.when(F.col("o_orderkey") % 13 == 0, None).otherwise(F.col("o_orderdate")).alias("pub_ts"),
@@ -359,8 +362,8 @@ FROM customer LEFT JOIN (
   FROM orders GROUP BY 1) ON o_custkey = c_custkey""",
     "news": f"""
 SELECT o_orderkey AS item_id, {news_title_sql()} AS title,
-  'https://news.example/' || CASE WHEN o_orderkey % 17 = 0 THEN 'video/' ELSE '' END
-    || CAST(o_custkey AS VARCHAR) AS link,
+  CASE WHEN o_orderkey % 29 = 0 THEN '' WHEN o_orderkey % 23 <> 0 THEN 'https://news.example/'
+    || CASE WHEN o_orderkey % 17 = 0 THEN 'video/' ELSE '' END || CAST(o_custkey AS VARCHAR) END AS link,
   CAST(o_orderdate AS DATE) AS pub_date,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate END AS pub_ts
 FROM orders""",

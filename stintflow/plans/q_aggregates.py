@@ -9,7 +9,7 @@ from stintflow.plans.bindings import cte
 from stintflow.plans.q_intervals import MEMBERS, STINT_STATS, stint_cte, stint_stats
 from stintflow.plans.registry import query
 from stintflow.plans.shape import big, div, r
-from stintflow.scale import quantiles, top_k, value_ranks, with_ordinal, with_rank
+from stintflow.scale import quantiles, top_k, value_ranks, with_ordinal, with_ranks
 
 
 
@@ -247,7 +247,7 @@ def a18(t):
 )
 def a19(t):
     rows = t.skater_totals("player_id").select("player_id", "goals", "xg_c")
-    ranked = with_rank(with_rank(rows, [], "goals", "rg", "average"), [], "xg_c", "rx", "average")
+    ranked = with_ranks(rows, [], {"rg": "goals", "rx": "xg_c"}, "average")
     return ranked.agg(r(F.corr("goals", "xg_c"), 6, "pearson"), r(F.corr("rg", "rx"), 6, "spearman"))
 
 

@@ -93,29 +93,30 @@ def k7(t):
     )
 
 
-SLOTS = 40  # a member is the slot inside the squad, so the design keeps its width at any scale
-ORDER = regression.COVARIATES + 2 * SLOTS
-
-
-def slot_segments(t):
+def player_segments(t):
     rows = segments.score_diff_at_start(stint_stats(t), goal_deltas(t), ["game_id"])
-    slots = lambda c: F.array_distinct(F.transform(c, lambda x: x % SLOTS)).alias(c)
-    return rows.where("size(home_ids) > 0 AND size(away_ids) > 0").select(
-        F.concat_ws("-", "game_id", "period", "start_secs").alias("row_id"),
-        F.col("game_id").alias("grp"),
-        slots("home_ids"),
-        slots("away_ids"),
-        F.col("duration_secs").alias("secs"),
-        "score_diff",
-        F.col("home_xg_c").alias("home_value"),
-        F.col("away_xg_c").alias("away_value"),
+    return cut_lineage(
+        rows.where("size(home_ids) > 0 AND size(away_ids) > 0").select(
+            F.concat_ws("-", "game_id", "period", "start_secs").alias("row_id"),
+            F.col("game_id").alias("grp"),
+            "home_ids",
+            "away_ids",
+            F.col("duration_secs").alias("secs"),
+            "score_diff",
+            F.col("home_xg_c").alias("home_value"),
+            F.col("away_xg_c").alias("away_value"),
+        )
     )
 
 
-def slot_design(t):
-    index = t.spark.range(SLOTS).select(F.col("id").alias("member"), F.col("id").alias("idx"))
+def player_design(t):
+    """The design of all segments, the index of all their members, their number, and the segments."""
+    rows = player_segments(t)
+    members = rows.select(F.explode(F.concat("home_ids", "away_ids")).alias("player_id"))
+    index = cut_lineage(regression.column_index(members, "player_id"))
+    n = index.count()
     # norms, pair sums, folds and errors each read the design
-    return cut_lineage(regression.two_row_design(cut_lineage(slot_segments(t)), index, SLOTS))
+    return cut_lineage(regression.two_row_design(rows, index, n)), index, n, rows
 
 
 DESIGN_CTES = {
@@ -125,10 +126,12 @@ FROM stints s LEFT JOIN shots p ON p.game_id = s.game_id AND p.is_goal = 1 AND p
     "base": "SELECT *, game_id || '-' || period || '-' || start_secs AS rid FROM stats JOIN sd USING (game_id, period, start_secs) WHERE home_ids <> '' AND away_ids <> ''",
     "rws": """SELECT rid || 'h' AS id, duration_secs AS w, home_xg_c AS v, home_ids AS o, away_ids AS e, d, 1 AS h FROM base UNION ALL
   SELECT rid || 'a', duration_secs, away_xg_c, away_ids, home_ids, -d, 0 FROM base""",
+    "ix": """SELECT m, row_number() OVER (ORDER BY m) - 1 AS idx, count(*) OVER () AS n FROM (
+  SELECT DISTINCT CAST(unnest(string_split(home_ids || ',' || away_ids, ',')) AS BIGINT) AS m FROM base)""",
     "terms": """SELECT id, w, v, 0::BIGINT AS col FROM rws UNION ALL SELECT id, w, v, 1 FROM rws WHERE h = 1
   UNION ALL SELECT id, w, v, CASE WHEN d >= 2 THEN 2 WHEN d = 1 THEN 3 WHEN d = -1 THEN 4 ELSE 5 END FROM rws WHERE d <> 0
-  UNION ALL SELECT DISTINCT id, w, v, 6 + CAST(unnest(string_split(o, ',')) AS BIGINT) % 40 FROM rws
-  UNION ALL SELECT DISTINCT id, w, v, 46 + CAST(unnest(string_split(e, ',')) AS BIGINT) % 40 FROM rws""",
+  UNION ALL SELECT id, w, v, 6 + idx FROM (SELECT *, CAST(unnest(string_split(o, ',')) AS BIGINT) AS m FROM rws) JOIN ix USING (m)
+  UNION ALL SELECT id, w, v, 6 + n + idx FROM (SELECT *, CAST(unnest(string_split(e, ',')) AS BIGINT) AS m FROM rws) JOIN ix USING (m)""",
 }
 
 
@@ -139,7 +142,7 @@ FROM stints s LEFT JOIN shots p ON p.game_id = s.game_id AND p.is_goal = 1 AND p
 )
 def k8(t):
     cols = F.aggregate("terms", F.lit(0).cast("bigint"), lambda acc, x: acc + x["col"])
-    return slot_design(t).select("row_id", r("y", 4, "y"), "w", F.size("terms").cast("bigint").alias("n_terms"), cols.alias("col_sum"))
+    return player_design(t)[0].select("row_id", r("y", 4, "y"), "w", F.size("terms").cast("bigint").alias("n_terms"), cols.alias("col_sum"))
 
 
 @query(
@@ -149,64 +152,103 @@ def k8(t):
 UNION ALL SELECT col, -1, round(CAST(sum(v) AS BIGINT) * 3600e0, 3) FROM terms GROUP BY 1""",
 )
 def k9(t):
-    return regression.gram(slot_design(t)).select("i", "j", r("v", 3, "v"))
+    return regression.gram(player_design(t)[0]).select("i", "j", r("v", 3, "v"))
 
 
-def fold_moments(t, k=5):
+def fold_moments(design, n, k=5):
     """Moments per fold of whole games."""
-    design = slot_design(t)
     folds = modeling.assign_folds(design.select("grp"), "grp", k).select("grp", "fold")
-    return regression.collect_moments(design.join(folds, "grp"), ORDER, "fold")
+    return regression.collect_moments(design.join(folds, "grp"), regression.COVARIATES + 2 * n, "fold")
 
 
 GRID = [500.0, 2000.0, 8000.0, 32000.0]
+LAMBDA = 8000.0
+
 
+def slope_prior(n):
+    """A prior that rises along the index, for both blocks; covariates have none."""
+    return np.concatenate([np.zeros(regression.COVARIATES), np.linspace(-0.5, 0.5, 2 * n)])
 
-@query("k9_k13_ridge_with_prior")
+
+@query(
+    "k9_k13_ridge_with_prior",
+    stint_cte(**DESIGN_CTES)
+    + """SELECT m AS player_id, CAST(sum(w) AS BIGINT) AS toi, true AS solved, true AS sums FROM (
+  SELECT w, CAST(unnest(string_split(o || ',' || e, ',')) AS BIGINT) AS m FROM rws WHERE h = 1) GROUP BY 1""",
+)
 def k9r(t):
-    whole = regression.total(fold_moments(t).values())
-    mask = regression.penalty(ORDER)
-    prior = np.concatenate([np.zeros(regression.COVARIATES), np.linspace(-0.5, 0.5, 2 * SLOTS)])
-    beta = regression.ridge(whole, 8000.0, mask, 0.75 * prior)
-    index = t.spark.range(SLOTS).select(F.col("id").alias("slot"), F.col("id").alias("idx"))
-    members = slot_segments(t).select("secs", F.explode(F.concat("home_ids", "away_ids")).alias("slot"))
-    toi = members.groupBy("slot").agg(F.sum("secs").alias("toi"))
-    table = regression.coefficient_table(beta, index, SLOTS, t.spark)
-    return regression.impact(table, toi, "slot", "toi")
-
-
-@query("k9_ridge_conjugate_gradient")
+    design, index, n, rows = player_design(t)
+    whole = regression.total(fold_moments(design, n).values())
+    order = regression.COVARIATES + 2 * n
+    mask, prior = regression.penalty(order), 0.75 * slope_prior(n)
+    beta = regression.ridge(whole, LAMBDA, mask, prior)
+    gap = np.abs(whole.a @ beta + LAMBDA * mask * (beta - prior) - whole.b)
+    solved = gap < 1e-6 * np.maximum(1.0, np.abs(whole.b).max())
+    both = [(i, bool(solved[regression.COVARIATES + i] and solved[regression.COVARIATES + n + i])) for i in range(n)]
+    toi = rows.select("secs", F.explode(F.concat("home_ids", "away_ids")).alias("player_id")).groupBy("player_id").agg(F.sum("secs").alias("toi"))
+    table = regression.coefficient_table(beta, index, n, t.spark)
+    table = regression.impact(table, toi, "player_id", "toi").join(index, "player_id")
+    sums = F.abs(F.col("total_impact") - (F.col("offense") + F.col("defense")) * F.col("toi") / 3600.0) < 1e-9 * (1 + F.abs("total_impact"))
+    return table.join(t.spark.createDataFrame(both, "idx bigint, solved boolean"), "idx").select(
+        "player_id", big("toi"), "solved", sums.alias("sums")
+    )
+
+
+@query("k9_ridge_conjugate_gradient", stint_cte(**DESIGN_CTES) + "SELECT DISTINCT col AS i, true AS solved FROM terms")
 def k9cg(t):
-    g = regression.gram(slot_design(t))
-    return regression.ridge_cg(g, F.col("i") >= regression.COVARIATES, 8000.0, steps=40, tol=1e-6)
+    g = cut_lineage(regression.gram(player_design(t)[0]))
+    penalised = F.col("i") >= regression.COVARIATES
+    left = regression.residuals(g, regression.ridge_cg(g, penalised, LAMBDA, tol=1e-8), penalised, LAMBDA)
+    scale = left.agg(F.max(F.abs("b")).alias("m")).scalar()
+    return left.select("i", (F.abs("gap") <= 1e-6 * scale).alias("solved"))
 
 
-@query("k10_ridge_cv_wmse")
-def k10(t):
-    _, scores = regression.cv_lambda(fold_moments(t), GRID, regression.penalty(ORDER))
-    return t.spark.createDataFrame(sorted(scores.items()), "lambda double, wmse double")
+FOLDS_CTE = """SELECT game_id, CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS fold FROM (
+  SELECT game_id, row_number() OVER (ORDER BY count(*) DESC, game_id) - 1 AS p FROM base GROUP BY 1)"""
 
 
-def half_fold_moments(t, k=3):
+@query(
+    "k10_ridge_cv_wmse",
+    stint_cte(**DESIGN_CTES, folds=FOLDS_CTE)
+    + """SELECT fold, 2 * count(*) AS n_rows, 2 * CAST(sum(duration_secs) AS BIGINT) AS weight, true AS inside, true AS lowest FROM base JOIN folds USING (game_id) GROUP BY 1""",
+)
+def k10(t):
+    design, _, n, _ = player_design(t)
+    folds = modeling.assign_folds(design.select("grp"), "grp", 5).select("grp", "fold")
+    moments = regression.collect_moments(design.join(folds, "grp"), regression.COVARIATES + 2 * n, "fold")
+    best, scores = regression.cv_lambda(moments, GRID, regression.penalty(regression.COVARIATES + 2 * n))
+    edge = [scores[best] - scores[x] for x in (min(scores), max(scores)) if x != best]
+    inside = len(edge) == 2 or abs(sorted(scores.values())[1] - scores[best]) <= 1e-9 * scores[best]
+    sizes = design.join(folds, "grp").groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("w").cast("bigint").alias("weight"))
+    lowest = all(scores[best] <= v for v in scores.values()) and set(GRID) <= set(scores)
+    return sizes.withColumn("inside", F.lit(inside)).withColumn("lowest", F.lit(lowest))
+
+
+def half_fold_moments(design, n, k=5):
     """Moments per (half by date, fold) and per half."""
-    design = slot_design(t)
     games = design.select("grp").distinct().withColumn("day", F.expr("grp div 1000000000"))
     halves = modeling.chronological_split(games, "grp", "day", 0.5)
     folds = modeling.assign_folds(design.select("grp"), "grp", k).select("grp", "fold")
     tagged = design.join(halves, "grp").join(folds, "grp").withColumn(
         "part", F.when(F.col("is_early"), F.col("fold")).otherwise(F.col("fold") + k)
     )
-    parts = regression.collect_moments(tagged, ORDER, "part")
+    parts = regression.collect_moments(tagged, regression.COVARIATES + 2 * n, "part")
     by_half = {0: {p: m for p, m in parts.items() if p < k}, 1: {p: m for p, m in parts.items() if p >= k}}
     return {h: regression.total(m.values()) for h, m in by_half.items()}, by_half
 
 
-@query("k10_prior_strength_test")
+KAPPAS = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+@query("k10_prior_strength_test", "SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS kappa, true AS fitted, true AS no_prior_is_first")
 def k10k(t):
-    halves, folds = half_fold_moments(t)
-    prior = np.concatenate([np.zeros(regression.COVARIATES), np.linspace(-0.5, 0.5, 2 * SLOTS)])
-    rows = regression.kappa_test(halves, folds, [0.0, 0.25, 0.5, 0.75, 1.0], prior, GRID, regression.penalty(ORDER))
-    return t.spark.createDataFrame([tuple(x.values()) for x in rows], "kappa double, lam_first double, lam_second double, mse double")
+    design, _, n, _ = player_design(t)
+    halves, folds = half_fold_moments(design, n)
+    rows = regression.kappa_test(halves, folds, KAPPAS, slope_prior(n), GRID, regression.penalty(regression.COVARIATES + 2 * n))
+    plain = regression.kappa_test(halves, folds, [0.0], 0 * slope_prior(n), GRID, regression.penalty(regression.COVARIATES + 2 * n))[0]
+    same = abs(rows[0]["mse"] - plain["mse"]) <= 1e-12 * plain["mse"]
+    out = [(x["kappa"], bool(0 < x["mse"] < float("inf") and x["lam_first"] > 0 and x["lam_second"] > 0), same) for x in rows]
+    return t.spark.createDataFrame(out, "kappa double, fitted boolean, no_prior_is_first boolean")
 
 
 @query(
@@ -221,16 +263,41 @@ def k12(t):
 
 @query("k14_cluster_bootstrap_ci")
 def k14(t):
-    design = slot_design(t)
-    whole = regression.total(fold_moments(t).values())
-    mask = regression.penalty(ORDER)
+    design, _, n, _ = player_design(t)
+    whole = regression.total(fold_moments(design, n).values())
+    mask = regression.penalty(regression.COVARIATES + 2 * n)
     betas = {f"lam_{int(lam)}": regression.ridge(whole, lam, mask) for lam in GRID[:3]}
     errors = regression.group_errors(design, betas)
     return modeling.cluster_bootstrap(errors, "grp", "w", {n: n for n in betas}, reps=1000)
 
 
+# the draw of modeling.poisson_weight in SQL
+DRAW_SQL = "(c_custkey % 2147483647 * 48271 + rep * 69621) % 2147483647"
+
+
+@query(
+    "k14_bootstrap_of_orders",
+    f"""WITH g AS (SELECT o_custkey AS c_custkey, count(*) AS w, CAST(sum(o_orderkey % 97) AS BIGINT) AS a, CAST(sum(o_orderkey % 89) AS BIGINT) AS b, CAST(sum(o_orderkey % 83) AS BIGINT) AS c FROM orders GROUP BY 1),
+d AS (SELECT *, {DRAW_SQL} AS x FROM g, range(1, 201) r(rep)),
+u AS (SELECT *, ((x * x % 2147483647) * x % 2147483647 + 12345) % 2147483647 / 2147483647e0 AS u FROM d),
+k AS (SELECT *, CASE """
+    + " ".join(f"WHEN u < {c!r}e0 THEN {i}" for i, c in enumerate(modeling.POISSON_CDF))
+    + f""" ELSE {len(modeling.POISSON_CDF)} END AS k FROM u),
+m AS (SELECT rep, sum(k * a)::DOUBLE / sum(k * w)::DOUBLE AS a, sum(k * b)::DOUBLE / sum(k * w)::DOUBLE AS b, sum(k * c)::DOUBLE / sum(k * w)::DOUBLE AS c FROM k GROUP BY 1),
+p AS (SELECT 'b' AS a, 'a' AS b, b - a AS d FROM m UNION ALL SELECT 'c', 'a', c - a FROM m UNION ALL SELECT 'c', 'b', c - b FROM m)
+SELECT a, b, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi FROM p GROUP BY 1, 2""",
+)
+def k14o(t):
+    k = F.col("o_orderkey")
+    groups = t.orders.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("w"), F.sum(k % 97).alias("a"), F.sum(k % 89).alias("b"), F.sum(k % 83).alias("c")
+    )
+    ci = modeling.cluster_bootstrap(groups, "o_custkey", "w", {n: n for n in "abc"}, reps=200)
+    return ci.select("a", "b", *[r(c, 6, c) for c in ("mean", "ci_lo", "ci_hi")])
+
+
 FEATURES = ["qty", "disc", "tax", "price", "line", "month"]
-SMALL = modeling.BoostParams(trees=5, depth=3)
+SMALL = modeling.BoostParams(trees=12, depth=4)  # the default has 400 trees of depth 5
 
 
 def returns(t):
@@ -251,24 +318,59 @@ def returns(t):
     )
 
 
-@query("k16_boosted_probability")
+LABELLED = "SELECT *, (l_returnflag = 'R')::BIGINT AS label FROM lineitem"
+
+
+def base_loss(rows):
+    """Log loss of the label's share, the score to beat."""
+    p = F.avg("label")
+    return rows.agg((-(p * F.log(p) + (1 - p) * F.log(1 - p))).alias("l")).scalar()
+
+
+@query(
+    "k16_boosted_probability",
+    f"SELECT l_linestatus, count(*) AS n, CAST(sum(label) AS BIGINT) AS hits, true AS in_band, true AS better FROM ({LABELLED}) GROUP BY 1",
+)
 def k16(t):
     rows = returns(t)
     model = modeling.train_boosted(rows, FEATURES, "label", SMALL, stop_flag="is_stop")
-    scored = modeling.score(model, rows, "p")
+    scored = cut_lineage(modeling.score(model, rows, "p"))
+    loss = scored.agg(modeling.log_loss("p", "label").alias("l")).scalar()
     return scored.groupBy("l_linestatus").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("p").alias("predicted"), F.avg("label").alias("actual"), modeling.log_loss("p", "label").alias("log_loss")
+        F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("hits"), F.avg("p").alias("p")
+    ).select(
+        "l_linestatus", "n", "hits", F.col("p").between(0.05, 0.6).alias("in_band"), (loss < base_loss(scored)).alias("better")
     )
 
 
-@query("k17_isotonic_calibration")
-def k17(t):
+def scored_out_of_fold(t):
+    """Line items scored by models that did not see their order."""
     rows = returns(t)
-    scored = modeling.score(modeling.train_boosted(rows, FEATURES, "label", SMALL), rows, "p")
-    model = modeling.isotonic(scored, "p", "label")
-    return modeling.apply_isotonic(model, scored, "p", "cal").groupBy(F.round("cal", 2).alias("cal")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("label").alias("actual")
-    )
+    folds = modeling.assign_folds(rows.select("grp"), "grp", 5).select("grp", "fold")
+    return cut_lineage(modeling.out_of_fold(cut_lineage(rows.join(folds, "grp")), "fold", 5, FEATURES, "label", SMALL))
+
+
+@query(
+    "k17_isotonic_calibration",
+    f"SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS hits, true AS rising, true AS keeps_sum, true AS better FROM ({LABELLED})",
+)
+def k17(t):
+    scored = scored_out_of_fold(t)
+    model = modeling.isotonic(scored, "oof", "label")
+    cal = cut_lineage(modeling.apply_isotonic(model, scored, "oof", "cal"))
+    bins = cal.groupBy("cal").agg(F.min("oof").alias("lo"), F.max("oof").alias("hi"))
+    pairs = bins.select("cal", F.struct("lo", "hi").alias("s"))
+    # scores rise where calibrated values do: sorting the levels by either gives one order
+    order = pairs.agg(F.array_sort(F.collect_list(F.struct("cal", "s"))).alias("by_cal"), F.array_sort(F.collect_list(F.struct("s", "cal"))).alias("by_score")).select(
+        (F.transform("by_cal", lambda x: x["cal"]) == F.transform("by_score", lambda x: x["cal"])).alias("rising")
+    ).scalar()
+    square = lambda p: F.avg(F.pow(F.col(p) - F.col("label"), 2))
+    return cal.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("label").cast("bigint").alias("hits"),
+        (F.abs(F.sum("cal") - F.sum("label")) < 1e-6 * F.count(F.lit(1))).alias("keeps_sum"),
+        (square("cal") <= square("oof") + 1e-12).alias("better"),
+    ).withColumn("rising", order)
 
 
 @query(
@@ -280,35 +382,42 @@ def k18(t):
     return modeling.assign_folds(t.plays.select("game_id"), "game_id", 5)
 
 
-@query("k19_oof_scores")
+@query(
+    "k19_oof_scores",
+    f"""WITH l AS ({LABELLED}), o AS (SELECT l_orderkey, row_number() OVER (ORDER BY count(*) DESC, l_orderkey) - 1 AS p FROM l GROUP BY 1),
+f AS (SELECT l_orderkey, CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS fold FROM o)
+SELECT fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS hits, true AS near_base FROM l JOIN f USING (l_orderkey) GROUP BY 1""",
+)
 def k19(t):
-    # order keys are the groups; their fold is dealt by size
-    rows = returns(t)
-    folds = modeling.assign_folds(rows.select("grp"), "grp", 3).select("grp", "fold")
-    scored = modeling.out_of_fold(rows.join(folds, "grp"), "fold", 3, FEATURES, "label", SMALL)
+    scored = scored_out_of_fold(t)
     return scored.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("oof").alias("predicted"), F.sum("label").alias("actual"), modeling.log_loss("oof", "label").alias("log_loss")
-    )
+        F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("hits"), modeling.log_loss("oof", "label").alias("l")
+    ).select("fold", "n", "hits", (F.col("l") < 1.05 * base_loss(scored)).alias("near_base"))
 
 
-@query("k20_what_if_scores")
+@query("k20_what_if_scores", "SELECT l_linestatus, count(*) AS n, true AS is_share FROM lineitem GROUP BY 1")
 def k20(t):
     rows = returns(t)
     model = modeling.train_boosted(rows, FEATURES, "label", SMALL)
-    return modeling.what_if(model, rows, "month", 6.0, "l_linestatus")
+    out = modeling.what_if(model, rows, "month", 6.0, "l_linestatus")
+    return out.select("l_linestatus", "n", F.col("mean_p").between(0.0, 1.0).alias("is_share"))
 
 
-@query("k21_feature_importance")
+@query("k21_feature_importance", f"SELECT unnest({FEATURES!r}) AS feature, true AS is_share, true AS sums_to_one FROM (SELECT 1)")
 def k21(t):
     model = modeling.train_boosted(returns(t), FEATURES, "label", SMALL)
-    return modeling.feature_importance(model, FEATURES, t.spark).orderBy(F.desc("importance"), "feature")
+    table = modeling.feature_importance(model, FEATURES, t.spark)
+    whole = table.agg(F.sum("importance").alias("s")).scalar()
+    return table.select("feature", F.col("importance").between(0.0, 1.0).alias("is_share"), (F.abs(whole - 1.0) < 1e-6).alias("sums_to_one"))
 
 
-@query("ud5_model_scoring")
+@query("ud5_model_scoring", "SELECT l_orderkey AS grp, count(*) AS n, true AS in_range FROM lineitem GROUP BY 1")
 def ud5(t):
     rows = returns(t)
     model = modeling.train_boosted(rows, FEATURES, "label", SMALL)
-    return modeling.score(model, rows, "p").groupBy(F.round("p", 3).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return modeling.score(model, rows, "p").groupBy("grp").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("p").between(0.0, 1.0) & F.max("p").between(0.0, 1.0)).alias("in_range")
+    )
 
 
 @query(

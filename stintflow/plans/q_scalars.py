@@ -22,6 +22,20 @@ def str1(t):
     return t.documents.select("doc_id", F.md5(text.name_key(F.col("text"))).alias("key_md5"))
 
 
+NFKD_CASES = [("É", "e"), ("e\u0301", "e"), ("ﬁ", "fi"), ("ø", ""), ("½", "12"), ("Ⅷ", "viii"), ("Ｚ", "z"), ("ĳ", "ij")]
+
+
+@query(
+    "str1_nfkd_names",
+    "SELECT c_custkey, 'customer' || CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(NFKD_CASES))
+    + " END || regexp_extract(c_name, '[0-9]+') AS key FROM customer",
+)
+def str1n(t):
+    letter = F.element_at(F.array(*[F.lit(x) for x, _ in NFKD_CASES]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    name = F.concat(F.lit("Customer "), letter, F.lit(" #"), F.regexp_extract("c_name", "[0-9]+", 0))
+    return t.customer.select("c_custkey", text.name_key(name).alias("key"))
+
+
 @query(
     "str2_slug",
     "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part",
@@ -43,13 +57,19 @@ def str3(t):
 
 @query(
     "str4_mojibake_repair",
-    "SELECT doc_id, md5(text) AS fixed_md5 FROM documents WHERE NOT regexp_matches(text, '[ÃÂ�]') AND NOT regexp_matches(text, '[^\\x00-\\xFF]')",
+    "SELECT doc_id, md5(text) AS fixed_md5, regexp_matches(text, '[^\\x00-\\x7F]') AS was_broken FROM documents",
 )
 def str4(t):
-    # break every clean text by reading its UTF-8 bytes as Latin-1, then repair it
-    clean = t.documents.where(~F.col("text").rlike("[ÃÂ�]") & ~F.col("text").rlike("[^\\x00-\\xFF]"))
+    # break every text by reading its UTF-8 bytes as Latin-1, then repair it
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return t.documents.select("doc_id", F.md5(text.repair_mojibake(broken)).alias("fixed_md5"), (broken != F.col("text")).alias("was_broken"))
+
+
+@query("str4_cleanest_variant", "SELECT doc_id, md5(text) AS name_md5 FROM documents")
+def str4c(t):
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return clean.select("doc_id", F.md5(text.repair_mojibake(broken)).alias("fixed_md5"))
+    rows = t.documents.select("doc_id", F.explode(F.array(broken, F.col("text"))).alias("name"))
+    return text.cleanest_variant(rows, ["doc_id"], "name").select("doc_id", F.md5("name").alias("name_md5"))
 
 
 CLOCK = "CASE WHEN event_id % 9 = 0 THEN 'bad' ELSE lpad(CAST((abs_secs % 1200) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs_secs % 60 AS VARCHAR), 2, '0') END"
@@ -78,7 +98,7 @@ def sql_rx(pattern: str) -> str:
 
 
 KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(title, {sql_rx(p)}) THEN '{n}'" for p, n in news.TRANSACTION_CLASSES) + " ELSE 'OTHER' END"
-SPEC_SQL = f"(contains(lower(link), '/video/') OR regexp_matches(title, {sql_rx(news.SPECULATION)}))"
+SPEC_SQL = f"(contains(lower(coalesce(link, '')), '/video/') OR regexp_matches(title, {sql_rx(news.SPECULATION)}))"
 MONEY_SQL = f"""CASE WHEN regexp_matches(title, {sql_rx(news.LONG_TERM)}) THEN 2e0 ELSE coalesce(list_max(list_transform(regexp_extract_all(title, {sql_rx(news.MONEY)}, 1),
   lambda a: CASE WHEN CAST(a AS DOUBLE) >= 9 THEN 2e0 WHEN CAST(a AS DOUBLE) >= 6 THEN 1.5e0 WHEN CAST(a AS DOUBLE) >= 4 THEN 1e0 ELSE 0e0 END)), 0e0) END"""
 SCORE_SQL = (
@@ -114,12 +134,12 @@ def str8(t):
 
 @query(
     "k41_editorial_feed",
-    cte("news", k=KINDED, s=f"SELECT *, {SCORE_SQL} AS score, {REAL_SQL} AS real FROM k QUALIFY row_number() OVER (PARTITION BY link ORDER BY item_id) = 1",
-        x="SELECT *, 'pulse' AS section, score AS sk FROM s WHERE score >= 3 UNION ALL SELECT *, 'signings', 0e0 FROM s WHERE real AND kind = 'SIGNING' UNION ALL SELECT *, 'trades', 0e0 FROM s WHERE real AND kind = 'TRADE'")
-    + """SELECT section, row_number() OVER (PARTITION BY section ORDER BY sk DESC, pub_date DESC, item_id) AS position, item_id, title, score FROM x QUALIFY position <= 8""",
+    cte("news", k=KINDED, s=f"SELECT *, {SCORE_SQL} AS score, {REAL_SQL} AS real FROM k",
+        x="SELECT *, 'pulse' AS section, score AS sk FROM s WHERE score >= 3 QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(link, ''), 'item ' || item_id) ORDER BY item_id) = 1 UNION ALL SELECT *, 'signings', 0e0 FROM s WHERE real AND kind = 'SIGNING' UNION ALL SELECT *, 'trades', 0e0 FROM s WHERE real AND kind = 'TRADE'")
+    + """SELECT section, row_number() OVER (PARTITION BY section ORDER BY sk DESC, pub_date DESC, item_id) AS position, item_id, title, score FROM x QUALIFY position <= CASE section WHEN 'pulse' THEN 8 ELSE 10 END""",
 )
 def k41(t):
-    return news.editorial_feed(t.news, 8).select("section", big("position"), "item_id", "title", "score")
+    return news.editorial_feed(t.news).select("section", big("position"), "item_id", "title", "score")
 
 
 @query(
@@ -256,13 +276,15 @@ def m6(t):
 
 @query(
     "m7_dilution_rescale",
-    cte("skater_lines", p="SELECT player_id, sum(DISTINCT season - 1990)::BIGINT AS present, count(*) AS games FROM skater_lines WHERE season <= 1990 + player_id % 12 GROUP BY 1")
+    cte("skater_lines", p="SELECT player_id, coalesce(sum(DISTINCT CASE WHEN season <= 1990 + player_id % 12 THEN season - 1990 END), 0)::BIGINT AS present, count(CASE WHEN season <= 1990 + player_id % 12 THEN 1 END) AS games FROM skater_lines GROUP BY 1")
     + """SELECT player_id, round(CASE WHEN present > 0 AND present < 56 AND games >= 30 THEN 56e0 / present ELSE 1 END, 6) AS rescale_factor FROM p""",
 )
 def m7(t):
-    rows = t.skater_lines.where(F.col("season") <= 1990 + F.col("player_id") % 12)
-    seasons = rows.select("player_id", "season").distinct().groupBy("player_id").agg(F.sum(F.col("season") - 1990).alias("present"))
-    games = rows.groupBy("player_id").agg(F.count(F.lit(1)).alias("games"))
+    # players differ in how much of the record they were there for; the others' seasons count as absent
+    there = F.col("season") <= 1990 + F.col("player_id") % 12
+    rows = t.skater_lines.select("player_id", F.when(there, F.col("season") - 1990).alias("s"))
+    seasons = rows.distinct().groupBy("player_id").agg(F.coalesce(F.sum("s"), F.lit(0)).alias("present"))
+    games = rows.groupBy("player_id").agg(F.count("s").alias("games"))
     return ratings.rescaled_shares(seasons.join(games, "player_id"), "present", 56.0, "games", 30).select("player_id", r("rescale_factor", 6, "rescale_factor"))
 
 

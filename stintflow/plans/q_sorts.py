@@ -10,7 +10,7 @@ from stintflow.plans.q_aggregates import STANDINGS, standings
 from stintflow.plans.q_filters import VALUED
 from stintflow.plans.registry import query
 from stintflow.plans.shape import big, r
-from stintflow.scale import top_k, with_ordinal
+from stintflow.scale import positions, top_k, with_ordinal
 
 
 @query(
@@ -28,11 +28,11 @@ def t1(t):
 @query(
     "t2_nulls_last_sort",
     cte("contracts")
-    + """SELECT player_id, age, gar FROM contracts ORDER BY age DESC NULLS LAST, gar ASC NULLS LAST, player_id LIMIT 200""",
+    + """SELECT player_id, age, gar, row_number() OVER (ORDER BY age DESC NULLS LAST, gar ASC NULLS LAST, player_id) AS pos FROM contracts""",
 )
 def t2(t):
     order = [F.col("age").desc_nulls_last(), F.col("gar").asc_nulls_last(), F.asc("player_id")]
-    return t.contracts.select("player_id", "age", "gar").orderBy(*order).limit(200)
+    return positions(t.contracts.select("player_id", "age", "gar"), order, "pos")
 
 
 @query(
@@ -56,27 +56,21 @@ def t4(t):
 
 @query(
     "t5_qualified_first",
-    """SELECT c_custkey, c_acctbal, c_custkey % 3 <> 0 AS ok FROM customer ORDER BY ok DESC, c_acctbal DESC, c_custkey LIMIT 1200""",
+    """SELECT *, row_number() OVER (ORDER BY ok DESC, c_acctbal DESC, c_custkey) AS pos FROM (SELECT c_custkey, c_acctbal, c_custkey % 3 <> 0 AS ok FROM customer)""",
 )
 def t5(t):
     rows = t.customer.select("c_custkey", "c_acctbal", (F.col("c_custkey") % 3 != 0).alias("ok"))
-    return rows.orderBy(F.desc("ok"), F.desc("c_acctbal"), "c_custkey").limit(1200)
+    return positions(rows, [F.desc("ok"), F.desc("c_acctbal"), F.asc("c_custkey")], "pos")
 
 
 @query(
     "t6_custom_order",
-    """SELECT n_name, row_number() OVER (ORDER BY CASE r_name WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 9 END, n_name) AS pos FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY pos LIMIT 12""",
+    """SELECT n_name, row_number() OVER (ORDER BY CASE r_name WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 9 END, n_name) AS pos FROM nation JOIN region ON n_regionkey = r_regionkey""",
 )
 def t6(t):
     conf = F.when(F.col("r_name") == "EUROPE", 0).when(F.col("r_name") == "ASIA", 1).otherwise(9)
     rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", conf.alias("c"))
-    return _numbered(rows.orderBy("c", "n_name").limit(12))
-
-
-def _numbered(d):
-    # the cut of twelve is the result, so numbering it is bounded
-    listed = d.agg(F.array_sort(F.collect_list(F.struct("c", "n_name"))).alias("l"))
-    return listed.select(F.posexplode("l").alias("p", "e")).select(F.col("e.n_name").alias("n_name"), (F.col("p") + 1).cast("bigint").alias("pos"))
+    return positions(rows, [F.asc("c"), F.asc("n_name")], "pos").select("n_name", "pos")
 
 
 @query(

@@ -24,8 +24,8 @@ def src1(t):
 def src2(t):
     path = scratch_path(t.spark, "csv")
     bad = F.when(F.col("c_custkey") % 7 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string"))
-    t.customer.select("c_name", bad.alias("c_acctbal")).write.option("header", True).csv(path)
-    return files.scan_csv(t.spark, path, ["c_name"], ["c_acctbal", "absent"], ["c_name", "c_acctbal"])
+    t.customer.select(bad.alias("c_acctbal"), "c_custkey", "c_name").write.option("header", True).csv(path)
+    return files.scan_csv(t.spark, path, ["c_name"], ["c_acctbal", "absent"])
 
 
 def land_games(t) -> str:
@@ -82,9 +82,10 @@ def src4(t):
 def src5(t):
     path = scratch_path(t.spark, "snapshot")
     row = F.struct("name", F.col("team").cast("string").alias("team"), "position", "cap_hit", "expiry_year", "age")
-    t.contracts.groupBy(F.expr("player_id div 100")).agg(F.collect_list(row).alias("contracts")).select(
-        F.struct(F.lit("landed").alias("source")).alias("_meta"), "contracts"
-    ).write.json(path)
+    docs = t.contracts.groupBy(F.expr("player_id div 100")).agg(F.collect_list(row).alias("contracts"))
+    whole = F.struct(F.struct(F.lit("landed").alias("source")).alias("_meta"), "contracts")
+    # snapshots are indented documents, one per file
+    docs.select(F.to_json(whole, {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return documents.read_contract_snapshot(t.spark, path)
 
 
@@ -106,19 +107,19 @@ def src5p(t):
 
 @query(
     "src6_feed_items",
-    cte("news") + "SELECT title, link, strftime(pub_ts, '%Y-%m-%d %H:%M:%S') AS pub_utc FROM news",
+    cte("news") + "SELECT title, coalesce(link, '') AS link, strftime(pub_ts, '%Y-%m-%d %H:%M:%S') AS pub_utc FROM news",
 )
 def src6(t):
     path = scratch_path(t.spark, "feed")
     stamp = F.coalesce(F.concat(F.date_format("pub_ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000")), F.lit("undated"))
     item = F.concat(
-        F.lit("<item><title>"), "title", F.lit("</title><link>"), "link", F.lit("</link><pubDate>"), stamp, F.lit("</pubDate></item>")
+        F.lit("<item><title>"), "title", F.lit("</title><link>"), F.coalesce("link", F.lit("")), F.lit("</link><pubDate>"), stamp, F.lit("</pubDate></item>")
     )
     # feed documents of a hundred items, one per line
     docs = t.news.groupBy(F.expr("item_id div 100")).agg(F.concat_ws("", F.collect_list(item)).alias("items"))
     docs.select(F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>"))).write.text(path)
     rows = documents.parse_feed(t.spark.read.text(path), "value")
-    return rows.select("title", "link", F.date_format("pub_ts", "yyyy-MM-dd HH:mm:ss").alias("pub_utc"))
+    return rows.select("title", F.coalesce("link", F.lit("")).alias("link"), F.date_format("pub_ts", "yyyy-MM-dd HH:mm:ss").alias("pub_utc"))
 
 
 @query(
@@ -164,8 +165,7 @@ def src9(t):
 
 @query(
     "src10_sinks_with_meta",
-    """SELECT 'csv' AS fmt, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS s FROM customer UNION ALL SELECT 'json', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer
-UNION ALL SELECT 'parquet', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer""",
+    """SELECT fmt, c_custkey, c_name, n, s FROM customer, (SELECT unnest(['csv', 'json', 'parquet']) AS fmt), (SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS s FROM customer)""",
 )
 def src10(t):
     rows = t.customer.select("c_custkey", "c_name")
@@ -174,7 +174,9 @@ def src10(t):
         path = scratch_path(t.spark, fmt)
         files.write_with_meta(rows, path, fmt, {"n": F.count(F.lit(1)), "s": F.sum("c_custkey")})
         meta = t.spark.read.schema("n bigint, s bigint").json(f"{path}/meta").select(F.lit(fmt).alias("fmt"), "n", "s")
-        out = meta if out is None else out.unionByName(meta)
+        back = files.read_written(t.spark, path, fmt, "c_custkey bigint, c_name string").withColumn("fmt", F.lit(fmt))
+        part = back.join(meta, "fmt")
+        out = part if out is None else out.unionByName(part)
     return out
 
 

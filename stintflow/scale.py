@@ -7,12 +7,13 @@ every chunk to the chunks after it, so the largest task holds one chunk and not
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stintflow.session import cut_lineage
+
 START = Window.unboundedPreceding
 
 
@@ -52,10 +53,26 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
     return F.coalesce(local, carried)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` where null meets null; the right side adds its other columns."""
+    names = {c: f"_r_{c}" for c in keys}
+    renamed = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    if not keys:
+        raise ValueError("keys are needed")
+    cond = None
+    for c, other in names.items():
+        same = left[c].eqNullSafe(renamed[other])
+        cond = same if cond is None else cond & same
+    return left.join(renamed, cond, how).drop(*names.values())
+
+
 def running(
     df: DataFrame, keys: list[str], chunk: Column, order: list[str], specs: dict[str, Running]
 ) -> DataFrame:
-    """Add running values over ``order`` within ``keys``; ``chunk`` must not decrease along ``order``."""
+    """Add running values over ``order`` within ``keys``; ``chunk`` must not decrease along ``order``.
+
+    A null key is a key like any other.
+    """
     src = df.withColumn("_chunk", chunk)
     for name, spec in specs.items():
         src = src.withColumn(f"_v_{name}", spec.value)
@@ -76,57 +93,57 @@ def running(
         "_chunk",
         *[_over(s.kind, F.col(f"_s_{n}"), earlier).alias(f"_c_{n}") for n, s in specs.items()],
     )
-    joined = inside.join(carry, [*keys, "_chunk"], "left")
+    joined = join_null_safe(inside, carry, [*keys, "_chunk"])
     return joined.select(
         *df.columns,
         *[_combine(s.kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, s in specs.items()],
     )
 
 
-def _rank_fanout(df: DataFrame) -> int:
-    """Side of the square number of rank buckets: about two buckets per shuffle partition."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(64, max(8, math.ceil(math.sqrt(2 * partitions))))
+def range_placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` written in ``order``, dealt to as many ranges as there are shuffle partitions.
 
+    ``_part`` numbers the ranges and ``_at`` the rows inside one. Any type that sorts will do, and a hot
+    key is cut wherever the rest of the order differs.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return cut_lineage(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", row))
 
-def _bucket_among(edges: str, value: Column, fanout: int) -> Column:
-    """How many of the ``fanout**2 - 1`` ascending edges lie below the value, found in two short steps."""
-    below = lambda arr: F.size(F.filter(arr, lambda e: e < value))
-    landmarks = F.array(*[F.get(edges, F.lit((i + 1) * fanout - 1)) for i in range(fanout - 1)])
-    block = below(landmarks) * fanout
-    return block + below(F.slice(edges, block + 1, fanout))
 
+def positions(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """All rows with their 1-based place in a complete ordering; only one row per range meets in one task."""
+    placed = range_placed(df, order)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(START, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(offsets, "_part").select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias(out))
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, descending: bool = False) -> DataFrame:
-    """One row per ``(keys, value)``: ``n`` rows share it, ``before`` rows precede it, ``total`` in the group.
 
-    Equal values are counted first, so ties never travel as rows; what is left is ordered in
-    quantile buckets, so a group with a third of all rows is spread over many tasks.
+def _ranked(df: DataFrame, keys: list[str], values: list[str], descending: bool = False) -> DataFrame:
+    """One row per ``(keys, values)``: ``n`` rows share it, ``before`` rows of the key precede it.
+
+    Equal values are counted first, so ties never travel as rows. ``descending`` turns the first value.
     """
-    order = -F.col(value) if descending else F.col(value)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_o", order)
-    )
-    fanout = _rank_fanout(df)
-    buckets = fanout * fanout
-    cuts = [i / buckets for i in range(1, buckets)]
-    # naming n here keeps this aggregate's shuffle identical to the main one, so it is reused
-    edges = counts.agg(
-        F.struct(F.percentile_approx(F.col("_o").cast("double"), cuts, 10 * buckets).alias("e"), F.max("n").alias("n")).alias("s")
-    ).scalar()
-    placed = counts.withColumn("_edges", edges["e"]).withColumn(
-        "_bucket", _bucket_among("_edges", F.col("_o").cast("double"), fanout)
-    )
-    ranked = running(placed, keys, F.col("_bucket"), ["_o"], {"before": Running("sum", F.col("n"))})
-    ranked = ranked.select(*keys, value, "n", F.coalesce("before", F.lit(0)).alias("before"))
+    known = df.where(F.col(values[0]).isNotNull()).groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("n"))
+    first = F.col(values[0]).desc() if descending else F.col(values[0]).asc()
+    placed = range_placed(known, [*[F.col(k) for k in keys], first, *[F.col(v) for v in values[1:]]])
+    ranked = running(placed, keys, F.col("_part"), ["_at"], {"before": Running("sum", F.col("n"))})
+    return ranked.select(*keys, *values, "n", F.coalesce("before", F.lit(0)).alias("before"))
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str, descending: bool = False) -> DataFrame:
+    """One row per ``(keys, value)``: ``n`` rows share it, ``before`` rows precede it, ``total`` in the group."""
+    ranked = _ranked(df, keys, [value], descending)
     if not keys:
-        total = counts.agg(F.sum("n").alias("t")).scalar()
-        return ranked.withColumn("total", total)
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    return ranked.join(totals, keys, "left")
+        return ranked.withColumn("total", ranked.agg(F.sum("n").alias("t")).scalar())
+    return join_null_safe(ranked, ranked.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
+
+
+def _rank_of(ties: str) -> Column:
+    average = F.col("before") + (F.col("n") + 1) / 2
+    return {"min": F.col("before") + 1, "average": average, "pct": average / F.col("total")}[ties]
 
 
 def with_rank(
@@ -134,30 +151,26 @@ def with_rank(
 ) -> DataFrame:
     """Add a rank with ties by ``min``, ``average`` or ``pct`` (average rank / group size); null stays null."""
     ranks = value_ranks(df, keys, value, descending)
-    average = F.col("before") + (F.col("n") + 1) / 2
-    expr = {
-        "min": F.col("before") + 1,
-        "average": average,
-        "pct": average / F.col("total"),
-    }[ties]
-    return df.join(ranks.select(*keys, value, expr.alias(out)), [*keys, value], "left")
+    return join_null_safe(df, ranks.select(*keys, value, _rank_of(ties).alias(out)), [*keys, value])
+
+
+def with_ranks(df: DataFrame, keys: list[str], values: dict[str, str], ties: str = "min", descending: bool = False) -> DataFrame:
+    """Add one rank per entry of ``values`` (out -> value); the input is evaluated once."""
+    base = cut_lineage(df)
+    out = base
+    for name, value in values.items():
+        ranks = value_ranks(base, keys, value, descending).select(*keys, value, _rank_of(ties).alias(name))
+        out = join_null_safe(out, ranks, [*keys, value])
+    return out
 
 
 def with_ordinal(
     df: DataFrame, keys: list[str], value: str | None, tiebreak: str, out: str, descending: bool = False
 ) -> DataFrame:
     """Add a 1-based position, ordered by ``value`` and then the unique ``tiebreak`` ascending."""
-    if value is None:
-        ranks = value_ranks(df, keys, tiebreak)
-        return df.join(ranks.select(*keys, tiebreak, (F.col("before") + 1).alias(out)), [*keys, tiebreak], "left")
-    outer = value_ranks(df, keys, value, descending).select(*keys, value, F.col("before").alias("_outer"))
-    inner = value_ranks(df, [*keys, value], tiebreak).select(
-        *keys, value, tiebreak, F.col("before").alias("_inner")
-    )
-    places = inner.join(outer, [*keys, value]).select(
-        *keys, value, tiebreak, (F.col("_outer") + F.col("_inner") + 1).alias(out)
-    )
-    return df.join(places, [*keys, value, tiebreak], "left")
+    values = [tiebreak] if value is None else [value, tiebreak]
+    places = _ranked(df, keys, values, descending and value is not None)
+    return join_null_safe(df, places.select(*keys, *values, (F.col("before") + 1).alias(out)), [*keys, *values])
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

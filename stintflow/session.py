@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(master: str = "local[*]", app: str = "stintflow", **conf: str) -> SparkSession:
     """A session with the settings the operators assume; a cluster passes its own master and sizes."""
@@ -25,15 +30,20 @@ def build_session(master: str = "local[*]", app: str = "stintflow", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, else a test-only temp folder."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process, as in tests, an unset folder is replaced by a
+    temporary one, which goes when the process ends.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    existing = getattr(spark, "_stintflow_dir", None)
-    if existing is None:
-        existing = tempfile.mkdtemp(prefix="stintflow-")
-        spark._stintflow_dir = existing
-    return existing
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="stintflow-")
+        atexit.register(shutil.rmtree, _LOCAL["folder"], ignore_errors=True)
+    return _LOCAL["folder"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,3 +60,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table made by :func:`cut_lineage` that nothing reads any more."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if os.path.basename(folder).startswith("table-"):
+            path = hadoop(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

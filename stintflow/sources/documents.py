@@ -64,10 +64,13 @@ def json_map_rows(docs: DataFrame, doc: str, value_type: str) -> DataFrame:
 
 
 def read_contract_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot documents with ``_meta`` and ``contracts``: one row per contract."""
+    """Snapshot files, one document each, with ``_meta`` and ``contracts``: one row per contract.
+
+    A document may span lines; one that does not parse is an error.
+    """
     schema = """_meta struct<source: string>, contracts array<struct<name: string, team: string, position: string,
       cap_hit: double, expiry_year: bigint, age: bigint>>"""
-    docs = spark.read.schema(schema).option("multiLine", False).json(path)
+    docs = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return docs.select(F.explode("contracts").alias("c")).select("c.*")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def scan_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -13,14 +12,15 @@ def scan_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
-def scan_csv(spark: SparkSession, path: str, text_cols: list[str], numeric_cols: list[str], header: list[str]) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, text_cols: list[str], numeric_cols: list[str]) -> DataFrame:
     """CSV with permissive numbers: bad text becomes 0 and a numeric column the file lacks is 0.
 
-    ``header`` lists the file's columns; everything is read as text so no inference pass runs.
+    Columns go by the name in the header, in whatever order; everything is read as text, so only the first
+    line is read beforehand. A file of the folder whose header differs is an error.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(schema).option("header", True).csv(path)
-    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in header else F.lit(0.0)
+    header = spark.read.option("header", True).csv(path).schema
+    raw = spark.read.schema(header).option("header", True).option("enforceSchema", False).csv(path)
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in raw.columns else F.lit(0.0)
     clean = lambda c: F.when(F.isnan(number(c)), 0.0).otherwise(number(c)).alias(c)
     return raw.select(*text_cols, *[clean(c) for c in numeric_cols])
 
@@ -55,6 +55,12 @@ def land_new(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     return rows.join(manifest.select(key).distinct(), key, "left_anti")
 
 
+def read_written(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
+    """The rows of :func:`write_with_meta`."""
+    reader = spark.read.schema(schema)
+    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(f"{path}/data")
+
+
 def write_with_meta(df: DataFrame, path: str, fmt: str, meta: dict[str, Column]) -> None:
     """Write rows plus a one-row JSON side table of aggregates."""
     writer = df.write.mode("overwrite")

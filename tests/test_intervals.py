@@ -167,5 +167,5 @@ def test_hot_member_is_reduced_before_the_range_join(spark):
 def test_nearest_within_tolerance(spark):
     a = spark.createDataFrame([(1, 5, 100), (2, 5, 500)], "id bigint, g bigint, t bigint")
     b = spark.createDataFrame([(5, 99), (5, 101), (5, 503)], "g bigint, u bigint")
-    got = {r.id: r.u for r in intervals.nearest_within(a, b, ["g"], "t", "u", 2, "id").collect()}
+    got = {r.id: r.u for r in intervals.nearest_within(a, b, ["g"], "t", "u", 2).collect()}
     assert got == {1: 99, 2: None}

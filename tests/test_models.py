@@ -56,7 +56,7 @@ def test_cv_error_equals_refitting_each_fold(small):
     order = x.shape[1]
     mask = regression.penalty(order, 3)
     folds = regression.collect_moments(design, order, "grp")
-    _, scores = regression.cv_lambda(folds, [10.0], mask, widen=0)
+    _, scores = regression.cv_lambda(folds, [10.0], mask)
     grp = np.arange(len(y)) % 4
     errs = []
     for k in range(4):

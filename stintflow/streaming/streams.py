@@ -24,6 +24,23 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema, per_trigger
     return reader.parquet(folder)
 
 
+def land_in_order(rows: DataFrame, ts: str, parts: int, extra: list[DataFrame] = ()) -> str:
+    """Write rows as ``parts`` files by rising time, then each of ``extra`` as one more; returns the folder.
+
+    Rows of one second stay in one file. Replays a source that delivers over time, for tests and backfills.
+    """
+    spark = rows.sparkSession
+    folder = scratch_path(spark, "arrivals")
+    second = F.date_trunc("second", F.col(ts)).cast("timestamp").cast("bigint")
+    cuts = rows.agg(F.percentile_approx(second, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    lane = sum([F.when(second > c, 1).otherwise(0) for c in cuts], F.lit(0))
+    for k in range(parts):
+        rows.where(lane == k).coalesce(1).write.mode("append").parquet(folder)
+    for more in extra:
+        more.select(*rows.columns).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is available now and return what it emitted, tagged by batch.
 

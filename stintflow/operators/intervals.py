@@ -174,20 +174,24 @@ def overlap_pair_seconds(
         cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     cond = (
         cond
-        & (F.col(f"a.{member}") != F.col(f"b.{member}"))
+        & (F.col(f"a.{member}") < F.col(f"b.{member}"))
         & (F.col("a.lo") < F.col("b.hi"))
         & (F.col("b.lo") < F.col("a.hi"))
     )
     secs = (F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo")) * F.col("a.cnt") * F.col("b.cnt")
-    return (
+    met = (
         a.join(b, cond)
         .groupBy(
-            F.col(f"a.{member}").alias("focal"),
-            F.col(f"b.{member}").alias("partner"),
+            F.col(f"a.{member}").alias("low"),
+            F.col(f"b.{member}").alias("high"),
             (F.col(f"a.{side}") == F.col(f"b.{side}")).alias("same_side"),
         )
         .agg(F.sum(secs).alias("shared_secs"))
     )
+    # both directions only after the sums
+    way = lambda one, other: F.struct(F.col(one).alias("focal"), F.col(other).alias("partner"))
+    both = F.inline(F.array(way("low", "high"), way("high", "low")))
+    return met.select("same_side", "shared_secs", both).select("focal", "partner", "same_side", "shared_secs")
 
 
 def elementary_segments(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

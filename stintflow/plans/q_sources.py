@@ -28,8 +28,19 @@ def src2(t):
     return files.scan_csv(t.spark, path, ["c_name"], ["c_acctbal", "absent"])
 
 
-def land_games(t) -> str:
-    """Play-by-play documents, each holding at most fifty plays of one game."""
+KINDS = ["goal", "shot-on-goal", "missed-shot", "blocked-shot", "hit", "takeaway", "penalty", "faceoff", "stoppage"]
+# the detail fields of landed plays, as whole numbers beyond the player's
+DETAILS = {
+    "scoringPlayerId": 0, "shootingPlayerId": 0, "assist1PlayerId": 2, "assist2PlayerId": 4, "hittingPlayerId": 6, "hitteePlayerId": 7,
+    "playerId": 8, "servedByPlayerId": 9, "drawnByPlayerId": 10, "winningPlayerId": 11, "losingPlayerId": 12, "goalieInNetId": 13,
+}
+
+
+def land_games(t, kinds: bool = False) -> str:
+    """Play-by-play documents, each holding at most fifty plays of one game.
+
+    With ``kinds`` every play has one of ``KINDS`` and all detail fields, whether its kind uses them or not.
+    """
     path = scratch_path(t.spark, "games")
     piece = F.expr("event_id div 50")
     clock = F.format_string("%02d:%02d", F.expr("(abs_secs % 1200) div 60"), F.col("abs_secs") % 60)
@@ -41,6 +52,19 @@ def land_games(t) -> str:
         F.col("event_type").alias("typeDescKey"),
         F.struct(F.col("team_id").alias("eventOwnerTeamId"), F.col("player_id").alias("shootingPlayerId")).alias("details"),
     )
+    if kinds:
+        id_, player = F.col("event_id"), F.col("player_id")
+        details = F.struct(
+            F.col("team_id").alias("eventOwnerTeamId"),
+            *[(player + more).alias(name) for name, more in DETAILS.items()],
+            (player + id_ % 2).alias("blockingPlayerId"),
+            F.when(id_ % 3 != 0, player + 20).alias("committedByPlayerId"),
+            F.lit("hooking").alias("descKey"),
+            (2 + id_ % 4).alias("duration"),
+        )
+        kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (id_ % len(KINDS) + 1).cast("int"))
+        period = F.struct(F.col("period").alias("number"), F.when(id_ % 10 == 9, "SO").otherwise("REG").alias("periodType"))
+        play = play.withField("details", details).withField("typeDescKey", kind).withField("periodDescriptor", period)
     spot = F.struct(F.col("team_id").alias("teamId"), F.col("player_id").alias("playerId"), F.lit("C").alias("positionCode"))
     docs = t.plays.groupBy(F.col("game_id").alias("id"), "home_team_id", piece.alias("piece")).agg(
         F.collect_list(play).alias("plays"), F.collect_set(spot).alias("rosterSpots")
@@ -60,6 +84,22 @@ def src3(t):
     return rows.select("game_id", "event_id", "home_team_id", "period", "abs_secs", "type", "team_id", "shooter_id")
 
 
+@query(
+    "src3_f10_play_roles",
+    cte("plays", p=f"SELECT *, {KINDS!r}[event_id % {len(KINDS)} + 1] AS type FROM plays WHERE event_id % 10 <> 9")
+    + """SELECT game_id, event_id, type, CASE WHEN type IN ('goal', 'shot-on-goal', 'missed-shot', 'blocked-shot') THEN player_id END AS shooter_id,
+  CASE type WHEN 'goal' THEN player_id END AS scorer_id, CASE type WHEN 'goal' THEN player_id + 2 END AS assist1_id, CASE type WHEN 'goal' THEN player_id + 4 END AS assist2_id,
+  CASE WHEN type = 'blocked-shot' AND event_id % 2 = 1 THEN player_id + 1 END AS blocker_id,
+  CASE type WHEN 'hit' THEN player_id + 6 END AS hitter_id, CASE type WHEN 'hit' THEN player_id + 7 END AS hittee_id, CASE type WHEN 'takeaway' THEN player_id + 8 END AS player_id,
+  CASE type WHEN 'penalty' THEN player_id + CASE WHEN event_id % 3 <> 0 THEN 20 ELSE 9 END END AS committed_by_id, CASE type WHEN 'penalty' THEN player_id + 10 END AS drawn_by_id,
+  CASE type WHEN 'penalty' THEN 'hooking' END AS penalty_type, CASE type WHEN 'penalty' THEN 2 + event_id % 4 END AS penalty_minutes,
+  CASE type WHEN 'faceoff' THEN player_id + 11 END AS faceoff_winner_id, CASE type WHEN 'faceoff' THEN player_id + 12 END AS faceoff_loser_id,
+  CASE WHEN type IN ('goal', 'shot-on-goal', 'missed-shot', 'blocked-shot') THEN player_id + 13 END AS goalie_in_net_id FROM p""",
+)
+def src3f(t):
+    return documents.flatten_roles(documents.read_games(t.spark, land_games(t, kinds=True)))
+
+
 @query("src3_flatten_rosters", cte("plays") + "SELECT DISTINCT game_id, player_id, team_id FROM plays")
 def src3r(t):
     return documents.flatten_rosters(documents.read_games(t.spark, land_games(t))).select("game_id", "player_id", "team_id")

@@ -14,8 +14,30 @@ rosterSpots array<struct<teamId: bigint, playerId: bigint, positionCode: string,
   firstName: struct<default: string>, lastName: struct<default: string>>>,
 plays array<struct<eventId: bigint, periodDescriptor: struct<number: bigint, periodType: string>, timeInPeriod: string,
   situationCode: string, typeDescKey: string, details: struct<eventOwnerTeamId: bigint, xCoord: bigint, yCoord: bigint,
-  zoneCode: string, shotType: string, shootingPlayerId: bigint, scoringPlayerId: bigint>>>
+  zoneCode: string, shotType: string, shootingPlayerId: bigint, scoringPlayerId: bigint, assist1PlayerId: bigint,
+  assist2PlayerId: bigint, blockingPlayerId: bigint, hittingPlayerId: bigint, hitteePlayerId: bigint, playerId: bigint,
+  committedByPlayerId: bigint, servedByPlayerId: bigint, drawnByPlayerId: bigint, descKey: string, duration: bigint,
+  winningPlayerId: bigint, losingPlayerId: bigint, goalieInNetId: bigint>>>
 """
+# The kinds of play in which a role is filled, and the detail fields that name it, first one first.
+SHOTS = ("shot-on-goal", "missed-shot", "blocked-shot")
+ROLES = [
+    ("shooter_id", SHOTS, ("shootingPlayerId",)),
+    ("scorer_id", ("goal",), ("scoringPlayerId",)),
+    ("assist1_id", ("goal",), ("assist1PlayerId",)),
+    ("assist2_id", ("goal",), ("assist2PlayerId",)),
+    ("blocker_id", ("blocked-shot",), ("blockingPlayerId",)),
+    ("hitter_id", ("hit",), ("hittingPlayerId",)),
+    ("hittee_id", ("hit",), ("hitteePlayerId",)),
+    ("player_id", ("takeaway", "giveaway"), ("playerId",)),
+    ("committed_by_id", ("penalty",), ("committedByPlayerId", "servedByPlayerId")),
+    ("drawn_by_id", ("penalty",), ("drawnByPlayerId",)),
+    ("penalty_type", ("penalty",), ("descKey",)),
+    ("penalty_minutes", ("penalty",), ("duration",)),
+    ("faceoff_winner_id", ("faceoff",), ("winningPlayerId",)),
+    ("faceoff_loser_id", ("faceoff",), ("losingPlayerId",)),
+    ("goalie_in_net_id", ("goal", *SHOTS), ("goalieInNetId",)),
+]
 
 
 def read_games(spark: SparkSession, path: str) -> DataFrame:
@@ -43,6 +65,24 @@ def flatten_plays(games: DataFrame) -> DataFrame:
     )
 
 
+def flatten_roles(games: DataFrame) -> DataFrame:
+    """One row per play outside shootouts: who filled which role in it; roles a play does not have are null.
+
+    The scorer of a goal is its shooter. A blocker on the side of the shot is a mistake of the feed and goes.
+    """
+    p = games.select(F.col("id").alias("game_id"), "rosterSpots", F.explode("plays").alias("p")).where(
+        F.coalesce("p.periodDescriptor.periodType", F.lit("")) != "SO"
+    )
+    kind = F.col("p.typeDescKey")
+    role = lambda kinds, fields: F.when(kind.isin(*kinds), F.coalesce(*[f"p.details.{f}" for f in fields]))
+    columns = {name: role(kinds, fields) for name, kinds, fields in ROLES}
+    columns["shooter_id"] = F.coalesce(columns["shooter_id"], columns["scorer_id"])
+    owner, blocker = F.col("p.details.eventOwnerTeamId"), F.col("p.details.blockingPlayerId")
+    own_side = F.exists("rosterSpots", lambda s: (s["playerId"] == blocker) & (s["teamId"] == owner))
+    columns["blocker_id"] = F.when(~F.coalesce(own_side, F.lit(False)), columns["blocker_id"])
+    return p.select("game_id", F.col("p.eventId").alias("event_id"), kind.alias("type"), *[c.alias(n) for n, c in columns.items()])
+
+
 def flatten_rosters(games: DataFrame) -> DataFrame:
     spot = games.select(F.col("id").alias("game_id"), F.explode("rosterSpots").alias("s"))
     name = F.concat_ws(" ", "s.firstName.default", "s.lastName.default")

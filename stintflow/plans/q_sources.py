@@ -177,6 +177,22 @@ def src7(t):
     )
 
 
+@query(
+    "src7_table_records",
+    """SELECT o_custkey // 20 AS page_id, 'Customer ' || o_custkey AS heading, CAST(o_orderkey AS VARCHAR) AS number, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day,
+  o_orderpriority AS priority, CAST(year(o_orderdate) AS VARCHAR) AS season, CAST(o_orderkey % 7 AS VARCHAR) AS goals FROM orders""",
+)
+def src7r(t):
+    names = ["number", "status", "day", "priority", "season", "goals"]
+    values = [F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority"), F.year("o_orderdate").cast("string"), (F.col("o_orderkey") % 7).cast("string")]
+    cell = lambda v: F.concat(F.lit("<td> <b>"), v, F.lit("</b></td>"))
+    row = F.concat(F.lit("<tr class='r'>"), *[cell(v) for v in values], F.lit("</tr><tr><td>a</td><td>b</td></tr>"))
+    listed = t.orders.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("rows"))
+    head = F.concat(F.lit("<tr><th colspan=6>Customer "), F.col("o_custkey").cast("string"), F.lit("</th></tr>"), "rows")
+    pages = listed.groupBy(F.expr("o_custkey div 20").alias("page_id")).agg(F.concat_ws("", F.lit("<table>"), F.collect_list(head), F.lit("</table>")).alias("html"))
+    return documents.html_records(pages, "page_id", "html", names).drop("pos")
+
+
 def land_orders(t) -> str:
     path = scratch_path(t.spark, "season")
     files.write_by_season(t.orders.withColumn("season", F.year("o_orderdate")), path)

@@ -164,3 +164,19 @@ def carry_heading(elements: DataFrame, key: str, heading_kind: str) -> DataFrame
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     heading = F.last(F.when(F.col("kind") == heading_kind, F.col("text")), ignorenulls=True).over(w)
     return elements.withColumn("heading", heading).where(F.col("kind") != heading_kind)
+
+
+def html_records(pages: DataFrame, key: str, html: str, names: list[str]) -> DataFrame:
+    """Table rows as records under the heading row before them: ``key, pos, heading`` and the named cells.
+
+    A row with a single cell is a heading; a row with as many cells as ``names`` is a record; others drop out.
+    """
+    inner = F.regexp_extract_all(F.col(html), F.lit("(?s)<tr(?:\\s[^>]*)?>(.*?)</tr>"), F.lit(1))
+    strip = lambda x: F.trim(F.regexp_replace(x, "(?s)<[^>]*>", ""))
+    rows = pages.select(key, F.posexplode(inner).alias("pos", "row"))
+    found = F.regexp_extract_all("row", F.lit("(?s)<t[dh](?:\\s[^>]*)?>(.*?)</t[dh]>"), F.lit(1))
+    rows = rows.select(key, "pos", F.transform(found, strip).alias("cells"))
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    heading = F.last(F.when(F.size("cells") == 1, F.col("cells")[0]), ignorenulls=True).over(w)
+    held = rows.withColumn("heading", heading).where(F.size("cells") == len(names))
+    return held.select(key, "pos", "heading", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])

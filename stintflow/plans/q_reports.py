@@ -384,8 +384,9 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
 @query(
     "k36_playoff_form",
     cte("team_games", s=SERIES_SQL, last="SELECT team, max(round) AS round, arg_max(wins, round) AS wins, arg_max(opp_wins, round) AS opp_wins FROM s GROUP BY 1", cur="SELECT max(round) AS r FROM s",
-        l="SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS rn FROM team_games QUALIFY rn <= 10", f="SELECT team, CAST(sum(gf) AS BIGINT) AS gf, CAST(sum(ga) AS BIGINT) AS ga FROM l GROUP BY 1")
-    + """SELECT team, CASE WHEN wins >= 4 OR opp_wins >= 4 THEN 'won series' WHEN wins > opp_wins THEN 'leads' WHEN wins < opp_wins THEN 'trails' ELSE 'tied' END || ' ' || wins || '-' || opp_wins || ' vs opp' AS situation, gf, ga
+        l="SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS rn FROM team_games QUALIFY rn <= 10", f="""SELECT team, gf, ga, games, last_wins, CASE WHEN w1 THEN 'W' ELSE 'L' END || coalesce(CASE WHEN w1 THEN fl ELSE fw END - 1, games) AS streak FROM (SELECT team, CAST(sum(gf) AS BIGINT) AS gf, CAST(sum(ga) AS BIGINT) AS ga, count(*) AS games,
+          count(*) FILTER (result = 'W') AS last_wins, arg_min(result = 'W', rn) AS w1, min(rn) FILTER (result = 'W') AS fw, min(rn) FILTER (result <> 'W') AS fl FROM l GROUP BY 1)""")
+    + """SELECT team, CASE WHEN wins >= 4 OR opp_wins >= 4 THEN 'won series' WHEN wins > opp_wins THEN 'leads' WHEN wins < opp_wins THEN 'trails' ELSE 'tied' END || ' ' || wins || '-' || opp_wins || ' vs opp' AS situation, gf, ga, games, last_wins, streak
 FROM last JOIN f USING (team) WHERE round = (SELECT r FROM cur) AND NOT (opp_wins >= 4)""",
 )
 def k36(t):
@@ -399,8 +400,8 @@ def k36(t):
     complete = (F.col("wins") >= 4) | (F.col("opp_wins") >= 4)
     alive = newest.where((F.col("round") == current) & ~(F.col("opp_wins") >= 4))
     form = reports.last_n_form(t.team_games, 10)
-    return alive.join(form.drop("wins"), "team").select(
-        "team", text.series_text(F.col("wins"), F.col("opp_wins"), F.lit("opp"), complete).alias("situation"), "gf", "ga"
+    return alive.join(form.withColumnRenamed("wins", "last_wins"), "team").select(
+        "team", text.series_text(F.col("wins"), F.col("opp_wins"), F.lit("opp"), complete).alias("situation"), "gf", "ga", "games", "last_wins", "streak"
     )
 
 

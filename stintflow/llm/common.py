@@ -24,6 +24,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def id_text(column: str) -> Column:
+    """An id as text for its way through pandas, where a null among whole numbers would make them floats."""
+    return F.col(column).cast("string")
+
+
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     """Write ``df`` with a number per row and go on from the table, so the number never changes."""
     return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))

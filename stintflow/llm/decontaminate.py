@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import KEY, key_of, text_of, with_key, with_row
+from stintflow.llm.common import KEY, id_text, key_of, text_of, with_key, with_row
 from stintflow.llm.wordscan import Words, chunks, mix
 from stintflow.session import cut_lineage
 
@@ -82,7 +82,7 @@ def _bitmap(shingles: DataFrame) -> np.ndarray:
     bit = F.shiftrightunsigned(F.col("shingle"), 64 - BITMAP_BITS)
     marks = shingles.select(bit.alias("bit")).distinct().withColumn("segment", F.expr(f"bit div {segment}"))
     out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for row in marks.groupBy("segment").applyInPandas(merge, "segment bigint, bits binary").toLocalIterator():
+    for row in marks.groupBy("segment").applyInPandas(merge, "segment bigint, bits binary").collect():
         at = row["segment"] * segment // 8
         out[at : at + segment // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
@@ -155,8 +155,8 @@ def decontaminate(
     that is null is the empty string; rows of one item id are one item. Repeated documents get a row
     each. With an empty benchmark nothing is hit. Other columns are not read, whatever their names.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    id_type = docs.schema[id_col].dataType
+    texts = docs.select(id_text(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), text_of(item_text_col).alias("text")
     )
@@ -187,8 +187,8 @@ def decontaminate(
     scanned = with_row(
         texts.mapInPandas(
             _candidates(spark.sparkContext.broadcast(wanted), sizes),
-            f"doc_id {id_type}, text_key bigint, n_words bigint, found {CANDIDATES}",
-        )
+            f"doc_id string, text_key bigint, n_words bigint, found {CANDIDATES}",
+        ).withColumn("doc_id", F.col("doc_id").cast(id_type))
     )
     start = F.col("at") - F.col("offset")
     inside = F.array_join(F.slice(F.split("near", " "), (start - F.col("low") + 1).cast("int"), F.col("length").cast("int")), " ")

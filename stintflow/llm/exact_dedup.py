@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import SPACE, text_of, with_row
+from stintflow.llm.common import SPACE, id_text, text_of, with_row
 from stintflow.session import cut_lineage
 
 CELLS_PER_ROW = 16
@@ -81,7 +81,7 @@ def _repeat_filter(digests: DataFrame, cells: int) -> np.ndarray:
         .applyInPandas(_merge_segment, "segment bigint, bits binary")
     )
     bits = np.zeros((cells + 7) // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # at most cells / 8 bytes
         at = row["segment"] * SEGMENT // 8
         part = np.frombuffer(row["bits"], np.uint8)[: len(bits) - at]
         bits[at : at + len(part)] = part
@@ -127,8 +127,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text is the empty text, which is a text like any other. An empty table gives no rows. Other
     columns are not read, whatever their names.
     """
-    table = with_row(docs.select(F.col(id_col).alias("doc_id"), normal_digest(text_col).alias("digest")))
-    flagged = cut_lineage(flag_possible_repeats(table, max_cells))
+    id_type = docs.schema[id_col].dataType
+    table = with_row(docs.select(id_text(id_col).alias("doc_id"), normal_digest(text_col).alias("digest")))
+    flagged = cut_lineage(flag_possible_repeats(table, max_cells).withColumn("doc_id", F.col("doc_id").cast(id_type)))
     single = flagged.where(~F.col("again")).select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),

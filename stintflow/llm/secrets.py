@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import slices, text_of
+from stintflow.llm.common import id_text, slices, text_of
 
 # The plain patterns, their least lengths, and the order of kinds at one start.
 ASSIGN = re.compile(
@@ -158,10 +158,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     have no spans. Repeated rows get a row each, ids are passed on as they are, null too. Other columns are
     not read. A name keeps at most its last eight literals for later use.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    id_type = docs.schema[id_col].dataType
+    texts = docs.select(id_text(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     kind = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
-    return texts.mapInPandas(_scan, f"doc_id {id_type}, text_key bigint, spans {kind}")
+    found = texts.mapInPandas(_scan, f"doc_id string, text_key bigint, spans {kind}")
+    return found.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def listed(spans: Column) -> Column:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import KEY, key_of, slices, text_of, with_key, words
+from stintflow.llm.common import KEY, id_text, key_of, slices, text_of, with_key, words
 from stintflow.llm.components import components
 from stintflow.session import cut_lineage
 
@@ -60,9 +60,10 @@ def _add_fingerprints(batches):
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``text_key`` (xxhash64 of the text) and signed ``fp`` of every row, with its ``doc_id``."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    return texts.mapInPandas(_add_fingerprints, f"doc_id {id_type}, text_key bigint, fp bigint")
+    id_type = docs.schema["doc_id"].dataType
+    texts = docs.select(id_text("doc_id").alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    found = texts.mapInPandas(_add_fingerprints, "doc_id string, text_key bigint, fp bigint")
+    return found.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def _unite(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import slices, text_of
+from stintflow.llm.common import id_text, slices, text_of
 from stintflow.session import scratch_path
 
 FRAME_IDS = 1 << 22
@@ -184,7 +184,7 @@ def write_token_files(
         .sortWithinPartitions(*order)
     )
     schema = "part bigint, file string, n_docs bigint, n_tokens bigint, tail bigint"
-    manifest = dealt.select("doc_id", "text").mapInPandas(_write(folder, tokenizer, end_id, level), schema)
+    manifest = dealt.select(id_text("doc_id").alias("doc_id"), "text").mapInPandas(_write(folder, tokenizer, end_id, level), schema)
     manifest.write.parquet(f"{folder}/manifest")
     return folder
 
@@ -222,9 +222,8 @@ def _index(folder: str):
                     parts = [{"packed": int(f["packed"]), "size": int(f["size"]), "check": int(f["check"])} for f in mine]
                     out.append((int(doc["id"]) if doc["valid"] else None, start, tokens, row.file, offset, parts))
                     start += tokens
-                frame = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "file", "offset", "frames"])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
+                names = ["doc_id", "start", "n_tokens", "file", "offset", "frames"]
+                yield pd.DataFrame(dict(zip(names, zip(*out))) | {"doc_id": pd.array([o[0] for o in out], dtype="Int64")}, columns=names)
 
     return run
 
@@ -261,7 +260,6 @@ def _fetch(folder: str):
                             whole.append(part)
                         ids.append(b"".join(whole))
             out = batch[["doc_id", "start", "n_tokens"]].copy()
-            out["doc_id"] = out["doc_id"].astype("Int64")
             out["ids"] = ids
             yield out
 
@@ -273,8 +271,9 @@ def fetch(index: DataFrame, folder: str) -> DataFrame:
 
     ``ids`` are little-endian unsigned 32-bit integers. A frame that fails its checksum is an error.
     """
-    rows = index.select("doc_id", "start", "n_tokens", "file", "offset", "frames")
-    return rows.mapInPandas(_fetch(folder), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    rows = index.select(id_text("doc_id").alias("doc_id"), "start", "n_tokens", "file", "offset", "frames")
+    found = rows.mapInPandas(_fetch(folder), "doc_id string, start bigint, n_tokens bigint, ids binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def token_digests(fetched: DataFrame) -> DataFrame:

@@ -38,6 +38,8 @@ def corpus():
     rows = [(i, prose(rng.randint(1, 60)), f"s{i % 4}") for i in range(20)]
     rows += [(30 + i, base.replace(base.split()[5 + i], "zz", 1) if i else base, "s1") for i in range(6)]
     rows += [
+        (2**60 + 1, "an id beyond what a float holds", "s2"),
+        (2**60 + 2, "another one", "s2"),
         (50, lines, "s2"),
         (51, lines.replace(" ", "  ") + "\n" + prose(8), None),
         (52, lines.split("\n")[1] + " extra\n\n \t\n" + lines.split("\n")[2].upper(), "s2"),
@@ -365,7 +367,8 @@ def test_line_dedup(docs, empty):
         key = key - (1 << 64) if key >> 63 else key
         for n, line in enumerate((t or "").split("\n")):
             place = (i is None, -1 if i is None else i, key, n)
-            lines.append((place, {w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w}))
+            words = [w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w]
+            lines.append((place, {" ".join(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1)))}))
     gone = Counter()
     for place, words in lines:
         if words and any(p < place and w and len(w & words) * 5 >= 4 * len(w | words) for p, w in lines):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
@@ -41,7 +42,11 @@ LEAST_SCORE = 0.5
 SIGN = re.compile(r"(?<![=!<>:+\-*/%&|^~])(?::=|=>|=|:)(?!=|:|//)")
 TARGET = re.compile(r"""(?:(["'])([A-Za-z_][\w.\- ]{0,100})\1\]?|([A-Za-z_$][\w.\-$]{0,100}))(?:[ \t]*:[ \t]*[A-Za-z_][\w.\[\]]{0,40})?[ \t]*$""", re.A)
 OPERAND = re.compile(r"""[ \t]*(?:[rbuf]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|([^\s"'`,;#(){}\[\]+]+))""", re.A | re.I)
-JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\\\n|(?=[\"']))", re.A)
+JOIN = re.compile(r"[ \t]*(?:\+\s*|\.\.|\\\n|(?=[\"']))", re.A)
+JOIN_INSIDE = re.compile(r"\s*(?:[+,]\s*|\.\.\s*|\\\n\s*|(?=[\"'`]))", re.A)  # between brackets
+BLANKS, SPACES = re.compile(r"[ \t]*"), re.compile(r"\s*", re.A)
+KEYED = re.compile(r"\s*(?::|=>)", re.A)  # a key in braces has its own sign
+CLOSING = {"(": ")", "[": "]", "{": "}"}
 NAME = re.compile(r"[A-Za-z_$][\w.$]*", re.A)
 INSERT = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)", re.A)
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -79,27 +84,72 @@ def literal_score(literal: str) -> float:
     return min(1.0, 0.25 * kinds + bits / 8)
 
 
-def _operands(text: str, at: int, known: dict[str, list]) -> tuple[list[tuple[int, int]], str | None]:
-    """Spans of the literals that make up the expression at ``at``; the text if it is one bare word."""
-    spans, bare, first = [], None, True
-    while m := OPERAND.match(text, at):
+def _expression(text: str, at: int) -> list[tuple[int, int, str]]:
+    """The parts of the expression at ``at`` in order: spans that are a ``literal``, or a ``first`` or later ``word``."""
+    parts, brackets = [], []
+    at = BLANKS.match(text, at).end()
+    while True:
+        while text[at : at + 1] in CLOSING:
+            brackets.append(text[at])
+            at = SPACES.match(text, at + 1).end()
+        m = OPERAND.match(text, at)
+        if not m or brackets[-1:] == ["{"] and KEYED.match(text, m.end()):
+            return parts
         group = next((g for g in (1, 2, 3, 4) if m[g] is not None), 4)
-        if group == 4:
-            word = m[4]
-            if NAME.fullmatch(word) and word in known:
-                spans += known[word]
-            elif first:
-                spans.append(m.span(4))
-                bare = word
-        else:
-            spans.append(m.span(group))
-            for insert in INSERT.finditer(m[group]):
-                spans += known.get(insert[1] or insert[2] or insert[3], [])
-        first, at = False, m.end()
-        glue = JOIN.match(text, at)
+        parts.append((*m.span(group), "literal" if group != 4 else "word" if parts else "first"))
+        at = m.end()
+        while brackets and text.startswith(CLOSING[brackets[-1]], (end := SPACES.match(text, at).end())):
+            brackets.pop()
+            at = end + 1
+        glue = (JOIN_INSIDE if brackets else JOIN).match(text, at)
         if not glue:
-            break
+            return parts
         at = glue.end()
+
+
+def _assignments(text: str) -> list[tuple[int, str, list]]:
+    """Place, name and parts of every assignment, in order."""
+    found = []
+    for sign in SIGN.finditer(text):
+        line = text.rfind("\n", max(0, sign.start() - LOOK_BACK), sign.start()) + 1
+        low = max(line, sign.start() - LOOK_BACK)
+        target = TARGET.search(text[low : sign.start()])
+        if target and (parts := _expression(text, sign.end())):
+            found.append((sign.start(), target[2] or target[3], parts))
+    return found
+
+
+def _value(text: str, k: int, given: list[tuple[int, str, list]], named: dict[str, list[int]]) -> tuple[list[tuple[int, int]], str | None]:
+    """Spans of the literals that make up the value of assignment ``k``; the text if it is one bare word.
+
+    A name stands for its last assignment before, or else its first one after; each assignment counts once.
+    """
+
+    def meant(name: str, by: int) -> int | None:
+        its = named.get(name, [])
+        at = bisect_left(its, by)
+        if at:
+            return its[at - 1]
+        return next((x for x in its if x != by), None)
+
+    spans, bare, seen = [], None, {k}
+    todo: list = [(k, part) for part in reversed(given[k][2])]
+    while todo:
+        by, (start, end, kind) = todo.pop()
+        if kind == "literal":
+            spans.append((start, end))
+            names = [i[1] or i[2] or i[3] for i in INSERT.finditer(text, start, end)]
+        else:
+            word = text[start:end]
+            names = [word] if NAME.fullmatch(word) and meant(word, by) is not None else []
+            if not names and kind == "first":
+                spans.append((start, end))
+                bare = word if by == k else bare
+        for name in reversed(names):
+            other = meant(name, by)
+            if other is not None and other not in seen:
+                seen.add(other)
+                todo += [(other, part) for part in reversed(given[other][2])]
     return spans, bare
 
 
@@ -107,22 +157,16 @@ def named_spans(text: str) -> list[tuple[int, int, float]]:
     """Start, end and score of literals that reach a sensitive name."""
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, list] = {}
+    given = _assignments(text)
+    named: dict[str, list[int]] = {}
+    for k, (_, name, _) in enumerate(given):
+        named.setdefault(name, []).append(k)
     found: dict[tuple[int, int], float] = {}
-    for sign in SIGN.finditer(text):
-        line = text.rfind("\n", max(0, sign.start() - LOOK_BACK), sign.start()) + 1
-        low = max(line, sign.start() - LOOK_BACK)
-        target = TARGET.search(text[low : sign.start()])
-        if not target:
-            continue
-        name = target[2] or target[3]
-        spans, bare = _operands(text, sign.end(), known)
-        if not spans:
-            continue
-        known[name] = spans[-8:]
+    for k, (_, name, _) in enumerate(given):
         weight = name_score(name)
         if not weight:
             continue
+        spans, bare = _value(text, k, given, named)
         pieces = [INSERT.sub("", text[start:end]) for start, end in spans]  # a name put in counts by its own literal
         whole = literal_score("".join(pieces))  # a value put together from parts
         for (start, end), piece in zip(spans, pieces):
@@ -156,7 +200,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Offsets are code points, the end excluded; kinds are assign, access, hex and named. Null and empty texts
     have no spans. Repeated rows get a row each, ids are passed on as they are, null too. Other columns are
-    not read. A name keeps at most its last eight literals for later use.
+    not read. Names are resolved after the whole text has been read.
     """
     id_type = docs.schema[id_col].dataType
     texts = docs.select(id_text(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))

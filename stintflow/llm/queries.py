@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stintflow.llm.ball_codes import ball_codes, codebooks_digest, with_label_error
 from stintflow.llm.chat import conversation_log, digests, fold_events, render
 from stintflow.llm.common import table
 from stintflow.llm.decontaminate import decontaminate
+from stintflow.llm.divergence import source_divergence
 from stintflow.llm.exact_dedup import exact_dedup
 from stintflow.llm.line_dedup import line_dedup
 from stintflow.llm.lm import score_documents
 from stintflow.llm.mixing import plan_mix
+from stintflow.llm.projection_links import near_vectors
 from stintflow.llm.quality import classify, held_out
 from stintflow.llm.registry import QUERIES, SQL, query
 from stintflow.llm.secrets import listed, scan_secrets
@@ -194,3 +197,75 @@ def op8(spark, sf_dir):
         F.size("removed").cast("bigint").alias("n_removed"),
         F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
     )
+
+
+@query(
+    "op11_source_divergence",
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tk AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS in_lang FROM tk GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 30),
+f AS (SELECT lang, source, term, count(*) AS c FROM tk JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(x.n, 0) AS n, coalesce(v, 0) AS v, coalesce(n_lang, 0) AS n_lang FROM g
+  LEFT JOIN (SELECT lang, source, sum(c) AS n FROM f GROUP BY 1, 2) x USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS v, sum(in_lang) AS n_lang FROM kept GROUP BY 1) y USING (lang)),
+a AS (SELECT s.lang, s.source, kept.term, coalesce(c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (n + 5 * v) AS p,
+    1 + (1000000000::HUGEINT * (in_lang + 5)) // (n_lang + 5 * v) AS q
+  FROM s JOIN kept USING (lang) LEFT JOIN f ON f.lang = s.lang AND f.source = s.source AND f.term = kept.term),
+r AS (SELECT s.lang, s.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value
+  FROM s JOIN s o ON o.lang = s.lang AND o.source <> s.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM a x JOIN a y USING (lang, term) GROUP BY 1, 2, 3) z
+    ON z.lang = s.lang AND z.source = s.source AND z.item = o.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM a WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50""",
+)
+def op11(spark, sf_dir):
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+_GAP_SQL = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+
+
+def _codes_sql() -> str:
+    """Six rounds, one after the other: nearest entry of each part, then the entries' means rounded down."""
+    nearest = lambda c: f"""SELECT vec_id, p, w.e, w.d FROM (SELECT x.vec_id, x.p, min({{'d': {_GAP_SQL}, 'e': c.e}}) AS w
+  FROM x JOIN {c} c ON c.p = x.p GROUP BY 1, 2)"""
+    means = lambda a: f"""SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+  SELECT p, e, i, sum(x) AS s, count(*) AS n FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM x JOIN {a} USING (vec_id, p))
+  GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+    steps = [
+        """k AS MATERIALIZED (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
+        """x AS MATERIALIZED (SELECT vec_id, p, list_transform(embedding[p * len(embedding) // 8 + 1:(p + 1) * len(embedding) // 8],
+  lambda c: CAST(floor(4096 * c::DOUBLE) AS BIGINT)) AS v FROM k, range(8) t(p))""",
+        """c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM x
+  WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 16))""",
+    ]
+    for i in range(6):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest(f'c{i}')})")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN ({means(f'a{i}')}) m USING (p, e))")
+    steps.append(f"a6 AS MATERIALIZED ({nearest('c6')})")
+    steps.append("r AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY 1)")
+    return (
+        "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM c6) AS codebooks_sha256
+FROM r JOIN k USING (vec_id)"""
+    )
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12(spark, sf_dir):
+    coded, centres = ball_codes(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(None if centres is None else codebooks_digest(centres)).cast("string")
+    return with_label_error(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+@query("op13_embedding_near_dedup")
+def op13(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -152,18 +154,38 @@ def poisson_weight(rep: Column, key: Column) -> Column:
     return weight
 
 
+def _replicate_sums(reps: int):
+    """Per task one array per column: the sums over its clusters for all replicates at once."""
+
+    def run(batches):
+        rep = np.arange(1, reps + 1, dtype=np.int64) * 69621
+        total = None
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]])
+            for at in range(0, len(key), 1024):
+                x = (key[at : at + 1024, None] % PRIME * 48271 + rep) % PRIME
+                u = ((x * x % PRIME) * x % PRIME + 12345) % PRIME / float(PRIME)
+                drawn = np.searchsorted(POISSON_CDF, u.ravel(), "right").reshape(u.shape)
+                part = values[:, at : at + 1024] @ drawn
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([row.tolist() for row in total.T.copy()])], ["sums"]).append_column("rep", pa.array(range(1, reps + 1)))
+
+    return run
+
+
 def cluster_bootstrap(groups: DataFrame, key: str, weight: str, totals: dict[str, str], reps: int = 1000) -> DataFrame:
     """Percentile intervals of the difference of every two candidates' weighted means.
 
-    ``groups`` holds one row per cluster: its weight and one weighted sum per candidate. Replicates are
-    exploded per cluster and summed map-side, leaving ``reps`` rows for the percentiles.
+    ``groups`` holds one row per cluster: its whole-number key, its weight and one weighted sum per candidate. A task
+    adds up its clusters for all replicates at once and leaves one row per replicate; the draws are those of
+    :func:`poisson_weight`.
     """
-    drawn = groups.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
-        "_k", poisson_weight(F.col("rep"), F.col(key))
-    )
-    means = drawn.groupBy("rep").agg(
-        *[(F.sum(F.col("_k") * F.col(c)) / F.sum(F.col("_k") * F.col(weight))).alias(n) for n, c in totals.items()]
-    )
+    rows = groups.select(F.pmod(F.col(key), F.lit(PRIME)).alias("key"), F.col(weight).cast("double"), *[F.col(c).cast("double") for c in totals.values()])
+    sums = rows.mapInArrow(_replicate_sums(reps), "sums array<double>, rep bigint")
+    at = [F.sum(F.col("sums")[k]).alias(f"_s{k}") for k in range(len(totals) + 1)]
+    means = sums.groupBy("rep").agg(*at).select("rep", *[(F.col(f"_s{k}") / F.col("_s0")).alias(n) for k, n in enumerate(totals, 1)])
     names = list(totals)
     pairs = [(a, b) for i, b in enumerate(names) for a in names[i + 1 :]]
     rows = F.explode(
@@ -183,3 +205,9 @@ def step_down_choice(candidates: list[float], average: dict[float, float], ci: d
     while pick != order[0] and ci[(pick, order[order.index(pick) - 1])][1] >= 0:
         pick = order[order.index(pick) - 1]
     return pick if pick == order[0] or ci[(pick, order[0])][1] < 0 else order[0]
+
+
+def step_down(ci: DataFrame, average: dict[str, float]) -> str:
+    """:func:`step_down_choice` on the intervals of :func:`cluster_bootstrap`; the candidates' names ascend."""
+    rows = ci.collect()  # a row per pair of candidates
+    return step_down_choice(list(average), average, {(row["a"], row["b"]): (row["ci_lo"], row["ci_hi"]) for row in rows})

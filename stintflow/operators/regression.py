@@ -2,22 +2,18 @@
 
 A design row is ``(row_id, grp, y, w, terms)`` with ``terms`` an array of ``(col, val)`` holding its few
 non-zeros. The normal equations are sums over rows, so they are built by one partial aggregation over
-the pairs inside each row; rows never meet each other. The Gram matrix is solved on the driver only
-while its order is below ``MAX_DENSE``; above, conjugate gradients run on the distributed entries.
+the pairs inside each row; rows never meet each other. They stay distributed whatever their order: conjugate
+gradients run on their entries, one system here, many at once in ``block_ridge``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintflow.scale import with_ordinal
 from stintflow.session import cut_lineage, forget
 
-MAX_DENSE = 4000
 COVARIATES = 6
 # Covariate columns. 0 intercept, 1 home attacking, 2-5 score state of the attacker.
 
@@ -28,15 +24,19 @@ def column_index(members: DataFrame, member: str) -> DataFrame:
     return with_ordinal(ids, [], None, member, "_n").select(member, (F.col("_n") - 1).alias("idx"))
 
 
-def two_row_design(segments: DataFrame, index: DataFrame, n_members: int, home: str = "home_value", away: str = "away_value") -> DataFrame:
+def two_row_design(
+    segments: DataFrame, index: DataFrame, n_members: int, home: str = "home_value", away: str = "away_value", more: dict[str, tuple[str, str]] = {}
+) -> DataFrame:
     """Each segment attacked from both sides: attackers in the offence block, defenders in the defence block.
 
     ``segments`` has ``row_id, grp, home_ids, away_ids, secs, score_diff`` and the two values. The target
-    is the value per hour, the weight is the duration.
+    is the value per hour, the weight is the duration. ``more`` names further targets by their home and away value.
     """
     member = lambda ids, side: F.transform(ids, lambda m: F.struct(m.alias("member"), F.lit(side).alias("side")))
-    scalars = ["row_id", "grp", "secs", "score_diff", "_hv", "_av"]
-    spread = segments.withColumn("_hv", F.col(home)).withColumn("_av", F.col(away)).select(
+    extra = [f"_{s}_{name}" for name in more for s in "ha"]
+    scalars = ["row_id", "grp", "secs", "score_diff", "_hv", "_av", *extra]
+    named = {f"_{s}_{name}": F.col(c) for name, pair in more.items() for s, c in zip("ha", pair)}
+    spread = segments.withColumns({"_hv": F.col(home), "_av": F.col(away), **named}).select(
         *scalars, F.inline(F.concat(member("home_ids", 0), member("away_ids", 1)))
     )
     # the row's own values ride along as keys, so regrouping is the only shuffle of the rows
@@ -45,6 +45,7 @@ def two_row_design(segments: DataFrame, index: DataFrame, n_members: int, home:
         of(0).alias("home"), of(1).alias("away")
     )
     side = lambda name, off, dfn, value, diff, at_home: F.struct(
+        *[F.col(f"_{name}_{x}").alias(x) for x in more],
         F.concat(F.col("row_id").cast("string"), F.lit(name)).alias("row_id"),
         F.col(off).alias("off"),
         F.col(dfn).alias("dfn"),
@@ -68,16 +69,17 @@ def two_row_design(segments: DataFrame, index: DataFrame, n_members: int, home:
         "grp",
         (F.col("value") / F.col("secs") * 3600.0).alias("y"),
         F.col("secs").cast("double").alias("w"),
+        *[(F.col(x) / F.col("secs") * 3600.0).alias(x) for x in more],
         F.concat(fixed, block("off", COVARIATES), block("dfn", COVARIATES + n_members)).alias("terms"),
     )
 
 
-def gram(design: DataFrame, by: list[str] = []) -> DataFrame:
-    """Upper triangle of XᵀWX (``i <= j``) and, with ``j = -1``, XᵀWy; per ``by`` group when given."""
-    a = design.select(*by, "y", "w", "terms", F.explode("terms").alias("a"))
+def gram(design: DataFrame, by: list[str] = [], targets: list[str] = ["y"]) -> DataFrame:
+    """Upper triangle of XᵀWX (``i <= j``) and, with ``j = -1, -2 ...``, XᵀWy per target; per ``by`` group when given."""
+    a = design.select(*by, *targets, "w", "terms", F.explode("terms").alias("a"))
     partners = F.filter("terms", lambda t: t["col"] >= F.col("a.col"))
-    target = F.struct(F.lit(-1).cast("bigint").alias("col"), F.col("y").alias("val"))
-    pairs = a.select(*by, "w", "a", F.explode(F.concat(partners, F.array(target))).alias("b"))
+    target = [F.struct(F.lit(-k).cast("bigint").alias("col"), F.col(y).alias("val")) for k, y in enumerate(targets, 1)]
+    pairs = a.select(*by, "w", "a", F.explode(F.concat(partners, F.array(*target))).alias("b"))
     return pairs.groupBy(*by, F.col("a.col").alias("i"), F.col("b.col").alias("j")).agg(
         F.sum(F.col("w") * F.col("a.val") * F.col("b.val")).alias("v")
     )
@@ -87,109 +89,6 @@ def target_norm(design: DataFrame, by: list[str] = []) -> DataFrame:
     return design.groupBy(*by).agg(F.sum(F.col("w") * F.col("y") * F.col("y")).alias("yy"), F.sum("w").alias("sw"))
 
 
-@dataclass
-class Moments:
-    """Dense normal equations of a bounded design: A = XᵀWX, b = XᵀWy, yᵀWy and the weight sum."""
-
-    a: np.ndarray
-    b: np.ndarray
-    yy: float
-    sw: float
-
-    def minus(self, other: "Moments") -> "Moments":
-        return Moments(self.a - other.a, self.b - other.b, self.yy - other.yy, self.sw - other.sw)
-
-    def plus(self, other: "Moments") -> "Moments":
-        return Moments(self.a + other.a, self.b + other.b, self.yy + other.yy, self.sw + other.sw)
-
-    def wmse(self, beta: np.ndarray) -> float:
-        return float((self.yy - 2 * self.b @ beta + beta @ self.a @ beta) / self.sw)
-
-
-def collect_moments(design: DataFrame, order: int, by: str) -> dict:
-    """Per-group dense moments; refuses designs whose matrix would not fit."""
-    if order > MAX_DENSE:
-        raise ValueError(f"{order} columns exceed MAX_DENSE={MAX_DENSE}; use ridge_cg")
-    out: dict = {}
-    for r in target_norm(design, [by]).collect():
-        out[r[by]] = Moments(np.zeros((order, order)), np.zeros(order), r["yy"], r["sw"])
-    for r in gram(design, [by]).toLocalIterator():
-        m = out[r[by]]
-        if r["j"] < 0:
-            m.b[r["i"]] = r["v"]
-        else:
-            m.a[r["i"], r["j"]] = m.a[r["j"], r["i"]] = r["v"]
-    return out
-
-
-def total(parts) -> Moments:
-    parts = list(parts)
-    acc = parts[0]
-    for p in parts[1:]:
-        acc = acc.plus(p)
-    return acc
-
-
-def penalty(order: int, free: int = COVARIATES) -> np.ndarray:
-    mask = np.ones(order)
-    mask[:free] = 0.0
-    return mask
-
-
-def ridge(m: Moments, lam: float, mask: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
-    """Minimise weighted squared error plus ``lam`` times the penalised distance to the prior."""
-    system = m.a + lam * np.diag(mask)
-    # columns that never occur have an empty row; the diagonal keeps the free block solvable
-    empty = np.flatnonzero(np.abs(system).sum(axis=1) == 0)
-    system[empty, empty] = 1.0
-    base = np.zeros(len(m.b)) if prior is None else prior
-    return base + np.linalg.solve(system, m.b - m.a @ base)
-
-
-def cv_lambda(folds: dict, grid: list[float], mask: np.ndarray, prior: np.ndarray | None = None, tol: float = 1e-9):
-    """Mean held-out error per penalty from fold moments alone.
-
-    While the best penalty is an edge of the grid, the grid goes on by its own ratio there, until the best
-    one lies inside or a further step changes the error by less than ``tol`` of itself.
-    """
-    whole = total(folds.values())
-    scores: dict[float, float] = {}
-
-    def error(lam):
-        errs = [held.wmse(ridge(whole.minus(held), lam, mask, prior)) for held in folds.values()]
-        scores[lam] = float(np.mean(errs))
-        return scores[lam]
-
-    for lam in grid:
-        error(lam)
-    ratio = max(grid) / sorted(grid)[-2] if len(grid) > 1 else 2.0
-    while True:
-        best = min(scores, key=scores.get)
-        if best == max(scores):
-            lam = best * ratio
-        elif best == min(scores):
-            lam = best / ratio
-        else:
-            break
-        if abs(error(lam) - scores[best]) <= tol * abs(scores[best]):
-            break
-    return min(scores, key=scores.get), scores
-
-
-def kappa_test(halves: dict, folds: dict, kappas: list[float], prior: np.ndarray, grid: list[float], mask: np.ndarray) -> list[dict]:
-    """Fit on one half, score on the other, both ways, for each prior strength."""
-    rows = []
-    for kappa in kappas:
-        base = kappa * prior
-        errs, lams = [], []
-        for fit, held in ((0, 1), (1, 0)):
-            lam, _ = cv_lambda(folds[fit], grid, mask, base)
-            lams.append(lam)
-            errs.append(halves[held].wmse(ridge(halves[fit], lam, mask, base)))
-        rows.append({"kappa": kappa, "lam_first": lams[0], "lam_second": lams[1], "mse": float(np.mean(errs))})
-    return rows
-
-
 def ridge_cg(
     g: DataFrame, penalised: Column, lam: float, prior: DataFrame | None = None, steps: int = 1000, tol: float = 1e-10
 ) -> DataFrame:
@@ -245,13 +144,24 @@ def residuals(g: DataFrame, solution: DataFrame, penalised: Column, lam: float)
     return rhs.join(product, "i").join(own, "i").select("i", "b", (F.col("ax") + F.col("px") - F.col("b")).alias("gap"))
 
 
-def coefficient_table(beta: np.ndarray, index: DataFrame, n_members: int, spark) -> DataFrame:
-    """Member coefficients with the defence sign flipped so that positive is good on both sides."""
-    rows = [
-        (i, float(beta[COVARIATES + i]), -float(beta[COVARIATES + n_members + i])) for i in range(n_members)
-    ]
-    table = spark.createDataFrame(rows, "idx bigint, offense double, defense double")
-    return index.join(table, "idx").withColumn("total", F.col("offense") + F.col("defense")).drop("idx")
+def coefficient_table(coefs: DataFrame, index: DataFrame, n_members: int, names: list[str]) -> DataFrame:
+    """Member coefficients with the defence sign flipped so that positive is good on both sides.
+
+    ``coefs`` is ``i`` and the columns ``names``; each gives ``<name>_offense``, ``<name>_defense`` and ``<name>_total``.
+    """
+    placed = coefs.where(F.col("i") >= COVARIATES).select(
+        (F.pmod(F.col("i") - COVARIATES, F.lit(n_members))).alias("idx"), (F.col("i") >= COVARIATES + n_members).alias("_def"), *names
+    )
+    sides = [F.max(F.when(F.col("_def") == is_def, F.col(n) * sign)).alias(f"{n}_{side}") for n in names for side, is_def, sign in (("offense", False, 1.0), ("defense", True, -1.0))]
+    table = index.join(placed.groupBy("idx").agg(*sides), "idx")
+    return table.withColumns({f"{n}_total": F.col(f"{n}_offense") + F.col(f"{n}_defense") for n in names})
+
+
+def ordered_list(rows: DataFrame, key: str, item: str, weight: str, out: str, sep: str = "/") -> DataFrame:
+    """Per key its items by falling total weight, then by name, as one string; a key has few items."""
+    sums = rows.groupBy(key, item).agg(F.sum(weight).alias("_w"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("_w")).alias("w"), F.col(item).alias("item"))))
+    return sums.groupBy(key).agg(F.array_join(F.transform(ranked, lambda x: x["item"]), sep).alias(out))
 
 
 def impact(coefficients: DataFrame, toi: DataFrame, member: str, secs: str) -> DataFrame:
@@ -266,15 +176,3 @@ def prior_from_rates(rates: DataFrame, value: str, target_sd: float, out: str) -
     row = rates.agg(F.struct(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd")).alias("s")).scalar()
     z = F.when(F.col("_s.sd") > 0, (F.col(value) - F.col("_s.mu")) / F.col("_s.sd")).otherwise(0.0)
     return rates.withColumn("_s", row).withColumn(out, z * target_sd).drop("_s")
-
-
-def group_errors(design: DataFrame, betas: dict[str, np.ndarray]) -> DataFrame:
-    """Weight and weighted squared error per group for several coefficient vectors, in one pass."""
-    spark = design.sparkSession
-    names = list(betas)
-    rows = [(i, *[float(betas[n][i]) for n in names]) for i in range(len(betas[names[0]]))]
-    table = spark.createDataFrame(rows, "col bigint, " + ", ".join(f"`{n}` double" for n in names))
-    terms = design.select("row_id", F.explode("terms").alias("t")).select("row_id", F.col("t.col").alias("col"), F.col("t.val").alias("val"))
-    pred = terms.join(table, "col").groupBy("row_id").agg(*[F.sum(F.col("val") * F.col(f"`{n}`")).alias(n) for n in names])
-    err = lambda n: F.sum(F.col("w") * (F.col("y") - F.col(f"`{n}`")) * (F.col("y") - F.col(f"`{n}`"))).alias(n)
-    return design.select("row_id", "grp", "y", "w").join(pred, "row_id").groupBy("grp").agg(F.sum("w").alias("w"), *[err(n) for n in names])

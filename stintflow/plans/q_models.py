@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from stintflow.functions.classify import drop_reason
-from stintflow.operators import events, modeling, regression, segments
+from stintflow.operators import block_ridge, events, modeling, regression, segments
 from stintflow.operators.tables import map_with_default
-from stintflow.plans.bindings import cte
+from stintflow.plans.bindings import cte, position_of
 from stintflow.plans.q_intervals import SEG_KEYS, STINT_STATS, goal_deltas, stint_cte, stint_stats
 from stintflow.plans.registry import query
 from stintflow.plans.shape import big, r
@@ -105,6 +104,8 @@ def player_segments(t):
             "score_diff",
             F.col("home_xg_c").alias("home_value"),
             F.col("away_xg_c").alias("away_value"),
+            "home_goals",
+            "away_goals",
         )
     )
 
@@ -116,7 +117,7 @@ def player_design(t):
     index = cut_lineage(regression.column_index(members, "player_id"))
     n = index.count()
     # norms, pair sums, folds and errors each read the design
-    return cut_lineage(regression.two_row_design(rows, index, n)), index, n, rows
+    return cut_lineage(regression.two_row_design(rows, index, n, more={"goals": ("home_goals", "away_goals")})), index, n, rows
 
 
 DESIGN_CTES = {
@@ -155,100 +156,234 @@ def k9(t):
     return regression.gram(player_design(t)[0]).select("i", "j", r("v", 3, "v"))
 
 
-def fold_moments(design, n, k=5):
-    """Moments per fold of whole games."""
-    folds = modeling.assign_folds(design.select("grp"), "grp", k).select("grp", "fold")
-    return regression.collect_moments(design.join(folds, "grp"), regression.COVARIATES + 2 * n, "fold")
+GRID = [8000.0, 32000.0, 128000.0, 512000.0]
+LAMBDA = 32000.0
+KAPPA = 0.75
+KAPPAS = [0.0, 0.25, 0.5, 0.75, 1.0]
+FOLDS = 5
+WIDEN = 2
+PENALISED = F.col("i") >= regression.COVARIATES
+
+
+def units_per_hour(design):
+    """Targets in whole units, from hundredths."""
+    return design.withColumn("y", F.col("y") / 100.0)
+
 
+def slope_prior(n, name="prior", low=-5.0, high=5.0):
+    """``i, prior``: a prior that rises along the index, for both blocks; covariates have none."""
+    step = (high - low) / (2 * n - 1)
+    return lambda spark: spark.range(2 * n).select((F.col("id") + regression.COVARIATES).alias("i"), (F.lit(low) + F.col("id") * step).alias(name))
 
-GRID = [500.0, 2000.0, 8000.0, 32000.0]
-LAMBDA = 8000.0
 
+FOLDS_CTE = """SELECT game_id, CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS fold FROM (
+  SELECT game_id, row_number() OVER (ORDER BY count(*) DESC, game_id) - 1 AS p FROM base GROUP BY 1)"""
 
-def slope_prior(n):
-    """A prior that rises along the index, for both blocks; covariates have none."""
-    return np.concatenate([np.zeros(regression.COVARIATES), np.linspace(-0.5, 0.5, 2 * n)])
+# What the ridge twins share: targets of whole units, parts, sums per subset of parts, and conjugate gradients step by step.
+RIDGE_CTES = {
+    "tp": "SELECT t.id, t.w, t.v, t.col, p.part FROM terms t JOIN parts p ON p.game_id = CAST(split_part(t.id, '-', 1) AS BIGINT)",
+    "gp": "SELECT a.part, a.col AS i, b.col AS j, sum(a.w)::DOUBLE AS v FROM tp a JOIN tp b ON a.id = b.id GROUP BY 1, 2, 3",
+    "bp": "SELECT part, col AS i, sum(v) * 36e0 AS b FROM tp GROUP BY 1, 2",
+    "e": "SELECT u, i, j, sum(v) AS v FROM gp JOIN subsets USING (part) GROUP BY 1, 2, 3",
+    "prior": "SELECT 6 + k AS i, -5 + k * (10e0 / (2 * n - 1)) AS v FROM (SELECT unnest(range(2 * n)) AS k, n FROM (SELECT max(n) AS n FROM ix))",
+    "cols": "SELECT DISTINCT i FROM gp",
+}
+CG_STEPS = 60
+
+
+def cg_ctes(systems: str, rhs: str) -> dict[str, str]:
+    """CTEs up to ``sol``: ``s, i, x``; ``systems`` selects ``s, u, lam, kind`` and ``rhs`` selects ``u, kind, i, b``."""
+    step = {
+        "systems": systems,
+        "rhs": rhs,
+        "z0": """SELECT *, CASE WHEN d > 0 THEN r / d ELSE 0 END AS p FROM (
+  SELECT s, y.u, lam, c.i, (c.i >= 6)::BIGINT AS pen, coalesce(e.v, 0) + lam * (c.i >= 6)::BIGINT AS d, 0e0 AS x, coalesce(b, 0e0) AS r
+  FROM systems y CROSS JOIN cols c LEFT JOIN e ON e.u = y.u AND e.i = c.i AND e.j = c.i LEFT JOIN rhs ON rhs.u = y.u AND rhs.kind = y.kind AND rhs.i = c.i)""",
+    }
+    for k in range(CG_STEPS):
+        step[f"m{k}"] = f"SELECT s, e.i, sum(e.v * z.p) AS m FROM z{k} z JOIN e ON e.u = z.u AND e.j = z.i GROUP BY 1, 2"
+        step[f"q{k}"] = f"SELECT z.*, coalesce(m, 0) + z.lam * z.pen * z.p AS q FROM z{k} z LEFT JOIN m{k} m ON m.s = z.s AND m.i = z.i"
+        step[f"a{k}"] = f"SELECT s, sum(CASE WHEN d > 0 THEN r * r / d ELSE 0 END) AS rr, sum(p * q) AS pq FROM q{k} GROUP BY 1"
+        step[f"n{k}"] = f"""SELECT q.s, u, lam, i, pen, d, x + al * p AS x, r - al * q AS r, p, rr FROM q{k} q
+  JOIN (SELECT s, rr, CASE WHEN pq > 0 THEN rr / pq ELSE 0 END AS al FROM a{k}) USING (s)"""
+        step[f"z{k + 1}"] = f"""SELECT s, u, lam, i, pen, d, x, r, CASE WHEN d > 0 THEN r / d ELSE 0 END + be * p AS p FROM n{k} JOIN (
+  SELECT s, CASE WHEN max(rr) > 0 THEN sum(CASE WHEN d > 0 THEN r * r / d ELSE 0 END) / max(rr) ELSE 0 END AS be FROM n{k} GROUP BY 1) USING (s)"""
+    return step | {"sol": f"SELECT s, i, x FROM z{CG_STEPS}"}
+
+
+def ridge_cte(parts: str, subsets: str, systems: str, rhs: str, **more: str) -> str:
+    """The chain of CTEs from the design to the solutions, each evaluated once."""
+    chain = stint_cte(**DESIGN_CTES, parts=parts, subsets=subsets, **RIDGE_CTES, **cg_ctes(systems, rhs), **more)
+    return chain.replace(" AS (", " AS MATERIALIZED (")
 
 
 @query(
     "k9_k13_ridge_with_prior",
-    stint_cte(**DESIGN_CTES)
-    + """SELECT m AS player_id, CAST(sum(w) AS BIGINT) AS toi, true AS solved, true AS sums FROM (
-  SELECT w, CAST(unnest(string_split(o || ',' || e, ',')) AS BIGINT) AS m FROM rws WHERE h = 1) GROUP BY 1""",
+    ridge_cte(
+        "SELECT DISTINCT game_id, 0 AS part FROM base",
+        "SELECT 0 AS u, 0 AS part",
+        f"SELECT s, 0 AS u, {LAMBDA}e0 AS lam, kind FROM (VALUES (0, 'y'), (1, 'prior'), (2, 'goals')) t(s, kind)",
+        """SELECT 0 AS u, 'y' AS kind, i, b FROM bp UNION ALL SELECT 0, 'prior', e.i, sum(e.v * p.v) FROM e JOIN prior p ON p.i = e.j GROUP BY e.i
+  UNION ALL SELECT 0, 'goals', col, CAST(sum(CASE WHEN right(id, 1) = 'h' THEN home_goals ELSE away_goals END) AS BIGINT) * 3600e0
+    FROM terms JOIN base ON rid = left(id, length(id) - 1) GROUP BY col""",
+        beta=f"""SELECT s.i, max(x) FILTER (s = 0) + {KAPPA} * (coalesce(max(p.v), 0) - max(x) FILTER (s = 1)) AS xg,
+  max(x) FILTER (s = 2) AS goals, coalesce(max(p.v), 0) AS prior FROM sol s LEFT JOIN prior p USING (i) GROUP BY 1""",
+        toi="""SELECT m, CAST(sum(duration_secs) AS BIGINT) AS toi FROM (SELECT duration_secs, CAST(unnest(string_split(home_ids || ',' || away_ids, ',')) AS BIGINT) AS m FROM base) GROUP BY 1""",
+        tm="""SELECT m, string_agg(team, '/' ORDER BY secs DESC, team) AS teams FROM (SELECT m, team, sum(duration_secs) AS secs FROM (
+    SELECT duration_secs, m, m % 2 || '-' || (game_id // 100000000000) % 100 AS team
+    FROM (SELECT game_id, duration_secs, CAST(unnest(string_split(home_ids || ',' || away_ids, ',')) AS BIGINT) AS m FROM base)) GROUP BY 1, 2) GROUP BY 1""",
+    )
+    + """SELECT ix.m AS player_id, c_name AS name, CASE ix.m % 10 WHEN 0 THEN 'G' WHEN 1 THEN 'D' WHEN 2 THEN 'D' WHEN 3 THEN 'D' WHEN 4 THEN 'C' WHEN 5 THEN 'C'
+    WHEN 6 THEN 'C' WHEN 7 THEN 'L' WHEN 8 THEN 'L' ELSE 'R' END AS position, teams, round(toi / 60e0, 1) AS toi_min,
+  round(o.xg, 4) AS offense, round(-d.xg, 4) AS defense, round(o.xg - d.xg, 4) AS total, round((o.xg - d.xg) * toi / 3600, 4) AS total_impact,
+  round(o.prior, 4) AS prior_offense, round(-d.prior, 4) AS prior_defense, round(o.prior - d.prior, 4) AS prior_total,
+  round(o.goals, 4) AS goals_offense, round(-d.goals, 4) AS goals_defense, round(o.goals - d.goals, 4) AS goals_total
+FROM ix JOIN beta o ON o.i = 6 + idx JOIN beta d ON d.i = 6 + n + idx JOIN toi ON toi.m = ix.m JOIN tm ON tm.m = ix.m LEFT JOIN customer ON c_custkey = ix.m""",
 )
 def k9r(t):
     design, index, n, rows = player_design(t)
-    whole = regression.total(fold_moments(design, n).values())
-    order = regression.COVARIATES + 2 * n
-    mask, prior = regression.penalty(order), 0.75 * slope_prior(n)
-    beta = regression.ridge(whole, LAMBDA, mask, prior)
-    gap = np.abs(whole.a @ beta + LAMBDA * mask * (beta - prior) - whole.b)
-    solved = gap < 1e-6 * np.maximum(1.0, np.abs(whole.b).max())
-    both = [(i, bool(solved[regression.COVARIATES + i] and solved[regression.COVARIATES + n + i])) for i in range(n)]
-    toi = rows.select("secs", F.explode(F.concat("home_ids", "away_ids")).alias("player_id")).groupBy("player_id").agg(F.sum("secs").alias("toi"))
-    table = regression.coefficient_table(beta, index, n, t.spark)
-    table = regression.impact(table, toi, "player_id", "toi").join(index, "player_id")
-    sums = F.abs(F.col("total_impact") - (F.col("offense") + F.col("defense")) * F.col("toi") / 3600.0) < 1e-9 * (1 + F.abs("total_impact"))
-    return table.join(t.spark.createDataFrame(both, "idx bigint, solved boolean"), "idx").select(
-        "player_id", big("toi"), "solved", sums.alias("sums")
+    goals = design.select("row_id", "grp", "w", "terms", (F.col("y") / 100.0).alias("y"), "goals").withColumn("part", F.lit(0).cast("bigint"))
+    prior = slope_prior(n)(t.spark)
+    moments = cut_lineage(regression.gram(goals, ["part"], ["y", "goals"]).withColumnRenamed("part", "u"))
+    entries = cut_lineage(block_ridge.both_triangles(moments))
+    solution = block_ridge.solve(entries, block_ridge.right_sides(moments, entries, [-1, "prior", -2], prior), [LAMBDA] * 3, PENALISED)
+    fit = solution.join(prior, "i", "left").fillna(0.0, ["prior"]).select(
+        "i", (F.col("x")[0] + KAPPA * (F.col("prior") - F.col("x")[1])).alias("xg"), F.col("x")[2].alias("goals"), "prior"
     )
+    table = regression.coefficient_table(fit, index, n, ["xg", "prior", "goals"])
+    spread = rows.select("grp", "secs", F.explode(F.concat("home_ids", "away_ids")).alias("player_id"))
+    toi = spread.groupBy("player_id").agg(F.sum("secs").alias("toi"))
+    team = F.concat_ws("-", F.col("player_id") % 2, F.expr("grp div 100000000000") % 100)
+    teams = regression.ordered_list(spread.withColumn("team", team), "player_id", "team", "secs", "teams")
+    named = t.customer.select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"))
+    table = table.withColumn("total", F.col("xg_total"))
+    table = regression.impact(table, toi, "player_id", "toi").join(teams, "player_id").join(named, "player_id", "left")
+    rounded = {"xg_offense": "offense", "xg_defense": "defense", "total": "total", "total_impact": "total_impact"}
+    rounded |= {f"{a}_{b}": f"{a}_{b}" for a in ("prior", "goals") for b in ("offense", "defense", "total")}
+    return table.select(
+        "player_id", "name", position_of("player_id").alias("position"), "teams", r(F.col("toi") / 60.0, 1, "toi_min"),
+        *[r(c, 4, out) for c, out in rounded.items()],
+    )
 
 
 @query("k9_ridge_conjugate_gradient", stint_cte(**DESIGN_CTES) + "SELECT DISTINCT col AS i, true AS solved FROM terms")
 def k9cg(t):
     g = cut_lineage(regression.gram(player_design(t)[0]))
     penalised = F.col("i") >= regression.COVARIATES
-    left = regression.residuals(g, regression.ridge_cg(g, penalised, LAMBDA, tol=1e-8), penalised, LAMBDA)
+    left = regression.residuals(g, regression.ridge_cg(g, penalised, 8000.0, tol=1e-8), penalised, 8000.0)
     scale = left.agg(F.max(F.abs("b")).alias("m")).scalar()
     return left.select("i", (F.abs("gap") <= 1e-6 * scale).alias("solved"))
 
 
-FOLDS_CTE = """SELECT game_id, CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS fold FROM (
-  SELECT game_id, row_number() OVER (ORDER BY count(*) DESC, game_id) - 1 AS p FROM base GROUP BY 1)"""
+
+def fold_parts(design, halves=None):
+    """The design with a part per fold, or per (half, fold) where ``halves`` has ``grp, is_early``."""
+    folds = modeling.assign_folds(design.select("grp"), "grp", FOLDS).select("grp", F.col("fold").alias("part"))
+    tagged = units_per_hour(design).join(folds, "grp")
+    if halves is None:
+        return cut_lineage(tagged)
+    tagged = tagged.join(halves.select("grp", "is_early"), "grp").withColumn("half", F.when(F.col("is_early"), 0).otherwise(1).cast("bigint"))
+    return cut_lineage(tagged.withColumn("part", F.col("part") + FOLDS * F.col("half")))
+
+
+def part_moments(tagged):
+    return cut_lineage(regression.gram(tagged, ["part"])), cut_lineage(regression.target_norm(tagged, ["part"]))
+
+
+# the grid goes on upwards at most WIDEN times; all of these are fitted by the twin
+WIDE = [*GRID, *[GRID[-1] * 4.0**k for k in range(1, WIDEN + 1)]]
+
+
+def walk_sql(by: str) -> dict[str, str]:
+    """From ``errs`` (cell, kappa, lam, err) the penalties that the widening grid reaches and the best per ``by``."""
+    out = {"r0": f"SELECT * FROM errs WHERE lam <= {GRID[-1]}"}
+    for k in range(WIDEN):
+        out[f"r{k + 1}"] = f"""SELECT * FROM r{k} UNION ALL SELECT * FROM errs WHERE lam = {WIDE[len(GRID) + k]} AND EXISTS (
+  SELECT 1 FROM (SELECT arg_min(lam, err) AS b FROM r{k} GROUP BY {by}) WHERE b = {WIDE[len(GRID) + k - 1]})"""
+    return out | {"best": f"SELECT {by}, arg_min(lam, err) AS lam FROM r{WIDEN} GROUP BY {by}"}
+
+
+LAMS_SQL = "(VALUES " + ", ".join(f"({k}, {lam}e0)" for k, lam in enumerate(WIDE)) + ") l(k, lam)"
 
 
 @query(
     "k10_ridge_cv_wmse",
-    stint_cte(**DESIGN_CTES, folds=FOLDS_CTE)
-    + """SELECT fold, 2 * count(*) AS n_rows, 2 * CAST(sum(duration_secs) AS BIGINT) AS weight, true AS inside, true AS lowest FROM base JOIN folds USING (game_id) GROUP BY 1""",
+    ridge_cte(
+        f"SELECT game_id, fold AS part FROM ({FOLDS_CTE})",
+        "SELECT a AS u, b AS part FROM range(5) x(a), range(5) y(b) WHERE a <> b",
+        f"SELECT u * 100 + k AS s, u, lam, 'y' AS kind FROM range(5) x(u), {LAMS_SQL}",
+        "SELECT u, 'y' AS kind, i, sum(b) AS b FROM bp JOIN subsets USING (part) GROUP BY 1, 3",
+        pred="SELECT s, id, any_value(w) AS w, any_value(tp.v) AS v, sum(x) AS p FROM sol JOIN tp ON tp.part = s // 100 AND tp.col = sol.i GROUP BY 1, 2",
+        fe="SELECT s // 100 AS fold, lam, sum(w * (v * 36e0 / w - p) ** 2) / sum(w) AS err, sum(w) AS weight, count(*) AS n FROM pred JOIN systems USING (s) GROUP BY 1, 2",
+        errs="SELECT 0 AS cell, lam, avg(err) AS err FROM fe GROUP BY lam",
+        **walk_sql("cell"),
+    )
+    + """SELECT lam, fold, n AS n_rows, CAST(weight AS BIGINT) AS weight, round(fe.err, 3) AS wmse, round(r.err, 3) AS mean_wmse, best.lam = r.lam AS chosen
+FROM fe JOIN r"""
+    + str(WIDEN)
+    + """ r USING (lam), best""",
 )
 def k10(t):
+    tagged = fold_parts(player_design(t)[0])
+    g, norms = part_moments(tagged)
+    found = block_ridge.search(g, norms, {0: list(range(FOLDS))}, GRID, PENALISED, widen=WIDEN)
+    rows = [
+        (lam, part, err, found.errors[cell, lam, kappa], found.best[cell, kappa] == lam)
+        for (cell, lam, kappa), each in found.folds.items()
+        for part, err in each.items()
+    ]
+    scores = t.spark.createDataFrame(rows, "lam double, fold bigint, wmse double, mean_wmse double, chosen boolean")
+    sizes = tagged.groupBy(F.col("part").alias("fold")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("w").cast("bigint").alias("weight"))
+    return scores.join(sizes, "fold").select("lam", "fold", "n_rows", "weight", r("wmse", 3, "wmse"), r("mean_wmse", 3, "mean_wmse"), "chosen")
+
+
+def two_way(t):
+    """The prior-strength test of the halves by date, with the design it ran on."""
     design, _, n, _ = player_design(t)
-    folds = modeling.assign_folds(design.select("grp"), "grp", 5).select("grp", "fold")
-    moments = regression.collect_moments(design.join(folds, "grp"), regression.COVARIATES + 2 * n, "fold")
-    best, scores = regression.cv_lambda(moments, GRID, regression.penalty(regression.COVARIATES + 2 * n))
-    edge = [scores[best] - scores[x] for x in (min(scores), max(scores)) if x != best]
-    inside = len(edge) == 2 or abs(sorted(scores.values())[1] - scores[best]) <= 1e-9 * scores[best]
-    sizes = design.join(folds, "grp").groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("w").cast("bigint").alias("weight"))
-    lowest = all(scores[best] <= v for v in scores.values()) and set(GRID) <= set(scores)
-    return sizes.withColumn("inside", F.lit(inside)).withColumn("lowest", F.lit(lowest))
-
-
-def half_fold_moments(design, n, k=5):
-    """Moments per (half by date, fold) and per half."""
     games = design.select("grp").distinct().withColumn("day", F.expr("grp div 1000000000"))
-    halves = modeling.chronological_split(games, "grp", "day", 0.5)
-    folds = modeling.assign_folds(design.select("grp"), "grp", k).select("grp", "fold")
-    tagged = design.join(halves, "grp").join(folds, "grp").withColumn(
-        "part", F.when(F.col("is_early"), F.col("fold")).otherwise(F.col("fold") + k)
-    )
-    parts = regression.collect_moments(tagged, regression.COVARIATES + 2 * n, "part")
-    by_half = {0: {p: m for p, m in parts.items() if p < k}, 1: {p: m for p, m in parts.items() if p >= k}}
-    return {h: regression.total(m.values()) for h, m in by_half.items()}, by_half
-
-
-KAPPAS = [0.0, 0.25, 0.5, 0.75, 1.0]
+    tagged = fold_parts(design, modeling.chronological_split(games, "grp", "day", 0.5))
+    g, norms = part_moments(tagged)
+    cells = {0: list(range(FOLDS)), 1: list(range(FOLDS, 2 * FOLDS))}
+    return tagged, block_ridge.two_way_test(g, norms, cells, GRID, PENALISED, KAPPAS, slope_prior(n)(t.spark), WIDEN)
+
+
+HALVES_SQL = f"""SELECT game_id, fold + 5 * half AS part FROM ({FOLDS_CTE}) JOIN (
+  SELECT game_id, CASE WHEN row_number() OVER (ORDER BY game_id // 1000000000, game_id) <= floor(count(*) OVER () * 0.5) THEN 0 ELSE 1 END AS half
+  FROM (SELECT DISTINCT game_id FROM base)) USING (game_id)"""
+# subsets 0 and 1 are the halves, 2 + p all other folds of part p's half
+TWO_WAY_CTE = ridge_cte(
+    HALVES_SQL,
+    """SELECT part // 5 AS u, part FROM range(10) p(part) UNION ALL
+  SELECT 2 + a, b FROM range(10) x(a), range(10) y(b) WHERE a <> b AND a // 5 = b // 5""",
+    f"SELECT u * 1000 + k * 10 + kk AS s, u, lam, kind FROM range(12) x(u), {LAMS_SQL}, (VALUES (0, 'y'), (1, 'prior')) z(kk, kind)",
+    """SELECT u, 'y' AS kind, i, sum(b) AS b FROM bp JOIN subsets USING (part) GROUP BY 1, 3
+  UNION ALL SELECT u, 'prior', e.i, sum(e.v * p.v) FROM e JOIN prior p ON p.i = e.j GROUP BY u, e.i""",
+    kap="SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS kappa",
+    beta="""SELECT y.u, y.lam, kappa, a.i, a.x + kappa * (coalesce(p.v, 0) - b.x) AS x FROM sol a JOIN systems y ON y.s = a.s AND y.kind = 'y'
+  JOIN sol b ON b.s = a.s + 1 AND b.i = a.i LEFT JOIN prior p ON p.i = a.i, kap""",
+    quad="""SELECT b.u, b.lam, b.kappa, g.part, sum(g.v * b.x * c.x) AS q FROM gp g JOIN beta b ON b.i = g.i AND b.u = g.part + 2
+  JOIN beta c ON c.i = g.j AND c.u = b.u AND c.lam = b.lam AND c.kappa = b.kappa GROUP BY 1, 2, 3, 4""",
+    lin="SELECT b.u, b.lam, b.kappa, sum(g.b * b.x) AS l FROM bp g JOIN beta b ON b.i = g.i AND b.u = g.part + 2 GROUP BY 1, 2, 3",
+    nrm="SELECT part, sum(w) AS sw, sum(v * 36e0 * v * 36e0 / w) AS yy FROM (SELECT DISTINCT part, id, w, v FROM tp) GROUP BY 1",
+    errs="SELECT part // 5 AS cell, lam, kappa, avg((yy - 2 * l + q) / sw) AS err FROM quad JOIN lin USING (u, lam, kappa) JOIN nrm USING (part) GROUP BY 1, 2, 3",
+    **walk_sql("cell, kappa"),
+    fit="SELECT cell, kappa, i, x FROM best JOIN beta ON u = cell AND beta.lam = best.lam AND beta.kappa = best.kappa".replace("kappa, i", "best.kappa, i"),
+    pred="""SELECT cell, kappa, id, any_value(CAST(split_part(id, '-', 1) AS BIGINT)) AS game_id, any_value(w) AS w, any_value(v) AS v, sum(x) AS p
+  FROM fit JOIN tp ON tp.part // 5 <> cell AND tp.col = fit.i GROUP BY 1, 2, 3""",
+)
 
 
-@query("k10_prior_strength_test", "SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS kappa, true AS fitted, true AS no_prior_is_first")
+@query(
+    "k10_prior_strength_test",
+    TWO_WAY_CTE
+    + """SELECT kappa, max(lam) FILTER (cell = 0) AS lam_first, max(lam) FILTER (cell = 1) AS lam_second, round(avg(mse), 3) AS mse FROM (
+  SELECT cell, kappa, sum(w * (v * 36e0 / w - p) ** 2) / sum(w) AS mse FROM pred GROUP BY 1, 2) JOIN best USING (cell, kappa) GROUP BY 1""",
+)
 def k10k(t):
-    design, _, n, _ = player_design(t)
-    halves, folds = half_fold_moments(design, n)
-    rows = regression.kappa_test(halves, folds, KAPPAS, slope_prior(n), GRID, regression.penalty(regression.COVARIATES + 2 * n))
-    plain = regression.kappa_test(halves, folds, [0.0], 0 * slope_prior(n), GRID, regression.penalty(regression.COVARIATES + 2 * n))[0]
-    same = abs(rows[0]["mse"] - plain["mse"]) <= 1e-12 * plain["mse"]
-    out = [(x["kappa"], bool(0 < x["mse"] < float("inf") and x["lam_first"] > 0 and x["lam_second"] > 0), same) for x in rows]
-    return t.spark.createDataFrame(out, "kappa double, fitted boolean, no_prior_is_first boolean")
+    _, test = two_way(t)
+    rows = [(k, test.search.best[0, k], test.search.best[1, k], test.errors[n]) for n, k in enumerate(KAPPAS)]
+    out = t.spark.createDataFrame(rows, "kappa double, lam_first double, lam_second double, mse double")
+    return out.select("kappa", "lam_first", "lam_second", r("mse", 3, "mse"))
 
 
 @query(
@@ -261,41 +396,111 @@ def k12(t):
     return regression.prior_from_rates(rates, "rate", 0.25, "prior").select("player_id", r("prior", 6, "prior"))
 
 
-@query("k14_cluster_bootstrap_ci")
-def k14(t):
-    design, _, n, _ = player_design(t)
-    whole = regression.total(fold_moments(design, n).values())
-    mask = regression.penalty(regression.COVARIATES + 2 * n)
-    betas = {f"lam_{int(lam)}": regression.ridge(whole, lam, mask) for lam in GRID[:3]}
-    errors = regression.group_errors(design, betas)
-    return modeling.cluster_bootstrap(errors, "grp", "w", {n: n for n in betas}, reps=1000)
-
-
 # the draw of modeling.poisson_weight in SQL
 DRAW_SQL = "(c_custkey % 2147483647 * 48271 + rep * 69621) % 2147483647"
 
 
+def replicate_ctes(source: str, reps: int, names: str) -> dict[str, str]:
+    """CTE ``m``: per replicate the weighted mean of each of the columns ``names`` of ``source`` (c_custkey, w, ...)."""
+    means = ", ".join(f"sum(k * {c})::DOUBLE / sum(k * w)::DOUBLE AS {c}" for c in names)
+    cases = " ".join(f"WHEN u < {c!r}e0 THEN {i}" for i, c in enumerate(modeling.POISSON_CDF))
+    return {
+        "dr": f"SELECT *, {DRAW_SQL} AS x FROM {source}, range(1, {reps + 1}) r(rep)",
+        "un": "SELECT *, ((x * x % 2147483647) * x % 2147483647 + 12345) % 2147483647 / 2147483647e0 AS u FROM dr",
+        "kk": f"SELECT *, CASE {cases} ELSE {len(modeling.POISSON_CDF)} END AS k FROM un",
+        "m": f"SELECT rep, {means} FROM kk GROUP BY 1",
+    }
+
+
+def step_down_ctes(names: str) -> dict[str, str]:
+    """CTE ``pick``: the walk down from the best of ``avgs`` (one row), over ``ci`` (a, b, ci_lo, ci_hi); names ascend."""
+    least = f"list_position([{', '.join(names)}], least({', '.join(names)}))"
+    order = f"[{', '.join(repr(n) for n in names)}]"
+    return {
+        "start": f"SELECT {least} AS spot FROM avgs",
+        "stay": f"SELECT max(n) AS n FROM (SELECT unnest(range(1, {len(names) + 1})) AS n), start WHERE n <= spot AND (n = 1 OR "
+        f"(SELECT ci_hi FROM ci WHERE a = {order}[n] AND b = {order}[n - 1]) < 0)",
+        "pick": f"SELECT CASE WHEN n = 1 OR (SELECT ci_hi FROM ci WHERE a = {order}[n] AND b = {order}[1]) < 0 THEN {order}[n] ELSE {order}[1] END AS chosen FROM stay",
+    }
+
+
+def pairs_sql(names: str) -> str:
+    rows = [f"SELECT '{b}' AS a, '{a}' AS b, {b} - {a} AS d FROM m" for i, a in enumerate(names) for b in names[i + 1 :]]
+    return f"SELECT a, b, avg(d) AS mean, quantile_cont(d, 0.025) AS ci_lo, quantile_cont(d, 0.975) AS ci_hi FROM ({' UNION ALL '.join(rows)}) GROUP BY 1, 2"
+
+
+STRENGTHS = "abcde"  # one letter per strength
+
+
 @query(
-    "k14_bootstrap_of_orders",
-    f"""WITH g AS (SELECT o_custkey AS c_custkey, count(*) AS w, CAST(sum(o_orderkey % 97) AS BIGINT) AS a, CAST(sum(o_orderkey % 89) AS BIGINT) AS b, CAST(sum(o_orderkey % 83) AS BIGINT) AS c FROM orders GROUP BY 1),
-d AS (SELECT *, {DRAW_SQL} AS x FROM g, range(1, 201) r(rep)),
-u AS (SELECT *, ((x * x % 2147483647) * x % 2147483647 + 12345) % 2147483647 / 2147483647e0 AS u FROM d),
-k AS (SELECT *, CASE """
-    + " ".join(f"WHEN u < {c!r}e0 THEN {i}" for i, c in enumerate(modeling.POISSON_CDF))
-    + f""" ELSE {len(modeling.POISSON_CDF)} END AS k FROM u),
-m AS (SELECT rep, sum(k * a)::DOUBLE / sum(k * w)::DOUBLE AS a, sum(k * b)::DOUBLE / sum(k * w)::DOUBLE AS b, sum(k * c)::DOUBLE / sum(k * w)::DOUBLE AS c FROM k GROUP BY 1),
-p AS (SELECT 'b' AS a, 'a' AS b, b - a AS d FROM m UNION ALL SELECT 'c', 'a', c - a FROM m UNION ALL SELECT 'c', 'b', c - b FROM m)
-SELECT a, b, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi FROM p GROUP BY 1, 2""",
+    "k14_cluster_bootstrap_ci",
+    TWO_WAY_CTE.rstrip()
+    + ", "
+    + ", ".join(
+        f"{n} AS MATERIALIZED ({q})"
+        for n, q in {
+            "ge": "SELECT game_id AS c_custkey, max(gw) AS w, "
+            + ", ".join(f"max(ge) FILTER (kappa = {k}) AS {c}" for c, k in zip(STRENGTHS, KAPPAS))
+            + " FROM (SELECT game_id, kappa, sum(w) AS gw, sum(w * (v * 36e0 / w - p) ** 2) AS ge FROM pred GROUP BY 1, 2) GROUP BY 1",
+            **replicate_ctes("ge", 1000, STRENGTHS),
+            "ci": pairs_sql(STRENGTHS),
+            "avgs": "SELECT "
+            + ", ".join(f"avg(mse) FILTER (kappa = {k}) AS {c}" for c, k in zip(STRENGTHS, KAPPAS))
+            + " FROM (SELECT cell, kappa, sum(w * (v * 36e0 / w - p) ** 2) / sum(w) AS mse FROM pred GROUP BY 1, 2)",
+            **step_down_ctes(STRENGTHS),
+        }.items()
+    )
+    + " SELECT a, b, round(mean, 3) AS mean, round(ci_lo, 3) AS ci_lo, round(ci_hi, 3) AS ci_hi, chosen FROM ci, pick",
 )
-def k14o(t):
+def k14(t):
+    tagged, test = two_way(t)
+    scored_by = [test.coefs[1 - half].withColumn("half", F.lit(half).cast("bigint")) for half in (0, 1)]
+    errors = cut_lineage(block_ridge.group_errors(tagged, scored_by[0].unionByName(scored_by[1]), len(KAPPAS), ["half"]))
+    names = {c: f"e{k}" for k, c in enumerate(STRENGTHS)}
+    ci = cut_lineage(modeling.cluster_bootstrap(errors, "grp", "w", names, reps=1000))
+    chosen = modeling.step_down(ci, dict(zip(STRENGTHS, test.errors)))
+    return ci.select("a", "b", *[r(c, 3, c) for c in ("mean", "ci_lo", "ci_hi")], F.lit(chosen).alias("chosen"))
+
+
+ORDER_SUMS = """SELECT o_custkey AS c_custkey, count(*) AS w, CAST(sum(o_orderkey % 97) AS BIGINT) AS a, CAST(sum(o_orderkey % 89) AS BIGINT) AS b,
+  CAST(sum(o_orderkey % 83) AS BIGINT) AS c FROM orders GROUP BY 1"""
+
+
+def order_sums(t):
     k = F.col("o_orderkey")
-    groups = t.orders.groupBy("o_custkey").agg(
+    return t.orders.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("w"), F.sum(k % 97).alias("a"), F.sum(k % 89).alias("b"), F.sum(k % 83).alias("c")
     )
-    ci = modeling.cluster_bootstrap(groups, "o_custkey", "w", {n: n for n in "abc"}, reps=200)
+
+
+@query(
+    "k14_bootstrap_of_orders",
+    "WITH " + ", ".join(f"{n} AS ({q})" for n, q in {"g": ORDER_SUMS, **replicate_ctes("g", 200, "abc"), "ci": pairs_sql("abc")}.items())
+    + " SELECT a, b, round(mean, 6) AS mean, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM ci",
+)
+def k14o(t):
+    ci = modeling.cluster_bootstrap(order_sums(t), "o_custkey", "w", {n: n for n in "abc"}, reps=200)
     return ci.select("a", "b", *[r(c, 6, c) for c in ("mean", "ci_lo", "ci_hi")])
 
 
+@query(
+    "k14_step_down_choice",
+    "WITH " + ", ".join(
+        f"{n} AS ({q})"
+        for n, q in {
+            "g": ORDER_SUMS, **replicate_ctes("g", 500, "abc"), "ci": pairs_sql("abc"),
+            "avgs": "SELECT sum(a)::DOUBLE / sum(w) AS a, sum(b)::DOUBLE / sum(w) AS b, sum(c)::DOUBLE / sum(w) AS c FROM g", **step_down_ctes("abc"),
+        }.items()
+    )
+    + " SELECT a, b, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, chosen FROM ci, pick",
+)
+def k14s(t):
+    groups = cut_lineage(order_sums(t))
+    ci = cut_lineage(modeling.cluster_bootstrap(groups, "o_custkey", "w", {n: n for n in "abc"}, reps=500))
+    means = groups.agg(*[(F.sum(c) / F.sum("w")).alias(c) for c in "abc"]).first().asDict()
+    return ci.select("a", "b", r("ci_lo", 6, "ci_lo"), r("ci_hi", 6, "ci_hi"), F.lit(modeling.step_down(ci, means)).alias("chosen"))
+
+
 FEATURES = ["qty", "disc", "tax", "price", "line", "month"]
 SMALL = modeling.BoostParams(trees=12, depth=4)  # the default has 400 trees of depth 5
 

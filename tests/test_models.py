@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stintflow.operators import modeling, regression
+from stintflow.operators import block_ridge, modeling, regression
 from stintflow.operators.ratings import shrink
 
 
@@ -27,18 +27,49 @@ def closed_form(x, y, w, lam, mask, prior):
     return prior + np.linalg.solve(a, x.T @ (w * (y - x @ prior)))
 
 
-@pytest.mark.parametrize("lam", [1.0, 50.0])
-@pytest.mark.parametrize("kappa", [0.0, 0.75])
-def test_ridge_with_prior(small, lam, kappa):
+def penalty(order, free):
+    return (np.arange(order) >= free).astype(float)
+
+
+def prior_table(spark, prior):
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(prior)], "i bigint, prior double")
+
+
+def moments_of(design):
+    parted = design.withColumn("part", F.col("grp"))
+    return regression.gram(parted, ["part"]).cache(), regression.target_norm(parted, ["part"]).cache()
+
+
+def test_many_systems_at_once(small, spark):
+    """Subsets, penalties and a prior in one run, one column missing from a subset, going on from a start."""
     x, y, w, design = small
-    order = x.shape[1]
-    mask = regression.penalty(order, 3)
-    prior = kappa * np.linspace(-1, 1, order)
-    m = regression.total(regression.collect_moments(design, order, "grp").values())
-    beta = regression.ridge(m, lam, mask, prior)
-    np.testing.assert_allclose(beta, closed_form(x, y, w, lam, mask, prior), atol=1e-9)
-    resid = y - x @ beta
-    assert m.wmse(beta) == pytest.approx(float((w * resid**2).sum() / w.sum()))
+    order, grp, prior = x.shape[1], np.arange(len(y)) % 4, np.linspace(-1, 1, x.shape[1])
+    g, _ = moments_of(design.where("NOT (grp = 3 AND exists(terms, t -> t.col = 11))").unionByName(design.where("grp = 3 AND exists(terms, t -> t.col = 11)").withColumn("grp", F.lit(9).cast("bigint"))))
+    lone = (grp == 3) & (x[:, 11] > 0)
+    subsets = {0: [0, 1, 2, 3, 9], 1: [0, 1], 5: [3]}
+    rows = {0: np.ones(len(y), bool), 1: grp < 2, 5: (grp == 3) & ~lone}
+    moments = block_ridge.subset_moments(g, subsets)
+    entries = block_ridge.both_triangles(moments)
+    rhs = block_ridge.right_sides(moments, entries, [-1, -1, "prior", "prior"], prior_table(spark, prior))
+    penalised = F.col("i") >= 3
+    for start in (None, block_ridge.solve(entries, rhs, [2.0, 60.0, 2.0, 60.0], penalised, tol=1e-3)):
+        got = block_ridge.solve(entries, rhs, [1.0, 50.0, 1.0, 50.0], penalised, start)
+        fits = block_ridge._coefficients(got, [(0, 0.0), (1, 0.0), (0, 0.75), (1, 0.75)], 2, prior_table(spark, prior))
+        beta = {u: np.zeros((order, 4)) for u in subsets}
+        for r in fits.collect():
+            beta[r.u][r.i] = r.beta
+        for u, m in rows.items():
+            for k, (lam, kappa) in enumerate([(1.0, 0.0), (50.0, 0.0), (1.0, 0.75), (50.0, 0.75)]):
+                want = closed_form(x[m], y[m], w[m], lam, penalty(order, 3), kappa * prior)
+                np.testing.assert_allclose(beta[u][:, k], want, atol=1e-7)
+
+
+def test_no_convergence_is_an_error(small):
+    g, _ = moments_of(small[3])
+    moments = block_ridge.subset_moments(g, {0: [0, 1, 2, 3]})
+    entries = block_ridge.both_triangles(moments)
+    with pytest.raises(ArithmeticError):
+        block_ridge.solve(entries, block_ridge.right_sides(moments, entries, [-1]), [1.0], F.col("i") >= 3, steps=2)
 
 
 def test_conjugate_gradient_equals_direct_solution(small, spark):
@@ -48,27 +79,56 @@ def test_conjugate_gradient_equals_direct_solution(small, spark):
     table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(prior)], "i bigint, prior double")
     out = regression.ridge_cg(regression.gram(design), F.col("i") >= 3, 20.0, table, steps=30, tol=1e-9)
     got = np.array([r.x for r in out.orderBy("i").collect()])
-    np.testing.assert_allclose(got, closed_form(x, y, w, 20.0, regression.penalty(order, 3), prior), atol=1e-6)
+    np.testing.assert_allclose(got, closed_form(x, y, w, 20.0, penalty(order, 3), prior), atol=1e-6)
 
 
-def test_cv_error_equals_refitting_each_fold(small):
-    x, y, w, design = small
-    order = x.shape[1]
-    mask = regression.penalty(order, 3)
-    folds = regression.collect_moments(design, order, "grp")
-    _, scores = regression.cv_lambda(folds, [10.0], mask)
-    grp = np.arange(len(y)) % 4
+def refit_errors(x, y, w, grp, parts, lam, kappa, prior):
     errs = []
-    for k in range(4):
-        beta = closed_form(x[grp != k], y[grp != k], w[grp != k], 10.0, mask, np.zeros(order))
-        r = y[grp == k] - x[grp == k] @ beta
-        errs.append((w[grp == k] * r**2).sum() / w[grp == k].sum())
-    assert scores[10.0] == pytest.approx(np.mean(errs))
+    for k in parts:
+        fit, held = np.isin(grp, parts) & (grp != k), grp == k
+        beta = closed_form(x[fit], y[fit], w[fit], lam, penalty(x.shape[1], 3), kappa * prior)
+        errs.append((w[held] * (y[held] - x[held] @ beta) ** 2).sum() / w[held].sum())
+    return np.mean(errs)
+
 
+def test_search_equals_refitting_each_fold(small, spark):
+    x, y, w, design = small
+    grp, prior = np.arange(len(y)) % 4, np.linspace(-1, 1, x.shape[1])
+    g, norms = moments_of(design)
+    found = block_ridge.search(g, norms, {0: [0, 1, 2, 3]}, [1.0, 4.0], F.col("i") >= 3, [0.0, 1.0], prior_table(spark, prior), widen=2)
+    for (cell, lam, kappa), err in found.errors.items():
+        assert err == pytest.approx(refit_errors(x, y, w, grp, [0, 1, 2, 3], lam, kappa, prior), rel=1e-8)
+    assert len({lam for _, lam, _ in found.errors}) == 4  # the best is beyond the upper edge
+    for kappa in (0.0, 1.0):
+        assert found.best[0, kappa] == min((err, lam) for (_, lam, k), err in found.errors.items() if k == kappa)[1]
 
-def test_wide_designs_are_refused(small):
-    with pytest.raises(ValueError):
-        regression.collect_moments(small[3], regression.MAX_DENSE + 1, "grp")
+
+def test_two_way_test_and_group_errors(small, spark):
+    x, y, w, design = small
+    grp, prior, kappas = np.arange(len(y)) % 4, np.linspace(-1, 1, x.shape[1]), [0.0, 0.5]
+    g, norms = moments_of(design)
+    test = block_ridge.two_way_test(g, norms, {0: [0, 1], 1: [2, 3]}, [1.0, 8.0, 64.0], F.col("i") >= 3, kappas, prior_table(spark, prior), widen=1)
+    halved = design.withColumn("half", F.floor(F.col("grp") / 2))
+    scored = [test.coefs[1 - h].withColumn("half", F.lit(h).cast("bigint")) for h in (0, 1)]
+    groups = {r.grp: r for r in block_ridge.group_errors(halved, scored[0].unionByName(scored[1]), 2, ["half"]).collect()}
+    for n, kappa in enumerate(kappas):
+        ways = []
+        for fit, held in ((grp < 2, grp >= 2), (grp >= 2, grp < 2)):
+            lam = test.search.best[0 if fit[0] else 1, kappa]
+            beta = closed_form(x[fit], y[fit], w[fit], lam, penalty(x.shape[1], 3), kappa * prior)
+            gap = w * (y - x @ beta) ** 2
+            ways.append(gap[held].sum() / w[held].sum())
+            for k in set(grp[held].tolist()):
+                assert groups[k][f"e{n}"] == pytest.approx(gap[grp == k].sum())
+        assert test.errors[n] == pytest.approx(np.mean(ways))
+
+
+def test_two_targets_and_ordered_lists(small, spark):
+    design = small[3].withColumn("z", F.col("y") * 2)
+    got = {(r.i, r.j): r.v for r in regression.gram(design, [], ["y", "z"]).collect()}
+    assert all(got[i, -2] == pytest.approx(2 * v) for (i, j), v in got.items() if j == -1)
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 5), (1, "c", 4), (1, "b", 2), (2, "z", 1)], "k int, t string, s int")
+    assert {r.k: r.ts for r in regression.ordered_list(rows, "k", "t", "s", "ts").collect()} == {1: "a/b/c", 2: "z"}
 
 
 def test_two_row_design(spark):
@@ -108,6 +168,14 @@ def test_bootstrap_interval_covers_a_clear_gap(spark):
     assert (ci.a, ci.b) == ("b", "a") and 0.9 < ci.ci_lo < ci.mean < ci.ci_hi < 1.1
 
 
+def test_replicates_are_the_column_draws(spark):
+    groups = spark.createDataFrame([(2**40 + i * 7, 1.0 + i % 3, float(i)) for i in range(50)], "g bigint, w double, a double").withColumn("b", F.col("a") * F.col("w"))
+    drawn = groups.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("k", modeling.poisson_weight(F.col("rep"), F.col("g")))
+    diff = sorted(r.d for r in drawn.groupBy("rep").agg((F.sum(F.col("k") * (F.col("b") - F.col("a"))) / F.sum(F.col("k") * F.col("w"))).alias("d")).collect())
+    ci = modeling.cluster_bootstrap(groups, "g", "w", {"a": "a", "b": "b"}, reps=40).first()
+    assert ci["mean"] == pytest.approx(np.mean(diff)) and ci.ci_lo == pytest.approx(np.percentile(diff, 2.5))
+
+
 def test_step_down_choice():
     avg = {0.0: 5.0, 0.5: 4.0, 1.0: 3.9}
     near, clear = (-0.2, 0.1), (-2.0, -0.5)

@@ -35,10 +35,10 @@ MOJIBAKE = "[ÃÂ�]"
 def fold(value: Column) -> Column:
     """Lower-case ASCII of the compatibility decomposition; what has none is dropped."""
     single, plain, several = _folding()
-    signs = F.lit("[" + "".join(several) + "]")
     table = F.map_from_arrays(F.split(F.lit("\n".join(several)), "\n"), F.split(F.lit("\n".join(several.values())), "\n"))
     spelled = F.array_join(F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    whole = F.when(F.rlike(value, signs), spelled).otherwise(value)
+    # one pass each: first for any letter beyond ASCII, then for one that becomes several
+    whole = F.when(value.rlike("[^\\x00-\\x7F]") & (F.translate(value, "".join(several), "") != value), spelled).otherwise(value)
     return F.lower(F.regexp_replace(F.translate(whole, single, plain), "[^\\x00-\\x7F]+", ""))
 
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintflow.scale import quantiles, value_ranks, with_ordinal
+from stintflow.scale import Running, positions, quantiles, range_placed, running, value_ranks, with_ordinal
+from stintflow.session import cut_lineage, forget
 
 
 @dataclass(frozen=True)
@@ -60,9 +63,15 @@ def chronological_split(groups: DataFrame, group: str, day: str, share: float) -
 
 def train_boosted(
     df: DataFrame, features: list[str], label: str, params: BoostParams = BoostParams(),
-    weight: str | None = None, stop_flag: str | None = None,
+    weight: str | None = None, stop_flag: str | None = None, categorical: list[str] = [],
 ) -> PipelineModel:
-    """Gradient-boosted trees; ``stop_flag`` marks rows that only decide when to stop."""
+    """Gradient-boosted trees; ``stop_flag`` marks rows that only decide when to stop.
+
+    ``categorical`` columns are indexed by falling frequency and split as sets of values; a value that training did
+    not see is one more category.
+    """
+    names = [f"_{c}_index" for c in categorical]
+    stages = [StringIndexer(inputCols=categorical, outputCols=names, handleInvalid="keep")] if categorical else []
     gbt = GBTClassifier(
         featuresCol="_features", labelCol=label, maxIter=params.trees, maxDepth=params.depth,
         stepSize=params.step, seed=params.seed,
@@ -71,8 +80,8 @@ def train_boosted(
         gbt = gbt.setWeightCol(weight)
     if stop_flag:
         gbt = gbt.setValidationIndicatorCol(stop_flag)
-    assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
-    return Pipeline(stages=[assembler, gbt]).fit(df)
+    assembler = VectorAssembler(inputCols=[*features, *names], outputCol="_features", handleInvalid="keep")
+    return Pipeline(stages=[*stages, assembler, gbt]).fit(df)
 
 
 def score(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
@@ -82,28 +91,55 @@ def score(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
 
 def out_of_fold(
     df: DataFrame, fold: str, k: int, features: list[str], label: str, params: BoostParams = BoostParams(),
-    context: DataFrame | None = None, out: str = "oof",
+    context: DataFrame | None = None, out: str = "oof", stop_flag: str | None = None,
 ) -> DataFrame:
     """Score each fold with a model trained on the other folds plus a fixed context pool."""
     parts = None
+    used = [*features, label, *([stop_flag] if stop_flag else [])]
     for i in range(k):
-        train = df.where(F.col(fold) != i).select(*features, label)
+        train = df.where(F.col(fold) != i).select(*used)
         if context is not None:
-            train = train.unionByName(context.select(*features, label))
-        part = score(train_boosted(train, features, label, params), df.where(F.col(fold) == i), out)
+            train = train.unionByName(context.select(*used))
+        part = score(train_boosted(train, features, label, params, stop_flag=stop_flag), df.where(F.col(fold) == i), out)
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
+@dataclass(frozen=True)
+class Trial:
+    """One parameter set: held-out log loss and trees kept per fold."""
+
+    params: BoostParams
+    folds: list[tuple[float, int]]
+
+    @property
+    def mean(self) -> float:
+        return sum(loss for loss, _ in self.folds) / len(self.folds)
+
+
 def grid_by_group_cv(
-    df: DataFrame, fold: str, k: int, features: list[str], label: str, grid: list[BoostParams]
-) -> list[tuple[BoostParams, float]]:
-    """Out-of-fold log loss per parameter set, best first."""
-    results = []
-    for params in grid:
-        oof = out_of_fold(df, fold, k, features, label, params)
-        results.append((params, oof.agg(log_loss("oof", label).alias("l")).first()["l"]))
-    return sorted(results, key=lambda r: r[1])
+    df: DataFrame, fold: str, k: int, features: list[str], label: str, grid: list[BoostParams], weight: str | None = None,
+    group: str | None = None, stop_share: float = 0.15, categorical: list[str] = [], parallel: int = 4,
+) -> list[Trial]:
+    """Held-out log loss per parameter set and fold, best set first; fits run ``parallel`` at a time.
+
+    With ``group``, that share of the training groups of a fold, picked by hash, only decides when to stop. The loss
+    is not weighted, the fits are.
+    """
+    stop = F.lit(False) if group is None else F.pmod(F.xxhash64(F.lit("stop"), group), F.lit(1000)) < int(stop_share * 1000)
+    rows = df.withColumn("_stop", stop)
+
+    def fit(job):
+        params, held = job
+        train = rows.where(F.col(fold) != held)
+        model = train_boosted(train, features, label, params, weight, "_stop" if group else None, categorical)
+        scored = score(model, rows.where(F.col(fold) == held), "_p")
+        return scored.agg(log_loss("_p", label).alias("l")).first()["l"], model.stages[-1].getNumTrees
+
+    jobs = [(params, held) for params in grid for held in range(k)]
+    with ThreadPoolExecutor(parallel) as pool:
+        done = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), jobs))
+    return sorted((Trial(params, done[at * k : at * k + k]) for at, params in enumerate(grid)), key=lambda x: x.mean)
 
 
 def feature_importance(model: PipelineModel, features: list[str], spark) -> DataFrame:
@@ -117,23 +153,61 @@ def what_if(model: PipelineModel, df: DataFrame, column: str, value, by: str) ->
     return score(model, changed, "p").groupBy(by).agg(F.avg("p").alias("mean_p"), F.count(F.lit(1)).alias("n"))
 
 
-def isotonic(df: DataFrame, p: str, y: str, digits: int | None = None):
-    """Isotonic calibrator fitted on weighted score groups, one per distinct score.
+def _pool_adjacent(rows: pd.DataFrame) -> pd.DataFrame:
+    """Blocks in order of ``lo``, neighbours pooled until their means rise; means are compared as whole fractions."""
+    rows = rows.sort_values("lo")
+    out: list[list] = []
+    for lo, hi, w, y in zip(rows["lo"].tolist(), rows["hi"].tolist(), rows["w"].tolist(), rows["y"].tolist()):
+        out.append([lo, hi, w, y])
+        while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
+            _, hi, w, y = out.pop()
+            out[-1] = [out[-1][0], hi, out[-1][2] + w, out[-1][3] + y]
+    lo, hi, w, y = zip(*out)
+    return pd.DataFrame({"range": rows["range"].iloc[0], "lo": lo, "hi": hi, "w": w, "y": y, "level": np.array(y, float) / np.array(w, float)})
 
-    Fit it on scores of rows that the model did not see. The fit gathers its groups; ``digits`` pools the
-    scores at that many decimals where there are too many distinct ones for that.
-    """
-    score = F.col(p) if digits is None else F.round(p, digits)
-    pooled = df.groupBy(score.alias("_p")).agg(
-        F.avg(F.col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
-    )
-    model = IsotonicRegression(featuresCol="_p", labelCol="_y", weightCol="_w", predictionCol="_cal")
-    return model.fit(pooled)
 
+_BLOCKS = "range bigint, lo double, hi double, w double, y double, level double"
 
-def apply_isotonic(model, df: DataFrame, p: str, out: str, digits: int | None = None) -> DataFrame:
-    scored = model.transform(df.withColumn("_p", F.col(p) if digits is None else F.round(p, digits)))
-    return scored.select(*df.columns, F.col("_cal").alias(out))
+
+def isotonic(df: DataFrame, p: str, y: str) -> DataFrame:
+    """Rising levels of ``y`` over the score: blocks ``lo, hi, w, y, level``, written; fit on scores of unseen rows.
+
+    Equal scores are counted first. Each range of the scores is pooled by itself; then ranges are merged two by two,
+    and of two ranges only the blocks meet whose levels the other one's overlap, as no others can be pooled.
+    """
+    known = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("lo")).agg(
+        F.count(F.lit(1)).cast("double").alias("w"), F.sum(F.col(y).cast("double")).alias("y")
+    )
+    placed = range_placed(known, [F.col("lo")]).select(F.col("_part").cast("bigint").alias("range"), "lo", F.col("lo").alias("hi"), "w", "y")
+    blocks = cut_lineage(placed.groupBy("range").applyInPandas(_pool_adjacent, _BLOCKS))
+    span, parts = 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while span < parts:
+        sided = blocks.withColumn("pair", F.floor(F.col("range") / (2 * span))).withColumn("left", F.floor(F.col("range") / span) % 2 == 0)
+        ends = sided.groupBy("pair").agg(F.max(F.when(F.col("left"), F.col("level"))).alias("top"), F.min(F.when(~F.col("left"), F.col("level"))).alias("bottom"))
+        joined = sided.join(ends, "pair")
+        border = F.coalesce(F.when(F.col("left"), F.col("level") >= F.col("bottom")).otherwise(F.col("level") <= F.col("top")), F.lit(False))
+        names = [c.split()[0] for c in _BLOCKS.split(", ")]
+        met = joined.where(border).groupBy("pair").applyInPandas(_pool_adjacent, _BLOCKS)
+        merged = cut_lineage(joined.where(~border).select(*names).unionByName(met))
+        forget(blocks)
+        blocks, span = merged, 2 * span
+    return blocks.select("lo", "hi", "w", "y", "level")
+
+
+def apply_isotonic(blocks: DataFrame, df: DataFrame, p: str, out: str) -> DataFrame:
+    """Add the level of each score: of the block it lies in, on the line between two blocks, or of the nearest end."""
+    placed = positions(blocks.select("lo", "hi", "level"), [F.col("lo")], "_n")
+    after = placed.select((F.col("_n") - 1).alias("_n"), F.col("lo").alias("next_lo"), F.col("level").alias("next_level"))
+    steps = placed.join(after, "_n", "left").select(F.col("lo").alias("x"), F.lit(0).alias("kind"), F.struct("hi", "level", "next_lo", "next_level").alias("s"))
+    scores = df.where(F.col(p).isNotNull()).select(F.col(p).cast("double").alias("x")).distinct()
+    line = range_placed(steps.unionByName(scores.withColumn("kind", F.lit(1)).withColumn("s", F.lit(None).cast(steps.schema["s"].dataType))), [F.col("x"), F.col("kind")])
+    found = running(line, [], F.col("_part"), ["_at"], {"b": Running("last", F.col("s"), inclusive=True)}).where("kind = 1")
+    first = placed.agg(F.min_by("level", "lo").alias("l")).scalar()
+    slope = (F.col("b.next_level") - F.col("b.level")) / (F.col("b.next_lo") - F.col("b.hi"))
+    inside = (F.col("x") <= F.col("b.hi")) | F.col("b.next_lo").isNull()
+    level = F.when(F.col("b").isNull(), first).when(inside, F.col("b.level")).otherwise(F.col("b.level") + slope * (F.col("x") - F.col("b.hi")))
+    levels = cut_lineage(found.select(F.col("x").alias("_x"), level.alias(out)))
+    return df.join(levels, F.col(p).cast("double") == F.col("_x"), "left").drop("_x")
 
 
 # Cumulative Poisson(1) probabilities.

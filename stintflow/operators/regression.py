@@ -74,6 +74,53 @@ def two_row_design(
     )
 
 
+# Half the weight beyond a lead of this many; the largest goalie adjustment per hour.
+FAR_LEAD, FAR_WEIGHT = 3, 0.5
+
+
+def seasons_design(
+    segments: DataFrame, index: DataFrame, n_members: int, goalies: DataFrame, weights: dict[int, float],
+    default_weight: float, cap: float,
+) -> DataFrame:
+    """Several seasons in one design, with rows weighted by season and score and defence targets free of the goalie.
+
+    ``segments`` is as for :func:`two_row_design`, with ``season, home_goalie, away_goalie``; ``goalies`` is
+    ``goalie, adjust``, saved value above average per hour. A row has an offence target ``y`` (own value per hour) and
+    a defence target ``y_against``: the value conceded per hour less the own goalie's part, which is held within
+    ``cap`` and never takes the target below zero. There are no covariates: columns 0 and up are the offence block,
+    those from ``n_members`` the defence block; members missing from ``index`` have no column.
+    """
+    season = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("season")]
+    weight = F.coalesce(season, F.lit(default_weight)) * F.when(F.abs("score_diff") > FAR_LEAD, FAR_WEIGHT).otherwise(1.0)
+    held = goalies.select("goalie", F.greatest(F.lit(-cap), F.least(F.lit(cap), F.col("adjust"))).alias("_a"))
+    rows = segments.where("secs > 0")
+    for side in ("home", "away"):
+        rows = rows.join(held.toDF(f"{side}_goalie", f"_{side}"), f"{side}_goalie", "left").fillna(0.0, [f"_{side}"])
+    hourly = lambda c: F.col(c) / F.col("secs") * 3600.0
+    rows = rows.select(
+        "row_id", "grp", "home_ids", "away_ids", weight.alias("w"), hourly("home_value").alias("_h"), hourly("away_value").alias("_v"), "_home", "_away"
+    )
+    member = lambda ids, side: F.transform(ids, lambda m: F.struct(m.alias("member"), F.lit(side).alias("side")))
+    scalars = ["row_id", "grp", "w", "_h", "_v", "_home", "_away"]
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("idx")))
+    # an outer join: a segment none of whose members has a column still gives its two rows
+    indexed = (
+        rows.select(*scalars, F.inline(F.concat(member("home_ids", 0), member("away_ids", 1))))
+        .join(index.toDF("member", "idx"), "member", "left")
+        .groupBy(*scalars)
+        .agg(of(0).alias("home"), of(1).alias("away"))
+    )
+    block = lambda ids, base: F.transform(ids, lambda i: F.struct((i + base).cast("bigint").alias("col"), F.lit(1.0).alias("val")))
+    row = lambda mark, off, dfn, own, other, adjust: F.struct(
+        F.concat(F.col("row_id").cast("string"), F.lit(mark)).alias("row_id"),
+        F.col(own).alias("y"),
+        F.greatest(F.lit(0.0), F.col(other) - F.col(adjust)).alias("y_against"),
+        F.concat(block(off, 0), block(dfn, n_members)).alias("terms"),
+    )
+    both = F.array(row("h", "home", "away", "_h", "_v", "_home"), row("a", "away", "home", "_v", "_h", "_away"))
+    return indexed.select("grp", "w", F.inline(both))
+
+
 def gram(design: DataFrame, by: list[str] = [], targets: list[str] = ["y"]) -> DataFrame:
     """Upper triangle of XᵀWX (``i <= j``) and, with ``j = -1, -2 ...``, XᵀWy per target; per ``by`` group when given."""
     a = design.select(*by, *targets, "w", "terms", F.explode("terms").alias("a"))

@@ -11,6 +11,7 @@ from stintflow.plans.bindings import cte, position_of
 from stintflow.plans.q_intervals import SEG_KEYS, STINT_STATS, goal_deltas, stint_cte, stint_stats
 from stintflow.plans.registry import query
 from stintflow.plans.shape import big, r
+from stintflow.scale import Running, range_placed, running
 from stintflow.session import cut_lineage
 
 TYPE_OF = {"purchase": "goal", "click": "shot-on-goal", "view": "missed-shot", "signup": "faceoff", "error": "hit"}
@@ -106,6 +107,8 @@ def player_segments(t):
             F.col("away_xg_c").alias("away_value"),
             "home_goals",
             "away_goals",
+            "home_goalie",
+            "away_goalie",
         )
     )
 
@@ -156,6 +159,37 @@ def k9(t):
     return regression.gram(player_design(t)[0]).select("i", "j", r("v", 3, "v"))
 
 
+SEASON_WEIGHTS = {0: 1.0, 1: 0.75}  # the third season has the default
+LEAST_SECS = 40000
+
+
+@query(
+    "k8_seasons_design",
+    stint_cte(
+        **DESIGN_CTES,
+        mt="SELECT m, sum(duration_secs) AS toi FROM (SELECT duration_secs, CAST(unnest(string_split(home_ids || ',' || away_ids, ',')) AS BIGINT) AS m FROM base) GROUP BY 1",
+        qx=f"SELECT m, row_number() OVER (ORDER BY m) - 1 AS idx, count(*) OVER () AS n FROM mt WHERE toi >= {LEAST_SECS}",
+        sg="""SELECT *, CASE (game_id // 1000000000) % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 0.75e0 ELSE 0.5e0 END * CASE WHEN abs(d) > 3 THEN 0.5e0 ELSE 1 END AS w,
+  greatest(-3000, least(3000, coalesce(((home_goalie * 7) % 11 - 5) * 1000, 0))) AS hg, greatest(-3000, least(3000, coalesce(((away_goalie * 7) % 11 - 5) * 1000, 0))) AS ag,
+  home_xg_c / duration_secs::DOUBLE * 3600 AS hv, away_xg_c / duration_secs::DOUBLE * 3600 AS av FROM base""",
+        tw="""SELECT rid || 'h' AS id, w, hv AS y, greatest(0, av - hg) AS z, home_ids AS o, away_ids AS e FROM sg
+  UNION ALL SELECT rid || 'a', w, av, greatest(0, hv - ag), away_ids, home_ids FROM sg""",
+        tt="""SELECT id, w, y, z, idx AS col FROM (SELECT *, CAST(unnest(string_split(o, ',')) AS BIGINT) AS m FROM tw) JOIN qx USING (m)
+  UNION ALL SELECT id, w, y, z, n + idx FROM (SELECT *, CAST(unnest(string_split(e, ',')) AS BIGINT) AS m FROM tw) JOIN qx USING (m)""",
+    )
+    + """SELECT a.col AS i, b.col AS j, round(sum(a.w), 3) AS v FROM tt a JOIN tt b ON a.id = b.id AND a.col <= b.col GROUP BY 1, 2
+UNION ALL SELECT col, -1, round(sum(w * y), 3) FROM tt GROUP BY 1 UNION ALL SELECT col, -2, round(sum(w * z), 3) FROM tt GROUP BY 1""",
+)
+def k8s(t):
+    rows = player_segments(t).withColumn("season", F.expr("int((grp div 1000000000) % 3)"))
+    spread = rows.select("secs", F.explode(F.concat("home_ids", "away_ids")).alias("player_id"))
+    members = spread.groupBy("player_id").agg(F.sum("secs").alias("toi")).where(F.col("toi") >= LEAST_SECS)
+    index = cut_lineage(regression.column_index(members, "player_id"))
+    goalies = t.goalies.select(F.col("player_id").alias("goalie"), (((F.col("player_id") * 7) % 11 - 5) * 1000.0).alias("adjust"))
+    design = regression.seasons_design(rows, index, index.count(), goalies, SEASON_WEIGHTS, 0.5, 3000.0)
+    return regression.gram(design, [], ["y", "y_against"]).select("i", "j", r("v", 3, "v"))
+
+
 GRID = [8000.0, 32000.0, 128000.0, 512000.0]
 LAMBDA = 32000.0
 KAPPA = 0.75
@@ -502,7 +536,7 @@ def k14s(t):
 
 
 FEATURES = ["qty", "disc", "tax", "price", "line", "month"]
-SMALL = modeling.BoostParams(trees=12, depth=4)  # the default has 400 trees of depth 5
+WHOLE = modeling.BoostParams()  # up to 400 trees of depth 5; rows with is_stop end the training early
 
 
 def returns(t):
@@ -520,6 +554,8 @@ def returns(t):
         F.month("l_shipdate").cast("double").alias("month"),
         (F.col("l_orderkey") % 10 == 0).alias("is_stop"),
         F.col("l_orderkey").alias("okey"),
+        F.col("l_partkey").alias("part"),
+        F.year("l_shipdate").alias("year"),
     )
 
 
@@ -538,7 +574,7 @@ def base_loss(rows):
 )
 def k16(t):
     rows = returns(t)
-    model = modeling.train_boosted(rows, FEATURES, "label", SMALL, stop_flag="is_stop")
+    model = modeling.train_boosted(rows, FEATURES, "label", WHOLE, stop_flag="is_stop")
     scored = cut_lineage(modeling.score(model, rows, "p"))
     loss = scored.agg(modeling.log_loss("p", "label").alias("l")).scalar()
     return scored.groupBy("l_linestatus").agg(
@@ -548,11 +584,30 @@ def k16(t):
     )
 
 
-def scored_out_of_fold(t):
-    """Line items scored by models that did not see their order."""
+TRIALS = [modeling.BoostParams(depth=d, step=step) for d in (4, 5) for step in (0.05, 0.1)]
+
+
+@query("k16_grid_by_group_cv")
+def k16g(t):
+    """Default-size boosting over a grid, each fold stopping early on whole orders of its own, recent rows heavier."""
+    brands = t.part.select(F.col("p_partkey").alias("part"), "p_brand")
+    rows = returns(t).join(brands, "part").withColumn("weight", F.when(F.col("year") >= 1996, 1.0).otherwise(0.5))
+    folds = modeling.assign_folds(rows.select("grp"), "grp", 5).select("grp", "fold")
+    folded = cut_lineage(rows.join(folds, "grp"))
+    results = modeling.grid_by_group_cv(folded, "fold", 5, FEATURES, "label", TRIALS, weight="weight", group="grp", categorical=["p_brand"])
+    table = [(x.params.depth, x.params.step, f, loss, n, x.mean, k == 0) for k, x in enumerate(results) for f, (loss, n) in enumerate(x.folds)]
+    return t.spark.createDataFrame(table, "depth int, step double, fold int, loss double, trees int, mean_loss double, chosen boolean")
+
+
+def scored_out_of_fold(t, in_context=None):
+    """Line items scored by models that did not see their order; rows ``in_context`` only train, in every fold."""
     rows = returns(t)
+    pool = None if in_context is None else cut_lineage(rows.where(in_context))
+    if in_context is not None:
+        rows = rows.where(~in_context)
     folds = modeling.assign_folds(rows.select("grp"), "grp", 5).select("grp", "fold")
-    return cut_lineage(modeling.out_of_fold(cut_lineage(rows.join(folds, "grp")), "fold", 5, FEATURES, "label", SMALL))
+    folded = cut_lineage(rows.join(folds, "grp"))
+    return cut_lineage(modeling.out_of_fold(folded, "fold", 5, FEATURES, "label", WHOLE, pool, stop_flag="is_stop"))
 
 
 @query(
@@ -561,21 +616,33 @@ def scored_out_of_fold(t):
 )
 def k17(t):
     scored = scored_out_of_fold(t)
-    model = modeling.isotonic(scored, "oof", "label")
-    cal = cut_lineage(modeling.apply_isotonic(model, scored, "oof", "cal"))
-    bins = cal.groupBy("cal").agg(F.min("oof").alias("lo"), F.max("oof").alias("hi"))
-    pairs = bins.select("cal", F.struct("lo", "hi").alias("s"))
-    # scores rise where calibrated values do: sorting the levels by either gives one order
-    order = pairs.agg(F.array_sort(F.collect_list(F.struct("cal", "s"))).alias("by_cal"), F.array_sort(F.collect_list(F.struct("s", "cal"))).alias("by_score")).select(
-        (F.transform("by_cal", lambda x: x["cal"]) == F.transform("by_score", lambda x: x["cal"])).alias("rising")
-    ).scalar()
+    blocks = modeling.isotonic(scored, "oof", "label")
+    cal = cut_lineage(modeling.apply_isotonic(blocks, scored, "oof", "cal"))
+    line = range_placed(cal.groupBy("oof").agg(F.min("cal").alias("lo"), F.max("cal").alias("hi")), [F.col("oof")])
+    before = running(line, [], F.col("_part"), ["_at"], {"top": Running("max", F.col("hi"))})
+    rising = before.agg(F.coalesce(F.min(F.coalesce(F.col("lo") >= F.col("top"), F.lit(True))), F.lit(True)).alias("r")).scalar()
     square = lambda p: F.avg(F.pow(F.col(p) - F.col("label"), 2))
     return cal.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("label").cast("bigint").alias("hits"),
         (F.abs(F.sum("cal") - F.sum("label")) < 1e-6 * F.count(F.lit(1))).alias("keeps_sum"),
         (square("cal") <= square("oof") + 1e-12).alias("better"),
-    ).withColumn("rising", order)
+    ).withColumn("rising", rising)
+
+
+@query(
+    "k17_isotonic_levels",
+    f"""WITH g AS (SELECT CAST(l_quantity AS BIGINT) * 10 + l_linenumber AS score, count(*) AS w, CAST(sum(label) AS BIGINT) AS y FROM ({LABELLED}) GROUP BY 1),
+c AS (SELECT *, sum(w) OVER o AS cw, sum(y) OVER o AS cy, row_number() OVER o AS n FROM g WINDOW o AS (ORDER BY score)),
+m AS (SELECT b.n, a.n AS s, min((b.cy - a.cy + a.y)::DOUBLE / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.n ORDER BY b.n DESC) AS least FROM c a JOIN c b ON a.n <= b.n)
+SELECT score, w AS n, y AS hits, round(max(least), 9) AS level FROM m JOIN c USING (n) GROUP BY 1, 2, 3""",
+)
+def k17l(t):
+    """Levels of the returned share over a score of many ties and reversals."""
+    score = F.col("l_quantity").cast("bigint") * 10 + F.col("l_linenumber")
+    rows = t.lineitem.select(score.cast("bigint").alias("score"), (F.col("l_returnflag") == "R").cast("bigint").alias("label"))
+    levels = modeling.apply_isotonic(modeling.isotonic(rows, "score", "label"), rows, "score", "level")
+    return levels.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits"), r(F.max("level"), 9, "level"))
 
 
 @query(
@@ -589,12 +656,13 @@ def k18(t):
 
 @query(
     "k19_oof_scores",
-    f"""WITH l AS ({LABELLED}), o AS (SELECT l_orderkey, row_number() OVER (ORDER BY count(*) DESC, l_orderkey) - 1 AS p FROM l GROUP BY 1),
+    f"""WITH l AS ({LABELLED} WHERE l_orderkey % 5 <> 0), o AS (SELECT l_orderkey, row_number() OVER (ORDER BY count(*) DESC, l_orderkey) - 1 AS p FROM l GROUP BY 1),
 f AS (SELECT l_orderkey, CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS fold FROM o)
 SELECT fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS hits, true AS near_base FROM l JOIN f USING (l_orderkey) GROUP BY 1""",
 )
 def k19(t):
-    scored = scored_out_of_fold(t)
+    # every fifth order is the fixed context: it trains every fold and is never scored
+    scored = scored_out_of_fold(t, F.col("okey") % 5 == 0)
     return scored.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("hits"), modeling.log_loss("oof", "label").alias("l")
     ).select("fold", "n", "hits", (F.col("l") < 1.05 * base_loss(scored)).alias("near_base"))
@@ -603,14 +671,14 @@ def k19(t):
 @query("k20_what_if_scores", "SELECT l_linestatus, count(*) AS n, true AS is_share FROM lineitem GROUP BY 1")
 def k20(t):
     rows = returns(t)
-    model = modeling.train_boosted(rows, FEATURES, "label", SMALL)
+    model = modeling.train_boosted(rows, FEATURES, "label", WHOLE, stop_flag="is_stop")
     out = modeling.what_if(model, rows, "month", 6.0, "l_linestatus")
     return out.select("l_linestatus", "n", F.col("mean_p").between(0.0, 1.0).alias("is_share"))
 
 
 @query("k21_feature_importance", f"SELECT unnest({FEATURES!r}) AS feature, true AS is_share, true AS sums_to_one FROM (SELECT 1)")
 def k21(t):
-    model = modeling.train_boosted(returns(t), FEATURES, "label", SMALL)
+    model = modeling.train_boosted(returns(t), FEATURES, "label", WHOLE, stop_flag="is_stop")
     table = modeling.feature_importance(model, FEATURES, t.spark)
     whole = table.agg(F.sum("importance").alias("s")).scalar()
     return table.select("feature", F.col("importance").between(0.0, 1.0).alias("is_share"), (F.abs(whole - 1.0) < 1e-6).alias("sums_to_one"))
@@ -619,7 +687,7 @@ def k21(t):
 @query("ud5_model_scoring", "SELECT l_orderkey AS grp, count(*) AS n, true AS in_range FROM lineitem GROUP BY 1")
 def ud5(t):
     rows = returns(t)
-    model = modeling.train_boosted(rows, FEATURES, "label", SMALL)
+    model = modeling.train_boosted(rows, FEATURES, "label", WHOLE, stop_flag="is_stop")
     return modeling.score(model, rows, "p").groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"), (F.min("p").between(0.0, 1.0) & F.max("p").between(0.0, 1.0)).alias("in_range")
     )

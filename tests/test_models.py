@@ -187,3 +187,64 @@ def test_shrink_passes_through_without_prior(spark):
     rows = spark.createDataFrame([(4.0, 2.0, 10.0), (4.0, None, 10.0)], "v double, p double, n double")
     got = [r.s for r in rows.select(shrink(F.col("v"), F.col("p"), F.col("n"), 10.0).alias("s")).collect()]
     assert got == [3.0, 4.0]
+
+
+def rising_levels(x, y):
+    """Plain pooling of neighbours over distinct scores."""
+    out = []
+    for v in sorted(set(x)):
+        out.append([[v], [b for a, b in zip(x, y) if a == v]])
+        while len(out) > 1 and np.mean(out[-2][1]) >= np.mean(out[-1][1]):
+            vs, ys = out.pop()
+            out[-1] = [out[-1][0] + vs, out[-1][1] + ys]
+    return {v: np.mean(ys) for vs, ys in out for v in vs}
+
+
+@pytest.mark.parametrize("shape", ["noise", "falling", "sawtooth", "rising", "one"])
+def test_isotonic_levels(spark, shape):
+    rng = np.random.default_rng(1)
+    n = 1 if shape == "one" else 600
+    x = rng.integers(0, 150, n)
+    at = {"noise": lambda v: 0.2 + v / 300, "falling": lambda v: 1 - v / 150, "sawtooth": lambda v: (v % 40) / 40, "rising": lambda v: float(v > 70), "one": lambda v: 1.0}[shape]
+    y = [int(rng.random() < at(v)) for v in x.tolist()]
+    rows = spark.createDataFrame([(int(a), b) for a, b in zip(x, y)] + [(None, 1)], "x int, y int")
+    blocks = modeling.isotonic(rows, "x", "y")
+    want = rising_levels(x.tolist(), y)
+    got = {r.x: r.c for r in modeling.apply_isotonic(blocks, rows, "x", "c").collect()}
+    assert got.pop(None) is None
+    assert got == pytest.approx(want)
+    ends = spark.createDataFrame([(-5.0,), (500.0,)], "x double")
+    low, high = (r.c for r in modeling.apply_isotonic(blocks, ends, "x", "c").orderBy("x").collect())
+    assert (low, high) == pytest.approx((min(want.values()), max(want.values())))
+
+
+def test_scores_between_blocks_are_interpolated(spark):
+    rows = spark.createDataFrame([(0.0, 0), (1.0, 0), (3.0, 1)], "x double, y int")
+    new = spark.createDataFrame([(2.0,), (2.5,)], "x double")
+    got = modeling.apply_isotonic(modeling.isotonic(rows, "x", "y"), new, "x", "c").orderBy("x").collect()
+    assert [r.c for r in got] == pytest.approx([0.5, 0.75])
+
+
+def test_grid_prefers_the_deeper_trees(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i // 3), float(a), "uv"[int(b > 0.5)], float((a > 0.5) ^ (b > 0.5)), 1.0 + i % 2) for i, (a, b) in enumerate(rng.random((600, 2)))]
+    df = spark.createDataFrame(rows, "g bigint, a double, c string, y double, w double").withColumn("fold", F.col("g") % 3)
+    grid = [modeling.BoostParams(trees=4, depth=1), modeling.BoostParams(trees=4, depth=3)]
+    best, other = modeling.grid_by_group_cv(df, "fold", 3, ["a"], "y", grid, weight="w", group="g", categorical=["c"])
+    assert best.params.depth == 3 and best.mean < other.mean and len(best.folds) == 3
+    assert all(1 <= trees <= 4 for _, trees in best.folds)
+
+
+def test_seasons_design(spark):
+    segs = spark.createDataFrame(
+        [("s", 1, [4, 5], [6, 9], 60, 5, 3.0, 1.0, 1, 100, 200), ("e", 1, [9], [9], 30, 0, 1.0, 1.0, 2, None, 100)],
+        "row_id string, grp bigint, home_ids array<bigint>, away_ids array<bigint>, secs bigint, score_diff bigint, home_value double, away_value double, season int, home_goalie int, away_goalie int",
+    )
+    index = regression.column_index(spark.createDataFrame([(4,), (5,), (6,)], "m bigint"), "m")
+    goalies = spark.createDataFrame([(100, 20.0), (200, 500.0)], "goalie int, adjust double")
+    rows = {r.row_id: r for r in regression.seasons_design(segs, index, 3, goalies, {1: 0.8}, 0.1, 150.0).collect()}
+    cols = lambda r: sorted(t.col for t in r.terms)
+    assert cols(rows["sh"]) == [0, 1, 5] and cols(rows["sa"]) == [2, 3, 4] and cols(rows["eh"]) == []
+    assert (rows["sh"].w, rows["eh"].w) == (0.4, 0.1)
+    assert (rows["sh"].y, rows["sh"].y_against) == (180.0, 40.0) and (rows["sa"].y, rows["sa"].y_against) == (60.0, 30.0)
+    assert (rows["ea"].y, rows["ea"].y_against) == (120.0, 100.0)

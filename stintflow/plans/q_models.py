@@ -196,7 +196,10 @@ KAPPA = 0.75
 KAPPAS = [0.0, 0.25, 0.5, 0.75, 1.0]
 FOLDS = 5
 WIDEN = 2
-PENALISED = F.col("i") >= regression.COVARIATES
+
+
+def penalised():
+    return F.col("i") >= regression.COVARIATES
 
 
 def units_per_hour(design):
@@ -280,7 +283,7 @@ def k9r(t):
     prior = slope_prior(n)(t.spark)
     moments = cut_lineage(regression.gram(goals, ["part"], ["y", "goals"]).withColumnRenamed("part", "u"))
     entries = cut_lineage(block_ridge.both_triangles(moments))
-    solution = block_ridge.solve(entries, block_ridge.right_sides(moments, entries, [-1, "prior", -2], prior), [LAMBDA] * 3, PENALISED)
+    solution = block_ridge.solve(entries, block_ridge.right_sides(moments, entries, [-1, "prior", -2], prior), [LAMBDA] * 3, penalised())
     fit = solution.join(prior, "i", "left").fillna(0.0, ["prior"]).select(
         "i", (F.col("x")[0] + KAPPA * (F.col("prior") - F.col("x")[1])).alias("xg"), F.col("x")[2].alias("goals"), "prior"
     )
@@ -303,8 +306,7 @@ def k9r(t):
 @query("k9_ridge_conjugate_gradient", stint_cte(**DESIGN_CTES) + "SELECT DISTINCT col AS i, true AS solved FROM terms")
 def k9cg(t):
     g = cut_lineage(regression.gram(player_design(t)[0]))
-    penalised = F.col("i") >= regression.COVARIATES
-    left = regression.residuals(g, regression.ridge_cg(g, penalised, 8000.0, tol=1e-8), penalised, 8000.0)
+    left = regression.residuals(g, regression.ridge_cg(g, penalised(), 8000.0, tol=1e-8), penalised(), 8000.0)
     scale = left.agg(F.max(F.abs("b")).alias("m")).scalar()
     return left.select("i", (F.abs("gap") <= 1e-6 * scale).alias("solved"))
 
@@ -360,7 +362,7 @@ FROM fe JOIN r"""
 def k10(t):
     tagged = fold_parts(player_design(t)[0])
     g, norms = part_moments(tagged)
-    found = block_ridge.search(g, norms, {0: list(range(FOLDS))}, GRID, PENALISED, widen=WIDEN)
+    found = block_ridge.search(g, norms, {0: list(range(FOLDS))}, GRID, penalised(), widen=WIDEN)
     rows = [
         (lam, part, err, found.errors[cell, lam, kappa], found.best[cell, kappa] == lam)
         for (cell, lam, kappa), each in found.folds.items()
@@ -378,7 +380,7 @@ def two_way(t):
     tagged = fold_parts(design, modeling.chronological_split(games, "grp", "day", 0.5))
     g, norms = part_moments(tagged)
     cells = {0: list(range(FOLDS)), 1: list(range(FOLDS, 2 * FOLDS))}
-    return tagged, block_ridge.two_way_test(g, norms, cells, GRID, PENALISED, KAPPAS, slope_prior(n)(t.spark), WIDEN)
+    return tagged, block_ridge.two_way_test(g, norms, cells, GRID, penalised(), KAPPAS, slope_prior(n)(t.spark), WIDEN)
 
 
 HALVES_SQL = f"""SELECT game_id, fold + 5 * half AS part FROM ({FOLDS_CTE}) JOIN (

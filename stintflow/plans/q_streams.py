@@ -17,8 +17,8 @@ PARTS = 4
 
 def event_stream(t, extra=()):
     """The events as they would arrive: several files in order of time, one per micro-batch."""
-    folder = streams.land_in_order(t.events, "ts", PARTS, extra)
-    rows = streams.file_stream(t.spark, folder, "*.parquet", t.events.schema, per_trigger=1)
+    folder, files = streams.land_in_order(t.events, "ts", PARTS, extra)
+    rows = streams.file_stream(t.spark, folder, "*.parquet", t.events.schema, per_trigger=files)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
 
 
@@ -66,34 +66,65 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n,
 )
 def s3x(t):
     # one row far ahead closes all sessions, so that each is emitted once and its state goes
-    last = t.events.orderBy(F.desc("ts"), "event_id").limit(1)
-    ahead = last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 DAYS")).withColumn("user_id", F.lit(-1).cast(t.events.schema["user_id"].dataType))
-    rows = streams.sessions(event_stream(t, [ahead]), "ts", "2 hours", ["user_id"], sums(), "1 day")
+    rows = streams.sessions(event_stream(t, [closing_row(t, -1)]), "ts", "2 hours", ["user_id"], sums(), "1 day")
     return streams.drain(rows, "append").where("user_id >= 0").select("user_id", stamp("w.start").alias("start"), "n", "cents")
 
 
+def played_at():
+    day = F.to_timestamp(F.expr("string(game_id div 1000000000)"), "yyyyMMdd")
+    return (day.cast("bigint") + F.col("abs_secs")).cast("timestamp")
+
+
+def closing_row(t, user):
+    """One row far ahead of all others, which moves the watermark past them."""
+    last = t.events.orderBy(F.desc("ts"), "event_id").limit(1)
+    kind = t.events.schema["user_id"].dataType
+    return last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 100 DAYS")).withColumn("user_id", F.lit(user).cast(kind))
+
+
+def live_features(t, extra, report=None):
+    """Plays may come a minute out of order; the watermark allows for 40 days, so that late ones reach their game."""
+    plays = play_list(_StreamTables(t, extra)).withColumn("at", played_at())
+    return streams.drain(streams.shot_features(plays, "at", "40 days", 60), "append", report)
+
+
 @query(
     "s4_stream_state_features",
     cte("plays", **FEATURE_CTES) + "SELECT event_id, is_rush, is_rebound, time_since_last_shot, score_state, is_goal FROM f",
 )
 def s4(t):
-    plays = play_list(_StreamTables(t))
-    rows = streams.drain(streams.shot_features(plays), "append")
+    rows = live_features(t, [closing_row(t, -1)]).where("NOT is_late")
     return rows.select("event_id", "is_rush", "is_rebound", "time_since_last_shot", "score_state", "is_goal")
 
 
+@query(
+    "s4_stream_late_plays",
+    """SELECT (SELECT count(*) FROM events WHERE ts < (SELECT min(ts) FROM events) + INTERVAL 2 DAY) AS n_late,
+  (SELECT count(DISTINCT (strftime(ts, '%Y%m%d'), user_id // 40)) FROM events WHERE ts < (SELECT min(ts) FROM events) + INTERVAL 2 DAY) AS late_games, 0::BIGINT AS open_games""",
+)
+def s4l(t):
+    # the first two days come again when all else is in: each play is late, and after the closing row no game is open but its own
+    start = t.events.agg(F.min("ts").alias("m")).scalar()
+    again = t.events.where(F.col("ts") < start + F.expr("INTERVAL 2 DAYS"))
+    report = {}
+    late = live_features(t, [again, closing_row(t, -1)], report).where("is_late")
+    counted = late.agg(F.count(F.lit(1)).alias("n_late"), F.countDistinct("game_id").alias("late_games"))
+    return counted.withColumn("open_games", F.lit(report["state_rows"] - 1).cast("bigint"))
+
+
 class _StreamTables(Tables):
     """The same views with the event table read as a stream."""
 
-    def __init__(self, t: Tables):
+    def __init__(self, t: Tables, extra=()):
         super().__init__(t.spark, t.sf_dir)
+        self._extra = extra
 
     def table(self, name: str):
         if name != "events":
             return super().table(name)
         rows = super().table(name)
-        folder = streams.land_in_order(rows, "ts", PARTS)
-        return streams.file_stream(self.spark, folder, "*.parquet", rows.schema, per_trigger=1)
+        folder, files = streams.land_in_order(rows, "ts", PARTS, self._extra)
+        return streams.file_stream(self.spark, folder, "*.parquet", rows.schema, per_trigger=files)
 
 
 @query("s5_incremental_landing", "SELECT event_id, user_id FROM events")

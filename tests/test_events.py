@@ -60,13 +60,38 @@ def test_batch_features(spark, expected):
     assert {r[0]: tuple(r[1:]) for r in out.select(*COLS).collect()} == expected
 
 
+def with_time(plays):
+    day = F.to_timestamp(F.expr("string(game_id div 1000000000)"), "yyyyMMdd")
+    return plays.withColumn("at", (day.cast("bigint") + F.col("abs_secs")).cast("timestamp"))
+
+
+def test_plays_out_of_order_wait_and_state_goes(spark, tmp_path):
+    """Plays of one game shuffled within a minute, one that comes much later, and a row that closes the game."""
+    folder, schema = str(tmp_path / "shuffled"), None
+    game = [("goal", 10), ("hit", 14), ("shot-on-goal", 16), ("missed-shot", 70), ("goal", 95), ("hit", 300), ("goal", 304)]
+    rows = [(k, 20240101000000001, s, kind, 1, 1, "N", "1551", 5, 5) for k, (kind, s) in enumerate(game)]
+    columns = "event_id long, game_id long, abs_secs long, type string, team_id long, home_team_id long, zone string, situation_code string, x long, y long"
+    end = (99, 20240301000000002, 5, "hit", 1, 1, "N", "1551", 5, 5)
+    deliveries = [[rows[2], rows[0]], [rows[1], rows[4], rows[3]], [rows[6]], [rows[5], rows[1]], [end]]
+    for part in deliveries:
+        frame = with_time(spark.createDataFrame(part, columns))
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        schema = frame.schema
+    stream, report = streams.file_stream(spark, folder, "*.parquet", schema, per_trigger=1), {}
+    out = streams.drain(streams.shot_features(stream, "at", "1 day", 60), "append", report).collect()
+    plays = spark.createDataFrame(rows, columns).collect()
+    assert {r.event_id: (r.is_rush, r.is_rebound, r.time_since_last_shot, r.score_state, r.is_goal) for r in out if not r.is_late} == walk(plays)
+    assert [r.event_id for r in out if r.is_late] == [1]
+    assert report == {"state_rows": 1, "dropped": 0}
+
+
 def test_stream_over_several_batches_equals_batch(spark, expected, tmp_path):
     folder = str(tmp_path / "plays")
-    plays = play_list(Tables(spark, SF)).withColumn("part", F.expr("abs_secs div 21600"))
+    plays = with_time(play_list(Tables(spark, SF))).withColumn("part", F.expr("abs_secs div 21600"))
     for i in range(4):
         plays.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(folder)
     stream = streams.file_stream(spark, folder, "*.parquet", plays.drop("part").schema, per_trigger=1)
-    out = streams.drain(streams.shot_features(stream), "append")
+    out = streams.drain(streams.shot_features(stream, "at", "40 days"), "append")
     assert out.select("batch_id").distinct().count() == 4
     assert {r[0]: tuple(r[1:]) for r in out.select(*COLS).collect()} == expected
 

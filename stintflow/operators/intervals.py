@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintflow.scale import Running, running
+from stintflow.session import cut_lineage
 
 CHUNK = 300  # seconds of one running-window chunk: a key is cut into that many pieces of its clock
 
@@ -154,6 +155,16 @@ def presence_steps(intervals: DataFrame, keys: list[str], start: str, end: str,
     return nxt.where((F.col("cnt") > 0) & F.col("hi").isNotNull()).select(*keys, F.col("t").alias("lo"), "hi", "cnt")
 
 
+def _pieces(intervals: DataFrame, keys: list[str], member: str, side: str, start: str, end: str, width: int) -> DataFrame:
+    """How often a member is there, ``cnt``, from ``lo`` to ``hi``, cut at the edges of time bins."""
+    steps = presence_steps(intervals, [*keys, member, side], start, end)
+    return (
+        spread_over_bins(steps, "lo", "hi", width, "left")
+        .withColumn("lo", F.greatest("lo", F.col("_bin") * width))
+        .withColumn("hi", F.least("hi", (F.col("_bin") + 1) * width))
+    )
+
+
 def overlap_pair_seconds(
     intervals: DataFrame, keys: list[str], member: str, side: str, start: str, end: str, width: int = 3600
 ) -> DataFrame:
@@ -162,12 +173,7 @@ def overlap_pair_seconds(
     A member's intervals become one step function first, so many rows of one member count once with a
     weight; the pieces are then clipped to time bins and met inside them.
     """
-    steps = presence_steps(intervals, [*keys, member, side], start, end)
-    clipped = (
-        spread_over_bins(steps, "lo", "hi", width, "left")
-        .withColumn("lo", F.greatest("lo", F.col("_bin") * width))
-        .withColumn("hi", F.least("hi", (F.col("_bin") + 1) * width))
-    )
+    clipped = _pieces(intervals, keys, member, side, start, end, width)
     a, b = clipped.alias("a"), clipped.alias("b")
     cond = F.col("a._bin") == F.col("b._bin")
     for k in keys:
@@ -194,6 +200,47 @@ def overlap_pair_seconds(
     return met.select("same_side", "shared_secs", both).select("focal", "partner", "same_side", "shared_secs")
 
 
+def top_partners(
+    intervals: DataFrame, keys: list[str], member: str, side: str, start: str, end: str, width: int = 3600
+) -> DataFrame:
+    """``focal, partner, shared_secs``: the member of the same side each one shares most time with, ties to the lower.
+
+    Of two members in one time bin, the time shared is at most the time of either, times how often the other is there
+    at once. These bounds take a row per member and bin. The candidate with the greatest bound is summed exactly; then
+    only those whose bound reaches that sum are. All other pairs are never laid beside each other.
+    """
+    pieces = cut_lineage(_pieces(intervals, keys, member, side, start, end, width))
+    place = [*keys, side, "_bin"]
+    totals = pieces.groupBy(*place, member).agg(F.sum(F.col("cnt") * (F.col("hi") - F.col("lo"))).alias("secs"), F.max("cnt").alias("peak"))
+    one, two = (totals.select(*place, *[F.col(c).alias(f"{c}_{x}") for c in (member, "secs", "peak")]) for x in "ab")
+    most = F.least(F.col("secs_a") * F.col("peak_b"), F.col("secs_b") * F.col("peak_a"))
+    met = one.join(two, place).where(F.col(f"{member}_a") < F.col(f"{member}_b")).groupBy(
+        F.col(f"{member}_a").alias("low"), F.col(f"{member}_b").alias("high")
+    ).agg(F.sum(most).alias("bound"))
+    way = lambda a, b: F.struct(F.col(a).alias("focal"), F.col(b).alias("partner"))
+    bounds = cut_lineage(met.select("low", "high", "bound", F.inline(F.array(way("low", "high"), way("high", "low")))))
+    best = F.max_by(F.struct("low", "high", "partner"), F.struct(F.col("bound"), -F.col("partner"))).alias("b")
+    first = cut_lineage(bounds.groupBy("focal").agg(best).select("focal", "b.*"))
+
+    def summed(pairs: DataFrame) -> DataFrame:
+        left = pieces.select(*place, *[F.col(c).alias(f"{c}_a") for c in (member, "lo", "hi", "cnt")])
+        right = pieces.select(*place, *[F.col(c).alias(f"{c}_b") for c in (member, "lo", "hi", "cnt")])
+        near = pairs.select(F.col("low").alias(f"{member}_a"), F.col("high").alias(f"{member}_b")).distinct()
+        laid = near.join(left, f"{member}_a").join(right, [*place, f"{member}_b"])
+        secs = F.least("hi_a", "hi_b") - F.greatest("lo_a", "lo_b")
+        return laid.where("lo_a < hi_b AND lo_b < hi_a").groupBy(F.col(f"{member}_a").alias("low"), F.col(f"{member}_b").alias("high")).agg(
+            F.sum(secs * F.col("cnt_a") * F.col("cnt_b")).alias("shared_secs")
+        )
+
+    known = cut_lineage(summed(first))
+    floor = first.join(known, ["low", "high"], "left").select("focal", F.coalesce("shared_secs", F.lit(0)).alias("least"))
+    contend = cut_lineage(bounds.join(floor, "focal").where("bound >= least"))
+    rest = summed(contend.join(known, ["low", "high"], "left_anti"))
+    exact = contend.join(cut_lineage(known.unionByName(rest)), ["low", "high"])
+    top = F.max_by(F.struct("partner", "shared_secs"), F.struct(F.col("shared_secs"), -F.col("partner"))).alias("t")
+    return exact.groupBy("focal").agg(top).select("focal", "t.*")
+
+
 def elementary_segments(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Consecutive boundary pairs ``(t0, t1)`` per key; distinct boundaries bound a key by its clock."""
     bounds = intervals.select(*keys, F.explode(F.array(start, end)).alias("t0")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,3 +242,80 @@ def rank_vs_benchmark(rows: DataFrame, key: str, ours: str, theirs: str) -> Data
     """Competition ranks by two ratings and their difference."""
     ranked = with_ranks(rows, [], {"our_rank": ours, "their_rank": theirs}, "min", descending=True)
     return ranked.select(key, "our_rank", "their_rank", (F.col("their_rank") - F.col("our_rank")).alias("delta"))
+
+
+def bracket_order(teams: int) -> list[int]:
+    """Seeds in bracket order: the first meets the last, and the two best can only meet at the end."""
+    order = [1]
+    while len(order) < teams:
+        n = 2 * len(order) + 1
+        order = [x for seed in order for x in (seed, n - seed)]
+    return order
+
+
+def bracket(seeds: DataFrame, results: DataFrame, teams: int, needed: int = 4) -> DataFrame:
+    """``round, slot, top, bottom, top_wins, bottom_wins, started, complete, winner``: all series of a knock-out tree.
+
+    ``seeds`` is ``seed, team`` from 1 up to ``teams`` (a power of two), ``results`` is ``team, opp, wins``. A round is
+    one row: its teams in bracket order, from which a recursive query makes the next one. A series without ``needed``
+    wins has no winner yet, and its place in the next round stays empty. Results of the seeded teams only are gathered,
+    at most ``teams * teams``.
+    """
+    spark = seeds.sparkSession
+    place = F.map_from_arrays(F.lit(bracket_order(teams)), F.lit(list(range(teams))))
+    seeded = seeds.where(F.col("seed") <= teams)
+    line = F.transform(F.array_sort(F.collect_list(F.struct(place[F.col("seed").cast("int")].alias("at"), "team"))), lambda x: x["team"])
+    among = results.join(seeded.select("team"), "team", "left_semi").join(seeded.select(F.col("team").alias("opp")), "opp", "left_semi")
+    pair = F.struct(F.concat_ws("-", "team", "opp").alias("key"), F.col("wins").cast("bigint").alias("value"))
+    wins = F.map_from_entries(F.collect_list(pair))
+    view = f"bracket_{uuid.uuid4().hex}"
+    start = seeded.agg(line.alias("teams")).withColumn("wins", among.agg(wins.alias("w")).scalar())
+    start.createOrReplaceTempView(view)
+    count = lambda a, b: f"coalesce(wins[concat_ws('-', teams[2 * i + {a}], teams[2 * i + {b}])], 0L)"
+    winner = f"""CASE WHEN teams[2 * i] IS NULL OR teams[2 * i + 1] IS NULL OR greatest({count(0, 1)}, {count(1, 0)}) < {needed} THEN NULL
+      WHEN {count(0, 1)} >= {count(1, 0)} THEN teams[2 * i] ELSE teams[2 * i + 1] END"""
+    played = spark.sql(
+        f"""WITH RECURSIVE rounds(round, teams, wins) AS (
+          SELECT 1, teams, wins FROM {view} WHERE size(teams) = {teams}
+          UNION ALL SELECT round + 1, transform(sequence(0, size(teams) div 2 - 1), i -> {winner}), wins FROM rounds WHERE size(teams) > 1)
+        SELECT round, inline(transform(sequence(0, size(teams) div 2 - 1), i -> named_struct('slot', i, 'top', teams[2 * i], 'bottom', teams[2 * i + 1],
+          'top_wins', {count(0, 1)}, 'bottom_wins', {count(1, 0)}, 'winner', {winner}))) FROM rounds WHERE size(teams) > 1"""
+    )
+    known = F.col("top").isNotNull() & F.col("bottom").isNotNull()
+    # a place still empty has no wins
+    wins_of = lambda c: F.when(known, F.col(c)).otherwise(0).cast("bigint").alias(c)
+    return played.select(
+        F.col("round").cast("bigint").alias("round"),
+        F.col("slot").cast("bigint").alias("slot"),
+        "top",
+        "bottom",
+        wins_of("top_wins"),
+        wins_of("bottom_wins"),
+        (known & (F.col("top_wins") + F.col("bottom_wins") > 0)).alias("started"),
+        F.col("winner").isNotNull().alias("complete"),
+        "winner",
+    )
+
+
+def net_reliability(rows: DataFrame, first: str, second: str, prior: str, kappas: list[float]) -> DataFrame:
+    """Per prior strength: correlation of two halves, that net of the strength times the prior, and each half's with
+    the prior. All of it follows from the six co-moments of one pass."""
+    known = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull() & F.col(prior).isNotNull())
+    cov = lambda a, b: F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double"))
+    moments = known.agg(
+        cov(first, first).alias("aa"), cov(second, second).alias("bb"), cov(prior, prior).alias("pp"),
+        cov(first, second).alias("ab"), cov(first, prior).alias("ap"), cov(second, prior).alias("bp"), F.count(F.lit(1)).alias("n"),
+    )
+    each = moments.withColumn("kappa", F.explode(F.array(*[F.lit(float(k)) for k in kappas])))
+    k = F.col("kappa")
+    corr = lambda xy, x, y: F.when((x > 0) & (y > 0), xy / F.sqrt(x * y))
+    less = lambda own, with_prior: F.col(own) - 2 * k * F.col(with_prior) + k * k * F.col("pp")
+    net = F.col("ab") - k * (F.col("ap") + F.col("bp")) + k * k * F.col("pp")
+    return each.select(
+        "kappa",
+        "n",
+        corr(F.col("ab"), F.col("aa"), F.col("bb")).alias("corr"),
+        corr(net, less("aa", "ap"), less("bb", "bp")).alias("net"),
+        corr(F.col("ap"), F.col("aa"), F.col("pp")).alias("first_prior"),
+        corr(F.col("bp"), F.col("bb"), F.col("pp")).alias("second_prior"),
+    )

@@ -524,10 +524,8 @@ FROM shifts a JOIN shifts b ON a.game_id = b.game_id AND a.player_id <> b.player
     + """SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY shared_secs DESC, partner) = 1""",
 )
 def k45(t):
-    pairs = intervals.overlap_pair_seconds(t.shifts, ["game_id"], "player_id", "team_id", "abs_start", "abs_end")
-    best = F.max_by(F.struct("partner", "shared_secs"), F.struct("shared_secs", -F.col("partner")))
-    rows = pairs.where("same_side").groupBy(F.col("focal").alias("player_id")).agg(best.alias("b"))
-    return rows.select("player_id", "b.partner", F.col("b.shared_secs").cast("bigint").alias("shared_secs"))
+    rows = intervals.top_partners(t.shifts, ["game_id"], "player_id", "team_id", "abs_start", "abs_end")
+    return rows.select(F.col("focal").alias("player_id"), "partner", big("shared_secs"))
 
 
 @query(

@@ -14,7 +14,7 @@ from stintflow.plans.q_scalars import VALUE_TABLE, rd, valued
 from stintflow.plans.q_windows import MINUTES_SQL, SLOTS
 from stintflow.plans.registry import query
 from stintflow.plans.shape import big, div, r
-from stintflow.scale import top_k
+from stintflow.scale import top_k, with_ordinal
 
 
 @query(
@@ -405,6 +405,33 @@ def k36(t):
     )
 
 
+def bracket_sql(teams: int) -> str:
+    order = ", ".join(map(str, reports.bracket_order(teams)))
+    w = lambda a, b: f"coalesce((SELECT any_value(wins) FROM res WHERE team = p.{a} AND opp = p.{b}), 0)"
+    parts = {
+        "res": "SELECT team, opp, count(*) FILTER (result = 'W') % 6 AS wins FROM team_games GROUP BY 1, 2",
+        "seeds": "SELECT team, row_number() OVER (ORDER BY sum(gf) DESC, team) AS seed FROM team_games GROUP BY 1",
+        "t1": f"SELECT unnest(range({teams})) AS spot, unnest([{order}]) AS seed",
+        "e1": "SELECT spot, team FROM t1 JOIN seeds USING (seed)",
+    }
+    rounds = teams.bit_length() - 1
+    for k in range(1, rounds + 1):
+        parts[f"p{k}"] = f"SELECT spot // 2 AS slot, max(team) FILTER (spot % 2 = 0) AS top, max(team) FILTER (spot % 2 = 1) AS bottom FROM e{k} GROUP BY 1"
+        parts[f"s{k}"] = f"SELECT {k}::BIGINT AS round, *, CASE WHEN top IS NULL OR bottom IS NULL OR greatest(tw, bw) < 4 THEN NULL WHEN tw >= bw THEN top ELSE bottom END AS winner FROM (SELECT slot, top, bottom, {w('top', 'bottom')} AS tw, {w('bottom', 'top')} AS bw FROM p{k} p)"
+        parts[f"e{k + 1}"] = f"SELECT slot AS spot, winner AS team FROM s{k}"
+    rows = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, rounds + 1))
+    return cte("team_games", **parts) + f"""SELECT round, CAST(slot AS BIGINT) AS slot, top, bottom, CASE WHEN top IS NULL OR bottom IS NULL THEN 0 ELSE tw END AS top_wins,
+  CASE WHEN top IS NULL OR bottom IS NULL THEN 0 ELSE bw END AS bottom_wins, top IS NOT NULL AND bottom IS NOT NULL AND tw + bw > 0 AS started, winner IS NOT NULL AS complete, winner FROM ({rows})"""
+
+
+@query("k36_bracket", bracket_sql(16))
+def k36b(t):
+    met = t.team_games.groupBy("team", "opp").agg((F.count(F.when(F.col("result") == "W", 1)) % 6).alias("wins"))
+    goals = t.team_games.groupBy("team").agg(F.sum("gf").alias("gf"))
+    seeds = with_ordinal(goals, [], "gf", "team", "seed", descending=True).select("seed", "team")
+    return reports.bracket(seeds, met, 16)
+
+
 @query(
     "k37_shot_chart_last_n",
     cte("shots", g="SELECT DISTINCT shooter_id, game_id FROM shots QUALIFY dense_rank() OVER (PARTITION BY shooter_id ORDER BY game_id DESC) <= 5")
@@ -484,6 +511,22 @@ def k44(t):
     return kept.agg(r(F.corr("a", "b"), 6, "corr"), F.count(F.lit(1)).alias("players"))
 
 
+@query(
+    "k44_reliability_net_of_prior",
+    cte("skater_lines", h="""SELECT player_id, sum(goals) FILTER (season < 1998)::BIGINT / nullif(count(*) FILTER (season < 1998), 0)::DOUBLE AS a,
+  sum(goals) FILTER (season >= 1998)::BIGINT / nullif(count(*) FILTER (season >= 1998), 0)::DOUBLE AS b, (player_id % 7 - 3) * 0.02e0 AS p, count(*) AS n FROM skater_lines GROUP BY 1""")
+    + """SELECT kappa, count(*) AS players, round(corr(a, b), 6) AS corr, round(corr(a - kappa * p, b - kappa * p), 6) AS net, round(corr(a, p), 6) AS first_prior, round(corr(b, p), 6) AS second_prior
+FROM h, (SELECT unnest([0.0, 0.5, 0.75])::DOUBLE AS kappa) WHERE n >= 50 AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1""",
+)
+def k44n(t):
+    early = F.col("season") < 1998
+    half = lambda cond: div(F.sum(F.when(cond, F.col("goals"))).cast("double"), F.count(F.when(cond, 1)))
+    rows = t.skater_lines.groupBy("player_id").agg(half(early).alias("a"), half(~early).alias("b"), F.count(F.lit(1)).alias("n"))
+    rows = rows.where("n >= 50").withColumn("p", (F.col("player_id") % 7 - 3) * 0.02)
+    out = reports.net_reliability(rows, "a", "b", "p", [0.0, 0.5, 0.75])
+    return out.select("kappa", F.col("n").alias("players"), *[r(c, 6, c) for c in ("corr", "net", "first_prior", "second_prior")])
+
+
 @query(
     "k48_goals_above_expected",
     cte("skater_lines")

@@ -375,3 +375,45 @@ def js2(t):
     return jsonx.flatten_nested(games, "doc", schema, "l_orderkey", "goals").select(
         F.col("l_orderkey").alias("game"), "period", "goal", "scorer"
     )
+
+
+def game_documents(t):
+    """One summary per order: names are plain strings or objects, some games have no stars or no marked starter."""
+    name = F.concat(F.lit("P"), F.col("l_partkey"))
+    named = lambda rest: F.when(F.col("l_partkey") % 2 == 0, F.to_json(F.struct(name.alias("name"), *rest))).otherwise(
+        F.to_json(F.struct(F.struct(name.alias("default")).alias("name"), *rest))
+    )
+    star = named([F.col("l_linenumber").alias("star"), F.concat(F.lit("T"), F.col("l_suppkey") % 5).alias("team")])
+    goalie = named([(F.col("l_quantity") > 25).alias("starter"), F.col("l_quantity").cast("bigint").alias("saves")])
+    of = lambda text, cond: F.transform(
+        F.array_sort(F.collect_list(F.when(cond, F.struct("l_linenumber", "l_partkey", "l_quantity", text.alias("t"))))), lambda x: x["t"]
+    )
+    games = t.lineitem.groupBy("l_orderkey").agg(
+        of(star, F.col("l_linenumber") <= 3).alias("stars"),
+        of(goalie, F.col("l_linenumber") % 2 == 0).alias("home"),
+        of(goalie, F.col("l_linenumber") % 2 == 1).alias("away"),
+    )
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    summary = F.when(F.col("l_orderkey") % 7 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"threeStars":'), listed("stars"), F.lit("}")))
+    text_doc = F.concat(
+        F.lit('{"summary":'), summary, F.lit(',"boxscore":{"home":{"goalies":'), listed("home"), F.lit('},"away":{"goalies":'), listed("away"), F.lit("}}}")
+    )
+    return games.select(F.col("l_orderkey").alias("game"), F.parse_json(text_doc).alias("doc"))
+
+
+@query(
+    "k52_three_stars",
+    """SELECT l_orderkey AS game, l_linenumber::BIGINT AS star, 'P' || l_partkey AS name, 'T' || (l_suppkey % 5) AS team FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 7 <> 0""",
+)
+def k52s(t):
+    return jsonx.three_stars(game_documents(t), "game", "doc")
+
+
+@query(
+    "k52_starters",
+    """SELECT game, side, arg_min(name, line) FILTER (starts) AS name, arg_min(saves, line) FILTER (starts) AS saves FROM (
+  SELECT l_orderkey AS game, s.side, (l_linenumber * 100000000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS line, 'P' || l_partkey AS name, CAST(l_quantity AS BIGINT) AS saves,
+    l_quantity > 25 AND (l_linenumber % 2 = 0) = (s.side = 'home') AS starts FROM lineitem, (VALUES ('home'), ('away')) s(side)) GROUP BY 1, 2""",
+)
+def k52g(t):
+    return jsonx.starters(game_documents(t), "game", "doc")

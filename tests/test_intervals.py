@@ -1,6 +1,7 @@
 """Hand-made interval fixtures and brute-force comparisons."""
 
 import itertools
+import random
 
 import pandas as pd
 import pytest
@@ -169,3 +170,18 @@ def test_nearest_within_tolerance(spark):
     b = spark.createDataFrame([(5, 99), (5, 101), (5, 503)], "g bigint, u bigint")
     got = {r.id: r.u for r in intervals.nearest_within(a, b, ["g"], "t", "u", 2).collect()}
     assert got == {1: 99, 2: None}
+
+
+def test_top_partners_equal_all_pairs(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(400):
+        lo = rng.randrange(0, 9000)
+        rows.append((k % 3, rng.randrange(14), lo, lo + rng.randrange(1, 1500)))
+    shifts = spark.createDataFrame(rows, "g int, m int, lo int, hi int").withColumn("side", F.col("m") % 2)
+    pairs = intervals.overlap_pair_seconds(shifts, ["g"], "m", "side", "lo", "hi").where("same_side").collect()
+    want = {}
+    for p in sorted(pairs, key=lambda p: (-p.shared_secs, p.partner)):
+        want.setdefault(p.focal, (p.partner, p.shared_secs))
+    got = intervals.top_partners(shifts, ["g"], "m", "side", "lo", "hi")
+    assert {r.focal: (r.partner, r.shared_secs) for r in got.collect()} == want

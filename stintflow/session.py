@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +48,42 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL["folder"]
 
 
+_SCOPES: list["Scope"] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    if _SCOPES:
+        _SCOPES[-1].paths.append(path)
+    return path
+
+
+class Scope:
+    """What :func:`passing_tables` watches: the scratch paths made so far, and those that outlive it."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table of :func:`cut_lineage` that is read after the scope."""
+        kept = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
+        self.paths = [p for p in self.paths if os.path.basename(p) not in kept]
+        return df
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Scope]:
+    """Scratch tables made inside are deleted at the end, after a failure too, but for those that are kept."""
+    scope = Scope()
+    _SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.remove(scope)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in map(hadoop, scope.paths):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Readers and writers on landed files."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from stintflow.functions import news, text
 from stintflow.operators.joins import first_non_empty
-from stintflow.session import scratch_path
+from stintflow.session import cut_lineage, passing_tables, scratch_path
 from stintflow.sources import documents, files
 
 
@@ -79,3 +81,12 @@ def test_clock(spark):
 
 def test_scratch_paths_follow_the_session_setting(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_passing_tables_go_and_kept_ones_stay(spark):
+    with passing_tables(spark) as scope:
+        gone = cut_lineage(spark.range(3))
+        kept = scope.keep(cut_lineage(gone.selectExpr("id + 1 AS id")))
+        folders = [os.path.dirname(df.inputFiles()[0]).removeprefix("file:").replace("///", "/") for df in (gone, kept)]
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3]
+    assert [os.path.isdir(f) for f in folders] == [False, True]

@@ -18,7 +18,7 @@ from stintflow.llm.quality import classify, held_out
 from stintflow.llm.registry import QUERIES, SQL, query
 from stintflow.llm.secrets import listed, scan_secrets
 from stintflow.llm.simhash import near_duplicates
-from stintflow.llm.token_files import document_index, fetch, token_digests, write_token_files
+from stintflow.llm.token_files import file_digests, write_token_files
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -100,7 +100,7 @@ def op9(spark, sf_dir):
     import public_tokenizers
 
     folder = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return token_digests(fetch(document_index(spark, folder), folder))
+    return file_digests(spark, folder)
 
 
 @query("op4_simhash_near_dedup")

@@ -228,15 +228,64 @@ def _index(folder: str):
     return run
 
 
+def _based(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest, a row per file, with the ids of all files before."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+
+
 def document_index(spark: SparkSession, folder: str) -> DataFrame:
     """Where each document lies: ``doc_id, start, n_tokens, file, offset, frames``, from the files' ends alone.
 
     ``start`` counts the ids of all documents before; the running total needs one row per file.
     """
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    return files.repartition(F.col("file")).select("file", "tail", "base").mapInPandas(_index(folder), INDEX)
+    return _dealt(_based(spark, folder)).mapInPandas(_index(folder), INDEX)
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files to tasks by a number of partitions that the manifest's few bytes cannot shrink."""
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("file", "tail", "base").repartition(parts, "file")
+
+
+def _file_digests(folder: str):
+    import zlib
+
+    import xxhash
+    import zstandard
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for row in (r for batch in batches for r in batch.itertuples(index=False)):
+            uri = f"{folder}/{row.file}"
+            docs, frames = read_tail(uri, row.tail)
+            checks, sizes, packed = frames["check"].tolist(), frames["size"].tolist(), frames["packed"].tolist()
+            filesystem, path = pafs.FileSystem.from_uri(uri)
+            crcs, counts, at = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64), 0
+            with filesystem.open_input_stream(path, buffer_size=1 << 20) as source:
+                for k, parts in enumerate(docs["frames"].tolist()):
+                    crc = ids = 0
+                    for at in range(at, at + parts):
+                        part = unpack(source.read(packed[at]), max_output_size=max(1, sizes[at]))
+                        if xxhash.xxh64_intdigest(part) & 0xFFFFFFFF != checks[at]:
+                            raise ValueError(f"checksum of a frame in {row.file} differs")
+                        crc = zlib.crc32(part, crc)
+                        ids += len(part) // 4
+                    at += 1
+                    crcs[k], counts[k] = crc, ids
+            start = row.base + np.cumsum(counts) - counts
+            ids = pd.array(docs["id"], dtype="Int64")
+            ids[docs["valid"] == 0] = pd.NA
+            yield pd.DataFrame({"doc_id": ids, "start": start, "n_tokens": counts, "ids_crc32": crcs})
+
+    return run
+
+
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`token_digests` of all documents, each file read through once, frame by frame, every checksum tested."""
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+    return _dealt(_based(spark, folder)).mapInPandas(_file_digests(folder), schema)
 
 
 def _fetch(folder: str):

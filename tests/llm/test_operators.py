@@ -420,6 +420,9 @@ def test_token_files(spark, docs, empty, vocabulary, monkeypatch):
     only = token_files.fetch(index.where("doc_id in (52, 80)"), folder).collect()
     assert sorted(r.doc_id for r in only) == [52, 80]
     digests = token_files.token_digests(token_files.fetch(index, folder)).collect()
+    through = token_files.file_digests(spark, folder)
+    assert sorted(map(str, through.collect())) == sorted(map(str, digests))
+    assert index.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert Counter((r.doc_id, r.ids_crc32) for r in digests) == Counter((i, zlib.crc32(x)) for (i, x), n in want.items() for _ in range(n))
     nothing = token_files.write_token_files(empty, vocabulary)
     assert token_files.fetch(token_files.document_index(spark, nothing), nothing).count() == 0

@@ -1,17 +1,19 @@
 """Language-model scores: a log-bilinear class model trained by noise-contrastive estimation.
 
-Every word has a class: the ``OWN - 1`` most frequent words and the end token one each, all other words one
-by their last bytes, so a word never seen has a class too. The log-bilinear model gives the class from the
-two classes before; within a class, words share by add-one counts, with one slot for words never seen:
+Every word has a class: the most frequent words and the end token one each, all other words one by their
+last bytes, so a word never seen has a class too. The log-bilinear model gives the class from the two
+classes before; within a class, words share by add-one counts, with one slot for words never seen:
 
     p(word | context) = p(class | context) * (n(word) + 1) / (N_class + V_class + 1)
 
 and 1 in place of the fraction for a class of one word. Both factors sum to one.
 
-Counts of words and of class triples cover all training tokens and are gathered on the cluster. The model is
-trained from the triple counts (at most ``K ** 3`` rows, whatever the corpus): each partition draws noise-
-contrastive batches in proportion to its counts, and the parameters are averaged after every round. Its
-normalised log-probabilities of all contexts come from batched matrix products, and scoring looks them up.
+What is learned grows with the corpus. The number of classes follows the cube root of the distinct words
+(``PER_ROOT`` a unit, up to ``MOST_CLASSES``, reached at about 130 million distinct words, which bounds the
+broadcast tables to 38 MB). Training goes through every training token ``PASSES`` times: texts are coded
+as class numbers once, and in each pass every partition of that table takes its noise-contrastive steps
+from the common parameters, which are then averaged by tokens. Classes of all contexts are normalised by
+one product of matrices, as the scores of a context are the sum of one term per class before.
 
 The most frequent words (at most ``HEAD`` of at most ``LONGEST`` bytes) are broadcast with their counts; the
 others of a document are joined with the count table.
@@ -25,34 +27,55 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintflow.llm.common import id_text, remainder, slices, text_of, with_row, words
 from stintflow.session import cut_lineage
 
-OWN, TAILS = 128, 64
-K = OWN + TAILS
-DIM, NOISE, BATCH, STEPS, ROUNDS, RATE = 24, 32, 2048, 100, 4, 0.15
-SHARDS = 8
+PER_ROOT, MOST_CLASSES, LEAST_CLASSES = 6, 3072, 96
+DIM, NOISE, BATCH, PASSES, RATE = 24, 32, 1024, 4, 0.15
+MIXED_TOKENS = 1 << 18  # tokens that are shuffled together before they are cut into batches
+MEANS = 64  # groups in which the partitions' parameters are summed before they come back
 HEAD, LONGEST = 200_000, 64
 END = b""  # no word is empty, so the end token can be
 _FLUSH = 500_000
 
 
-def tail_class(word: bytes) -> int:
-    return OWN + crc32(word[-3:]) % TAILS
+@dataclass(frozen=True)
+class Layout:
+    """Classes ``0 .. own - 1`` are single words (the end token first), the ``tails`` after them are word endings."""
+
+    own: int
+    tails: int
+
+    @property
+    def size(self) -> int:
+        return self.own + self.tails
+
+    def tail(self, word: bytes) -> int:
+        return self.own + ending(word) % self.tails
+
+
+def layout_for(types: int) -> Layout:
+    size = min(MOST_CLASSES, max(LEAST_CLASSES, math.ceil(PER_ROOT * types ** (1 / 3))))
+    return Layout(size - size // 3, size // 3)
+
+
+def ending(word: bytes) -> int:
+    return crc32(word[-3:])
 
 
 class Lookup(dict):
     """Index of a known word, or -1 - class of any other; answers for others are kept while there is room."""
 
-    def __init__(self, known: dict[bytes, int]):
+    def __init__(self, known: dict[bytes, int], layout: Layout):
         super().__init__(known)
-        self.kept = 0
+        self.layout, self.kept = layout, 0
 
     def __missing__(self, word: bytes) -> int:
-        answer = -1 - tail_class(word)
+        answer = -1 - self.layout.tail(word)
         if self.kept < _FLUSH:
             self.kept += 1
             self[word] = answer
@@ -64,7 +87,7 @@ def _count_words(batches):
 
     def rows():
         kept = list(counts)
-        frame = pd.DataFrame({"word": kept, "n": list(counts.values()), "tail": [tail_class(w) for w in kept]})
+        frame = pd.DataFrame({"word": kept, "n": list(counts.values()), "ending": [ending(w) for w in kept]})
         counts.clear()
         return frame
 
@@ -79,9 +102,9 @@ def _count_words(batches):
 
 
 def class_counts(texts: DataFrame) -> DataFrame:
-    """``word, n, tail`` of all tokens, the end token as the empty word."""
-    counted = texts.mapInPandas(_count_words, "word binary, n bigint, tail int")
-    return cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n"), F.min("tail").alias("tail")))
+    """``word, n, ending`` of all tokens, the end token as the empty word."""
+    counted = texts.mapInPandas(_count_words, "word binary, n bigint, ending bigint")
+    return cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")))
 
 
 def _sequence(lookup: Lookup, classes: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,87 +114,105 @@ def _sequence(lookup: Lookup, classes: np.ndarray, tokens: list[bytes]) -> tuple
     return index, np.where(index >= 0, classes[index], -1 - index)
 
 
-def _contexts(classes: np.ndarray) -> np.ndarray:
-    """Number of the two classes before each token; a document begins as after two ends."""
-    before = np.concatenate([[0, 0], classes])
-    return before[:-2] * K + before[1:-1]
-
-
-def _count_triples(shared):
+def _code(shared):
     def run(batches):
-        known, classes = shared.value[:2]
-        lookup = Lookup(known)
-        totals = np.zeros(K**3, np.int64)
+        known, classes, layout = shared.value[:3]
+        lookup = Lookup(known, layout)
         for batch in slices(batches, 512):
-            codes = []
-            for text in batch["text"]:
-                c = _sequence(lookup, classes, words(text))[1]
-                codes.append(_contexts(c) * K + c)
-            totals += np.bincount(np.concatenate(codes), minlength=K**3)
-        code = np.flatnonzero(totals)
-        for low in range(0, len(code), 100_000):
-            part = code[low : low + 100_000]
-            yield pd.DataFrame({"code": part, "n": totals[part]})
+            coded = [_sequence(lookup, classes, words(text))[1].astype("<u2") for text in batch["text"]]
+            yield pd.DataFrame({"classes": [c.tobytes() for c in coded], "tokens": [len(c) for c in coded]})
 
     return run
 
 
+def _before(coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Second and first class before each token; a document begins as after two ends, whose class is 0."""
+    padded = np.concatenate([[0, 0], coded])
+    return padded[:-2], padded[1:-1]
+
+
 def first_parameters(share: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     """Class vectors near zero and biases at the log shares: the unigram model of the classes."""
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+    k = len(share)
     return {
-        "R": small(K, DIM), "Q": small(K, DIM), "C1": np.eye(DIM, dtype=np.float32), "C2": 0.5 * np.eye(DIM, dtype=np.float32),
+        "R": small(k, DIM), "Q": small(k, DIM), "C1": np.eye(DIM, dtype=np.float32), "C2": 0.5 * np.eye(DIM, dtype=np.float32),
         "b": np.log(share).astype(np.float32),
     }
 
 
-def nce_round(model: dict[str, np.ndarray], code: np.ndarray, n: np.ndarray, share: np.ndarray, seed: int, steps: int = STEPS) -> dict[str, np.ndarray]:
-    """Some steps of noise-contrastive estimation with Adagrad on batches drawn in proportion to ``n``."""
-    rng = np.random.default_rng(seed)
-    model = {k: v.copy() for k, v in model.items()}
-    past = {k: np.full_like(v, 1e-4) for k, v in model.items()}
-    upto = np.cumsum(n)
-    noise_upto = np.cumsum(share)
-    shift = np.log(NOISE * share).astype(np.float32)
-    one = np.arange(K)
-    for _ in range(steps):
-        drawn = code[np.searchsorted(upto, rng.random(BATCH) * upto[-1], side="right")]
-        c2, c1, c = drawn // (K * K), drawn // K % K, drawn % K
-        noise = np.minimum(np.searchsorted(noise_upto, rng.random(NOISE) * noise_upto[-1], side="right"), K - 1)
+class Trainer:
+    """Noise-contrastive estimation with Adagrad, one step per batch of tokens with the two classes before each."""
+
+    def __init__(self, model: dict[str, np.ndarray], share: np.ndarray, seed: int):
+        self.model = {k: v.copy() for k, v in model.items()}
+        self.past = {k: np.full_like(v, 1e-4) for k, v in model.items()}
+        self.rng = np.random.default_rng(seed)
+        self.noise_upto = np.cumsum(share)
+        self.shift = np.log(NOISE * share).astype(np.float32)
+        self.tokens = 0
+
+    def _scatter(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sum of the rows that belong to each class."""
+        k = len(self.shift)
+        flat = (at[:, None] * DIM + np.arange(DIM)).ravel()
+        return np.bincount(flat, rows.ravel(), k * DIM).reshape(k, DIM).astype(np.float32)
+
+    def step(self, c2: np.ndarray, c1: np.ndarray, c: np.ndarray) -> None:
+        model, k, n = self.model, len(self.shift), len(c)
+        noise = np.minimum(np.searchsorted(self.noise_upto, self.rng.random(NOISE) * self.noise_upto[-1], side="right"), k - 1)
         r1, r2 = model["R"][c1], model["R"][c2]
         hat = r1 @ model["C1"] + r2 @ model["C2"]
-        good = (hat * model["Q"][c]).sum(axis=1) + model["b"][c] - shift[c]
-        fake = hat @ model["Q"][noise].T + model["b"][noise] - shift[noise]
-        up = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / BATCH
-        down = 1 / (1 + np.exp(-np.clip(fake, -30, 30))) / BATCH
-        dhat = up[:, None] * model["Q"][c] + down @ model["Q"][noise]
-        is_c, is_1, is_2 = ((one[:, None] == x).astype(np.float32) for x in (c, c1, c2))
-        dq, db = is_c @ (up[:, None] * hat), is_c @ up
+        q = model["Q"][c]
+        good = (hat * q).sum(axis=1) + model["b"][c] - self.shift[c]
+        fake = hat @ model["Q"][noise].T + model["b"][noise] - self.shift[noise]
+        up = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / n
+        down = 1 / (1 + np.exp(-np.clip(fake, -30, 30))) / n
+        dhat = up[:, None] * q + down @ model["Q"][noise]
+        dq, db = self._scatter(c, up[:, None] * hat), np.bincount(c, up, k).astype(np.float32)
         np.add.at(dq, noise, down.T @ hat)
         np.add.at(db, noise, down.sum(axis=0))
         grads = {
-            "R": is_1 @ (dhat @ model["C1"].T) + is_2 @ (dhat @ model["C2"].T),
+            "R": self._scatter(c1, dhat @ model["C1"].T) + self._scatter(c2, dhat @ model["C2"].T),
             "C1": r1.T @ dhat,
             "C2": r2.T @ dhat,
             "Q": dq,
             "b": db,
         }
         for name, g in grads.items():
-            past[name] += g * g
-            model[name] -= (RATE * g / np.sqrt(past[name])).astype(np.float32)
-    return model
+            self.past[name] += g * g
+            model[name] -= (RATE * g / np.sqrt(self.past[name])).astype(np.float32)
+        self.tokens += n
+
+    def learn(self, documents: list[np.ndarray]) -> None:
+        """One step per ``BATCH`` tokens of the documents in random order; the last batch may be smaller."""
+        before = [_before(d) for d in documents]
+        c2, c1, c = (np.concatenate(x).astype(np.int64) for x in ([b[0] for b in before], [b[1] for b in before], documents))
+        order = self.rng.permutation(len(c))
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
+            self.step(c2[pick], c1[pick], c[pick])
+
+
+def class_scores(model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of the score by (first class before, class) and by (second class before, class)."""
+    first = (model["R"] @ model["C1"]) @ model["Q"].T + model["b"]
+    return first, (model["R"] @ model["C2"]) @ model["Q"].T
 
 
-def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
-    """Normalised log10 probabilities, one row per context of two classes, one column per class."""
-    table = np.empty((K * K, K), np.float32)
-    first, second = model["R"] @ model["C1"], model["R"] @ model["C2"]
-    for c2 in range(K):
-        scores = (first + second[c2]) @ model["Q"].T + model["b"]
-        scores -= scores.max(axis=1, keepdims=True)
-        table[c2 * K : (c2 + 1) * K] = (scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))) / math.log(10)
-    return table
+def log_sums(model: dict[str, np.ndarray]) -> np.ndarray:
+    """Natural log of the sum of exponential scores by (second, first) class before, as one product of matrices."""
+    first, second = (x.astype(float) for x in class_scores(model))
+    top1, top2 = first.max(axis=1, keepdims=True), second.max(axis=1, keepdims=True)
+    sums = np.log(np.maximum(np.exp(second - top2) @ np.exp(first - top1).T, 1e-300))
+    return (sums + top2 + top1.T).astype(np.float32)
+
+
+def log_probabilities(first: np.ndarray, second: np.ndarray, sums: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """log10 probability of every class of a sequence after those before it."""
+    c2, c1 = _before(coded)
+    return (first[c1, coded] + second[c2, coded] - sums[c2, c1]) / math.log(10)
 
 
 @dataclass
@@ -181,8 +222,8 @@ class LanguageModel:
     counts: DataFrame
     known: dict[bytes, int]
     classes: np.ndarray
+    layout: Layout
     logs: np.ndarray
-    own: np.ndarray
     spread: np.ndarray
     model: dict[str, np.ndarray]
 
@@ -213,65 +254,78 @@ def fit(texts: DataFrame) -> LanguageModel | None:
         return None
     head = _head(counts)
     n, order = head["n"].to_numpy(np.int64), list(head["word"])
-    chosen = [END] + [w for w in order[:OWN] if w != END][: OWN - 1]
+    layout = layout_for(types)
+    own, k = layout.own, layout.size
+    chosen = [END] + [w for w in order[:own] if w != END][: own - 1]
     number = {w: i for i, w in enumerate(chosen)}
     known = {w: i for i, w in enumerate(order)}
     if END not in known:
         n = np.append(n, counts.where(F.length("word") == 0).first()["n"])
         known[END] = len(order)
         order.append(END)
-    classes = np.array([number.get(w, -1) if w in number else tail_class(w) for w in order], np.int64)
-    own = classes < OWN
+    classes = np.array([number[w] if w in number else layout.tail(w) for w in order], np.int64)
 
-    per_class = np.zeros((K, 2))
-    for row in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # TAILS rows
-        per_class[row["tail"]] = row["n"], row["v"]
+    per_class = np.zeros((k, 2))
+    by_tail = counts.groupBy((F.col("ending") % layout.tails).alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    for row in by_tail.collect():  # a row per class
+        per_class[own + row["tail"]] = row["n"], row["v"]
     for word in chosen:
-        per_class[tail_class(word)] -= n[known[word]], 1
+        per_class[layout.tail(word)] -= n[known[word]], 1
         per_class[number[word]] = n[known[word]], 1
-    spread = np.where(np.arange(K) < OWN, 0.0, np.log10(per_class.sum(axis=1) + 1))
-    share = (per_class[:, 0] + 0.5) / (tokens + 0.5 * K)
+    spread = np.where(np.arange(k) < own, 0.0, np.log10(per_class.sum(axis=1) + 1))
+    share = (per_class[:, 0] + 0.5) / (tokens + 0.5 * k)
 
-    shared = spark.sparkContext.broadcast((known, classes))
-    triples = texts.select("text").mapInPandas(_count_triples(shared), "code bigint, n bigint")
-    triples = cut_lineage(triples.groupBy("code").agg(F.sum("n").alias("n")))
+    shared = spark.sparkContext.broadcast((known, classes, layout))
+    coded = cut_lineage(texts.select("text").mapInPandas(_code(shared), "classes binary, tokens bigint"))
     model = first_parameters(share)
-    for turn in range(ROUNDS):
-        model = _average(triples, model, share, turn)
-    return LanguageModel(int(tokens), int(types), counts, known, classes, np.log10(n + 1.0), own, spread, model)
-
+    for turn in range(PASSES):
+        model = _one_pass(coded, model, share, turn)
+    return LanguageModel(int(tokens), int(types), counts, known, classes, layout, np.log10(n + 1.0), spread, model)
 
-def _average(triples: DataFrame, model: dict[str, np.ndarray], share: np.ndarray, turn: int) -> dict[str, np.ndarray]:
-    """Parameters after one round in every shard of the triples, averaged by their counts.
 
-    A shard holds at most ``K ** 3 / SHARDS`` rows, and one row of parameters per shard comes back.
-    """
-    shared = triples.sparkSession.sparkContext.broadcast(model)
+def _one_pass(coded: DataFrame, model: dict[str, np.ndarray], share: np.ndarray, turn: int) -> dict[str, np.ndarray]:
+    """Parameters after every partition went through its tokens once, averaged by tokens; ``MEANS`` rows come back."""
+    shared = coded.sparkSession.sparkContext.broadcast((model, share))
     names = sorted(model)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("code")
-        code, n = rows["code"].to_numpy(), rows["n"].to_numpy(float)
-        new = nce_round(shared.value, code, n, share, turn * 1000 + int(rows["shard"].iloc[0]))
-        return pd.DataFrame({"n": [n.sum()], "raw": [np.concatenate([new[k].ravel() for k in names]).astype("<f4").tobytes()]})
-
-    total, flat = 0.0, 0.0
-    dealt = triples.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(SHARDS)))
-    for row in dealt.groupBy("shard").applyInPandas(run, "n double, raw binary").collect():
-        total += row["n"]
-        flat = flat + row["n"] * np.frombuffer(row["raw"], "<f4").astype(float)
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        trainer = Trainer(*shared.value, turn * 1_000_003 + part)
+        lot, held = [], 0
+        for batch in slices(batches, 512):
+            for raw in batch["classes"]:
+                lot.append(np.frombuffer(raw, "<u2"))
+                held += len(lot[-1])
+                if held >= MIXED_TOKENS:
+                    trainer.learn(lot)
+                    lot, held = [], 0
+        if lot:
+            trainer.learn(lot)
+        if trainer.tokens:
+            flat = np.concatenate([trainer.model[k].ravel() for k in names]).astype(float) * trainer.tokens
+            yield pd.DataFrame({"part": [part % MEANS], "n": [float(trainer.tokens)], "raw": [flat.tobytes()]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(rows["raw"].iloc[0]) // 8)
+        for raw in rows["raw"]:
+            total += np.frombuffer(raw, float)
+        return pd.DataFrame({"n": [rows["n"].sum()], "raw": [total.tobytes()]})
+
+    trained = coded.mapInPandas(run, "part bigint, n double, raw binary")
+    sums = trained.groupBy("part").applyInPandas(add, "n double, raw binary").collect()
+    flat = sum(np.frombuffer(row["raw"], float) for row in sums) / sum(row["n"] for row in sums)
     out, at = {}, 0
     for k in names:
-        size = model[k].size
-        out[k] = (flat[at : at + size] / total).reshape(model[k].shape).astype(np.float32)
-        at += size
+        out[k] = flat[at : at + model[k].size].reshape(model[k].shape).astype(np.float32)
+        at += model[k].size
     return out
 
 
 def _score(shared):
     def run(batches):
-        known, classes, logs, own, spread, model = shared.value
-        lookup, table = Lookup(known), log_table(model)
+        known, classes, layout, logs, spread, model, sums = shared.value
+        lookup, (first, second) = Lookup(known, layout), class_scores(model)
+        own = classes < layout.own
         for batch in slices(batches, 512):
             out = []
             for text in batch["text"]:
@@ -279,7 +333,7 @@ def _score(shared):
                 index, c = _sequence(lookup, classes, tokens)
                 is_known = index >= 0
                 seen = index[is_known]
-                neural = float(table[_contexts(c), c].sum(dtype=float)) - float(spread[c].sum())
+                neural = float(log_probabilities(first, second, sums, c).sum(dtype=float)) - float(spread[c].sum())
                 missing = [tokens[i] for i in np.flatnonzero(~is_known)]
                 all_logs = float(logs[seen].sum())
                 out.append((len(index), len(seen), all_logs, neural + all_logs - float(logs[seen[own[seen]]].sum()), missing))
@@ -314,7 +368,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             id_col, "held_out", size.alias("n_tokens"), F.lit(0).cast("bigint").alias("n_known"),
             F.lit(0).cast("bigint").alias("train_tokens"), zero.alias("base_score"), zero.alias("score"),
         )
-    shared = docs.sparkSession.sparkContext.broadcast((lm.known, lm.classes, lm.logs, lm.own, lm.spread, lm.model))
+    shared = docs.sparkSession.sparkContext.broadcast((lm.known, lm.classes, lm.layout, lm.logs, lm.spread, lm.model, log_sums(lm.model)))
     schema = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, missing array<binary>"
     rows = with_row(texts.mapInPandas(_score(shared), schema))
     rare = rows.select("_row", F.explode("missing").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("times"))

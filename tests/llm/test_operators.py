@@ -483,28 +483,81 @@ def _held_out_id():
 def test_lm_probabilities_sum_to_one(docs):
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     model = lm.fit(texts)
-    table = lm.log_table(model.model)
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
-    share = np.zeros(lm.K)
+    (first, second), sums = lm.class_scores(model.model), lm.log_sums(model.model)
+    assert np.allclose(np.exp(first[None] + second[:, None] - sums[:, :, None].astype(float)).sum(axis=2), 1, atol=1e-4)
+    own = model.layout.own
+    share = np.zeros(model.layout.size)
     for word, index in model.known.items():
         c = model.classes[index]
-        share[c] += 1 if model.own[index] else 10 ** (model.logs[index] - model.spread[c])
-    share[lm.OWN :] += 10 ** -model.spread[lm.OWN :]  # the slot of unseen words
+        share[c] += 1 if c < own else 10 ** (model.logs[index] - model.spread[c])
+    share[own:] += 10 ** -model.spread[own:]  # the slot of unseen words
     present = np.unique(model.classes)
     assert np.allclose(share[present], 1)
 
 
+def test_lm_score_is_the_product_of_both_factors(docs):
+    train = [t or "" for i, t, _ in ROWS if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    m = lm.fit(docs.where(~lm.held_out()).select(F.coalesce("text", F.lit("")).alias("text")))
+    counts = Counter(w for t in train for w in ascii_lower(t).encode().split())
+    counts[lm.END] = len(train)
+    first, second = lm.class_scores(m.model)
+    class_of = lambda w: m.classes[m.known[w]] if w in m.known else m.layout.tail(w)
+    members = Counter(class_of(w) for w in counts)
+    mass = Counter()
+    for w, n in counts.items():
+        mass[class_of(w)] += n
+    want = Counter()
+    for i, t, _ in ROWS:
+        c2 = c1 = 0
+        total = 0.0
+        for w in [*ascii_lower(t or "").encode().split(), lm.END]:
+            c = class_of(w)
+            scores = first[c1].astype(float) + second[c2]
+            total += (scores[c] - np.log(np.exp(scores).sum())) / math.log(10)
+            if c >= m.layout.own:
+                total += math.log10((counts[w] + 1) / (mass[c] + members[c] + 1))
+            c2, c1 = c1, c
+        want[i, round(total, 2)] += 1
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in lm.score_documents(docs).collect())
+    expected = sorted((i is None, i or 0, v) for (i, v), times in want.items() for _ in range(times))
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert np.allclose([g[2] for g in got], [e[2] for e in expected], rtol=1e-3, atol=0.02)
+
+
+def test_lm_trains_on_every_token_of_every_pass(docs, monkeypatch):
+    coded = docs.sparkSession.createDataFrame([(np.array([1, 2, 0], "<u2").tobytes(), 3)] * 7, "classes binary, tokens bigint").repartition(3)
+    seen = docs.sparkSession.sparkContext.accumulator(0)
+    learn = lm.Trainer.learn
+
+    def counted(self, documents):
+        seen.add(sum(len(d) for d in documents))
+        learn(self, documents)
+
+    monkeypatch.setattr(lm.Trainer, "learn", counted)
+    share = np.full(96, 1 / 96)
+    lots = [np.frombuffer(r.classes, "<u2") for r in coded.collect()]
+    trainer = lm.Trainer(lm.first_parameters(share), share, 1)
+    trainer.learn(lots)
+    assert trainer.tokens == seen.value == 21
+    out = lm._one_pass(coded, lm.first_parameters(share), share, 0)
+    assert all(np.isfinite(v).all() for v in out.values()) and not np.allclose(out["b"], lm.first_parameters(share)["b"])
+
+
+def test_lm_classes_follow_the_distinct_words():
+    sizes = [lm.layout_for(n).size for n in (1, 10_000, 1_000_000, 10**8, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == lm.LEAST_CLASSES and sizes[1] < sizes[2] < sizes[3] <= sizes[4] == lm.MOST_CLASSES
+
+
 def test_nce_learns_a_pattern():
     rng = np.random.default_rng(1)
     c = np.cumsum(rng.integers(1, 3, 20000)) % 6  # the next class is one or two further on
-    code = (c[:-2] * lm.K + c[1:-1]) * lm.K + c[2:]
-    codes, n = np.unique(code, return_counts=True)
-    share = (np.bincount(c, minlength=lm.K) + 0.5) / (len(c) + 0.5 * lm.K)
-    model = lm.first_parameters(share)
-    for turn in range(3):
-        model = lm.nce_round(model, codes, n.astype(float), share, turn)
-    table = lm.log_table(model)
-    assert table[code // lm.K, code % lm.K].mean() > np.log10(share)[code % lm.K].mean() + 0.3
+    share = (np.bincount(c, minlength=96) + 0.5) / (len(c) + 0.5 * 96)
+    trainer = lm.Trainer(lm.first_parameters(share), share, 0)
+    for _ in range(4):
+        trainer.learn([c])
+    (first, second), sums = lm.class_scores(trainer.model), lm.log_sums(trainer.model)
+    got = lm.log_probabilities(first, second, sums, c)
+    assert got[2:].mean() > np.log10(share)[c[2:]].mean() + 0.3
 
 
 # ---- quality

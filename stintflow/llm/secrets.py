@@ -13,6 +13,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,11 +37,14 @@ SENSITIVE = {
 }
 KEY_KINDS = {"api", "access", "private", "secret", "auth", "encryption", "signing", "master", "client", "account"}
 HARMLESS = {"name", "id", "url", "uri", "path", "file", "type", "length", "count", "max", "min", "field", "label", "hint", "policy", "expiry", "ttl"}
-PLACEHOLDER = re.compile(r"example|change_?me|your[_-]|placeholder|dummy|sample|redacted|xxx|\*\*\*|<|\.\.\.|^(null|none|true|false|undefined|todo)$", re.I)
+MARK = re.compile(r"example|change_?me|your[_-]|placeholder|dummy|sample|redacted|xxx|\*\*\*|<|\.\.\.", re.I)
+MARK_LONGEST = len("placeholder")
+NOTHING = re.compile(r"null|none|true|false|undefined|todo", re.I)  # a placeholder only as the whole value
 LEAST_SCORE = 0.5
 
 SIGN = re.compile(r"(?<![=!<>:+\-*/%&|^~])(?::=|=>|=|:)(?!=|:|//)")
-TARGET = re.compile(r"""(?:(["'])([A-Za-z_][\w.\- ]{0,100})\1\]?|([A-Za-z_$][\w.\-$]{0,100}))(?:[ \t]*:[ \t]*[A-Za-z_][\w.\[\]]{0,40})?[ \t]*$""", re.A)
+# The name before a sign, read backwards: blanks, a type after a colon, then a quoted or a plain name.
+TARGET = re.compile(r"""[ \t]*(?:[\w.\[\]]*[A-Za-z_][ \t]*:[ \t]*)?(?:\]?(["'])([\w.\- ]*[A-Za-z_])\1|([\w.\-$]*[A-Za-z_$]))""", re.A)
 OPERAND = re.compile(r"""[ \t]*(?:[rbuf]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|([^\s"'`,;#(){}\[\]+]+))""", re.A | re.I)
 JOIN = re.compile(r"[ \t]*(?:\+\s*|\.\.|\\\n|(?=[\"']))", re.A)
 JOIN_INSIDE = re.compile(r"\s*(?:[+,]\s*|\.\.\s*|\\\n\s*|(?=[\"'`]))", re.A)  # between brackets
@@ -50,7 +54,6 @@ CLOSING = {"(": ")", "[": "]", "{": "}"}
 NAME = re.compile(r"[A-Za-z_$][\w.$]*", re.A)
 INSERT = re.compile(r"\$\{([A-Za-z_][\w.]*)\}|\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)", re.A)
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-LOOK_BACK = 240
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -74,14 +77,50 @@ def name_score(name: str) -> float:
     return score * 0.4 if parts and parts[-1] in HARMLESS else score
 
 
+def _looks_secret(length: int, counts: dict[str, int]) -> float:
+    bits = -sum(n / length * math.log2(n / length) for n in counts.values())
+    signs = "".join(counts)
+    kinds = sum(bool(re.search(k, signs)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(1.0, 0.25 * kinds + bits / 8)
+
+
 def literal_score(literal: str) -> float:
     """How much a literal looks like a secret, 0 to 1: length, variety, and no placeholder."""
-    if len(literal) < 6 or PLACEHOLDER.search(literal) or " " in literal.strip():
+    if len(literal) < 6 or MARK.search(literal) or NOTHING.fullmatch(literal) or " " in literal.strip():
         return 0.0
-    share = [n / len(literal) for n in Counter(literal).values()]
-    bits = -sum(p * math.log2(p) for p in share)
-    kinds = sum(bool(re.search(k, literal)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, 0.25 * kinds + bits / 8)
+    return _looks_secret(len(literal), Counter(literal))
+
+
+class Joined:
+    """What :func:`literal_score` needs of a value put together from pieces, without the value itself."""
+
+    __slots__ = ("length", "counts", "head", "tail", "marked", "solid", "lead", "inner", "trail")
+
+    def __init__(self, piece: str = ""):
+        core = piece.strip()
+        self.length, self.counts = len(piece), Counter(piece)
+        self.head, self.tail = piece[:MARK_LONGEST], piece[-MARK_LONGEST:]
+        self.marked, self.solid, self.inner = bool(MARK.search(piece)), bool(core), " " in core
+        before, after = (piece[: len(piece) - len(piece.lstrip())], piece[len(piece.rstrip()) :])
+        self.lead, self.trail = " " in before, " " in after
+
+    def add(self, other: "Joined") -> None:
+        self.marked = self.marked or other.marked or bool(MARK.search(self.tail + other.head))
+        self.inner = self.inner or other.inner or self.solid and other.solid and (self.trail or other.lead)
+        self.lead = self.lead or not self.solid and other.lead
+        self.trail = other.trail or not other.solid and self.trail
+        self.solid = self.solid or other.solid
+        self.length += other.length
+        for sign, n in other.counts.items():
+            self.counts[sign] = self.counts.get(sign, 0) + n
+        if len(self.head) < MARK_LONGEST:
+            self.head = (self.head + other.head)[:MARK_LONGEST]
+        self.tail = (self.tail + other.tail)[-MARK_LONGEST:]
+
+    def score(self) -> float:
+        if self.length < 6 or self.marked or self.inner or self.length <= len(self.head) and NOTHING.fullmatch(self.head):
+            return 0.0
+        return _looks_secret(self.length, self.counts)
 
 
 def _expression(text: str, at: int) -> list[tuple[int, int, str]]:
@@ -109,70 +148,122 @@ def _expression(text: str, at: int) -> list[tuple[int, int, str]]:
 
 def _assignments(text: str) -> list[tuple[int, str, list]]:
     """Place, name and parts of every assignment, in order."""
-    found = []
+    found, backwards = [], text[::-1]
     for sign in SIGN.finditer(text):
-        line = text.rfind("\n", max(0, sign.start() - LOOK_BACK), sign.start()) + 1
-        low = max(line, sign.start() - LOOK_BACK)
-        target = TARGET.search(text[low : sign.start()])
+        target = TARGET.match(backwards, len(text) - sign.start())
         if target and (parts := _expression(text, sign.end())):
-            found.append((sign.start(), target[2] or target[3], parts))
+            found.append((sign.start(), (target[2] or target[3])[::-1], parts))
     return found
 
 
-def _value(text: str, k: int, given: list[tuple[int, str, list]], named: dict[str, list[int]]) -> tuple[list[tuple[int, int]], str | None]:
-    """Spans of the literals that make up the value of assignment ``k``; the text if it is one bare word.
+class _Values:
+    """The assignments of a text as a graph: each holds its own pieces and leads to the assignments it names.
 
-    A name stands for its last assignment before, or else its first one after; each assignment counts once.
+    A name stands for its last assignment before, or else its first one after. Every assignment is read and
+    put together once, whatever leads to it; one that is met again while it is being put together adds nothing.
     """
 
-    def meant(name: str, by: int) -> int | None:
-        its = named.get(name, [])
+    def __init__(self, text: str):
+        self.text, self.given = text, _assignments(text)
+        self.named: dict[str, list[int]] = {}
+        for k, (_, name, _) in enumerate(self.given):
+            self.named.setdefault(name, []).append(k)
+        self.items: dict[int, list] = {}
+        self.bare: set[int] = set()
+
+    def _meant(self, name: str, by: int) -> int | None:
+        its = self.named.get(name, [])
         at = bisect_left(its, by)
         if at:
             return its[at - 1]
         return next((x for x in its if x != by), None)
 
-    spans, bare, seen = [], None, {k}
-    todo: list = [(k, part) for part in reversed(given[k][2])]
-    while todo:
-        by, (start, end, kind) = todo.pop()
-        if kind == "literal":
-            spans.append((start, end))
-            names = [i[1] or i[2] or i[3] for i in INSERT.finditer(text, start, end)]
-        else:
-            word = text[start:end]
-            names = [word] if NAME.fullmatch(word) and meant(word, by) is not None else []
-            if not names and kind == "first":
-                spans.append((start, end))
-                bare = word if by == k else bare
-        for name in reversed(names):
-            other = meant(name, by)
-            if other is not None and other not in seen:
-                seen.add(other)
-                todo += [(other, part) for part in reversed(given[other][2])]
-    return spans, bare
+    def read(self, k: int) -> list:
+        """Pieces ``(start, end, text)`` and numbers of other assignments, in the order of the expression."""
+        if k in self.items:
+            return self.items[k]
+        items: list = []
+        for start, end, kind in self.given[k][2]:
+            raw = self.text[start:end]
+            if kind == "literal":
+                items.append((start, end, INSERT.sub("", raw)))  # a name put in counts by its own literal
+                names = [i[1] or i[2] or i[3] for i in INSERT.finditer(raw)]
+            else:
+                names = [raw] if NAME.fullmatch(raw) and self._meant(raw, k) is not None else []
+                if not names and kind == "first":
+                    items.append((start, end, INSERT.sub("", raw)))
+                    if raw.isalpha():
+                        self.bare.add(k)
+            items += [other for name in names if (other := self._meant(name, k)) is not None]
+        self.items[k] = items
+        return items
+
+    def scores(self, wanted: dict[int, float]) -> dict[int, float]:
+        """Score of the whole value of each wanted assignment; a value goes when all that lead to it have used it."""
+        uses = Counter(i for k in self.reached(wanted) for i in self.read(k) if isinstance(i, int))
+        joined: dict[int, Joined] = {}
+        begun, done, scores = set(), set(), {}
+        for k in wanted:
+            todo = [k]
+            while todo:
+                at = todo[-1]
+                if at in done:
+                    todo.pop()
+                    continue
+                if at not in begun:
+                    begun.add(at)
+                    if more := [i for i in self.read(at) if isinstance(i, int) and i not in begun]:
+                        todo += reversed(more)
+                        continue
+                whole = Joined()
+                for item in self.read(at):
+                    if not isinstance(item, int):
+                        whole.add(Joined(item[2]))
+                    elif item in joined:
+                        whole.add(joined[item])
+                        uses[item] -= 1
+                        if not uses[item]:
+                            del joined[item]
+                if uses[at]:
+                    joined[at] = whole
+                if at in wanted:
+                    scores[at] = whole.score()
+                done.add(at)
+                todo.pop()
+        return scores
+
+    def reached(self, amounts: dict[int, float]) -> dict[int, float]:
+        """For each assignment the largest amount of those that lead to it, itself included."""
+        most: dict[int, float] = {}
+        for k, amount in sorted(amounts.items(), key=lambda x: -x[1]):
+            todo = [k]
+            while todo:
+                at = todo.pop()
+                if at not in most:
+                    most[at] = amount
+                    todo += [i for i in self.read(at) if isinstance(i, int)]
+        return most
 
 
 def named_spans(text: str) -> list[tuple[int, int, float]]:
     """Start, end and score of literals that reach a sensitive name."""
     if "=" not in text and ":" not in text:
         return []
-    given = _assignments(text)
-    named: dict[str, list[int]] = {}
-    for k, (_, name, _) in enumerate(given):
-        named.setdefault(name, []).append(k)
+    values = _Values(text)
+    weights: dict[int, float] = {}
+    for k, (_, name, _) in enumerate(values.given):
+        if weight := name_score(name):
+            values.read(k)
+            # a bare word is prose or a reference sooner than a secret
+            weights[k] = weight * 0.4 if k in values.bare else weight
+    wholes = values.reached({k: weights[k] * score for k, score in values.scores(weights).items()})
     found: dict[tuple[int, int], float] = {}
-    for k, (_, name, _) in enumerate(given):
-        weight = name_score(name)
-        if not weight:
-            continue
-        spans, bare = _value(text, k, given, named)
-        pieces = [INSERT.sub("", text[start:end]) for start, end in spans]  # a name put in counts by its own literal
-        whole = literal_score("".join(pieces))  # a value put together from parts
-        for (start, end), piece in zip(spans, pieces):
-            score = weight * max(literal_score(piece), whole if len(piece) > 2 else 0.0)
-            if bare and bare.isalpha():
-                score *= 0.4  # a bare word is prose or a reference sooner than a secret
+    for k, weight in values.reached(weights).items():
+        for item in values.read(k):
+            if isinstance(item, int):
+                continue
+            start, end, piece = item
+            score = max(weight * literal_score(piece), wholes[k] if len(piece) > 2 else 0.0)
             if score >= LEAST_SCORE:
                 found[start, end] = max(score, found.get((start, end), 0.0))
     return [(start, end, score) for (start, end), score in found.items()]
@@ -180,10 +271,12 @@ def named_spans(text: str) -> list[tuple[int, int, float]]:
 
 def spans_of(text: str) -> list[dict]:
     """All spans by start, then kind; a literal that a plain pattern covers is not reported again."""
-    base = base_spans(text)
+    base = sorted(base_spans(text))
+    starts, upto = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
     out = [{"kind": kind, "start": start, "end": end, "score": 1.0} for start, end, kind in base]
     for start, end, score in named_spans(text):
-        if not any(start < e and s < end for s, e, _ in base):
+        before = bisect_left(starts, end)
+        if not before or upto[before - 1] <= start:
             out.append({"kind": "named", "start": start, "end": end, "score": score})
     return sorted(out, key=lambda s: (s["start"], KINDS.index(s["kind"]), s["end"]))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,23 @@ def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def with_stored_order(df: DataFrame, part: str = "_part", file: str = "_file", at: str = "_at") -> DataFrame:
+    """``df`` with columns that sort its rows as they are stored: partition and name of the file, row in it.
+
+    Tables that Spark wrote name each file after the partition it holds. A table without files is sorted
+    by its partitions and the rows in them.
+    """
+    try:
+        stored = df.metadataColumn("_metadata")
+        path = stored["file_path"]
+        number = F.regexp_extract(path, r"part-(\d+)[^/]*$", 1)
+        partition = F.when(number != "", number).cast("bigint")
+        return df.select("*", partition.alias(part), path.alias(file), stored["row_index"].alias(at))
+    except AnalysisException:
+        row = F.monotonically_increasing_id()
+        return df.select("*", F.lit(0).cast("bigint").alias(part), F.lit("").alias(file), row.alias(at))
+
+
 def words(text: str) -> list[bytes]:
     """ASCII lower-cased words; ``bytes.split`` cuts at exactly the white space of ``SPACE``."""
     return text.encode("utf-8", "surrogatepass").lower().split()

@@ -164,9 +164,12 @@ def write_token_files(
     end_id: int = 2,
     level: int = 3,
     files: int | None = None,
+    order: tuple[str, ...] = (),
 ) -> str:
     """Encode and write all documents in ascending order of a whole-number id; returns the folder.
 
+    With ``order`` the documents follow these columns first, nulls last, and the id only where they are equal.
+
     ``tokenizer`` is the path of a vocabulary file that the executors have. Null and empty texts hold the
     end id alone; null ids come last; rows that share an id are written each, ordered by text hash. An
     empty table gives a folder without files. Other columns are not read. ``files`` defaults to the number
@@ -176,12 +179,13 @@ def write_token_files(
     folder = folder or scratch_path(spark, "tokens")
     filesystem, path = pafs.FileSystem.from_uri(folder)
     filesystem.create_dir(path)
-    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    by = [f"_by_{i}" for i in range(len(order))]
+    sorting = [*[F.col(b).asc_nulls_last() for b in by], F.col("doc_id").asc_nulls_last(), F.col("tie")]
     dealt = (
-        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
+        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"), *[F.col(c).alias(b) for c, b in zip(order, by)])
         .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
-        .sortWithinPartitions(*order)
+        .repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), *sorting)
+        .sortWithinPartitions(*sorting)
     )
     schema = "part bigint, file string, n_docs bigint, n_tokens bigint, tail bigint"
     manifest = dealt.select(id_text("doc_id").alias("doc_id"), "text").mapInPandas(_write(folder, tokenizer, end_id, level), schema)

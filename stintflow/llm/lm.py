@@ -162,22 +162,28 @@ class Trainer:
     def step(self, c2: np.ndarray, c1: np.ndarray, c: np.ndarray) -> None:
         model, k, n = self.model, len(self.shift), len(c)
         noise = np.minimum(np.searchsorted(self.noise_upto, self.rng.random(NOISE) * self.noise_upto[-1], side="right"), k - 1)
-        r1, r2 = model["R"][c1], model["R"][c2]
-        hat = r1 @ model["C1"] + r2 @ model["C2"]
-        q = model["Q"][c]
-        good = (hat * q).sum(axis=1) + model["b"][c] - self.shift[c]
-        fake = hat @ model["Q"][noise].T + model["b"][noise] - self.shift[noise]
-        up = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / n
-        down = 1 / (1 + np.exp(-np.clip(fake, -30, 30))) / n
-        dhat = up[:, None] * q + down @ model["Q"][noise]
-        dq, db = self._scatter(c, up[:, None] * hat), np.bincount(c, up, k).astype(np.float32)
-        np.add.at(dq, noise, down.T @ hat)
+        hat = (model["R"] @ model["C1"])[c1]
+        hat += (model["R"] @ model["C2"])[c2]
+        q, qn = model["Q"][c], model["Q"][noise]
+        good = np.einsum("ij,ij->i", hat, q) + (model["b"] - self.shift)[c]
+        fake = hat @ qn.T
+        fake += model["b"][noise] - self.shift[noise]
+        up = (1 / (1 + np.exp(-good)) - 1) / n
+        np.exp(-fake, out=fake)
+        fake += 1
+        down = np.divide(np.float32(1 / n), fake, out=fake)
+        dhat = down @ qn
+        q *= up[:, None]
+        dhat += q
+        by_c, by_1, by_2 = self._scatter(c, hat * up[:, None]), self._scatter(c1, dhat), self._scatter(c2, dhat)
+        db = np.bincount(c, up, k).astype(np.float32)
+        np.add.at(by_c, noise, down.T @ hat)
         np.add.at(db, noise, down.sum(axis=0))
         grads = {
-            "R": self._scatter(c1, dhat @ model["C1"].T) + self._scatter(c2, dhat @ model["C2"].T),
-            "C1": r1.T @ dhat,
-            "C2": r2.T @ dhat,
-            "Q": dq,
+            "R": by_1 @ model["C1"].T + by_2 @ model["C2"].T,
+            "C1": model["R"].T @ by_1,
+            "C2": model["R"].T @ by_2,
+            "Q": by_c,
             "b": db,
         }
         for name, g in grads.items():
@@ -185,6 +191,7 @@ class Trainer:
             model[name] -= (RATE * g / np.sqrt(self.past[name])).astype(np.float32)
         self.tokens += n
 
+    @np.errstate(over="ignore")  # an infinite exponential gives a share of zero
     def learn(self, documents: list[np.ndarray]) -> None:
         """One step per ``BATCH`` tokens of the documents in random order; the last batch may be smaller."""
         before = [_before(d) for d in documents]

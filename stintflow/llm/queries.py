@@ -174,8 +174,7 @@ WITH l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line FROM (SELECT doc_id
     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
 t AS (SELECT line, min({'doc_id': doc_id, 'line_no': line_no}) AS first,
     regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS v FROM l GROUP BY line),
-d AS (SELECT line, first, list_sort(list_distinct(list_transform(generate_series(1, greatest(len(v) - 4, least(len(v), 1))),
-    lambda i: array_to_string(v[i:i + 4], ' '))), 'DESC') AS w FROM t),
+d AS (SELECT line, first, list_sort(list_distinct(v), 'DESC') AS w FROM t),
 s AS (SELECT *, row_number() OVER () AS id, len(w) AS n FROM d WHERE len(w) > 0),
 p AS (SELECT id, n, unnest(w[1:n - (4 * n + 4) // 5 + 1]) AS word FROM s),
 c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b USING (word)

@@ -368,7 +368,7 @@ def test_line_dedup(docs, empty):
         for n, line in enumerate((t or "").split("\n")):
             place = (i is None, -1 if i is None else i, key, n)
             words = [w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w]
-            lines.append((place, {" ".join(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1)))}))
+            lines.append((place, set(words)))
     gone = Counter()
     for place, words in lines:
         if words and any(p < place and w and len(w & words) * 5 >= 4 * len(w | words) for p, w in lines):
@@ -383,6 +383,39 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def _gone_lines(rows):
+    """Numbers of the lines that go, by document: every line against all before it."""
+    lines = []
+    for i, text in rows:
+        for n, line in enumerate(text.split("\n")):
+            lines.append(((i, n), set(line.lower().split())))
+    gone = {i: [] for i, _ in rows}
+    for (i, n), words in lines:
+        if words and any(p < (i, n) and len(w & words) * 5 >= 4 * len(w | words) for p, w in lines):
+            gone[i].append(n)
+    return gone
+
+
+def test_line_dedup_finds_one_changed_word_in_short_lines(spark):
+    rows = [(1, "a b c d e f g h i\nA  b c\tD"), (2, "a b c d e f g h x\nd c b a\na b c z"), (3, "i h g f e d c b\n\n \nq")]
+    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _gone_lines(rows) == {1: [], 2: [0, 1], 3: [0]}
+
+
+def test_line_dedup_with_hot_lines_against_all_pairs(spark):
+    """A third of the lines are edits of one line, some far from its first form, and one line is repeated throughout."""
+    rnd = random.Random(5)
+    base, rows = [f"base{k}" for k in range(20)], []
+    for i in range(150):
+        words = [w if rnd.random() > rnd.choice([0.02, 0.1, 0.3]) else f"r{rnd.randrange(40)}" for w in base]
+        other = [f"w{int(rnd.paretovariate(0.6)) % 300}" for _ in range(rnd.randrange(3, 14))]
+        rows.append((i, "\n".join([" ".join(words), "the very same line", " ".join(other)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(docs).collect()}
+    assert got == _gone_lines(rows)
+    assert 60 < sum(0 in v for v in got.values()) < 150
+
+
 def test_without_lines(spark):
     df = spark.createDataFrame([("a\nb\nc", [1]), (None, []), ("", []), ("x", [0])], "t string, r array<int>")
     assert [r.o for r in df.select(line_dedup.without_lines(F.col("t"), F.col("r")).alias("o")).collect()] == ["a\nc", "", "", ""]

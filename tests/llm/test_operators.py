@@ -416,6 +416,16 @@ def test_line_dedup_with_hot_lines_against_all_pairs(spark):
     assert 60 < sum(0 in v for v in got.values()) < 150
 
 
+def test_line_dedup_reads_the_ranks_in_place(spark, docs):
+    """No row may hold the ranks of all buckets: the plan has them as a subquery and never as a column."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    places = texts.selectExpr("1L as id", "binary('') as key", "struct(true as none, doc_id, text_key, 0 as line_no) as first")
+    plan = line_dedup._rare_words(texts, places)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan
+    held = [at for at in re.finditer(r"AS ranks#", plan) if not plan[: at.start()].rsplit("\n", 1)[-1].count("Aggregate")]
+    assert not held, plan
+
+
 def test_without_lines(spark):
     df = spark.createDataFrame([("a\nb\nc", [1]), (None, []), ("", []), ("x", [0])], "t string, r array<int>")
     assert [r.o for r in df.select(line_dedup.without_lines(F.col("t"), F.col("r")).alias("o")).collect()] == ["a\nc", "", "", ""]

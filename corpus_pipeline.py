@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity of at least 0.8."""
+    """One document of each group of near duplicates stays: SimHash of five-word shingles, similarity of at least 0.8."""
     return keep_one_similar(docs)
 
 

@@ -7,8 +7,11 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from stintflow.llm import simhash
+from stintflow.llm import near_copies, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, source string, lang string, n_chars int"
@@ -83,3 +86,38 @@ def test_near_dedup_ids_and_repeats(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(7, text), (None, "other words"), (2**60 + 1, "third text")], key=str)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def test_links_are_found_through_fingerprints(spark):
+    """Without near fingerprints nothing links, and a group of near copies leaves a forest, not its pairs."""
+    base = prose(3, 150)
+    texts = [" ".join([*base[: 2 * k], f"v{k}", *base[2 * k + 1 :]]) for k in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").withColumn("text_key", F.xxhash64("text"))
+    sets = [near_copies.shingle_set(t) for t in texts]
+    heads = lambda fp: spark.createDataFrame(
+        [(near_copies._set_key(s), r.text_key, len(s), bytearray(fp(s))) for s, r in zip(sets, docs.orderBy("doc_id").collect())],
+        "set_key bigint, text_key bigint, n int, fp binary",
+    )
+    texts = docs.select("text", "text_key")
+    for tile in (near_copies.TILE, 8):
+        links = near_copies.similar_links(texts, heads(near_copies.fingerprint), tile).collect()
+        met = 1 if tile > 60 else 60 // tile + 2
+        assert 59 <= len(links) <= 60 * met * 2
+    far = iter(range(60))
+    assert near_copies.similar_links(texts, heads(lambda s: random.Random(next(far)).randbytes(32))).count() == 0
+
+
+def test_fingerprints_reach_four_fifths():
+    missed = 0
+    for seed in range(300):
+        size = random.Random(seed).choice([9, 40, 90, 400])
+        x = near_copies.shingle_set(" ".join(prose(seed, size + 4)))
+        y = np.unique(np.concatenate([x[: -(size // 9)], near_copies.shingle_set(" ".join(prose(seed + 1000, size // 9 + 4)))]))
+        codes = near_copies._codes(near_copies.fingerprint(x) + near_copies.fingerprint(y))
+        missed += not near_copies._near(codes[:, :1], len(x), codes[:, 1:], np.array([len(y)]))[0]
+    assert missed <= 1

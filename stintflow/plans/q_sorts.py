@@ -140,10 +140,11 @@ def u2(t):
 UNION ALL SELECT 'both', k FROM (SELECT l_partkey AS k FROM lineitem INTERSECT SELECT o_custkey FROM orders)""",
 )
 def u3(t):
-    a = t.lineitem.select(F.col("l_partkey").alias("k"))
-    b = t.orders.select(F.col("o_custkey").alias("k"))
-    only = a.subtract(b).select(F.lit("only_left").alias("kind"), "k")
-    return only.unionByName(a.intersect(b).select(F.lit("both").alias("kind"), "k"))
+    # keys of both sides are made distinct before they meet, in one shuffle of distinct keys
+    a = t.lineitem.select(F.col("l_partkey").alias("k"), F.lit(True).alias("left"))
+    b = t.orders.select(F.col("o_custkey").alias("k"), F.lit(False).alias("left"))
+    keys = a.unionByName(b).groupBy("k").agg(F.max("left").alias("left"), F.min("left").alias("alone"))
+    return keys.where("left").select(F.when(F.col("alone"), "only_left").otherwise("both").alias("kind"), "k")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -20,6 +21,9 @@ from stintflow.scale import Running, positions, quantiles, range_placed, running
 from stintflow.session import cut_lineage, forget
 
 
+TASK_ROWS = 250_000  # a training task holds this many rows in memory, over all trees
+
+
 @dataclass(frozen=True)
 class BoostParams:
     trees: int = 400
@@ -61,6 +65,12 @@ def chronological_split(groups: DataFrame, group: str, day: str, share: float) -
     return cut.withColumn("is_early", F.col("_pos") <= F.floor(F.col("_total") * share)).drop("_pos", "_total")
 
 
+def evenly(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt out to tasks of at most about ``rows`` rows, whatever the files, and to every core."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows))
+    return df.repartition(parts)
+
+
 def train_boosted(
     df: DataFrame, features: list[str], label: str, params: BoostParams = BoostParams(),
     weight: str | None = None, stop_flag: str | None = None, categorical: list[str] = [],
@@ -81,6 +91,7 @@ def train_boosted(
     if stop_flag:
         gbt = gbt.setValidationIndicatorCol(stop_flag)
     assembler = VectorAssembler(inputCols=[*features, *names], outputCol="_features", handleInvalid="keep")
+    df = evenly(df.select(*{c: None for c in [*features, *categorical, label, weight, stop_flag] if c}))
     return Pipeline(stages=[*stages, assembler, gbt]).fit(df)
 
 

@@ -8,6 +8,7 @@ gradients run on their entries, one system here, many at once in ``block_ridge``
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +148,19 @@ def ridge_cg(
     """
     upper = g.where("j >= 0")
     mirrored = upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-    plain = cut_lineage(upper.unionByName(mirrored).repartition("j"))
+    parts = int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = upper.unionByName(mirrored).repartition(parts, "j").sortWithinPartitions("j").persist(StorageLevel.DISK_ONLY)
+    try:
+        return _descend(g, plain, penalised, lam, prior, steps, tol)
+    finally:
+        plain.unpersist()
+
+
+def _descend(
+    g: DataFrame, plain: DataFrame, penalised: Column, lam: float, prior: DataFrame | None, steps: int, tol: float
+) -> DataFrame:
+    """The steps of :func:`ridge_cg` on both triangles ``plain``, which lie dealt out by ``j``; only vectors move, in
+    shuffles, as a broadcast in each step would pass through the driver."""
     entries = plain.withColumn("v", F.when((F.col("i") == F.col("j")) & penalised, F.col("v") + lam).otherwise(F.col("v")))
     rhs = g.where("j = -1").select("i", F.col("v").alias("b"))
     if prior is not None:
@@ -162,10 +175,10 @@ def ridge_cg(
     while rr > stop:
         if step == steps:
             raise ArithmeticError(f"no convergence: squared residual {rr:g} after {steps} steps, wanted {stop:g}")
-        ap = entries.join(state.select(F.col("i").alias("j"), "p"), "j").groupBy("i").agg(
+        ap = entries.join(state.select(F.col("i").alias("j"), "p").hint("merge"), "j").groupBy("i").agg(
             F.sum(F.col("v") * F.col("p")).alias("ap")
         )
-        moved = cut_lineage(state.join(ap, "i"))
+        moved = cut_lineage(state.join(ap.hint("merge"), "i"))
         forget(written)
         written = moved
         alpha = rr / moved.agg(F.sum(F.col("p") * F.col("ap")).alias("s")).first()["s"]
@@ -173,7 +186,8 @@ def ridge_cg(
         fresh = moved.agg(F.sum(F.col("r") * F.col("r")).alias("s")).first()["s"]
         state = moved.select("i", "x", "r", (F.col("r") + (fresh / rr) * F.col("p")).alias("p"))
         rr, step = fresh, step + 1
-    result = state.select("i", "x")
+    result = cut_lineage(state.select("i", "x"))
+    forget(written)
     if prior is None:
         return result
     return result.join(prior, "i", "left").select("i", (F.col("x") + F.coalesce("prior", F.lit(0.0))).alias("x"))

@@ -45,7 +45,7 @@ def starters(docs: DataFrame, key: str, doc: str, sides: tuple[str, ...] = ("awa
     """Per game and side the first goalie marked as starter, with saves; nulls where none is marked."""
     is_starter = lambda g: F.coalesce(F.try_variant_get(g, "$.starter", "boolean"), F.lit(False))
     first = lambda side: F.get(F.filter(items(doc, f"$.boxscore.{side}.goalies"), is_starter), F.lit(0))
-    rows = docs.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), first(s).alias("g")) for s in sides])).alias("x")).select(key, "x.*")
+    rows = docs.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), first(s).alias("_goalie")) for s in sides])).alias("x")).select(key, "x.*")
     return rows.select(
-        key, "side", plain_or_default(F.col("g"), "name").alias("name"), F.try_variant_get("g", "$.saves", "bigint").alias("saves")
+        key, "side", plain_or_default(F.col("_goalie"), "name").alias("name"), F.try_variant_get("_goalie", "$.saves", "bigint").alias("saves")
     )

@@ -3,8 +3,8 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8 (a shorter
 text is one shingle) and SimHash shows them near each other. Texts with equal sets are one class. A class has a
 fingerprint of ``BITS`` bits. At a similarity of 0.8 two of them differ in 15 % of the bits, 39 of 256 with a
-standard deviation below 6; ``RADIUS`` lies over four deviations beyond, so the fingerprints lose about one in
-100,000 links at the threshold (one in 200 between sets of four and five shingles) and fewer above it, while
+standard deviation below 6; ``RADIUS`` lies over four deviations beyond, so by this estimate the fingerprints lose a few
+in 100,000 links at the threshold (one in 200 between sets of four and five shingles) and fewer above it, while
 unrelated texts, which differ in half of the bits, never come near.
 
 Fingerprints are compared in tiles. As sets that differ in size by over a quarter cannot be linked, tiles hold

@@ -1,16 +1,21 @@
 """Weighted ridge with an unpenalised block and a prior on sparse two-row designs.
 
 A design row is ``(row_id, grp, y, w, terms)`` with ``terms`` an array of ``(col, val)`` holding its few
-non-zeros. The normal equations are sums over rows, so they are built by one partial aggregation over
-the pairs inside each row; rows never meet each other. They stay distributed whatever their order: conjugate
+non-zeros. The normal equations are sums over rows, so tasks add up the pairs inside each row, a batch of rows at
+a time, and one aggregation adds up the tasks' sums; rows never meet each other. They stay distributed whatever their order: conjugate
 gradients run on their entries, one system here, many at once in ``block_ridge``.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from stintflow.scale import with_ordinal
 from stintflow.session import cut_lineage, forget
@@ -122,15 +127,88 @@ def seasons_design(
     return indexed.select("grp", "w", F.inline(both))
 
 
+# Rows, and pairs of terms in them, that a task adds up at once.
+ROWS, PAIRS = 1024, 1 << 20
+
+
+def _pair_sums(by: list[str], width: int, schema):
+    """Turns Arrow batches of ``by``, ``w``, ``t0 ..`` (targets), ``cols`` and ``vals`` (lists) into their moments.
+
+    Nulls are as in SQL: a product with one adds nothing, and a sum of nothing else is null.
+    """
+
+    def numbers(array):
+        return array.fill_null(0.0).to_numpy(zero_copy_only=False), array.is_valid().to_numpy(zero_copy_only=False)
+
+    def sizes(rows):
+        return pc.fill_null(pc.list_value_length(rows["cols"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def sums(code, value, known, codes):
+        """The codes that occur, below ``codes``, and the sum of each."""
+        if codes > 4 * len(code):
+            found, code = np.unique(code, return_inverse=True)
+        else:
+            found = np.arange(codes)
+        met = np.bincount(code, minlength=len(found)) > 0
+        total = np.bincount(code, np.where(known, value, 0.0), len(found))
+        none = np.bincount(code, known, len(found)) == 0
+        return found[met], pa.array(total[met], mask=none[met])
+
+    def moments(rows):
+        size = sizes(rows)
+        row = np.repeat(np.arange(len(size)), size)
+        (val, has), (w, weighed) = numbers(rows["vals"].flatten()), numbers(rows["w"])
+        group, first = np.zeros(len(size), np.int64), np.zeros(1, np.int64)
+        for name in by:
+            code = rows[name].dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            _, first, group = np.unique(group * (len(size) + 1) + code, return_index=True, return_inverse=True)
+        names, place = np.unique(rows["cols"].flatten().to_numpy(), return_inverse=True)
+        n, groups = len(names), len(first)
+        # every term with every one of its row that does not come before it
+        each = size[row]
+        a = np.repeat(np.arange(len(row)), each)
+        b = np.arange(len(a)) + np.repeat((np.cumsum(size) - size)[row] - (np.cumsum(each) - each), each)
+        kept = place[b] >= place[a]
+        a, b = a[kept], b[kept]
+        spot, term, sure = group[row] * n + place, w[row] * val, weighed[row] & has
+        code, total = sums(spot[a] * n + place[b], term[a] * val[b], sure[a] & has[b], groups * n * n)
+        found = [(code // n, names[code % n], total)]
+        for k in range(width):
+            y, known = numbers(rows[f"t{k}"])
+            code, total = sums(spot, term * y[row], sure & known[row], groups * n)
+            found.append((code, np.full(len(code), -k - 1), total))
+        for spot, j, total in found:
+            of = [rows[name].take(pa.array(first[spot // n])) for name in by]
+            yield pa.RecordBatch.from_arrays([*of, pa.array(names[spot % n]), pa.array(j), total], schema=schema)
+
+    def run(batches):
+        for batch in batches:
+            size = sizes(batch)
+            block = np.arange(len(size)) // ROWS + np.cumsum(size * size) // PAIRS
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(size)]
+            for low, high in zip(edges, edges[1:]):
+                if low < high:
+                    yield from moments(batch.slice(low, high - low))
+
+    return run
+
+
 def gram(design: DataFrame, by: list[str] = [], targets: list[str] = ["y"]) -> DataFrame:
-    """Upper triangle of XᵀWX (``i <= j``) and, with ``j = -1, -2 ...``, XᵀWy per target; per ``by`` group when given."""
-    a = design.select(*by, *targets, "w", "terms", F.explode("terms").alias("a"))
-    partners = F.filter("terms", lambda t: t["col"] >= F.col("a.col"))
-    target = [F.struct(F.lit(-k).cast("bigint").alias("col"), F.col(y).alias("val")) for k, y in enumerate(targets, 1)]
-    pairs = a.select(*by, "w", "a", F.explode(F.concat(partners, F.array(*target))).alias("b"))
-    return pairs.groupBy(*by, F.col("a.col").alias("i"), F.col("b.col").alias("j")).agg(
-        F.sum(F.col("w") * F.col("a.val") * F.col("b.val")).alias("v")
-    )
+    """Upper triangle of XᵀWX (``i <= j``) and, with ``j = -1, -2 ...``, XᵀWy per target; per ``by`` group when given.
+
+    Rows are brought together by ``grp``, whose rows share columns, and tasks add up the pairs of some rows at a time:
+    only these sums become rows of Spark's. Rows of a group meet in one task but are never held together there. Columns are never null.
+    """
+    double = lambda c: F.col(c).cast("double")
+    flat = design.where(F.size("terms") > 0).select(
+        *dict.fromkeys([*by, "grp"]), double("w").alias("w"), *[double(y).alias(f"t{k}") for k, y in enumerate(targets)],
+        F.col("terms.col").cast("array<bigint>").alias("cols"), F.col("terms.val").cast("array<double>").alias("vals"),
+    )
+    near = flat.repartition("grp").sortWithinPartitions(*by, "grp").drop(*({"grp"} - set(by)))
+    groups = [design.schema[name] for name in by]
+    out = StructType([*groups, StructField("i", LongType()), StructField("j", LongType()), StructField("v", DoubleType())])
+    summed = near.mapInArrow(_pair_sums(by, len(targets), to_arrow_schema(out)), out)
+    return summed.groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
 
 
 def target_norm(design: DataFrame, by: list[str] = []) -> DataFrame:

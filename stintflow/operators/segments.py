@@ -21,7 +21,7 @@ def _coded(side: Column, goalie: Column) -> Column:
 
 
 def _skaters(coded: str) -> Column:
-    return F.array_sort(F.transform(F.filter(coded, lambda c: c % 2 == 0), lambda c: F.shiftright(c, 1)))
+    return F.sort_array(F.transform(F.filter(coded, lambda c: c % 2 == 0), lambda c: F.shiftright(c, 1)))
 
 
 def _n_goalies(coded: str) -> Column:

@@ -39,6 +39,24 @@ def test_conjugate_gradient_broadcasts_nothing(spark, monkeypatch):
     assert not any("Broadcast" in p for p in plans)
 
 
+def test_pairs_of_terms_are_no_rows(spark, monkeypatch):
+    rows = [(k, k % 3 or None, float(k), None if k == 4 else 2.0, [(c, float(c + 1)) for c in range(k % 5)]) for k in range(12)]
+    rows.append((1, 2, 1.0, 3.0, [(1, 2.0), (1, 5.0)]))  # a column twice, and one without terms
+    rows.append((1, 2, None, 3.0, None))
+    design = spark.createDataFrame(rows, "grp int, part int, y double, w double, terms array<struct<col: bigint, val: double>>")
+    want = {}
+    for _, part, y, w, terms in rows:
+        for c, v in terms or []:
+            for d, u in [*[t for t in terms if t[0] >= c], (-1, y)]:
+                was = want.setdefault((part, c, d))
+                want[part, c, d] = was if w is None or u is None else (was or 0.0) + w * v * u
+    for at_once in (1 << 20, 6):
+        monkeypatch.setattr(regression, "PAIRS", at_once)
+        sums = regression.gram(design, ["part"])
+        assert {tuple(r)[:3]: r.v for r in sums.collect()} == want
+    assert "Generate" not in plan(sums)
+
+
 def test_difference_and_intersection_meet_distinct_keys(spark):
     a = spark.createDataFrame([(1,), (1,), (2,), (None,), (5,)], "l_partkey bigint")
     b = spark.createDataFrame([(2,), (2,), (None,), (7,)], "o_custkey bigint")

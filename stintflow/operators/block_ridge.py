@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stintflow.operators.regression import dealt
 from stintflow.session import cut_lineage, forget
 
 TOL = 1e-12
@@ -53,9 +53,11 @@ def both_triangles(moments: DataFrame) -> DataFrame:
     return upper.select("u", "i", "j", "v").unionAll(mirrored)
 
 
-def _product(entries: DataFrame, vectors: DataFrame, name: str, width: int) -> DataFrame:
-    """``u, i, out``: the entries times the vectors ``u, i, name`` (an array of ``width``)."""
+def _product(entries: DataFrame, vectors: DataFrame, name: str, width: int, parts: int | None = None) -> DataFrame:
+    """``u, i, out``: the entries, which may lie dealt out to ``parts``, times the vectors ``u, i, name`` (an array of ``width``)."""
     other = vectors.selectExpr("u", "i AS j", f"{name} AS _p")
+    if parts:
+        other = other.repartition(parts, "u", "j")
     summed = entries.join(other, ["u", "j"]).groupBy("u", "i").agg(*[F.expr(f"sum(v * _p[{k}]) AS _s{k}") for k in range(width)])
     return summed.selectExpr("u", "i", _each(width, "_s#") + " AS out")
 
@@ -70,10 +72,9 @@ def solve(
     ``u, i, x`` to go on from. Raises when a residual is not below ``tol`` of its right side after ``steps``.
     """
     spark = entries.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = len(lams)
     slots = range(width)
-    held = entries.repartition(parts, "u", "j").sortWithinPartitions("u", "j").persist(StorageLevel.DISK_ONLY)
+    held, parts = dealt(entries, ["u", "j"], entries.count())
     written: list[DataFrame] = []
     try:
         pen = F.when(penalised, 1.0).otherwise(0.0)
@@ -84,7 +85,7 @@ def solve(
         if start is None:
             base = base.withColumns({"x": _array([F.lit(0.0)] * width), "r": F.col("b")})
         else:
-            base = base.join(start, ["u", "i"]).join(_product(held, start, "x", width), ["u", "i"], "left")
+            base = base.join(start, ["u", "i"]).join(_product(held, start, "x", width, parts), ["u", "i"], "left")
             gap = lambda k: F.col("b")[k] - F.coalesce(F.col("out")[k], F.lit(0.0)) - F.col("pen") * lams[k] * F.col("x")[k]
             base = base.withColumn("r", _array(gap(k) for k in slots)).drop("out")
         state = cut_lineage(base.withColumn("p", _array(F.col("w")[k] * F.col("r")[k] for k in slots)))
@@ -99,7 +100,7 @@ def solve(
         ahead = [_each(width, "x[#] + alpha[#] * p[#]") + " AS x", _each(width, "r[#] - alpha[#] * q[#]") + " AS r"]
         turned = _each(width, "w[#] * r[#] + beta[#] * p[#]") + " AS p"
         for _ in range(steps):
-            ap = _product(held, state, "p", width)
+            ap = _product(held, state, "p", width, parts)
             moved = cut_lineage(state.join(ap, ["u", "i"], "left").selectExpr("u", "i", "pen", "w", "x", "r", "p", full))
             written.append(moved)
             forget(written.pop(0))

@@ -215,6 +215,23 @@ def target_norm(design: DataFrame, by: list[str] = []) -> DataFrame:
     return design.groupBy(*by).agg(F.sum(F.col("w") * F.col("y") * F.col("y")).alias("yy"), F.sum("w").alias("sw"))
 
 
+# Fixed value: entries of a matrix that one task holds, as long as that takes no more tasks than a shuffle has.
+ENTRIES = 200_000
+
+
+def dealt(entries: DataFrame, by: list[str], count: int) -> tuple[DataFrame, int]:
+    """``count`` entries dealt out by ``by`` and kept on disk for many steps, and to how many partitions.
+
+    A step has a task per partition, whatever that holds, so a small matrix lies in few; adaptive execution cannot
+    merge partitions that are kept. They are filled here, as only then is it known to a join how they lie.
+    """
+    most = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, -(-count // ENTRIES)))
+    held = entries.repartition(parts, *by).sortWithinPartitions(*by).persist(StorageLevel.DISK_ONLY)
+    held.count()
+    return held, parts
+
+
 def ridge_cg(
     g: DataFrame, penalised: Column, lam: float, prior: DataFrame | None = None, steps: int = 1000, tol: float = 1e-10
 ) -> DataFrame:
@@ -226,18 +243,17 @@ def ridge_cg(
     """
     upper = g.where("j >= 0")
     mirrored = upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-    parts = int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plain = upper.unionByName(mirrored).repartition(parts, "j").sortWithinPartitions("j").persist(StorageLevel.DISK_ONLY)
+    plain, parts = dealt(upper.unionByName(mirrored), ["j"], 2 * g.count())
     try:
-        return _descend(g, plain, penalised, lam, prior, steps, tol)
+        return _descend(g, plain, parts, penalised, lam, prior, steps, tol)
     finally:
         plain.unpersist()
 
 
 def _descend(
-    g: DataFrame, plain: DataFrame, penalised: Column, lam: float, prior: DataFrame | None, steps: int, tol: float
+    g: DataFrame, plain: DataFrame, parts: int, penalised: Column, lam: float, prior: DataFrame | None, steps: int, tol: float
 ) -> DataFrame:
-    """The steps of :func:`ridge_cg` on both triangles ``plain``, which lie dealt out by ``j``; only vectors move, in
+    """The steps of :func:`ridge_cg` on both triangles ``plain``, which lie dealt out by ``j`` to ``parts``; only vectors move, in
     shuffles, as a broadcast in each step would pass through the driver."""
     entries = plain.withColumn("v", F.when((F.col("i") == F.col("j")) & penalised, F.col("v") + lam).otherwise(F.col("v")))
     rhs = g.where("j = -1").select("i", F.col("v").alias("b"))
@@ -253,7 +269,7 @@ def _descend(
     while rr > stop:
         if step == steps:
             raise ArithmeticError(f"no convergence: squared residual {rr:g} after {steps} steps, wanted {stop:g}")
-        ap = entries.join(state.select(F.col("i").alias("j"), "p").hint("merge"), "j").groupBy("i").agg(
+        ap = entries.join(state.select(F.col("i").alias("j"), "p").repartition(parts, "j").hint("merge"), "j").groupBy("i").agg(
             F.sum(F.col("v") * F.col("p")).alias("ap")
         )
         moved = cut_lineage(state.join(ap.hint("merge"), "i"))

@@ -1,6 +1,7 @@
 """What must not grow with the input: the share of one task, what passes through the driver, rows that meet."""
 
 import os
+import re
 import sys
 from types import SimpleNamespace
 
@@ -39,6 +40,20 @@ def test_conjugate_gradient_broadcasts_nothing(spark, monkeypatch):
     assert not any("Broadcast" in p for p in plans)
 
 
+def test_kept_entries_lie_in_as_many_tasks_as_they_fill(spark, monkeypatch):
+    for count, parts in ((0, 1), (10, 1), (400_001, 3), (10**9, int(spark.conf.get("spark.sql.shuffle.partitions")))):
+        held, got = regression.dealt(spark.range(9), ["id"], count)
+        assert got == parts == held.rdd.getNumPartitions() and held.count() == 9
+        held.unpersist()
+    plans, write = [], regression.cut_lineage
+    monkeypatch.setattr(regression, "cut_lineage", lambda df: plans.append(plan(df)) or write(df))
+    g = spark.createDataFrame([(i, j, 4.0 - (i != j)) for i in range(4) for j in range(i, 4)] + [(i, -1, i + 1.0) for i in range(4)], "i bigint, j bigint, v double")
+    regression.ridge_cg(g, F.col("i") >= 0, 2.0)
+    assert any("REPARTITION_BY_NUM" in p for p in plans)
+    # neither side of the join with the entries is dealt out again
+    assert not any(re.search(r"hashpartitioning\(j#\d+L?, \d+\), ENSURE", p) for p in plans)
+
+
 def test_pairs_of_terms_are_no_rows(spark, monkeypatch):
     rows = [(k, k % 3 or None, float(k), None if k == 4 else 2.0, [(c, float(c + 1)) for c in range(k % 5)]) for k in range(12)]
     rows.append((1, 2, 1.0, 3.0, [(1, 2.0), (1, 5.0)]))  # a column twice, and one without terms

@@ -426,6 +426,36 @@ def test_line_dedup_reads_the_ranks_in_place(spark, docs):
     assert not held, plan
 
 
+def test_line_dedup_keeps_only_neighbours_that_lines_share(spark):
+    """Lines that share many single rare words but no two in a row leave no rows; similar ones share a pair of their first."""
+    rnd = random.Random(8)
+    alone = [" ".join(f"w{k}" for k in rnd.sample(range(3000), 30)) for _ in range(200)]
+    near = " ".join(f"v{k}" for k in range(30))
+    rows = [(i, line) for i, line in enumerate([*alone, near, near.replace("v7 ", "u7 ")])]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
+    places = line_dedup._first_places(texts)
+    lines = line_dedup.cut_lineage(line_dedup._rare_words(texts, places))
+    assert all(len(r.rare) == r.n * 2 // 5 + 1 for r in lines.collect())
+    met = line_dedup._shared_neighbours(lines).collect()
+    assert {r.id for r in met if sum(x.pair == r.pair for x in met) > 1} >= {r.id for r in places.where("first.doc_id >= 200").collect()}
+    assert len(met) < 200  # single words of the old prefixes met in about 1,400 rows
+    assert line_dedup.line_dedup(texts).where("size(removed) > 0").select("doc_id").collect() == [(201,)]
+
+
+def test_line_dedup_of_short_and_long_lines_against_all_pairs(spark):
+    """Words are drawn from few, with one or more changed, dropped and added, so every length meets its bound."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        lines = []
+        for size in (1, 2, 3, 4, 5, 6, 9, 14, 27):
+            words = [f"x{size}_{k}" for k in range(size) if rnd.random() > 0.08]
+            lines.append(" ".join(words + [f"y{rnd.randrange(6)}" for _ in range(rnd.randrange(1 + size // 5))]))
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _gone_lines(rows)
+
+
 def test_without_lines(spark):
     df = spark.createDataFrame([("a\nb\nc", [1]), (None, []), ("", []), ("x", [0])], "t string, r array<int>")
     assert [r.o for r in df.select(line_dedup.without_lines(F.col("t"), F.col("r")).alias("o")).collect()] == ["a\nc", "", "", ""]
@@ -586,6 +616,29 @@ def test_lm_trains_on_every_token_of_every_pass(docs, monkeypatch):
     assert all(np.isfinite(v).all() for v in out.values()) and not np.allclose(out["b"], lm.first_parameters(share)["b"])
 
 
+def test_lm_looks_up_each_distinct_word_of_a_slice_once():
+    rnd = random.Random(3)
+    texts = ["", " ", "\n", " a ", "A\x0bb\x0c\r c", "é É x\x85y", "\x1c \x1f a", "\x00"]
+    texts += ["".join(rnd.choice(" \t\n\x0b\x0c\raBc\x00\x1c\x85é🙂") for _ in range(rnd.randrange(9))) for _ in range(500)]
+    tokens = lm.Tokens.of(texts)
+    each = [[w for w in re.split(rb"[\x20\x09-\x0D]+", ascii_lower(t).encode()) if w] + [lm.END] for t in texts]
+    assert [tokens.distinct[i] for i in tokens.at] == [w for ws in each for w in ws]
+    assert tokens.lengths.tolist() == [len(ws) for ws in each]
+
+    class Counted(lm.Lookup):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    layout = lm.layout_for(10)
+    index, coded = tokens.coded(Counted({lm.END: 0, b"a": 1}, layout), np.array([0, 1]))
+    assert Counted.asked == len(set(w for ws in each for w in ws)) == len(tokens.distinct)
+    assert [int(c) for c in coded] == [{lm.END: 0, b"a": 1}.get(w, layout.tail(w)) for ws in each for w in ws]
+    assert all((i >= 0) == (w in (lm.END, b"a")) for i, w in zip(index, (w for ws in each for w in ws)))
+
+
 def test_lm_classes_follow_the_distinct_words():
     sizes = [lm.layout_for(n).size for n in (1, 10_000, 1_000_000, 10**8, 10**12)]
     assert sizes == sorted(sizes) and sizes[0] == lm.LEAST_CLASSES and sizes[1] < sizes[2] < sizes[3] <= sizes[4] == lm.MOST_CLASSES

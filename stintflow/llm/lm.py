@@ -27,11 +27,13 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import id_text, remainder, slices, text_of, with_row, words
+from stintflow.llm.common import id_text, remainder, slices, text_of, with_row
 from stintflow.session import cut_lineage
 
 PER_ROOT, MOST_CLASSES, LEAST_CLASSES = 6, 3072, 96
@@ -41,6 +43,7 @@ MEANS = 64  # groups in which the partitions' parameters are summed before they
 HEAD, LONGEST = 200_000, 64
 END = b""  # no word is empty, so the end token can be
 _FLUSH = 500_000
+SLICE = 512  # texts whose tokens are numbered together, each distinct word looked up once
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,29 @@ class Lookup(dict):
         return answer
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """Tokens of several texts, each with its end, one after the other; ``at`` numbers each within ``distinct``."""
+
+    lengths: np.ndarray
+    distinct: list[bytes]
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, texts) -> Tokens:
+        low = (text.encode("utf-8", "surrogatepass").lower().strip() for text in texts)
+        # white space behind the last word leaves an empty word, the end token; the empty text is one empty word
+        cut = pc.ascii_split_whitespace(pa.array([text and text + b" " for text in low], pa.large_binary()).view(pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        return cls(pc.list_value_length(cut).to_numpy(), distinct, coded.indices.to_numpy())
+
+    def coded(self, lookup: Lookup, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index and class per token."""
+        index = np.fromiter(map(lookup.__getitem__, self.distinct), np.int64, len(self.distinct))
+        return index[self.at], np.where(index >= 0, classes[np.maximum(index, 0)], -1 - index)[self.at]
+
+
 def _count_words(batches):
     counts: dict[bytes, int] = {}
 
@@ -91,13 +117,12 @@ def _count_words(batches):
         counts.clear()
         return frame
 
-    for batch in batches:
-        counts[END] = counts.get(END, 0) + len(batch)
-        for text in batch["text"]:
-            for word in words(text):
-                counts[word] = counts.get(word, 0) + 1
-            if len(counts) > _FLUSH:
-                yield rows()
+    for batch in slices(batches, SLICE):
+        tokens = Tokens.of(batch["text"])
+        for word, n in zip(tokens.distinct, np.bincount(tokens.at).tolist()):
+            counts[word] = counts.get(word, 0) + n
+        if len(counts) > _FLUSH:
+            yield rows()
     yield rows()
 
 
@@ -107,19 +132,13 @@ def class_counts(texts: DataFrame) -> DataFrame:
     return cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")))
 
 
-def _sequence(lookup: Lookup, classes: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Index per token (the end included) and class per token."""
-    index = np.fromiter(map(lookup.__getitem__, tokens), np.int64, len(tokens))
-    index = np.append(index, lookup[END])
-    return index, np.where(index >= 0, classes[index], -1 - index)
-
-
 def _code(shared):
     def run(batches):
         known, classes, layout = shared.value[:3]
         lookup = Lookup(known, layout)
-        for batch in slices(batches, 512):
-            coded = [_sequence(lookup, classes, words(text))[1].astype("<u2") for text in batch["text"]]
+        for batch in slices(batches, SLICE):
+            tokens = Tokens.of(batch["text"])
+            coded = np.split(tokens.coded(lookup, classes)[1].astype("<u2"), np.cumsum(tokens.lengths)[:-1])
             yield pd.DataFrame({"classes": [c.tobytes() for c in coded], "tokens": [len(c) for c in coded]})
 
     return run
@@ -151,34 +170,37 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
         self.noise_upto = np.cumsum(share)
         self.shift = np.log(NOISE * share).astype(np.float32)
+        self.cells = np.arange(len(share) * DIM).reshape(-1, DIM)
+        self.room = {k: np.empty_like(v) for k, v in model.items()}
         self.tokens = 0
 
     def _scatter(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Sum of the rows that belong to each class."""
-        k = len(self.shift)
-        flat = (at[:, None] * DIM + np.arange(DIM)).ravel()
-        return np.bincount(flat, rows.ravel(), k * DIM).reshape(k, DIM).astype(np.float32)
+        flat = self.cells.take(at, axis=0).ravel()
+        return np.bincount(flat, rows.ravel(), self.cells.size).reshape(self.cells.shape).astype(np.float32)
 
     def step(self, c2: np.ndarray, c1: np.ndarray, c: np.ndarray) -> None:
         model, k, n = self.model, len(self.shift), len(c)
         noise = np.minimum(np.searchsorted(self.noise_upto, self.rng.random(NOISE) * self.noise_upto[-1], side="right"), k - 1)
-        hat = (model["R"] @ model["C1"])[c1]
-        hat += (model["R"] @ model["C2"])[c2]
-        q, qn = model["Q"][c], model["Q"][noise]
-        good = np.einsum("ij,ij->i", hat, q) + (model["b"] - self.shift)[c]
+        hat = (model["R"] @ model["C1"]).take(c1, axis=0)
+        hat += (model["R"] @ model["C2"]).take(c2, axis=0)
+        q, qn, lift = model["Q"].take(c, axis=0), model["Q"].take(noise, axis=0), model["b"] - self.shift
+        good = np.einsum("ij,ij->i", hat, q) + lift.take(c)
         fake = hat @ qn.T
-        fake += model["b"][noise] - self.shift[noise]
+        fake += lift.take(noise)
         up = (1 / (1 + np.exp(-good)) - 1) / n
-        np.exp(-fake, out=fake)
+        np.exp(np.negative(fake, out=fake), out=fake)
         fake += 1
         down = np.divide(np.float32(1 / n), fake, out=fake)
         dhat = down @ qn
         q *= up[:, None]
         dhat += q
-        by_c, by_1, by_2 = self._scatter(c, hat * up[:, None]), self._scatter(c1, dhat), self._scatter(c2, dhat)
+        hat_up = hat * up[:, None]
+        by_c, by_1, by_2 = self._scatter(c, hat_up), self._scatter(c1, dhat), self._scatter(c2, dhat)
         db = np.bincount(c, up, k).astype(np.float32)
-        np.add.at(by_c, noise, down.T @ hat)
-        np.add.at(db, noise, down.sum(axis=0))
+        for at, row, each in zip(noise, down.T @ hat, down.sum(axis=0)):  # a class may be drawn again
+            by_c[at] += row
+            db[at] += each
         grads = {
             "R": by_1 @ model["C1"].T + by_2 @ model["C2"].T,
             "C1": model["R"].T @ by_1,
@@ -187,8 +209,11 @@ class Trainer:
             "b": db,
         }
         for name, g in grads.items():
-            self.past[name] += g * g
-            model[name] -= (RATE * g / np.sqrt(self.past[name])).astype(np.float32)
+            past, room = self.past[name], self.room[name]
+            past += np.multiply(g, g, out=room)
+            g *= np.float32(RATE)
+            g /= np.sqrt(past, out=room)
+            model[name] -= g
         self.tokens += n
 
     @np.errstate(over="ignore")  # an infinite exponential gives a share of zero
@@ -216,9 +241,12 @@ def log_sums(model: dict[str, np.ndarray]) -> np.ndarray:
     return (sums + top2 + top1.T).astype(np.float32)
 
 
-def log_probabilities(first: np.ndarray, second: np.ndarray, sums: np.ndarray, coded: np.ndarray) -> np.ndarray:
-    """log10 probability of every class of a sequence after those before it."""
+def log_probabilities(first: np.ndarray, second: np.ndarray, sums: np.ndarray, coded: np.ndarray, starts=0) -> np.ndarray:
+    """log10 probability of every class of a sequence after those before it. Of several sequences one after the
+    other, ``starts`` are the first places; each ends with the end token, so only the second class before needs care."""
     c2, c1 = _before(coded)
+    c2 = c2.copy()  # it shares its values with c1
+    c2[starts] = 0
     return (first[c1, coded] + second[c2, coded] - sums[c2, c1]) / math.log(10)
 
 
@@ -333,17 +361,19 @@ def _score(shared):
         known, classes, layout, logs, spread, model, sums = shared.value
         lookup, (first, second) = Lookup(known, layout), class_scores(model)
         own = classes < layout.own
-        for batch in slices(batches, 512):
+        for batch in slices(batches, SLICE):
             out = []
-            for text in batch["text"]:
-                tokens = words(text)
-                index, c = _sequence(lookup, classes, tokens)
-                is_known = index >= 0
-                seen = index[is_known]
-                neural = float(log_probabilities(first, second, sums, c).sum(dtype=float)) - float(spread[c].sum())
-                missing = [tokens[i] for i in np.flatnonzero(~is_known)]
+            tokens = Tokens.of(batch["text"])
+            index, c = tokens.coded(lookup, classes)
+            ends = np.cumsum(tokens.lengths)
+            by_token = log_probabilities(first, second, sums, c, ends - tokens.lengths)
+            for start, end in zip((ends - tokens.lengths).tolist(), ends.tolist()):
+                mine = index[start:end]
+                seen = mine[mine >= 0]
+                neural = float(by_token[start:end].sum(dtype=float)) - float(spread[c[start:end]].sum())
+                missing = [tokens.distinct[i] for i in tokens.at[start:end][mine < 0]]
                 all_logs = float(logs[seen].sum())
-                out.append((len(index), len(seen), all_logs, neural + all_logs - float(logs[seen[own[seen]]].sum()), missing))
+                out.append((len(mine), len(seen), all_logs, neural + all_logs - float(logs[seen[own[seen]]].sum()), missing))
             frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "logs", "score", "missing"])
             frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
             frame.insert(1, "held_out", batch["held_out"].to_numpy())

@@ -10,9 +10,9 @@ and 1 in place of the fraction for a class of one word. Both factors sum to one.
 
 What is learned grows with the corpus. The number of classes follows the cube root of the distinct words
 (``PER_ROOT`` a unit, up to ``MOST_CLASSES``, reached at about 130 million distinct words, which bounds the
-broadcast tables to 38 MB). Training goes through every training token ``PASSES`` times: texts are coded
-as class numbers once, and in each pass every partition of that table takes its noise-contrastive steps
-from the common parameters, which are then averaged by tokens. Classes of all contexts are normalised by
+broadcast tables to 38 MB). All texts are coded as class numbers once, with what of a score no training changes.
+Training goes through every training token ``PASSES`` times: in each pass every partition of that table takes its
+noise-contrastive steps from the common parameters, which are then averaged by tokens. Classes of all contexts are normalised by
 one product of matrices, as the scores of a context are the sum of one term per class before.
 
 The most frequent words (at most ``HEAD`` of at most ``LONGEST`` bytes) are broadcast with their counts; the
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -44,6 +45,7 @@ HEAD, LONGEST = 200_000, 64
 END = b""  # no word is empty, so the end token can be
 _FLUSH = 500_000
 SLICE = 512  # texts whose tokens are numbered together, each distinct word looked up once
+COUNTED = 1 << 23  # characters whose words are counted together
 
 
 @dataclass(frozen=True)
@@ -90,17 +92,20 @@ class Tokens:
     """Tokens of several texts, each with its end, one after the other; ``at`` numbers each within ``distinct``."""
 
     lengths: np.ndarray
-    distinct: list[bytes]
+    words: pa.LargeBinaryArray
     at: np.ndarray
 
+    @cached_property
+    def distinct(self) -> list[bytes]:
+        return self.words.to_numpy(zero_copy_only=False).tolist()
+
     @classmethod
     def of(cls, texts) -> Tokens:
         low = (text.encode("utf-8", "surrogatepass").lower().strip() for text in texts)
         # white space behind the last word leaves an empty word, the end token; the empty text is one empty word
         cut = pc.ascii_split_whitespace(pa.array([text and text + b" " for text in low], pa.large_binary()).view(pa.large_string()))
         coded = cut.flatten().dictionary_encode()
-        distinct = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-        return cls(pc.list_value_length(cut).to_numpy(), distinct, coded.indices.to_numpy())
+        return cls(pc.list_value_length(cut).to_numpy(), coded.dictionary.view(pa.large_binary()), coded.indices.to_numpy())
 
     def coded(self, lookup: Lookup, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and class per token."""
@@ -109,41 +114,48 @@ class Tokens:
 
 
 def _count_words(batches):
-    counts: dict[bytes, int] = {}
-
-    def rows():
-        kept = list(counts)
-        frame = pd.DataFrame({"word": kept, "n": list(counts.values()), "ending": [ending(w) for w in kept]})
-        counts.clear()
-        return frame
-
-    for batch in slices(batches, SLICE):
-        tokens = Tokens.of(batch["text"])
-        for word, n in zip(tokens.distinct, np.bincount(tokens.at).tolist()):
-            counts[word] = counts.get(word, 0) + n
-        if len(counts) > _FLUSH:
-            yield rows()
-    yield rows()
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        lot = np.cumsum([len(text) for text in texts]) // COUNTED
+        for start, end in zip(cuts := [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(texts)], cuts[1:]):
+            tokens = Tokens.of(texts[start:end])
+            yield pa.record_batch({"word": tokens.words.cast(pa.binary()), "n": np.bincount(tokens.at, minlength=len(tokens.words))})
 
 
 def class_counts(texts: DataFrame) -> DataFrame:
     """``word, n, ending`` of all tokens, the end token as the empty word."""
-    counted = texts.mapInPandas(_count_words, "word binary, n bigint, ending bigint")
-    return cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")))
+    counted = texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return cut_lineage(counted.withColumn("ending", F.crc32(F.substring("word", -3, 3))))
 
 
 def _code(shared):
+    """Class numbers of every text, and what of its score no training changes."""
+
     def run(batches):
-        known, classes, layout = shared.value[:3]
+        known, classes, layout, logs = shared.value
         lookup = Lookup(known, layout)
+        own = classes < layout.own
         for batch in slices(batches, SLICE):
             tokens = Tokens.of(batch["text"])
-            coded = np.split(tokens.coded(lookup, classes)[1].astype("<u2"), np.cumsum(tokens.lengths)[:-1])
-            yield pd.DataFrame({"classes": [c.tobytes() for c in coded], "tokens": [len(c) for c in coded]})
+            index, c = tokens.coded(lookup, classes)
+            ends = np.cumsum(tokens.lengths)
+            c, strange = c.astype("<u2"), index < 0
+            words, out = tokens.words.take(pa.array(tokens.at[strange])).to_pylist(), []
+            lost = np.concatenate([[0], np.cumsum(strange)])[np.concatenate([[0], ends])].tolist()
+            for i, (start, end) in enumerate(zip((ends - tokens.lengths).tolist(), ends.tolist())):
+                seen = index[start:end][~strange[start:end]]
+                out.append((c[start:end].tobytes(), end - start, len(seen), float(logs[seen].sum()), float(logs[seen[own[seen]]].sum()), words[lost[i] : lost[i + 1]]))
+            frame = pd.DataFrame(out, columns=["classes", "tokens", "n_known", "logs", "own_logs", "missing"])
+            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            frame.insert(1, "held_out", batch["held_out"].to_numpy())
+            yield frame
 
     return run
 
 
+CODED = "doc_id string, held_out boolean, classes binary, tokens bigint, n_known bigint, logs double, own_logs double, missing array<binary>"
+
+
 def _before(coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Second and first class before each token; a document begins as after two ends, whose class is 0."""
     padded = np.concatenate([[0, 0], coded])
@@ -175,9 +187,9 @@ class Trainer:
         self.tokens = 0
 
     def _scatter(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Sum of the rows that belong to each class."""
+        """Sum of the rows, given one after the other, that belong to each class."""
         flat = self.cells.take(at, axis=0).ravel()
-        return np.bincount(flat, rows.ravel(), self.cells.size).reshape(self.cells.shape).astype(np.float32)
+        return np.bincount(flat, rows, self.cells.size).reshape(self.cells.shape).astype(np.float32)
 
     def step(self, c2: np.ndarray, c1: np.ndarray, c: np.ndarray) -> None:
         model, k, n = self.model, len(self.shift), len(c)
@@ -186,21 +198,20 @@ class Trainer:
         hat += (model["R"] @ model["C2"]).take(c2, axis=0)
         q, qn, lift = model["Q"].take(c, axis=0), model["Q"].take(noise, axis=0), model["b"] - self.shift
         good = np.einsum("ij,ij->i", hat, q) + lift.take(c)
-        fake = hat @ qn.T
-        fake += lift.take(noise)
+        fake = hat @ -qn.T
+        fake -= lift.take(noise)
         up = (1 / (1 + np.exp(-good)) - 1) / n
-        np.exp(np.negative(fake, out=fake), out=fake)
+        np.exp(fake, out=fake)
         fake += 1
         down = np.divide(np.float32(1 / n), fake, out=fake)
         dhat = down @ qn
         q *= up[:, None]
         dhat += q
-        hat_up = hat * up[:, None]
-        by_c, by_1, by_2 = self._scatter(c, hat_up), self._scatter(c1, dhat), self._scatter(c2, dhat)
+        wide = dhat.ravel().astype(float)
+        by_c, by_1, by_2 = self._scatter(c, (hat * up[:, None]).ravel()), self._scatter(c1, wide), self._scatter(c2, wide)
         db = np.bincount(c, up, k).astype(np.float32)
-        for at, row, each in zip(noise, down.T @ hat, down.sum(axis=0)):  # a class may be drawn again
-            by_c[at] += row
-            db[at] += each
+        np.add.at(by_c.ravel(), self.cells.take(noise, axis=0).ravel(), (down.T @ hat).ravel())  # a class may be drawn again
+        np.add.at(db, noise, np.einsum("ij->j", down))
         grads = {
             "R": by_1 @ model["C1"].T + by_2 @ model["C2"].T,
             "C1": model["R"].T @ by_1,
@@ -219,12 +230,16 @@ class Trainer:
     @np.errstate(over="ignore")  # an infinite exponential gives a share of zero
     def learn(self, documents: list[np.ndarray]) -> None:
         """One step per ``BATCH`` tokens of the documents in random order; the last batch may be smaller."""
-        before = [_before(d) for d in documents]
-        c2, c1, c = (np.concatenate(x).astype(np.int64) for x in ([b[0] for b in before], [b[1] for b in before], documents))
+        c = np.concatenate(documents)
+        c2, c1 = (x.copy() for x in _before(c))
+        starts = np.cumsum([0, *map(len, documents)])[:-1]
+        starts = starts[starts < len(c)]  # but for empty documents
+        c1[starts] = c2[starts] = 0
+        c2[starts[starts + 1 < len(c)] + 1] = 0
         order = self.rng.permutation(len(c))
+        c2, c1, c = (x[order].astype(np.int64) for x in (c2, c1, c))
         for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            self.step(c2[pick], c1[pick], c[pick])
+            self.step(c2[at : at + BATCH], c1[at : at + BATCH], c[at : at + BATCH])
 
 
 def class_scores(model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -261,6 +276,7 @@ class LanguageModel:
     logs: np.ndarray
     spread: np.ndarray
     model: dict[str, np.ndarray]
+    coded: DataFrame
 
 
 def _head(counts: DataFrame) -> pd.DataFrame:
@@ -281,9 +297,12 @@ def _head(counts: DataFrame) -> pd.DataFrame:
 
 
 def fit(texts: DataFrame) -> LanguageModel | None:
-    """The model of a ``text`` column without nulls; None if there is no row to learn from."""
+    """The model of a ``text`` column without nulls, from the rows that are not ``held_out`` if there is such a
+    column; None if there is no row to learn from. All rows are coded, with their ``doc_id`` if there is one."""
     spark = texts.sparkSession
-    counts = class_counts(texts.select("text"))
+    for name, none in ("doc_id", F.lit(None).cast("string")), ("held_out", F.lit(False)):
+        texts = texts if name in texts.columns else texts.withColumn(name, none)
+    counts = class_counts(texts.where(~F.col("held_out")).select("text"))
     tokens, types = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not tokens:
         return None
@@ -310,12 +329,14 @@ def fit(texts: DataFrame) -> LanguageModel | None:
     spread = np.where(np.arange(k) < own, 0.0, np.log10(per_class.sum(axis=1) + 1))
     share = (per_class[:, 0] + 0.5) / (tokens + 0.5 * k)
 
-    shared = spark.sparkContext.broadcast((known, classes, layout))
-    coded = cut_lineage(texts.select("text").mapInPandas(_code(shared), "classes binary, tokens bigint"))
+    logs = np.log10(n + 1.0)
+    shared = spark.sparkContext.broadcast((known, classes, layout, logs))
+    coded = with_row(texts.select("doc_id", "held_out", "text").mapInPandas(_code(shared), CODED))
+    learned = coded.where(~F.col("held_out")).select("classes", "tokens")
     model = first_parameters(share)
     for turn in range(PASSES):
-        model = _one_pass(coded, model, share, turn)
-    return LanguageModel(int(tokens), int(types), counts, known, classes, layout, np.log10(n + 1.0), spread, model)
+        model = _one_pass(learned, model, share, turn)
+    return LanguageModel(int(tokens), int(types), counts, known, classes, layout, logs, spread, model, coded)
 
 
 def _one_pass(coded: DataFrame, model: dict[str, np.ndarray], share: np.ndarray, turn: int) -> dict[str, np.ndarray]:
@@ -358,26 +379,18 @@ def _one_pass(coded: DataFrame, model: dict[str, np.ndarray], share: np.ndarray,
 
 def _score(shared):
     def run(batches):
-        known, classes, layout, logs, spread, model, sums = shared.value
-        lookup, (first, second) = Lookup(known, layout), class_scores(model)
-        own = classes < layout.own
+        spread, model, sums = shared.value
+        first, second = class_scores(model)
         for batch in slices(batches, SLICE):
-            out = []
-            tokens = Tokens.of(batch["text"])
-            index, c = tokens.coded(lookup, classes)
-            ends = np.cumsum(tokens.lengths)
-            by_token = log_probabilities(first, second, sums, c, ends - tokens.lengths)
-            for start, end in zip((ends - tokens.lengths).tolist(), ends.tolist()):
-                mine = index[start:end]
-                seen = mine[mine >= 0]
-                neural = float(by_token[start:end].sum(dtype=float)) - float(spread[c[start:end]].sum())
-                missing = [tokens.distinct[i] for i in tokens.at[start:end][mine < 0]]
-                all_logs = float(logs[seen].sum())
-                out.append((len(mine), len(seen), all_logs, neural + all_logs - float(logs[seen[own[seen]]].sum()), missing))
-            frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "logs", "score", "missing"])
-            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            frame.insert(1, "held_out", batch["held_out"].to_numpy())
-            yield frame
+            c = np.frombuffer(b"".join(batch["classes"]), "<u2").astype(np.int64)
+            lengths = batch["tokens"].to_numpy()
+            ends = np.cumsum(lengths)
+            by_token = log_probabilities(first, second, sums, c, ends - lengths)
+            apart = [
+                float(by_token[start:end].sum(dtype=float)) - float(spread[c[start:end]].sum())
+                for start, end in zip((ends - lengths).tolist(), ends.tolist())
+            ]
+            yield batch.drop(columns=["classes", "own_logs"]).assign(score=np.array(apart) + batch["logs"] - batch["own_logs"])
 
     return run
 
@@ -397,7 +410,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(id_text(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
     id_col = F.col("doc_id").cast(id_type).alias("doc_id")
-    lm = fit(texts.where(~F.col("held_out")))
+    lm = fit(texts)
     if lm is None:
         size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint") + 1
         zero = F.lit(0.0)
@@ -405,10 +418,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             id_col, "held_out", size.alias("n_tokens"), F.lit(0).cast("bigint").alias("n_known"),
             F.lit(0).cast("bigint").alias("train_tokens"), zero.alias("base_score"), zero.alias("score"),
         )
-    shared = docs.sparkSession.sparkContext.broadcast((lm.known, lm.classes, lm.layout, lm.logs, lm.spread, lm.model, log_sums(lm.model)))
-    schema = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, missing array<binary>"
-    rows = with_row(texts.mapInPandas(_score(shared), schema))
-    rare = rows.select("_row", F.explode("missing").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("times"))
+    shared = docs.sparkSession.sparkContext.broadcast((lm.spread, lm.model, log_sums(lm.model)))
+    coded = lm.coded.select("_row", "doc_id", "held_out", "tokens", "n_known", "logs", "own_logs", "classes")
+    schema = "_row bigint, doc_id string, held_out boolean, tokens bigint, n_known bigint, logs double, score double"
+    rows = coded.mapInPandas(_score(shared), schema).withColumnRenamed("tokens", "n_tokens")
+    rare = lm.coded.select("_row", F.explode("missing").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("times"))
     log = F.log10(F.coalesce("n", F.lit(0)) + 1)
     found = (
         rare.join(lm.counts.select("word", "n"), "word", "left")
@@ -417,7 +431,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     more = F.coalesce("rare_logs", F.lit(0.0))
     each = math.log10(lm.tokens + lm.types + 1)
-    return rows.drop("missing").join(found, "_row", "left").select(
+    return rows.join(found, "_row", "left").select(
         id_col,
         "held_out",
         "n_tokens",

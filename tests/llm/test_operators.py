@@ -8,8 +8,11 @@ import re
 import sys
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -639,6 +642,53 @@ def test_lm_looks_up_each_distinct_word_of_a_slice_once():
     assert all((i >= 0) == (w in (lm.END, b"a")) for i, w in zip(index, (w for ws in each for w in ws)))
 
 
+def test_lm_counts_by_lots_with_endings(spark, monkeypatch):
+    texts = ["a B a", "", " longer words, a\n", "é xé", "b" * 70, "\x1c a"]
+    want = Counter(w for t in texts for w in [*ascii_lower(t).encode().split(), lm.END])
+    monkeypatch.setattr(lm, "COUNTED", 8)
+    got = Counter()
+    for part in lm._count_words([pa.record_batch({"text": texts[:4]}), pa.record_batch({"text": texts[4:]})]):
+        for word, n in zip(part["word"].to_pylist(), part["n"].to_pylist()):
+            got[word] += n
+    assert got == want
+    rows = lm.class_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()
+    assert {bytes(r.word): (r.n, r.ending) for r in rows} == {w: (n, lm.ending(w)) for w, n in want.items()}
+
+
+def test_lm_scores_from_class_numbers_alone():
+    layout = lm.layout_for(10)
+    known, classes, logs = {lm.END: 0, b"a": 1, b"bb": 2}, np.array([0, 1, layout.tail(b"bb")]), np.array([0.5, 0.25, 2.0])
+    texts = ["a BB zz a", "", "q\x00 zz", "bb"]
+    ids = ["1", None, "3", "4"]
+    frame = pd.DataFrame({"doc_id": ids, "held_out": [False, True, False, True], "text": texts})
+    (coded,) = lm._code(SimpleNamespace(value=(known, classes, layout, logs)))([frame])
+    assert coded["missing"].tolist() == [[b"zz"], [], [b"q\x00", b"zz"], []] and coded["n_known"].tolist() == [4, 1, 1, 2]
+    share = np.full(layout.size, 1 / layout.size)
+    trainer = lm.Trainer(lm.first_parameters(share), share, 1)
+    trainer.learn([np.array([3, 1, 2, 0]), np.array([0])])
+    spread = np.linspace(0, 1, layout.size)
+    sums, (first, second) = lm.log_sums(trainer.model), lm.class_scores(trainer.model)
+    (got,) = lm._score(SimpleNamespace(value=(spread, trainer.model, sums)))([coded.drop(columns="missing").assign(_row=range(4))])
+    assert got["doc_id"].tolist() == ids and got["tokens"].tolist() == [5, 1, 3, 2]
+    for text, score in zip(texts, got["score"]):
+        words = [*text.lower().encode().split(), lm.END]
+        c = np.array([classes[known[w]] if w in known else layout.tail(w) for w in words])
+        more = sum(logs[known[w]] for w in words if w in known and classes[known[w]] >= layout.own)
+        assert score == pytest.approx(lm.log_probabilities(first, second, sums, c).sum() - spread[c].sum() + more, abs=1e-4)
+
+
+def test_nce_looks_back_within_a_document_only():
+    seen = []
+
+    class Watched(lm.Trainer):
+        def step(self, c2, c1, c):
+            seen.extend(zip(c2.tolist(), c1.tolist(), c.tolist()))
+
+    share = np.full(96, 1 / 96)
+    Watched(lm.first_parameters(share), share, 1).learn([np.array([3, 1, 2]), np.array([5]), np.array([], "<u2"), np.array([4, 6]), np.array([7])])
+    assert sorted(seen) == sorted([(0, 0, 3), (0, 3, 1), (3, 1, 2), (0, 0, 5), (0, 0, 4), (0, 4, 6), (0, 0, 7)])
+
+
 def test_lm_classes_follow_the_distinct_words():
     sizes = [lm.layout_for(n).size for n in (1, 10_000, 1_000_000, 10**8, 10**12)]
     assert sizes == sorted(sizes) and sizes[0] == lm.LEAST_CLASSES and sizes[1] < sizes[2] < sizes[3] <= sizes[4] == lm.MOST_CLASSES

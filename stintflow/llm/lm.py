@@ -44,8 +44,8 @@ MEANS = 64  # groups in which the partitions' parameters are summed before they
 HEAD, LONGEST = 200_000, 64
 END = b""  # no word is empty, so the end token can be
 _FLUSH = 500_000
-SLICE = 512  # texts whose tokens are numbered together, each distinct word looked up once
-COUNTED = 1 << 23  # characters whose words are counted together
+SLICE = 512  # texts scored together
+LOT = 1 << 23  # characters of texts whose tokens are numbered together, each distinct word looked up once
 
 
 @dataclass(frozen=True)
@@ -77,10 +77,10 @@ class Lookup(dict):
 
     def __init__(self, known: dict[bytes, int], layout: Layout):
         super().__init__(known)
-        self.layout, self.kept = layout, 0
+        self.own, self.tails, self.kept = layout.own, layout.tails, 0
 
     def __missing__(self, word: bytes) -> int:
-        answer = -1 - self.layout.tail(word)
+        answer = -1 - self.own - ending(word) % self.tails
         if self.kept < _FLUSH:
             self.kept += 1
             self[word] = answer
@@ -113,11 +113,17 @@ class Tokens:
         return index[self.at], np.where(index >= 0, classes[np.maximum(index, 0)], -1 - index)[self.at]
 
 
+def _lots(texts: list[str]):
+    """Where texts that come to about ``LOT`` characters start and end."""
+    lot = np.cumsum([len(text) for text in texts]) // LOT
+    cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(texts)]
+    return [(start, end) for start, end in zip(cuts, cuts[1:]) if start < end]
+
+
 def _count_words(batches):
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        lot = np.cumsum([len(text) for text in texts]) // COUNTED
-        for start, end in zip(cuts := [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(texts)], cuts[1:]):
+        for start, end in _lots(texts):
             tokens = Tokens.of(texts[start:end])
             yield pa.record_batch({"word": tokens.words.cast(pa.binary()), "n": np.bincount(tokens.at, minlength=len(tokens.words))})
 
@@ -135,7 +141,7 @@ def _code(shared):
         known, classes, layout, logs = shared.value
         lookup = Lookup(known, layout)
         own = classes < layout.own
-        for batch in slices(batches, SLICE):
+        for batch in (batch.iloc[start:end] for batch in batches for start, end in _lots(batch["text"])):
             tokens = Tokens.of(batch["text"])
             index, c = tokens.coded(lookup, classes)
             ends = np.cumsum(tokens.lengths)
@@ -177,23 +183,24 @@ class Trainer:
     """Noise-contrastive estimation with Adagrad, one step per batch of tokens with the two classes before each."""
 
     def __init__(self, model: dict[str, np.ndarray], share: np.ndarray, seed: int):
-        self.model = {k: v.copy() for k, v in model.items()}
-        self.past = {k: np.full_like(v, 1e-4) for k, v in model.items()}
+        self.flat = np.concatenate([v.ravel() for v in model.values()])
+        self.past, self.slope, self.room = np.full_like(self.flat, 1e-4), np.empty_like(self.flat), np.empty_like(self.flat)
+        upto = np.cumsum([v.size for v in model.values()])[:-1]
+        parts = lambda flat: {k: x.reshape(v.shape) for (k, v), x in zip(model.items(), np.split(flat, upto))}
+        self.model, self.grads = parts(self.flat), parts(self.slope)  # as views
         self.rng = np.random.default_rng(seed)
         self.noise_upto = np.cumsum(share)
         self.shift = np.log(NOISE * share).astype(np.float32)
         self.cells = np.arange(len(share) * DIM).reshape(-1, DIM)
-        self.room = {k: np.empty_like(v) for k, v in model.items()}
         self.tokens = 0
 
     def _scatter(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Sum of the rows, given one after the other, that belong to each class."""
         flat = self.cells.take(at, axis=0).ravel()
-        return np.bincount(flat, rows, self.cells.size).reshape(self.cells.shape).astype(np.float32)
+        return np.bincount(flat, rows, self.cells.size).astype(np.float32).reshape(self.cells.shape)
 
-    def step(self, c2: np.ndarray, c1: np.ndarray, c: np.ndarray) -> None:
-        model, k, n = self.model, len(self.shift), len(c)
-        noise = np.minimum(np.searchsorted(self.noise_upto, self.rng.random(NOISE) * self.noise_upto[-1], side="right"), k - 1)
+    def step(self, c2: np.ndarray, c1: np.ndarray, c: np.ndarray, noise: np.ndarray) -> None:
+        model, grads, k, n = self.model, self.grads, len(self.shift), len(c)
         hat = (model["R"] @ model["C1"]).take(c1, axis=0)
         hat += (model["R"] @ model["C2"]).take(c2, axis=0)
         q, qn, lift = model["Q"].take(c, axis=0), model["Q"].take(noise, axis=0), model["b"] - self.shift
@@ -208,23 +215,21 @@ class Trainer:
         q *= up[:, None]
         dhat += q
         wide = dhat.ravel().astype(float)
-        by_c, by_1, by_2 = self._scatter(c, (hat * up[:, None]).ravel()), self._scatter(c1, wide), self._scatter(c2, wide)
-        db = np.bincount(c, up, k).astype(np.float32)
+        by_1, by_2 = self._scatter(c1, wide), self._scatter(c2, wide)
+        by_c, db = grads["Q"], grads["b"]
+        by_c[:] = self._scatter(c, (hat * up[:, None]).ravel())
+        db[:] = np.bincount(c, up, k)
         np.add.at(by_c.ravel(), self.cells.take(noise, axis=0).ravel(), (down.T @ hat).ravel())  # a class may be drawn again
         np.add.at(db, noise, np.einsum("ij->j", down))
-        grads = {
-            "R": by_1 @ model["C1"].T + by_2 @ model["C2"].T,
-            "C1": model["R"].T @ by_1,
-            "C2": model["R"].T @ by_2,
-            "Q": by_c,
-            "b": db,
-        }
-        for name, g in grads.items():
-            past, room = self.past[name], self.room[name]
-            past += np.multiply(g, g, out=room)
-            g *= np.float32(RATE)
-            g /= np.sqrt(past, out=room)
-            model[name] -= g
+        np.matmul(by_1, model["C1"].T, out=grads["R"])
+        grads["R"] += by_2 @ model["C2"].T
+        np.matmul(model["R"].T, by_1, out=grads["C1"])
+        np.matmul(model["R"].T, by_2, out=grads["C2"])
+        g, past, room = self.slope, self.past, self.room
+        past += np.multiply(g, g, out=room)
+        g *= np.float32(RATE)
+        g /= np.sqrt(past, out=room)
+        self.flat -= g
         self.tokens += n
 
     @np.errstate(over="ignore")  # an infinite exponential gives a share of zero
@@ -238,8 +243,11 @@ class Trainer:
         c2[starts[starts + 1 < len(c)] + 1] = 0
         order = self.rng.permutation(len(c))
         c2, c1, c = (x[order].astype(np.int64) for x in (c2, c1, c))
-        for at in range(0, len(order), BATCH):
-            self.step(c2[at : at + BATCH], c1[at : at + BATCH], c[at : at + BATCH])
+        steps = -(-len(c) // BATCH)
+        drawn = np.searchsorted(self.noise_upto, self.rng.random(steps * NOISE) * self.noise_upto[-1], side="right")
+        noise = np.minimum(drawn, len(self.shift) - 1).reshape(steps, NOISE)
+        for each, at in zip(noise, range(0, len(c), BATCH)):
+            self.step(c2[at : at + BATCH], c1[at : at + BATCH], c[at : at + BATCH], each)
 
 
 def class_scores(model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -422,12 +430,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coded = lm.coded.select("_row", "doc_id", "held_out", "tokens", "n_known", "logs", "own_logs", "classes")
     schema = "_row bigint, doc_id string, held_out boolean, tokens bigint, n_known bigint, logs double, score double"
     rows = coded.mapInPandas(_score(shared), schema).withColumnRenamed("tokens", "n_tokens")
-    rare = lm.coded.select("_row", F.explode("missing").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("times"))
+    rare = lm.coded.select("_row", F.explode("missing").alias("word"))
     log = F.log10(F.coalesce("n", F.lit(0)) + 1)
     found = (
         rare.join(lm.counts.select("word", "n"), "word", "left")
         .groupBy("_row")
-        .agg(F.sum(F.col("times") * log).alias("rare_logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"))
+        .agg(F.sum(log).alias("rare_logs"), F.count("n").alias("rare_known"))
     )
     more = F.coalesce("rare_logs", F.lit(0.0))
     each = math.log10(lm.tokens + lm.types + 1)

@@ -645,7 +645,7 @@ def test_lm_looks_up_each_distinct_word_of_a_slice_once():
 def test_lm_counts_by_lots_with_endings(spark, monkeypatch):
     texts = ["a B a", "", " longer words, a\n", "é xé", "b" * 70, "\x1c a"]
     want = Counter(w for t in texts for w in [*ascii_lower(t).encode().split(), lm.END])
-    monkeypatch.setattr(lm, "COUNTED", 8)
+    monkeypatch.setattr(lm, "LOT", 8)
     got = Counter()
     for part in lm._count_words([pa.record_batch({"text": texts[:4]}), pa.record_batch({"text": texts[4:]})]):
         for word, n in zip(part["word"].to_pylist(), part["n"].to_pylist()):
@@ -681,7 +681,7 @@ def test_nce_looks_back_within_a_document_only():
     seen = []
 
     class Watched(lm.Trainer):
-        def step(self, c2, c1, c):
+        def step(self, c2, c1, c, noise):
             seen.extend(zip(c2.tolist(), c1.tolist(), c.tolist()))
 
     share = np.full(96, 1 / 96)

@@ -459,6 +459,14 @@ def test_line_dedup_of_short_and_long_lines_against_all_pairs(spark):
     assert got == _gone_lines(rows)
 
 
+def test_line_dedup_deletes_the_neighbours_once_joined(spark, monkeypatch):
+    gone, forget = [], line_dedup.forget
+    monkeypatch.setattr(line_dedup, "forget", lambda df: (gone.append(df.columns), forget(df)))
+    lines = spark.createDataFrame([(1, 5, 0, [3, 4]), (2, 5, 0, [3, 4])], "id bigint, n int, parity bigint, rare array<int>")
+    assert line_dedup._shared_neighbours(lines).count() == 4
+    assert gone == [["pair", "id", "first"]]
+
+
 def test_without_lines(spark):
     df = spark.createDataFrame([("a\nb\nc", [1]), (None, []), ("", []), ("x", [0])], "t string, r array<int>")
     assert [r.o for r in df.select(line_dedup.without_lines(F.col("t"), F.col("r")).alias("o")).collect()] == ["a\nc", "", "", ""]

@@ -17,21 +17,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stintflow.operators import boosting
+from stintflow.operators.boosting import BoostParams
 from stintflow.scale import Running, positions, quantiles, range_placed, running, value_ranks, with_ordinal
 from stintflow.session import cut_lineage, forget
 
-
 TASK_ROWS = 250_000  # a training task holds this many rows in memory, over all trees
 
 
-@dataclass(frozen=True)
-class BoostParams:
-    trees: int = 400
-    depth: int = 5
-    step: float = 0.1
-    seed: int = 42
-
-
 def log_loss(p: str, y: str, eps: float = 1e-15) -> Column:
     prob = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(p)))
     return F.avg(-(F.col(y) * F.log(prob) + (1 - F.col(y)) * F.log(1 - prob)))
@@ -116,6 +109,11 @@ def out_of_fold(
     return parts
 
 
+def _at_once(spark, job, args, parallel: int) -> list:
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(job), args))
+
+
 @dataclass(frozen=True)
 class Trial:
     """One parameter set: held-out log loss and trees kept per fold."""
@@ -135,22 +133,20 @@ def grid_by_group_cv(
     """Held-out log loss per parameter set and fold, best set first; fits run ``parallel`` at a time.
 
     With ``group``, that share of the training groups of a fold, picked by hash, only decides when to stop. The loss
-    is not weighted, the fits are.
+    is not weighted, the fits are. The parameter sets of a fold are trained together, in the same passes over its rows.
     """
     stop = F.lit(False) if group is None else F.pmod(F.xxhash64(F.lit("stop"), group), F.lit(1000)) < int(stop_share * 1000)
     rows = df.withColumn("_stop", stop)
+    names = [f"_p{n}" for n in range(len(grid))]
 
-    def fit(job):
-        params, held = job
-        train = rows.where(F.col(fold) != held)
-        model = train_boosted(train, features, label, params, weight, "_stop" if group else None, categorical)
-        scored = score(model, rows.where(F.col(fold) == held), "_p")
-        return scored.agg(log_loss("_p", label).alias("l")).first()["l"], model.stages[-1].getNumTrees
+    def fit(held):
+        models = boosting.train(rows.where(F.col(fold) != held), features, label, grid, weight, "_stop" if group else None, categorical)
+        scored = boosting.score(models, rows.where(F.col(fold) == held), names)
+        losses = scored.agg(*[log_loss(p, label).alias(p) for p in names]).first()
+        return [(losses[p], len(model.trees)) for p, model in zip(names, models)]
 
-    jobs = [(params, held) for params in grid for held in range(k)]
-    with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), jobs))
-    return sorted((Trial(params, done[at * k : at * k + k]) for at, params in enumerate(grid)), key=lambda x: x.mean)
+    done = _at_once(rows.sparkSession, fit, range(k), parallel)
+    return sorted((Trial(params, [of[at] for of in done]) for at, params in enumerate(grid)), key=lambda x: x.mean)
 
 
 def feature_importance(model: PipelineModel, features: list[str], spark) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -95,18 +96,20 @@ def score(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
 
 def out_of_fold(
     df: DataFrame, fold: str, k: int, features: list[str], label: str, params: BoostParams = BoostParams(),
-    context: DataFrame | None = None, out: str = "oof", stop_flag: str | None = None,
+    context: DataFrame | None = None, out: str = "oof", stop_flag: str | None = None, parallel: int = 4,
 ) -> DataFrame:
-    """Score each fold with a model trained on the other folds plus a fixed context pool."""
-    parts = None
+    """Score each fold with a model trained on the other folds plus a fixed context pool; ``parallel`` fits at a time."""
     used = [*features, label, *([stop_flag] if stop_flag else [])]
-    for i in range(k):
-        train = df.where(F.col(fold) != i).select(*used)
+
+    def part(held):
+        train = df.where(F.col(fold) != held).select(*used)
         if context is not None:
             train = train.unionByName(context.select(*used))
-        part = score(train_boosted(train, features, label, params, stop_flag=stop_flag), df.where(F.col(fold) == i), out)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+        models = boosting.train(train, features, label, [params], stop_flag=stop_flag)
+        return boosting.score(models, df.where(F.col(fold) == held), [out])
+
+    parts = _at_once(df.sparkSession, part, range(k), parallel)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _at_once(spark, job, args, parallel: int) -> list:

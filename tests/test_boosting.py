@@ -74,3 +74,16 @@ def test_sample_of_rows_is_cut_at_equal_weights():
     assert cuts == pytest.approx([249.5, 499.5, 749.5])
     assert boosting.thresholds(np.array([1.0, 1.0, 3.0]), np.ones(3), 31).tolist() == [2.0]
     assert boosting.thresholds(np.ones(5), np.ones(5), 31).size == 0
+
+
+def test_out_of_fold_scores_are_those_of_a_fit_per_fold(rows, monkeypatch):
+    """Each fold shuffled all its training rows for a fit; blocks of bins are dealt out instead."""
+    params, used = BoostParams(trees=3, depth=2), ["a", "b", "y", "s"]
+    df, context = rows.where("b <= 1"), rows.where("b > 1").select(*used)
+    wanted = [modeling.train_boosted(df.where(F.col("fold") != k).select(*used).unionByName(context), ["a", "b"], "y", params, stop_flag="s") for k in range(3)]
+    monkeypatch.setattr(modeling, "train_boosted", None)
+    scored = modeling.out_of_fold(df, "fold", 3, ["a", "b"], "y", params, context, stop_flag="s").cache()
+    assert scored.columns == [*df.columns, "oof"] and scored.count() == df.count()
+    for k, model in enumerate(wanted):
+        both = modeling.score(model, scored.where(F.col("fold") == k), "want")
+        assert both.agg(F.max(F.abs(F.col("want") - F.col("oof")))).first()[0] < 1e-12

@@ -7,6 +7,9 @@ side by side, so a step is one join with the entries and one aggregation, whatev
 The entries are dealt out by column once and stay where they are; only the vectors move. Scalars of the steps, a
 handful per system, are all that the driver sees.
 
+Where the columns fall into blocks beside the unpenalised ones, a search solves its systems directly instead
+(``column_blocks``).
+
 A prior costs one more target instead of one more system per strength: with ``A d0 = b`` and ``A d1 = A0 prior``, where
 ``A`` is ``A0`` plus the penalty, the fit for strength ``kappa`` is ``kappa * prior + d0 - kappa * d1``.
 """
@@ -15,9 +18,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stintflow.operators.column_blocks import Blocks, blocks_of
 from stintflow.operators.regression import dealt
 from stintflow.session import cut_lineage, forget
 
@@ -173,12 +178,15 @@ def held_out_errors(g: DataFrame, norms: DataFrame, coefs: DataFrame, pairs: lis
 @dataclass
 class Search:
     """What a penalty search leaves: mean held-out error per (cell, penalty, kappa), the choice per (cell, kappa), and
-    the fits of whole cells, a table ``u, i, x`` per batch of penalties."""
+    the fits of whole cells: a table ``u, i, x`` per batch of penalties, or the blocks with the solutions of the hubs."""
 
     errors: dict = field(default_factory=dict)
     folds: dict = field(default_factory=dict)
     best: dict = field(default_factory=dict)
     fits: list[tuple[list[float], DataFrame]] = field(default_factory=list)
+    blocks: Blocks | None = None
+    hubs: dict = field(default_factory=dict)
+    parts: dict = field(default_factory=dict)  # of each subset
 
 
 def _coefficients(solution: DataFrame, slots: list[tuple[int, float]], count: int, prior: DataFrame | None) -> DataFrame:
@@ -197,8 +205,19 @@ def search(
     """Held-out error per penalty and prior strength, by leaving out each part of a cell in turn.
 
     ``g`` is ``part, i, j, v`` and ``norms`` is ``part, yy, sw``. While the best penalty of some cell and strength is
-    an edge of the grid, the grid goes on by its own ratio there, from the edge's solution, ``widen`` times at most.
+    an edge of the grid, the grid goes on by its own ratio there, ``widen`` times at most.
     """
+    found = _search(g, norms, cells, grid, penalised, kappas, prior, widen)
+    if found.blocks is not None:
+        found.blocks.release()
+    return found
+
+
+def _search(
+    g: DataFrame, norms: DataFrame, cells: dict[int, list[int]], grid: list[float], penalised: Column,
+    kappas: list[float], prior: DataFrame | None, widen: int,
+) -> Search:
+    """:func:`search`, directly on blocks of columns where there are such, else by conjugate gradients."""
     subsets = {cell: parts for cell, parts in cells.items()}
     pairs, first = [], max(cells) + 1
     for cell, parts in cells.items():
@@ -206,13 +225,26 @@ def search(
             subsets[first] = [p for p in parts if p != part]
             pairs.append((cell, first, part))
             first += 1
+    blocks = blocks_of(g, penalised, prior) if min(grid) > 0 else None
+    if blocks is not None:
+        sizes = _sizes(norms)
+        found = Search(blocks=blocks, parts=subsets)
+        held = [(u, part) for _, u, part in pairs if part in sizes]
+
+        def direct(todo, origin):
+            found.hubs |= blocks.solve_hubs(subsets, todo)
+            slots = [(lam, kappa) for lam in todo for kappa in kappas]
+            return blocks.held_out_errors(sizes, subsets, held, found.hubs, {u: slots for u, _ in held})
+
+        try:
+            return _walk(found, direct, pairs, cells, grid, kappas, widen)
+        except np.linalg.LinAlgError:  # no single solution: go the way that also then leads to one
+            blocks.release()
     moments = cut_lineage(subset_moments(g, subsets))
     entries = cut_lineage(both_triangles(moments))
     found = Search()
-    order = sorted(grid)
-    ratio = order[-1] / order[-2] if len(order) > 1 else 2.0
-    todo, origin = order, None
-    for _ in range(widen + 1):
+
+    def descend(todo, origin):
         targets = [-1] * len(todo) + (["prior"] * len(todo) if prior is not None else [])
         rhs = right_sides(moments, entries, targets, prior)
         start = None
@@ -224,7 +256,24 @@ def search(
         found.fits.append((todo, solution))
         slots = [(k, kappa) for k in range(len(todo)) for kappa in kappas]
         coefs = _coefficients(solution, slots, len(todo), prior)
-        scored = held_out_errors(g, norms, coefs, [(u, part) for _, u, part in pairs], len(slots))
+        return held_out_errors(g, norms, coefs, [(u, part) for _, u, part in pairs], len(slots))
+
+    return _walk(found, descend, pairs, cells, grid, kappas, widen)
+
+
+def _sizes(norms: DataFrame) -> dict[int, tuple[float, float]]:
+    return {row["part"]: (row["yy"], row["sw"]) for row in norms.collect()}  # a row per fold
+
+
+def _walk(found: Search, score, pairs: list[tuple[int, int, int]], cells: dict, grid: list[float], kappas: list[float], widen: int) -> Search:
+    """The errors of a grid and of what it goes on to; ``score`` takes the penalties and where the edge they go on from is."""
+    order = sorted(grid)
+    ratio = order[-1] / order[-2] if len(order) > 1 else 2.0
+    todo, origin, batches = order, None, []
+    for _ in range(widen + 1):
+        scored = score(todo, origin)
+        batches.append(todo)
+        slots = [(k, kappa) for k in range(len(todo)) for kappa in kappas]
         for at, (k, kappa) in enumerate(slots):
             for cell in cells:
                 each = {part: scored[u, part][at] for c, u, part in pairs if c == cell}
@@ -238,13 +287,15 @@ def search(
         edge = known[-1] if known[-1] in chosen else known[0] if known[0] in chosen else None
         if edge is None:
             break
-        origin = next((n, lams.index(edge)) for n, (lams, _) in enumerate(found.fits) if edge in lams)
+        origin = next((n, lams.index(edge)) for n, lams in enumerate(batches) if edge in lams)
         todo = [edge * ratio] if edge == known[-1] else [edge / ratio]
     return found
 
 
 def chosen_fits(found: Search, cell: int, kappas: list[float], prior: DataFrame | None) -> DataFrame:
     """``i, beta`` of a whole cell, a slot per kappa, each at its own chosen penalty."""
+    if found.blocks is not None:
+        return found.blocks.fits(found.parts, found.hubs, cell, [(found.best[cell, kappa], kappa) for kappa in kappas])
     out = None
     for n, (lams, solution) in enumerate(found.fits):
         mine = [(k, lams.index(found.best[cell, kappa])) for k, kappa in enumerate(kappas) if found.best[cell, kappa] in lams]
@@ -270,13 +321,19 @@ def two_way_test(
     kappas: list[float], prior: DataFrame, widen: int = 8,
 ) -> Halves:
     """For each prior strength, fit on one half at its own penalty and score on the other, both ways."""
-    found = search(g, norms, cells, grid, penalised, kappas, prior, widen)
+    found = _search(g, norms, cells, grid, penalised, kappas, prior, widen)
     (a, b) = cells
     coefs = {cell: cut_lineage(chosen_fits(found, cell, kappas, prior)) for cell in cells}
-    weights = {row["part"]: row["sw"] for row in norms.collect()}  # a row per fold
-    whole = lambda cell: coefs[cell].select(F.lit(cell).cast("bigint").alias("u"), "i", "beta")
+    sizes = _sizes(norms)
+    weights = {part: sw for part, (_, sw) in sizes.items()}
     pairs = [(x, part) for x, y in ((a, b), (b, a)) for part in cells[y]]
-    scored = held_out_errors(g, norms, whole(a).unionAll(whole(b)), pairs, len(kappas))
+    if found.blocks is not None:
+        slots = {cell: [(found.best[cell, kappa], kappa) for kappa in kappas] for cell in cells}
+        scored = found.blocks.held_out_errors(sizes, found.parts, pairs, found.hubs, slots)
+        found.blocks.release()
+    else:
+        whole = lambda cell: coefs[cell].select(F.lit(cell).cast("bigint").alias("u"), "i", "beta")
+        scored = held_out_errors(g, norms, whole(a).unionAll(whole(b)), pairs, len(kappas))
     errors = []
     for k in range(len(kappas)):
         ways = []
